@@ -201,7 +201,7 @@ def centroid(cls: Column, parts: Column, exterior: Column) -> Column:
     by_area = point(total["wx"] / total["w"], total["wy"] / total["w"])
     line_or_mean = F.when(total["len"] > 0, by_length).otherwise(mean)
     return (
-        F.when(n == 0, F.lit(None))
+        F.when(parts.isNull() | (n == 0), F.lit(None))
         .when(cls == "point", mean)
         .when(cls == "line", line_or_mean)
         .when(cls == "polygon", F.when(total["w"] != 0, by_area).otherwise(line_or_mean))
