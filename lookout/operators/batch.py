@@ -130,20 +130,37 @@ def nested_loop_search(
         raise ValueError(
             f"{n} distinct patterns exceed max_broadcast_patterns={max_broadcast_patterns}; use strategy='blocked'"
         )
-    target = _target(df, cfg)
+    target = spread(_target(df, cfg), _tie_names(cfg))
     hit_names = [c for c in target.columns if c != _S and not c.startswith(_T)]
     cand = target.join(F.broadcast(pats), match_condition(F.col(_S), F.col(_P), cfg.case_sensitive))
     return _finish(_top_k_per_pattern(cand, cfg, _k_max(pats)), prepared, cfg, hit_names)
 
 
+def _gram_regex(n: Column | int) -> Column:
+    """Zero-width look-ahead capturing the next ``n`` characters at every position:
+    one linear regex pass yields all n-grams (``substring`` per position would
+    rescan the string from its start each time)."""
+    if isinstance(n, int):
+        return F.lit(f"(?s)(?=(.{{{n}}}))")
+    return F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))"))
+
+
 def _grams(text: Column, n: Column | int) -> Column:
     """Distinct substrings of length ``n`` (``n`` = 0 gives the empty gram)."""
-    n = F.lit(n) if isinstance(n, int) else n
-    count = F.length(text) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(text, i, n))
-    return F.when(n == 0, F.array(F.lit(""))).when(count >= 1, F.array_distinct(grams)).otherwise(
-        F.array().cast("array<string>")
-    )
+    grams = F.array_distinct(F.regexp_extract_all(text, _gram_regex(n), 1))
+    if isinstance(n, int):
+        return F.array(F.lit("")) if n == 0 else grams
+    return F.when(n == 0, F.array(F.lit(""))).otherwise(grams)
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-spread a relation that arrives in fewer partitions than the cluster has
+    cores (one small file), so per-row work (n-gram explode, verification) is
+    parallel.  A relation read from many files is left as it is: no shuffle."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *[F.col(k) for k in keys])
 
 
 def pattern_grams(patterns: DataFrame, cfg: SearchConfig) -> DataFrame:
@@ -167,10 +184,10 @@ def _size_checked(df: DataFrame, limit: int) -> tuple[DataFrame, int]:
 
 def table_grams(target: DataFrame, sizes: list[int], cfg: SearchConfig, columns: list[str]) -> DataFrame:
     """Rows exploded into their distinct n-grams for each needed ``n``."""
-    text = _fold(F.col(_S).cast("string"), cfg)
+    folded = target.select(*columns, _fold(F.col(_S).cast("string"), cfg).alias("__lk_fold"))
     frames = []
     for n in sizes:
-        frames.append(target.select(*columns, F.lit(n).alias("n"), F.explode(_grams(text, n)).alias("g")))
+        frames.append(folded.select(*columns, F.lit(n).alias("n"), F.explode(_grams(F.col("__lk_fold"), n)).alias("g")))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -211,7 +228,7 @@ def blocked_search(
 ) -> DataFrame:
     """n-gram blocked equi-join, then exact verification (same rows as nested loop)."""
     pats = _distinct_patterns(prepared, cfg).where(F.col(_K) > 0)
-    target = _target(df, cfg)
+    target = spread(_target(df, cfg), _tie_names(cfg))
     hit_names = [c for c in target.columns if c != _S and not c.startswith(_T)]
     chosen = choose_grams(target, pats, cfg, max_broadcast_grams=max_broadcast_grams, rows_per_salt=rows_per_salt)
     # at most GRAM + 1 values; an empty pattern set still needs one branch for the schema
