@@ -151,63 +151,100 @@ def _sum(arr: Column, fn) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, e: acc + fn(e))
 
 
-def _part_stats(pts: Column, exterior: Column) -> Column:
-    """Length / area moments of one part; areas relative to its first point."""
-    segs = _segments(pts)
-    x0 = pts[0]["x"]
-    y0 = pts[0]["y"]
+_STATS = ("len", "lx", "ly", "w", "wx", "wy")
 
-    def seg_len(s):
-        return F.sqrt(F.pow(s["b"]["x"] - s["a"]["x"], 2) + F.pow(s["b"]["y"] - s["a"]["y"], 2))
 
-    def cross(s):
-        return (s["a"]["x"] - x0) * (s["b"]["y"] - y0) - (s["b"]["x"] - x0) * (s["a"]["y"] - y0)
+def _part_stats(pts: Column, exterior: Column) -> Column:
+    """Length and area moments of one part in a single pass over its segments.
 
-    area2 = _sum(segs, cross)  # twice the signed area
-    mx = _sum(segs, lambda s: (s["a"]["x"] + s["b"]["x"] - 2 * x0) * cross(s))
-    my = _sum(segs, lambda s: (s["a"]["y"] + s["b"]["y"] - 2 * y0) * cross(s))
-    sign = F.when(exterior, F.lit(1.0)).otherwise(F.lit(-1.0))
-    weight = sign * F.abs(area2) / 2.0
-    # ring centroid = p0 + m / (3 * area2); undefined for zero area (weight 0)
-    safe = F.when(area2 != 0, area2)
+    Areas are taken relative to the part's first point for precision.
+    """
+    x0 = pts[0]["x"]
+    y0 = pts[0]["y"]
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("len", "lx", "ly", "a2", "mx", "my")])
+
+    def step(acc, s):
+        ax, ay, bx, by = s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]
+        seg = F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
+        cross = (ax - x0) * (by - y0) - (bx - x0) * (ay - y0)
+        return F.struct(
+            (acc["len"] + seg).alias("len"),
+            (acc["lx"] + seg * (ax + bx) / 2.0).alias("lx"),
+            (acc["ly"] + seg * (ay + by) / 2.0).alias("ly"),
+            (acc["a2"] + cross).alias("a2"),  # twice the signed area
+            (acc["mx"] + (ax + bx - 2 * x0) * cross).alias("mx"),
+            (acc["my"] + (ay + by - 2 * y0) * cross).alias("my"),
+        )
+
+    def finish(t):
+        # ring centroid = p0 + m / (3 * a2); weight = +-|area|, holes negative
+        weight = F.when(exterior, F.lit(1.0)).otherwise(F.lit(-1.0)) * F.abs(t["a2"]) / 2.0
+        safe = F.when(t["a2"] != 0, t["a2"])
+        return F.struct(
+            t["len"].alias("len"),
+            t["lx"].alias("lx"),
+            t["ly"].alias("ly"),
+            weight.alias("w"),
+            F.coalesce(weight * (x0 + t["mx"] / (3.0 * safe)), F.lit(0.0)).alias("wx"),
+            F.coalesce(weight * (y0 + t["my"] / (3.0 * safe)), F.lit(0.0)).alias("wy"),
+        )
+
+    return F.aggregate(_segments(pts), zero, step, finish)
+
+
+def part_stats(parts: Column, exterior: Column) -> Column:
+    """Per-part length / area moments: ``array<struct<len,lx,ly,w,wx,wy>>``."""
+    return F.zip_with(parts, exterior, _part_stats)
+
+
+def total_stats(stats: Column, parts: Column) -> Column:
+    """Sum of the part moments plus the point count and coordinate sums."""
+    pts = F.flatten(parts)
+    summed = F.aggregate(
+        stats,
+        F.struct(*[F.lit(0.0).alias(k) for k in _STATS]),
+        lambda acc, e: F.struct(*[(acc[k] + e[k]).alias(k) for k in _STATS]),
+    )
+    coords = F.aggregate(
+        pts,
+        F.struct(F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy")),
+        lambda acc, p: F.struct((acc["sx"] + p["x"]).alias("sx"), (acc["sy"] + p["y"]).alias("sy")),
+    )
     return F.struct(
-        _sum(segs, seg_len).alias("len"),
-        _sum(segs, lambda s: seg_len(s) * (s["a"]["x"] + s["b"]["x"]) / 2.0).alias("lx"),
-        _sum(segs, lambda s: seg_len(s) * (s["a"]["y"] + s["b"]["y"]) / 2.0).alias("ly"),
-        weight.alias("w"),
-        F.coalesce(weight * (x0 + mx / (3.0 * safe)), F.lit(0.0)).alias("wx"),
-        F.coalesce(weight * (y0 + my / (3.0 * safe)), F.lit(0.0)).alias("wy"),
+        *[summed[k].alias(k) for k in _STATS],
+        F.size(pts).alias("n"),
+        coords["sx"].alias("sx"),
+        coords["sy"].alias("sy"),
     )
 
 
-def centroid(cls: Column, parts: Column, exterior: Column) -> Column:
-    """Centroid as GEOS computes it.
+def centroid_from_stats(cls: Column, total: Column) -> Column:
+    """Centroid as GEOS computes it (D6), from :func:`total_stats`.
 
     point: mean of the points; line: length-weighted mean of segment
     midpoints; polygon: area-weighted ring centroids, holes subtracting
     (ring orientation normalised).  A polygon of zero area falls back to the
     line rule and a line of zero length to the point rule.
     """
-    stats = F.zip_with(parts, exterior, _part_stats)
-    total = F.aggregate(
-        stats,
-        F.struct(*[F.lit(0.0).alias(k) for k in ("len", "lx", "ly", "w", "wx", "wy")]),
-        lambda acc, s: F.struct(*[(acc[k] + s[k]).alias(k) for k in ("len", "lx", "ly", "w", "wx", "wy")]),
-    )
-    pts = F.flatten(parts)
-    n = F.size(pts)
-    mean = point(_sum(pts, lambda p: p["x"]) / n, _sum(pts, lambda p: p["y"]) / n)
+    n = total["n"]
+    mean = point(total["sx"] / n, total["sy"] / n)
     by_length = point(total["lx"] / total["len"], total["ly"] / total["len"])
     by_area = point(total["wx"] / total["w"], total["wy"] / total["w"])
     line_or_mean = F.when(total["len"] > 0, by_length).otherwise(mean)
     return (
-        F.when(parts.isNull() | (n == 0), F.lit(None))
+        F.when(total.isNull() | n.isNull() | (n == 0), F.lit(None))
         .when(cls == "point", mean)
         .when(cls == "line", line_or_mean)
         .when(cls == "polygon", F.when(total["w"] != 0, by_area).otherwise(line_or_mean))
     )
 
 
+def centroid(cls: Column, parts: Column, exterior: Column) -> Column:
+    """One-expression form; :func:`lookout.operators.hits.with_geometry` stages
+    the same pieces as separate columns so each is computed once per row."""
+    return centroid_from_stats(cls, total_stats(part_stats(parts, exterior), parts))
+
+
 # --------------------------------------------------------------------------- D7
 
 

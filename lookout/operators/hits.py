@@ -16,7 +16,10 @@ from ..functions import geometry as G
 from ..functions import viewport as V
 
 _PARTS = "__lookout_parts"
+_RAW = "__lookout_raw_parts"
 _EXT = "__lookout_exterior"
+_TYPE = "__lookout_type"
+_TOTAL = "__lookout_total"
 
 
 def with_geometry(
@@ -27,29 +30,46 @@ def with_geometry(
 ) -> DataFrame:
     """Add ``geom_class``, ``display_kind``, ``reprojection_supported``,
     ``envelope`` and ``centroid``; envelope and centroid are in ``dst_srid``
-    (the source SRID when ``dst_srid`` is None)."""
+    (the source SRID when ``dst_srid`` is None).
+
+    The work is staged over narrow projections (parts -> per-part moments ->
+    totals -> centroid) so that every array fold runs once per row; Catalyst
+    does not merge a projection into its consumer when that would repeat an
+    expensive expression.
+    """
     src = F.col(srid)
     dst = src if dst_srid is None else F.lit(dst_srid)
-    parts = G.wkt_parts(F.col(geom))
-    if dst_srid is not None:
-        parts = G.reproject_parts(parts, src, dst)
-    staged = hits.select(
+    raw = G.wkt_parts(F.col(geom))
+    supported = G.supported_transform(src, dst) if dst_srid is not None else F.lit(True)
+    stage1 = hits.select(
         "*",
-        G.geom_class(F.col(geom)).alias("geom_class"),
-        parts.alias(_PARTS),
+        G.geometry_type(F.col(geom)).alias(_TYPE),
+        raw.alias(_RAW),
         G.wkt_exterior_flags(F.col(geom)).alias(_EXT),
-        (G.supported_transform(src, dst) if dst_srid is not None else F.lit(True)).alias("reprojection_supported"),
+        supported.alias("reprojection_supported"),
+    )
+    parts = G.reproject_parts(F.col(_RAW), src, dst) if dst_srid is not None else F.col(_RAW)
+    has_coords = F.size(F.flatten(F.col(_RAW))) > 0
+    cls = (
+        F.when(F.col(geom).isNull() | ~has_coords, F.lit("unknown"))
+        .when(F.col(_TYPE).isin(*G.POINT_TYPES), F.lit("point"))
+        .when(F.col(_TYPE).isin(*G.LINE_TYPES), F.lit("line"))
+        .when(F.col(_TYPE).isin(*G.POLYGON_TYPES), F.lit("polygon"))
+        .otherwise(F.lit("unknown"))
+    )
+    stage2 = stage1.select(*hits.columns, "reprojection_supported", cls.alias("geom_class"), parts.alias(_PARTS), _EXT)
+    stage3 = stage2.select(
+        "*", G.total_stats(G.part_stats(F.col(_PARTS), F.col(_EXT)), F.col(_PARTS)).alias(_TOTAL)
     )
     known = F.col("geom_class") != F.lit("unknown")
-    out = staged.select(
+    return stage3.select(
         *[F.col(c) for c in hits.columns],
         "geom_class",
         G.display_kind(F.col("geom_class")).alias("display_kind"),
         "reprojection_supported",
         F.when(known, G.envelope(F.flatten(F.col(_PARTS)))).alias("envelope"),
-        F.when(known, G.centroid(F.col("geom_class"), F.col(_PARTS), F.col(_EXT))).alias("centroid"),
+        F.when(known, G.centroid_from_stats(F.col("geom_class"), F.col(_TOTAL))).alias("centroid"),
     )
-    return out
 
 
 def with_viewport(
@@ -76,12 +96,13 @@ def with_viewport(
     if bbox_text and bbox_text in hits.columns:
         bbox = V.reproject_rect(V.bbox_from_text(F.col(bbox_text)), src, dst)
     else:
-        bbox = F.lit(None)
+        bbox = F.lit(None).cast("struct<xmin:double,ymin:double,xmax:double,ymax:double>")
+    geo = geo.select("*", bbox.alias("bbox"))
     scale: Column | None = F.col(scale_denom) if scale_denom and scale_denom in hits.columns else None
     extent = V.rect(*[F.lit(float(v)) for v in map_extent])
-    view = V.viewport(bbox, F.col("envelope"), F.col("centroid"), extent, F.lit(float(map_scale)), scale)
+    view = V.viewport(F.col("bbox"), F.col("envelope"), F.col("centroid"), extent, F.lit(float(map_scale)), scale)
     known = (F.col("geom_class") != F.lit("unknown")) & F.col("reprojection_supported")
-    return geo.select("*", bbox.alias("bbox"), F.when(known, view).alias("viewport"))
+    return geo.select("*", F.when(known, view).alias("viewport"))
 
 
 def flatten_rect(column: str, prefix: str) -> list[Column]:
