@@ -109,10 +109,21 @@ def _k_max(pats: DataFrame) -> int:
     return int(value or 0)
 
 
-def _finish(top: DataFrame, prepared: DataFrame, cfg: SearchConfig, hit_names: list[str]) -> DataFrame:
-    """Join per-pattern top rows back to query ids; cut at each query's own k."""
+def _finish(
+    top: DataFrame, prepared: DataFrame, cfg: SearchConfig, hit_names: list[str], top_bound: int, max_broadcast_hits: int
+) -> DataFrame:
+    """Join per-pattern top rows back to query ids; cut at each query's own k.
+
+    ``top_bound`` (distinct patterns x largest k) is a proven upper bound on the
+    rows of ``top``.  Within ``max_broadcast_hits`` the top rows are broadcast,
+    so the query side is never shuffled and a pattern typed by a third of all
+    users costs nothing extra; above it the join shuffles on the pattern and
+    AQE's skew-join handling splits a hot pattern's partition.
+    """
     q = prepared.select("query_id", _pattern_key(F.col("pattern"), cfg).alias(_P), F.col("k").alias("__lk_qk"))
-    joined = top.join(q, _P).where(F.col("rank") <= F.col("__lk_qk"))
+    if top_bound <= max_broadcast_hits:
+        top = F.broadcast(top)
+    joined = q.join(top, _P).where(F.col("rank") <= F.col("__lk_qk"))
     return joined.select("query_id", "rank", *hit_names)
 
 
@@ -121,7 +132,12 @@ def _distinct_patterns(prepared: DataFrame, cfg: SearchConfig) -> DataFrame:
 
 
 def nested_loop_search(
-    df: DataFrame, prepared: DataFrame, cfg: SearchConfig, *, max_broadcast_patterns: int = 10_000
+    df: DataFrame,
+    prepared: DataFrame,
+    cfg: SearchConfig,
+    *,
+    max_broadcast_patterns: int = 10_000,
+    max_broadcast_hits: int = 1_000_000,
 ) -> DataFrame:
     """Baseline: broadcast the distinct patterns and test every row (checked size)."""
     pats = _distinct_patterns(prepared, cfg).where(F.col(_K) > 0)
@@ -133,7 +149,9 @@ def nested_loop_search(
     target = spread(_target(df, cfg), _tie_names(cfg))
     hit_names = [c for c in target.columns if c != _S and not c.startswith(_T)]
     cand = target.join(F.broadcast(pats), match_condition(F.col(_S), F.col(_P), cfg.case_sensitive))
-    return _finish(_top_k_per_pattern(cand, cfg, _k_max(pats)), prepared, cfg, hit_names)
+    k_max = _k_max(pats)
+    top = _top_k_per_pattern(cand, cfg, k_max)
+    return _finish(top, prepared, cfg, hit_names, n * k_max, max_broadcast_hits)
 
 
 def _gram_regex(n: Column | int) -> Column:
@@ -225,6 +243,7 @@ def blocked_search(
     *,
     max_broadcast_grams: int = 2_000_000,
     rows_per_salt: int = 1_000_000,
+    max_broadcast_hits: int = 1_000_000,
 ) -> DataFrame:
     """n-gram blocked equi-join, then exact verification (same rows as nested loop)."""
     pats = _distinct_patterns(prepared, cfg).where(F.col(_K) > 0)
@@ -239,7 +258,9 @@ def blocked_search(
     rows = rows.withColumn("salt", F.pmod(F.xxhash64(*tie), F.col("nsalt")).cast("int")).drop("nsalt")
     salted = chosen.select(_P, _K, "n", "g", F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt"))
     cand = rows.join(salted, ["n", "g", "salt"]).where(match_condition(F.col(_S), F.col(_P), cfg.case_sensitive))
-    return _finish(_top_k_per_pattern(cand, cfg, _k_max(chosen)), prepared, cfg, hit_names)
+    k_max = _k_max(chosen)
+    top = _top_k_per_pattern(cand, cfg, k_max)
+    return _finish(top, prepared, cfg, hit_names, chosen.count() * k_max, max_broadcast_hits)
 
 
 def batch_search(
@@ -255,6 +276,7 @@ def batch_search(
     max_broadcast_patterns: int = 10_000,
     max_broadcast_grams: int = 2_000_000,
     rows_per_salt: int = 1_000_000,
+    max_broadcast_hits: int = 1_000_000,
 ) -> DataFrame:
     """Top ``k`` hits per query: ``[query_id, rank, geom, epsg, suggestion, extra...]``.
 
@@ -263,12 +285,23 @@ def batch_search(
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
-    prepared = prepare_queries(queries, cfg, id_col=id_col, text_col=text_col, k_col=k_col)
+    # The query side feeds several small planning actions (pattern counts, gram
+    # choice, k bound); checkpoint it once so an expensive upstream (a debounced
+    # stream, a join) is not recomputed for each, and lineage stays short.
+    ensure_checkpoint_dir(df.sparkSession)
+    prepared = prepare_queries(queries, cfg, id_col=id_col, text_col=text_col, k_col=k_col).checkpoint(eager=True)
     if strategy == "auto":
         n = _distinct_patterns(prepared, cfg).count()
         strategy = "nested_loop" if n <= nested_loop_max_patterns else "blocked"
     if strategy == "nested_loop":
-        return nested_loop_search(df, prepared, cfg, max_broadcast_patterns=max_broadcast_patterns)
+        return nested_loop_search(
+            df, prepared, cfg, max_broadcast_patterns=max_broadcast_patterns, max_broadcast_hits=max_broadcast_hits
+        )
     return blocked_search(
-        df, prepared, cfg, max_broadcast_grams=max_broadcast_grams, rows_per_salt=rows_per_salt
+        df,
+        prepared,
+        cfg,
+        max_broadcast_grams=max_broadcast_grams,
+        rows_per_salt=rows_per_salt,
+        max_broadcast_hits=max_broadcast_hits,
     )

@@ -72,7 +72,8 @@ def test_strategies_agree_with_brute_force(spark, seed):
     # force salting of every gram: many salts per hot gram, same answer
     assert run(spark, rows, queries, CFG, strategy="blocked", rows_per_salt=3) == want
     # force the non-broadcast join paths
-    assert run(spark, rows, queries, CFG, strategy="blocked", max_broadcast_grams=0) == want
+    assert run(spark, rows, queries, CFG, strategy="blocked", max_broadcast_grams=0, max_broadcast_hits=0) == want
+    assert run(spark, rows, queries, CFG, strategy="nested_loop", max_broadcast_hits=0) == want
 
 
 def test_case_sensitive_and_escape(spark):
