@@ -104,11 +104,6 @@ def _top_k_per_pattern(candidates: DataFrame, cfg: SearchConfig, k_max: int) ->
     return ranked.where(F.col("rank") <= F.lit(k_max)).where(F.col("rank") <= F.col(_K))
 
 
-def _k_max(pats: DataFrame) -> int:
-    value = pats.agg(F.max(_K)).first()[0]
-    return int(value or 0)
-
-
 def _finish(
     top: DataFrame, prepared: DataFrame, cfg: SearchConfig, hit_names: list[str], top_bound: int, max_broadcast_hits: int
 ) -> DataFrame:
@@ -141,7 +136,8 @@ def nested_loop_search(
 ) -> DataFrame:
     """Baseline: broadcast the distinct patterns and test every row (checked size)."""
     pats = _distinct_patterns(prepared, cfg).where(F.col(_K) > 0)
-    n = pats.count()
+    summary = pats.agg(F.count(F.lit(1)).alias("count"), F.max(_K).alias("k_max")).first()
+    n, k_max = summary["count"], int(summary["k_max"] or 0)
     if n > max_broadcast_patterns:
         raise ValueError(
             f"{n} distinct patterns exceed max_broadcast_patterns={max_broadcast_patterns}; use strategy='blocked'"
@@ -149,7 +145,6 @@ def nested_loop_search(
     target = spread(_target(df, cfg), _tie_names(cfg))
     hit_names = [c for c in target.columns if c != _S and not c.startswith(_T)]
     cand = target.join(F.broadcast(pats), match_condition(F.col(_S), F.col(_P), cfg.case_sensitive))
-    k_max = _k_max(pats)
     top = _top_k_per_pattern(cand, cfg, k_max)
     return _finish(top, prepared, cfg, hit_names, n * k_max, max_broadcast_hits)
 
@@ -175,8 +170,11 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     """Hash-spread a relation that arrives in fewer partitions than the cluster has
     cores (one small file), so per-row work (n-gram explode, verification) is
     parallel.  A relation read from many files is left as it is: no shuffle."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= want:
+            return df
+    except Exception:  # noqa: BLE001 - no RDD access (e.g. Spark Connect): leave as is
         return df
     return df.repartition(want, *[F.col(k) for k in keys])
 
@@ -194,12 +192,6 @@ def pattern_grams(patterns: DataFrame, cfg: SearchConfig) -> DataFrame:
     return staged.select(_P, _K, "n", F.explode(grams).alias("g"))
 
 
-def _size_checked(df: DataFrame, limit: int) -> tuple[DataFrame, int]:
-    """Broadcast ``df`` only when its row count is within ``limit``."""
-    n = df.count()
-    return (F.broadcast(df) if n <= limit else df), n
-
-
 def table_grams(target: DataFrame, sizes: list[int], cfg: SearchConfig, columns: list[str]) -> DataFrame:
     """Rows exploded into their distinct n-grams for each needed ``n``."""
     folded = target.select(*columns, _fold(F.col(_S).cast("string"), cfg).alias("__lk_fold"))
@@ -212,8 +204,26 @@ def table_grams(target: DataFrame, sizes: list[int], cfg: SearchConfig, columns:
     return out
 
 
+def gram_frequencies(df: DataFrame, cfg: SearchConfig, sizes=(0, 1, 2, GRAM)) -> DataFrame:
+    """Document frequency of every n-gram of the search column: ``(n, g, df)``.
+
+    One pass with partial aggregation.  Save it next to the table and pass it
+    as ``gram_stats`` to repeated batch searches to skip their frequency pass;
+    it must be built with the same case rule as the search.
+    """
+    target = spread(_target(df, cfg), _tie_names(cfg))
+    grams = table_grams(target, list(sizes), cfg, [])
+    return grams.groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
+
+
 def choose_grams(
-    target: DataFrame, pats: DataFrame, cfg: SearchConfig, *, max_broadcast_grams: int, rows_per_salt: int
+    target: DataFrame,
+    pats: DataFrame,
+    cfg: SearchConfig,
+    *,
+    max_broadcast_grams: int,
+    rows_per_salt: int,
+    gram_stats: DataFrame | None = None,
 ) -> DataFrame:
     """Per pattern the gram with the lowest document frequency, plus its salt count.
 
@@ -222,12 +232,16 @@ def choose_grams(
     """
     qg = pattern_grams(pats, cfg)
     needed = qg.select("n", "g").distinct()
-    needed_b, _ = _size_checked(needed, max_broadcast_grams)
-    sizes = sorted(r["n"] for r in needed.select("n").distinct().collect())  # at most GRAM + 1 values
+    summary = needed.agg(F.count(F.lit(1)).alias("count"), F.collect_set("n").alias("sizes")).first()
+    sizes = sorted(summary["sizes"])  # at most GRAM + 1 values
+    needed_b = F.broadcast(needed) if summary["count"] <= max_broadcast_grams else needed
     if not sizes:
         return qg.select(_P, _K, "n", "g", F.lit(0).alias("df"), F.lit(1).alias("nsalt"))
-    grams = table_grams(target, sizes, cfg, [])
-    freq = grams.join(needed_b, ["n", "g"]).groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
+    if gram_stats is None:
+        grams = table_grams(target, sizes, cfg, [])
+        freq = grams.join(needed_b, ["n", "g"]).groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
+    else:
+        freq = gram_stats.select("n", "g", "df").join(needed_b, ["n", "g"])
     scored = qg.join(freq, ["n", "g"], "left").withColumn("df", F.coalesce(F.col("df"), F.lit(0)))
     best = scored.groupBy(_P, _K).agg(F.min_by(F.struct("n", "g", "df"), F.struct("df", "g")).alias("best"))
     nsalt = F.greatest(F.lit(1), F.ceil(F.col("best.df") / F.lit(rows_per_salt)).cast("int"))
@@ -244,23 +258,31 @@ def blocked_search(
     max_broadcast_grams: int = 2_000_000,
     rows_per_salt: int = 1_000_000,
     max_broadcast_hits: int = 1_000_000,
+    gram_stats: DataFrame | None = None,
 ) -> DataFrame:
     """n-gram blocked equi-join, then exact verification (same rows as nested loop)."""
     pats = _distinct_patterns(prepared, cfg).where(F.col(_K) > 0)
     target = spread(_target(df, cfg), _tie_names(cfg))
     hit_names = [c for c in target.columns if c != _S and not c.startswith(_T)]
-    chosen = choose_grams(target, pats, cfg, max_broadcast_grams=max_broadcast_grams, rows_per_salt=rows_per_salt)
-    # at most GRAM + 1 values; an empty pattern set still needs one branch for the schema
-    sizes = sorted(r["n"] for r in chosen.select("n").distinct().collect()) or [GRAM]
-    gram_salts, _ = _size_checked(chosen.select("n", "g", "nsalt").distinct(), max_broadcast_grams)
+    chosen = choose_grams(
+        target, pats, cfg, max_broadcast_grams=max_broadcast_grams, rows_per_salt=rows_per_salt, gram_stats=gram_stats
+    )
+    summary = chosen.agg(
+        F.count(F.lit(1)).alias("count"), F.collect_set("n").alias("sizes"), F.max(_K).alias("k_max")
+    ).first()
+    # at most GRAM + 1 sizes; an empty pattern set still needs one branch for the schema
+    sizes = sorted(summary["sizes"]) or [GRAM]
+    k_max = int(summary["k_max"] or 0)
+    gram_salts = chosen.select("n", "g", "nsalt").distinct()
+    if summary["count"] <= max_broadcast_grams:  # distinct grams <= chosen rows
+        gram_salts = F.broadcast(gram_salts)
     rows = table_grams(target, sizes, cfg, target.columns).join(gram_salts, ["n", "g"])
     tie = [F.col(n) for n in _tie_names(cfg)]
     rows = rows.withColumn("salt", F.pmod(F.xxhash64(*tie), F.col("nsalt")).cast("int")).drop("nsalt")
     salted = chosen.select(_P, _K, "n", "g", F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt"))
     cand = rows.join(salted, ["n", "g", "salt"]).where(match_condition(F.col(_S), F.col(_P), cfg.case_sensitive))
-    k_max = _k_max(chosen)
     top = _top_k_per_pattern(cand, cfg, k_max)
-    return _finish(top, prepared, cfg, hit_names, chosen.count() * k_max, max_broadcast_hits)
+    return _finish(top, prepared, cfg, hit_names, summary["count"] * k_max, max_broadcast_hits)
 
 
 def batch_search(
@@ -277,6 +299,7 @@ def batch_search(
     max_broadcast_grams: int = 2_000_000,
     rows_per_salt: int = 1_000_000,
     max_broadcast_hits: int = 1_000_000,
+    gram_stats: DataFrame | None = None,
 ) -> DataFrame:
     """Top ``k`` hits per query: ``[query_id, rank, geom, epsg, suggestion, extra...]``.
 
@@ -304,4 +327,5 @@ def batch_search(
         max_broadcast_grams=max_broadcast_grams,
         rows_per_salt=rows_per_salt,
         max_broadcast_hits=max_broadcast_hits,
+        gram_stats=gram_stats,
     )

@@ -370,6 +370,25 @@ def search_min_length(spark, d):
     return prepare_queries(texts, PART, k_col=None)
 
 
+@register(
+    "search_collation",
+    """SELECT CAST(NULL AS STRING) AS geom, CAST(NULL AS INTEGER) AS epsg, lang AS suggestion, doc_id
+        FROM (SELECT * FROM documents WHERE CAST(text AS STRING) ILIKE '%the%and%' ESCAPE '\\'
+              ORDER BY lower(text), doc_id LIMIT 25) s""",
+)
+def search_collation(spark, d):
+    cfg = SearchConfig(
+        search_column="text",
+        tie_break=("doc_id",),
+        display_columns=("lang",),
+        echo_search_column=False,
+        extra_columns=("doc_id",),
+        collation="UTF8_LCASE",
+        limit=25,
+    )
+    return search(X.load(spark, d, "documents"), "the and", cfg)
+
+
 # --------------------------------------------------------------------------- B15 batch search
 
 _BATCH_PART_SQL = f"""
@@ -402,6 +421,40 @@ def batch_search_blocked(spark, d):
     return batch_search(_part(spark, d), X.edge_queries(spark), PART, strategy="blocked")
 
 
+def _batch_part_sql(case_sensitive: bool, escape: bool) -> str:
+    op = "LIKE" if case_sensitive else "ILIKE"
+    part = "regexp_replace(x, '([\\\\%_])', '\\\\\\1', 'g')" if escape else "x"
+    normalise = "pattern" if escape else "regexp_replace(pattern, '(\\\\[%_\\\\])|\\\\(.)', '\\1\\2', 'g')"
+    return f"""
+WITH q AS (
+  SELECT query_id, k,
+    '%' || array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''),
+                                          lambda x: {part}), '%') AS body
+  FROM {X.edge_queries_sql()} e WHERE length(text) >= 3
+), pat AS (
+  SELECT query_id, k, CASE WHEN body = '%' THEN '%' ELSE body || '%' END AS pattern FROM q
+), norm AS (
+  SELECT query_id, k, {normalise} AS pattern FROM pat
+), hits AS (
+  SELECT norm.query_id, norm.k, p.*,
+    row_number() OVER (PARTITION BY norm.query_id ORDER BY p.p_name, p.p_partkey) AS rank
+  FROM norm JOIN part p ON CAST(p.p_name AS STRING) {op} norm.pattern ESCAPE '\\'
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, {_NULL_GEOM}, {_PART_LINE} AS suggestion, p_partkey
+FROM hits WHERE rank <= k
+"""
+
+
+@register("batch_search_case_sensitive", _batch_part_sql(True, False))
+def batch_search_case_sensitive(spark, d):
+    return batch_search(_part(spark, d), X.edge_queries(spark), PART.replace(case_sensitive=True), strategy="blocked")
+
+
+@register("batch_search_escaped", _batch_part_sql(False, True))
+def batch_search_escaped(spark, d):
+    return batch_search(_part(spark, d), X.edge_queries(spark), PART.replace(escape_spec_chars=True), strategy="blocked")
+
+
 _GEOCODE_SQL = f"""
 WITH q AS (
   SELECT query_id, k,
@@ -467,6 +520,55 @@ def multi_config(spark, d):
     return multi_search(_multi_sources(spark, d), "r 1")
 
 
+# Settings rows as the reference stores them (key names, comma lists), one per config.
+_SETTINGS = [
+    {
+        "name": "places",
+        "data_type": "postgres",
+        "search_column": "name",
+        "tie_break": "place_id",
+        "display_columns": "context1,context2",
+        "geom_column": "geom",
+        "srid": "epsg",
+        "extra_columns": "place_id",
+        "echo_search_column": True,
+        "limit_results": 4,
+    },
+    {
+        "name": "part",
+        "data_type": "mssql",
+        "search_column": "p_name",
+        "tie_break": "p_partkey",
+        "display_columns": "p_brand",
+        "extra_columns": "p_partkey",
+        "echo_search_column": False,
+        "limit_results": "not a number",
+    },
+]
+
+
+@register(
+    "multi_config_settings",
+    f"""
+(SELECT 'places' AS config_name, geom, epsg,
+        name || CASE WHEN context1 IS NOT NULL THEN ', ' || context1 ELSE '' END
+             || CASE WHEN context2 IS NOT NULL THEN ', ' || CAST(context2 AS STRING) ELSE '' END AS suggestion,
+        '{{"place_id":' || CAST(place_id AS STRING) || '}}' AS extra
+ FROM {PLACES} p WHERE CAST(name AS STRING) ILIKE '%o%e%' ESCAPE '\\' ORDER BY name, place_id LIMIT 4)
+UNION ALL
+(SELECT 'part', {_NULL_GEOM}, CAST(p_brand AS STRING), '{{"p_partkey":' || CAST(p_partkey AS STRING) || '}}'
+ FROM part WHERE CAST(p_name AS STRING) ILIKE '%o%e%' ESCAPE '\\' ORDER BY p_name, p_partkey LIMIT 1000)
+""",
+)
+def multi_config_settings(spark, d):
+    frames = {"places": X.places(spark, d), "part": _part(spark, d)}
+    sources = []
+    for row in _SETTINGS:
+        cfg = SearchConfig.from_mapping(row)
+        sources.append((cfg.replace(data_type="dataframe"), frames[cfg.name]))
+    return multi_search(sources, "o e")
+
+
 # --------------------------------------------------------------------------- C debounce
 
 _GAP = "2 hours"

@@ -76,6 +76,16 @@ def test_strategies_agree_with_brute_force(spark, seed):
     assert run(spark, rows, queries, CFG, strategy="nested_loop", max_broadcast_hits=0) == want
 
 
+def test_precomputed_gram_stats(spark):
+    from lookout.operators.batch import gram_frequencies
+
+    rows, queries = random_case(5)
+    want = brute_force(rows, queries, CFG)
+    df = spark.createDataFrame(rows, "key long, name string")
+    stats = gram_frequencies(df, CFG)
+    assert run(spark, rows, queries, CFG, strategy="blocked", gram_stats=stats) == want
+
+
 def test_case_sensitive_and_escape(spark):
     rows, queries = random_case(3)
     for cfg in (CFG.replace(case_sensitive=True), CFG.replace(escape_spec_chars=True)):
