@@ -12,7 +12,14 @@ from .functions.suggest import suggestion
 from .operators.batch import batch_search
 from .operators.hits import with_geometry, with_viewport
 from .operators.search import multi_search, search
-from .streaming.debounce import debounce, debounce_search, debounce_stream, latest_per_session, start_search_stream
+from .streaming.debounce import (
+    debounce,
+    debounce_search,
+    debounce_stream,
+    latest_per_session,
+    latest_stream,
+    start_search_stream,
+)
 
 __all__ = [
     "SearchConfig",
@@ -21,6 +28,7 @@ __all__ = [
     "debounce_search",
     "debounce_stream",
     "latest_per_session",
+    "latest_stream",
     "multi_search",
     "search",
     "start_search_stream",

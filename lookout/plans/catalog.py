@@ -690,35 +690,61 @@ def _merc_y(expr: str) -> str:
     return f"ln(tan(pi() / 4.0 + ({expr}) * pi() / 360.0)) * {_R}"
 
 
-@register(
-    "reproject_3857",
-    f"""SELECT place_id,
-        round(CASE {_KIND} WHEN 0 THEN {_merc_x('lon')} WHEN 2 THEN {_merc_x('lon + 2')} END, 3) + 0.0 AS mx,
-        round(CASE {_KIND} WHEN 0 THEN {_merc_y('lat')} END, 3) + 0.0 AS my,
-        round(CASE WHEN {_KIND} < 4 THEN {_merc_x('lon')} END, 3) + 0.0 AS env_xmin,
-        round(CASE WHEN {_KIND} < 4 THEN {_merc_y('lat')} END, 3) + 0.0 AS env_ymin,
-        round(CASE WHEN place_id % 8 = 0 THEN {_merc_x('lon + 1')} END, 3) + 0.0 AS bbox_xmax,
-        round(CASE WHEN place_id % 8 = 0 THEN {_merc_y('lat + 1')} END, 3) + 0.0 AS bbox_ymax
-        FROM {PLACES} p""",
-)
+def _merc_line_centroid(axis: str, pts: list[tuple[str, str]]) -> str:
+    """Length-weighted segment midpoints of a projected polyline, as SQL."""
+    proj = [(_merc_x(x), _merc_y(y)) for x, y in pts]
+    segs = list(zip(proj, proj[1:]))
+    lens = [f"sqrt(power(({b[0]}) - ({a[0]}), 2) + power(({b[1]}) - ({a[1]}), 2))" for a, b in segs]
+    i = 0 if axis == "x" else 1
+    num = " + ".join(f"({ln}) * (({a[i]}) + ({b[i]})) / 2.0" for ln, (a, b) in zip(lens, segs))
+    return f"(({num}) / ({' + '.join(f'({ln})' for ln in lens)}))"
+
+
+_LINE = [("lon", "lat"), ("lon + 2", "lat + 1"), ("lon + 3", "lat + 3")]
+
+
+def _reproject_sql() -> str:
+    cx = (
+        f"CASE {_KIND} WHEN 0 THEN {_merc_x('lon')} WHEN 1 THEN {_merc_line_centroid('x', _LINE)} "
+        f"WHEN 2 THEN {_merc_x('lon + 2')} WHEN 3 THEN {_merc_x('lon + 2.5')} END"
+    )
+    cy = (
+        f"CASE {_KIND} WHEN 0 THEN {_merc_y('lat')} WHEN 1 THEN {_merc_line_centroid('y', _LINE)} "
+        f"WHEN 2 THEN (({_merc_y('lat')}) + ({_merc_y('lat + 2')})) / 2.0 WHEN 3 THEN {_merc_y('lat')} END"
+    )
+    ex = f"CASE {_KIND} WHEN 0 THEN lon WHEN 1 THEN lon + 3 WHEN 2 THEN lon + 4 WHEN 3 THEN lon + 5 END"
+    ey = f"CASE {_KIND} WHEN 0 THEN lat WHEN 1 THEN lat + 3 WHEN 2 THEN lat + 2 WHEN 3 THEN lat END"
+    cols = {
+        "mx": cx,
+        "my": cy,
+        "env_xmin": f"CASE WHEN {_KIND} < 4 THEN {_merc_x('lon')} END",
+        "env_ymin": f"CASE WHEN {_KIND} < 4 THEN {_merc_y('lat')} END",
+        "env_xmax": f"CASE WHEN {_KIND} < 4 THEN {_merc_x(ex)} END",
+        "env_ymax": f"CASE WHEN {_KIND} < 4 THEN {_merc_y(ey)} END",
+    }
+    for k in ("xmin", "xmax"):
+        cols[f"bbox_{k}"] = f"CASE WHEN {_BBOX_OK} THEN {_merc_x(_BBOX_SQL[k])} END"
+    for k in ("ymin", "ymax"):
+        cols[f"bbox_{k}"] = f"CASE WHEN {_BBOX_OK} THEN {_merc_y(_BBOX_SQL[k])} END"
+    body = ", ".join(f"round({v}, 1) + 0.0 AS {k}" for k, v in cols.items())
+    return f"SELECT place_id, {body} FROM {PLACES} p"
+
+
 def reproject_3857_q(spark, d):
     p = X.places(spark, d)
     g = with_geometry(p.select("place_id", "geom", "epsg", "bbox_text"), dst_srid=3857)
-    kind = F.col("place_id") % 6
     bbox = V.reproject_rect(V.bbox_from_text(F.col("bbox_text")), F.col("epsg"), F.lit(3857))
-    exact = F.col("place_id") % 8 == 0
-    # point centroids and polygon x-centroids are exact under the projection
-    def r3(c):  # rounded, with -0.0 folded into 0.0
-        return F.round(c, 3) + F.lit(0.0)
+    g = g.select("*", bbox.alias("bbox3857"))
+
+    def r1(c):  # 0.1 m, with -0.0 folded into 0.0
+        return F.round(c, 1) + F.lit(0.0)
 
     return g.select(
         "place_id",
-        r3(F.when(kind.isin(0, 2), F.col("centroid.x"))).alias("mx"),
-        r3(F.when(kind == 0, F.col("centroid.y"))).alias("my"),
-        r3(F.col("envelope.xmin")).alias("env_xmin"),
-        r3(F.col("envelope.ymin")).alias("env_ymin"),
-        r3(F.when(exact, bbox["xmax"])).alias("bbox_xmax"),
-        r3(F.when(exact, bbox["ymax"])).alias("bbox_ymax"),
+        r1(F.col("centroid.x")).alias("mx"),
+        r1(F.col("centroid.y")).alias("my"),
+        *[r1(F.col(f"envelope.{k}")).alias(f"env_{k}") for k in ("xmin", "ymin", "xmax", "ymax")],
+        *[r1(F.col(f"bbox3857.{k}")).alias(f"bbox_{k}") for k in ("xmin", "ymin", "xmax", "ymax")],
     )
 
 
@@ -741,6 +767,9 @@ _BBOX_SQL = {
 }
 
 
+register("reproject_3857", _reproject_sql())(reproject_3857_q)
+
+
 @register(
     "bbox_parse",
     f"""SELECT place_id, bbox_text,
