@@ -32,15 +32,72 @@ BBOX_COLUMN = "bbox_text"
 DEFAULT_SCALE = 2000.0
 
 
+def ordered_parts(pattern: str) -> list[str] | None:
+    """Literal parts of ``%a%b%``-shaped patterns, else None.
+
+    Only patterns that start and end with ``%`` and contain no ``_`` qualify;
+    backslash-escaped characters are literal.
+    """
+    parts, current, i = [], [], 0
+    if not (pattern.startswith("%") and pattern.endswith("%")) or len(pattern) < 2:
+        return None
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            if i + 1 >= len(pattern):
+                return None
+            current.append(pattern[i + 1])
+            i += 2
+            continue
+        if c == "_":
+            return None
+        if c == "%":
+            if current:
+                parts.append("".join(current))
+                current = []
+        else:
+            current.append(c)
+        i += 1
+    if current:  # the pattern ended with an escaped "%"
+        return None
+    return parts
+
+
+def _ordered_contains(text: Column, parts: list[str], case_sensitive: bool) -> Column:
+    """``%a%b%`` as a chain of ``locate`` calls: each part found after the end of
+    the previous one.  Taking the leftmost occurrence of every part leaves the
+    most room for the rest, so this equals the LIKE semantics, in linear time
+    and inside whole-stage codegen (a multi-part LIKE is a backtracking regex)."""
+    if not case_sensitive:
+        text = F.lower(text)
+    start: Column = F.lit(1)
+    cond: Column = F.lit(True)
+    for part in parts:
+        needle = F.lit(part) if case_sensitive else F.lower(F.lit(part))
+        found = _locate(needle, text, start)
+        cond = cond & (found > 0)
+        start = found + F.length(needle)
+    return text.isNotNull() & cond
+
+
+def _locate(needle: Column, text: Column, start: Column) -> Column:
+    # F.locate takes a Python string and an int; the SQL function takes columns
+    return F.call_function("locate", needle, text, start)
+
+
 def match_condition(column: Column | str, pattern: Column | str, case_sensitive: bool = False) -> Column:
     """Wildcard match on the text form of any column.
 
-    Null values never match.  A Python-string pattern stays a literal, which
-    lets Catalyst simplify ``%x%`` to a ``Contains``; a Column pattern is
-    matched per row.
+    Null values never match.  A Python-string pattern stays a literal: one
+    literal part lets Catalyst turn it into ``Contains``; several parts become
+    an ordered ``locate`` chain; anything with ``_`` stays LIKE.  A Column
+    pattern is matched per row.
     """
     text = (F.col(column) if isinstance(column, str) else column).cast("string")
     if isinstance(pattern, str):
+        parts = ordered_parts(pattern)
+        if parts is not None and len(parts) >= 2:
+            return _ordered_contains(text, parts, case_sensitive)
         return text.like(pattern) if case_sensitive else text.ilike(pattern)
     return F.like(text, pattern) if case_sensitive else F.ilike(text, pattern)
 

@@ -134,3 +134,30 @@ def test_plan_pushes_projection_and_uses_topk(spark, tmp_path):
     plan = search(df, "red w", CFG.replace(display_columns=())).select("id")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
     assert "brand" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+from lookout.functions.patterns import wildcard_pattern_text  # noqa: E402
+from lookout.operators.search import match_condition, ordered_parts  # noqa: E402
+
+_ALPHA = "abAB %\\_İıΣσς"
+
+
+@settings(max_examples=20, deadline=None)
+@given(
+    st.lists(st.text(_ALPHA, max_size=10), min_size=1, max_size=25),
+    st.lists(st.text("abAB%\\ İΣ", min_size=3, max_size=8), min_size=1, max_size=4),
+    st.booleans(),
+    st.booleans(),
+)
+def test_ordered_locate_chain_equals_like(spark, texts, queries, escape, case_sensitive):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for q in queries:
+        pattern = wildcard_pattern_text(q, escape=escape)
+        ours = match_condition("t", pattern, case_sensitive)
+        plain = F.col("t").like(pattern) if case_sensitive else F.col("t").ilike(pattern)
+        got = {r.i for r in df.where(ours).collect()}
+        want = {r.i for r in df.where(plain).collect()}
+        assert got == want, (pattern, ordered_parts(pattern))
