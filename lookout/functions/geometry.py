@@ -5,6 +5,11 @@ has no WKT, envelope or centroid functions, so coordinates are read from the
 text with ``regexp_extract_all`` and folded with higher-order functions
 (``transform``, ``zip_with``, ``aggregate``).  Nothing leaves the JVM.
 
+The expressions are written as Spark SQL text (``sql_*`` builders taking SQL
+snippets) and wrapped with ``F.expr``: one parse per expression instead of
+thousands of Python-to-JVM calls to assemble the same tree with the Column
+API.  The Column wrappers take column names.
+
 Coordinate arrays are ``array<struct<x:double,y:double>>``; parts (line
 strings, polygon rings) are ``array<array<...>>`` with a parallel boolean
 array marking the first (exterior) ring of every polygon.  Z and M ordinates
@@ -37,9 +42,28 @@ WEB_MERCATOR = 3857
 EARTH_RADIUS = 6378137.0
 # ---------------------------------------------------------------------------
 
+POINT_TYPE = "struct<x:double,y:double>"
+_DEG = math.pi / 180.0
+
+
+def _d(v: float) -> str:
+    """A double literal in SQL text."""
+    return f"{float(v)!r}D"
+
+
+def _in(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def q(name: str) -> str:
+    """SQL reference to a column name."""
+    return "`" + name.replace("`", "``") + "`"
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+
+def _ref(c: Column | str) -> str:
+    if isinstance(c, str):
+        return q(c)
+    raise TypeError("geometry functions take column names; select the value into a column first")
 
 
 def point(x: Column, y: Column) -> Column:
@@ -49,234 +73,256 @@ def point(x: Column, y: Column) -> Column:
 # --------------------------------------------------------------------------- D1
 
 
-def coords_of(text: Column) -> Column:
-    """All coordinates of a WKT text (or of one part of it), in order.
+def sql_coords(text: str) -> str:
+    """All coordinates of a WKT text (or of one part of it); empty when none."""
+    pts = (
+        f"zip_with(regexp_extract_all({text}, r'{COORD}', 1), regexp_extract_all({text}, r'{COORD}', 2), "
+        f"(cx, cy) -> named_struct('x', CAST(cx AS DOUBLE), 'y', CAST(cy AS DOUBLE)))"
+    )
+    return f"coalesce({pts}, CAST(array() AS array<{POINT_TYPE}>))"
 
-    Null, EMPTY and unparsable text give an empty array.
-    """
-    xs = F.regexp_extract_all(text, F.lit(COORD), 1)
-    ys = F.regexp_extract_all(text, F.lit(COORD), 2)
-    pts = F.zip_with(xs, ys, lambda x, y: point(x, y))
-    return F.coalesce(pts, F.array().cast("array<struct<x:double,y:double>>"))
 
+def sql_parts(wkt: str) -> str:
+    """Coordinate lists of every line string / ring: ``array<array<point>>``."""
+    parts = f"transform(regexp_extract_all({wkt}, r'{PART}', 2), pt -> {sql_coords('pt')})"
+    return f"coalesce({parts}, CAST(array() AS array<array<{POINT_TYPE}>>))"
 
-def wkt_coords(wkt: Column | str) -> Column:
-    return coords_of(_col(wkt))
 
+def sql_exterior(wkt: str) -> str:
+    """Parallel to :func:`sql_parts`: true for the first ring of each polygon."""
+    flags = f"transform(regexp_extract_all({wkt}, r'{PART}', 1), o -> o != '')"
+    return f"coalesce({flags}, CAST(array() AS array<boolean>))"
+
+
+def wkt_coords(wkt: str) -> Column:
+    return F.expr(sql_coords(_ref(wkt)))
 
-def wkt_parts(wkt: Column | str) -> Column:
-    """Coordinate lists of every line string / ring: ``array<array<point>>``."""
-    texts = F.regexp_extract_all(_col(wkt), F.lit(PART), 2)
-    parts = F.transform(texts, coords_of)
-    return F.coalesce(parts, F.array().cast("array<array<struct<x:double,y:double>>>"))
 
+def wkt_parts(wkt: str) -> Column:
+    return F.expr(sql_parts(_ref(wkt)))
 
-def wkt_exterior_flags(wkt: Column | str) -> Column:
-    """Parallel to :func:`wkt_parts`: true for the first ring of each polygon."""
-    opens = F.regexp_extract_all(_col(wkt), F.lit(PART), 1)
-    flags = F.transform(opens, lambda o: o != F.lit(""))
-    return F.coalesce(flags, F.array().cast("array<boolean>"))
+
+def wkt_exterior_flags(wkt: str) -> Column:
+    return F.expr(sql_exterior(_ref(wkt)))
 
 
 # --------------------------------------------------------------------------- D2
 
 
-def srid_from_authid(authid: Column | str) -> Column:
+def sql_srid_from_authid(authid: str) -> str:
+    code = f"regexp_extract({authid}, r'^EPSG:(\\d+)$', 1)"
+    return f"CASE WHEN {code} != '' THEN try_cast({code} AS INT) END"
+
+
+def srid_from_authid(authid: str) -> Column:
     """``EPSG:27700`` -> 27700; any other authority -> null (D2, DEC-6)."""
-    code = F.regexp_extract(_col(authid), r"^EPSG:(\d+)$", 1)
-    return F.when(code != F.lit(""), code.try_cast("int"))
+    return F.expr(sql_srid_from_authid(_ref(authid)))
 
 
 # --------------------------------------------------------------------------- D3
 
 
-def geometry_type(wkt: Column | str) -> Column:
-    word = F.upper(F.regexp_extract(_col(wkt), TYPE_WORD, 1))
-    return F.regexp_replace(word, r"(ZM|Z|M)$", "")
+def sql_geometry_type(wkt: str) -> str:
+    return f"regexp_replace(upper(regexp_extract({wkt}, r'{TYPE_WORD}', 1)), r'(ZM|Z|M)$', '')"
+
+
+def sql_geom_class(wkt: str, parts: str) -> str:
+    """``point`` / ``line`` / ``polygon`` / ``unknown`` from the text and its parts."""
+    t = sql_geometry_type(wkt)
+    return (
+        f"CASE WHEN {wkt} IS NULL OR size(flatten({parts})) = 0 THEN 'unknown' "
+        f"WHEN {t} IN ({_in(POINT_TYPES)}) THEN 'point' "
+        f"WHEN {t} IN ({_in(LINE_TYPES)}) THEN 'line' "
+        f"WHEN {t} IN ({_in(POLYGON_TYPES)}) THEN 'polygon' ELSE 'unknown' END"
+    )
+
+
+def geometry_type(wkt: str) -> Column:
+    return F.expr(sql_geometry_type(_ref(wkt)))
 
 
-def geom_class(wkt: Column | str) -> Column:
+def geom_class(wkt: str) -> Column:
     """``point`` / ``line`` / ``polygon`` / ``unknown`` (D3).
 
     Null, unparsable, EMPTY and collection geometries are ``unknown``: the hit
     is kept but gets no map work.
     """
-    wkt = _col(wkt)
-    t = geometry_type(wkt)
-    has_coords = F.size(wkt_coords(wkt)) > 0
-    return (
-        F.when(wkt.isNull() | ~has_coords, F.lit("unknown"))
-        .when(t.isin(*POINT_TYPES), F.lit("point"))
-        .when(t.isin(*LINE_TYPES), F.lit("line"))
-        .when(t.isin(*POLYGON_TYPES), F.lit("polygon"))
-        .otherwise(F.lit("unknown"))
-    )
+    ref = _ref(wkt)
+    return F.expr(sql_geom_class(ref, sql_parts(ref)))
 
 
 def display_kind(cls: Column | str) -> Column:
     """Marker at the centroid for points, outline for lines and polygons."""
-    cls = _col(cls)
+    cls = F.col(cls) if isinstance(cls, str) else cls
     return F.when(cls == "point", F.lit("marker")).when(cls.isin("line", "polygon"), F.lit("outline"))
 
 
 # --------------------------------------------------------------------------- D5
 
 
-def envelope(coords: Column) -> Column:
+def sql_envelope(pts: str) -> str:
     """Bounding rectangle of a coordinate array; null when empty."""
-    xs = F.transform(coords, lambda p: p["x"])
-    ys = F.transform(coords, lambda p: p["y"])
-    rect = F.struct(
-        F.array_min(xs).alias("xmin"),
-        F.array_min(ys).alias("ymin"),
-        F.array_max(xs).alias("xmax"),
-        F.array_max(ys).alias("ymax"),
+    return (
+        f"CASE WHEN size({pts}) > 0 THEN named_struct("
+        f"'xmin', array_min(transform({pts}, p -> p.x)), 'ymin', array_min(transform({pts}, p -> p.y)), "
+        f"'xmax', array_max(transform({pts}, p -> p.x)), 'ymax', array_max(transform({pts}, p -> p.y))) END"
     )
-    return F.when(F.size(coords) > 0, rect)
 
 
-def flatten_parts(parts: Column) -> Column:
-    return F.flatten(parts)
+def envelope(coords: str) -> Column:
+    return F.expr(sql_envelope(_ref(coords)))
 
 
 # --------------------------------------------------------------------------- D6
 
-
-def _segments(pts: Column) -> Column:
-    n = F.greatest(F.size(pts) - 1, F.lit(0))
-    return F.zip_with(F.slice(pts, 1, n), F.slice(pts, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-
-def _sum(arr: Column, fn) -> Column:
-    return F.aggregate(arr, F.lit(0.0), lambda acc, e: acc + fn(e))
-
-
 _STATS = ("len", "lx", "ly", "w", "wx", "wy")
 
 
-def _part_stats(pts: Column, exterior: Column) -> Column:
-    """Length and area moments of one part in a single pass over its segments.
+def sql_part_stats(parts: str, exterior: str) -> str:
+    """Per-part length and area moments, one pass over each part's segments.
 
-    Areas are taken relative to the part's first point for precision.
+    Areas are taken relative to the part's first point for precision; a
+    ring's weight is +|area| for the first ring of a polygon and -|area| for
+    holes, whatever the ring orientation.
     """
-    x0 = pts[0]["x"]
-    y0 = pts[0]["y"]
-    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("len", "lx", "ly", "a2", "mx", "my")])
-
-    def step(acc, s):
-        ax, ay, bx, by = s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]
-        seg = F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
-        cross = (ax - x0) * (by - y0) - (bx - x0) * (ay - y0)
-        return F.struct(
-            (acc["len"] + seg).alias("len"),
-            (acc["lx"] + seg * (ax + bx) / 2.0).alias("lx"),
-            (acc["ly"] + seg * (ay + by) / 2.0).alias("ly"),
-            (acc["a2"] + cross).alias("a2"),  # twice the signed area
-            (acc["mx"] + (ax + bx - 2 * x0) * cross).alias("mx"),
-            (acc["my"] + (ay + by - 2 * y0) * cross).alias("my"),
-        )
-
-    def finish(t):
-        # ring centroid = p0 + m / (3 * a2); weight = +-|area|, holes negative
-        weight = F.when(exterior, F.lit(1.0)).otherwise(F.lit(-1.0)) * F.abs(t["a2"]) / 2.0
-        safe = F.when(t["a2"] != 0, t["a2"])
-        return F.struct(
-            t["len"].alias("len"),
-            t["lx"].alias("lx"),
-            t["ly"].alias("ly"),
-            weight.alias("w"),
-            F.coalesce(weight * (x0 + t["mx"] / (3.0 * safe)), F.lit(0.0)).alias("wx"),
-            F.coalesce(weight * (y0 + t["my"] / (3.0 * safe)), F.lit(0.0)).alias("wy"),
-        )
-
-    return F.aggregate(_segments(pts), zero, step, finish)
-
-
-def part_stats(parts: Column, exterior: Column) -> Column:
-    """Per-part length / area moments: ``array<struct<len,lx,ly,w,wx,wy>>``."""
-    return F.zip_with(parts, exterior, _part_stats)
-
-
-def total_stats(stats: Column, parts: Column) -> Column:
-    """Sum of the part moments plus the point count and coordinate sums."""
-    pts = F.flatten(parts)
-    summed = F.aggregate(
-        stats,
-        F.struct(*[F.lit(0.0).alias(k) for k in _STATS]),
-        lambda acc, e: F.struct(*[(acc[k] + e[k]).alias(k) for k in _STATS]),
+    segs = (
+        "zip_with(slice(pts, 1, greatest(size(pts) - 1, 0)), slice(pts, 2, greatest(size(pts) - 1, 0)), "
+        "(a, b) -> named_struct('a', a, 'b', b))"
+    )
+    x0 = "try_element_at(pts, 1).x"
+    y0 = "try_element_at(pts, 1).y"
+    seg = "sqrt((s.b.x - s.a.x) * (s.b.x - s.a.x) + (s.b.y - s.a.y) * (s.b.y - s.a.y))"
+    cross = f"((s.a.x - {x0}) * (s.b.y - {y0}) - (s.b.x - {x0}) * (s.a.y - {y0}))"
+    zero = ", ".join(f"'{k}', 0D" for k in ("len", "lx", "ly", "a2", "mx", "my"))
+    step = (
+        f"named_struct('len', acc.len + {seg}, "
+        f"'lx', acc.lx + {seg} * (s.a.x + s.b.x) / 2D, "
+        f"'ly', acc.ly + {seg} * (s.a.y + s.b.y) / 2D, "
+        f"'a2', acc.a2 + {cross}, "
+        f"'mx', acc.mx + (s.a.x + s.b.x - 2D * {x0}) * {cross}, "
+        f"'my', acc.my + (s.a.y + s.b.y - 2D * {y0}) * {cross})"
+    )
+    weight = "(CASE WHEN ext THEN 1D ELSE -1D END * abs(t.a2) / 2D)"
+    safe = "(CASE WHEN t.a2 != 0 THEN t.a2 END)"
+    finish = (
+        f"named_struct('len', t.len, 'lx', t.lx, 'ly', t.ly, 'w', {weight}, "
+        f"'wx', coalesce({weight} * ({x0} + t.mx / (3D * {safe})), 0D), "
+        f"'wy', coalesce({weight} * ({y0} + t.my / (3D * {safe})), 0D))"
+    )
+    return (
+        f"zip_with({parts}, {exterior}, (pts, ext) -> "
+        f"aggregate({segs}, named_struct({zero}), (acc, s) -> {step}, t -> {finish}))"
     )
-    coords = F.aggregate(
-        pts,
-        F.struct(F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy")),
-        lambda acc, p: F.struct((acc["sx"] + p["x"]).alias("sx"), (acc["sy"] + p["y"]).alias("sy")),
+
+
+def sql_total(stats: str, parts: str) -> str:
+    """Sum of the part moments plus the point count and coordinate sums."""
+    zero = ", ".join(f"'{k}', 0D" for k in _STATS)
+    add = ", ".join(f"'{k}', acc.{k} + e.{k}" for k in _STATS)
+    summed = f"aggregate({stats}, named_struct({zero}), (acc, e) -> named_struct({add}))"
+    coords = (
+        f"aggregate(flatten({parts}), named_struct('sx', 0D, 'sy', 0D), "
+        f"(acc, p) -> named_struct('sx', acc.sx + p.x, 'sy', acc.sy + p.y))"
     )
-    return F.struct(
-        *[summed[k].alias(k) for k in _STATS],
-        F.size(pts).alias("n"),
-        coords["sx"].alias("sx"),
-        coords["sy"].alias("sy"),
+    # bind both folds once through a one-element transform, then flatten them
+    fields = ", ".join(f"'{k}', v.m.{k}" for k in _STATS)
+    return (
+        f"transform(array(named_struct('m', {summed}, 'c', {coords})), v -> named_struct({fields}, "
+        f"'n', size(flatten({parts})), 'sx', v.c.sx, 'sy', v.c.sy))[0]"
     )
 
 
-def centroid_from_stats(cls: Column, total: Column) -> Column:
-    """Centroid as GEOS computes it (D6), from :func:`total_stats`.
+def sql_centroid(cls: str, total: str) -> str:
+    """Centroid as GEOS computes it (D6), from :func:`sql_total`.
 
     point: mean of the points; line: length-weighted mean of segment
-    midpoints; polygon: area-weighted ring centroids, holes subtracting
-    (ring orientation normalised).  A polygon of zero area falls back to the
-    line rule and a line of zero length to the point rule.
+    midpoints; polygon: area-weighted ring centroids, holes subtracting.  A
+    polygon of zero area falls back to the line rule and a line of zero
+    length to the point rule.
     """
-    n = total["n"]
-    mean = point(total["sx"] / n, total["sy"] / n)
-    by_length = point(total["lx"] / total["len"], total["ly"] / total["len"])
-    by_area = point(total["wx"] / total["w"], total["wy"] / total["w"])
-    line_or_mean = F.when(total["len"] > 0, by_length).otherwise(mean)
+    t = total
+    mean = f"named_struct('x', {t}.sx / {t}.n, 'y', {t}.sy / {t}.n)"
+    by_length = f"named_struct('x', {t}.lx / {t}.len, 'y', {t}.ly / {t}.len)"
+    by_area = f"named_struct('x', {t}.wx / {t}.w, 'y', {t}.wy / {t}.w)"
+    line_or_mean = f"CASE WHEN {t}.len > 0 THEN {by_length} ELSE {mean} END"
     return (
-        F.when(total.isNull() | n.isNull() | (n == 0), F.lit(None))
-        .when(cls == "point", mean)
-        .when(cls == "line", line_or_mean)
-        .when(cls == "polygon", F.when(total["w"] != 0, by_area).otherwise(line_or_mean))
+        f"CASE WHEN {t} IS NULL OR {t}.n IS NULL OR {t}.n = 0 THEN NULL "
+        f"WHEN {cls} = 'point' THEN {mean} "
+        f"WHEN {cls} = 'line' THEN {line_or_mean} "
+        f"WHEN {cls} = 'polygon' THEN CASE WHEN {t}.w != 0 THEN {by_area} ELSE {line_or_mean} END END"
     )
 
 
-def centroid(cls: Column, parts: Column, exterior: Column) -> Column:
+def part_stats(parts: str, exterior: str) -> Column:
+    return F.expr(sql_part_stats(_ref(parts), _ref(exterior)))
+
+
+def total_stats(stats: str, parts: str) -> Column:
+    return F.expr(sql_total(_ref(stats), _ref(parts)))
+
+
+def centroid_from_stats(cls: str, total: str) -> Column:
+    return F.expr(sql_centroid(_ref(cls), _ref(total)))
+
+
+def centroid(cls: str, parts: str, exterior: str) -> Column:
     """One-expression form; :func:`lookout.operators.hits.with_geometry` stages
     the same pieces as separate columns so each is computed once per row."""
-    return centroid_from_stats(cls, total_stats(part_stats(parts, exterior), parts))
+    p = _ref(parts)
+    return F.expr(sql_centroid(_ref(cls), sql_total(sql_part_stats(p, _ref(exterior)), p)))
 
 
 # --------------------------------------------------------------------------- D7
 
 
-def supported_transform(src: Column, dst: Column) -> Column:
+def sql_supported(src: str, dst: str) -> str:
     """True when ``src -> dst`` has a closed form here (identity, 4326<->3857)."""
-    pair = F.array(F.least(src, dst), F.greatest(src, dst))
-    return src.isNotNull() & dst.isNotNull() & ((src == dst) | (pair == F.array(F.lit(min(WGS84, WEB_MERCATOR)), F.lit(max(WGS84, WEB_MERCATOR)))))
+    lo, hi = min(WGS84, WEB_MERCATOR), max(WGS84, WEB_MERCATOR)
+    return (
+        f"({src} IS NOT NULL AND {dst} IS NOT NULL AND "
+        f"({src} = {dst} OR (least({src}, {dst}) = {lo} AND greatest({src}, {dst}) = {hi})))"
+    )
 
 
-def _to_mercator(p: Column) -> Column:
-    x = p["x"] * F.lit(math.pi / 180.0) * F.lit(EARTH_RADIUS)
-    y = F.log(F.tan(F.lit(math.pi / 4.0) + p["y"] * F.lit(math.pi / 360.0))) * F.lit(EARTH_RADIUS)
-    return point(x, y)
+def sql_axis_x(v: str, src: str, dst: str) -> str:
+    """x (longitude / easting) from ``src`` to ``dst``; the axes are separable."""
+    fwd = f"{v} * {_d(_DEG)} * {_d(EARTH_RADIUS)}"
+    inv = f"{v} / {_d(EARTH_RADIUS)} * {_d(1.0 / _DEG)}"
+    return f"CASE WHEN {src} = {dst} THEN {v} WHEN {src} = {WGS84} THEN {fwd} ELSE {inv} END"
 
 
-def _to_wgs84(p: Column) -> Column:
-    lon = p["x"] / F.lit(EARTH_RADIUS) * F.lit(180.0 / math.pi)
-    lat = (F.lit(2.0) * F.atan(F.exp(p["y"] / F.lit(EARTH_RADIUS))) - F.lit(math.pi / 2.0)) * F.lit(180.0 / math.pi)
-    return point(lon, lat)
+def sql_axis_y(v: str, src: str, dst: str) -> str:
+    """y (latitude / northing) from ``src`` to ``dst``."""
+    fwd = f"ln(tan({_d(math.pi / 4.0)} + {v} * {_d(math.pi / 360.0)})) * {_d(EARTH_RADIUS)}"
+    inv = f"(2D * atan(exp({v} / {_d(EARTH_RADIUS)})) - {_d(math.pi / 2.0)}) * {_d(1.0 / _DEG)}"
+    return f"CASE WHEN {src} = {dst} THEN {v} WHEN {src} = {WGS84} THEN {fwd} ELSE {inv} END"
 
 
-def reproject_point(p: Column, src: Column, dst: Column) -> Column:
-    """One point from ``src`` to ``dst`` SRID; null when not supported."""
+def sql_reproject_point(p: str, src: str, dst: str) -> str:
     return (
-        F.when(~supported_transform(src, dst), F.lit(None))
-        .when(src == dst, p)
-        .when(src == WGS84, _to_mercator(p))
-        .otherwise(_to_wgs84(p))
+        f"CASE WHEN {sql_supported(src, dst)} THEN named_struct("
+        f"'x', {sql_axis_x(p + '.x', src, dst)}, 'y', {sql_axis_y(p + '.y', src, dst)}) END"
     )
 
 
-def reproject_parts(parts: Column, src: Column, dst: Column) -> Column:
+def sql_reproject_parts(parts: str, src: str, dst: str) -> str:
     """Every coordinate of every part; null when the pair is not supported."""
-    moved = F.transform(parts, lambda pts: F.transform(pts, lambda p: reproject_point(p, src, dst)))
-    return F.when(supported_transform(src, dst), moved)
+    moved = f"transform({parts}, rp -> transform(rp, rq -> {sql_reproject_point('rq', src, dst)}))"
+    return f"CASE WHEN {sql_supported(src, dst)} THEN {moved} END"
+
+
+def _srid_sql(v: Column | str | int) -> str:
+    return str(int(v)) if isinstance(v, int) else _ref(v)
+
+
+def supported_transform(src: str | int, dst: str | int) -> Column:
+    return F.expr(sql_supported(_srid_sql(src), _srid_sql(dst)))
+
+
+def reproject_point(p: str, src: str | int, dst: str | int) -> Column:
+    """One point column from ``src`` to ``dst`` SRID; null when not supported."""
+    return F.expr(sql_reproject_point(_ref(p), _srid_sql(src), _srid_sql(dst)))
+
+
+def reproject_parts(parts: str, src: str | int, dst: str | int) -> Column:
+    return F.expr(sql_reproject_parts(_ref(parts), _srid_sql(src), _srid_sql(dst)))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geometry import point, reproject_point, supported_transform
+from .geometry import _ref, _srid_sql, sql_axis_x, sql_axis_y, sql_supported
 
 # Margin around a non-degenerate extent, default zoom scale.
 EXTENT_MARGIN = 1.2
@@ -41,28 +41,41 @@ def normalised(r: Column) -> Column:
     )
 
 
-def bbox_from_text(text: Column | str) -> Column:
+def sql_bbox_from_text(text: str) -> str:
+    nums = f"transform(split({text}, ','), bp -> try_cast(trim(bp) AS DOUBLE))"
+    rect_sql = (
+        "named_struct('xmin', least(n[0], n[2]), 'ymin', least(n[1], n[3]), "
+        "'xmax', greatest(n[0], n[2]), 'ymax', greatest(n[1], n[3]))"
+    )
+    checked = f"CASE WHEN size(n) = 4 AND forall(n, v -> v IS NOT NULL) THEN {rect_sql} END"
+    return f"CASE WHEN {text} IS NOT NULL AND length({text}) > 0 THEN transform(array({nums}), n -> {checked})[0] END"
+
+
+def bbox_from_text(text: str) -> Column:
     """``"xmin,ymin,xmax,ymax"`` -> rectangle, else null.
 
     Null or empty text, not exactly four parts, or any part that is not a
-    number gives null.  Spaces around the numbers are allowed.
+    number gives null.  Spaces around the numbers are allowed; swapped
+    min/max are normalised.
     """
-    text = _col(text)
-    parts = F.split(text, ",")
-    nums = F.transform(parts, lambda p: F.trim(p).try_cast("double"))
-    ok = text.isNotNull() & (F.length(text) > 0) & (F.size(parts) == 4) & F.forall(nums, lambda v: v.isNotNull())
-    return F.when(ok, normalised(rect(nums[0], nums[1], nums[2], nums[3])))
+    return F.expr(sql_bbox_from_text(_ref(text)))
+
+
+def sql_reproject_rect(r: str, src: str, dst: str) -> str:
+    fields = ", ".join(
+        f"'{k}', {(sql_axis_x if k[0] == 'x' else sql_axis_y)(f'{r}.{k}', src, dst)}"
+        for k in ("xmin", "ymin", "xmax", "ymax")
+    )
+    return f"CASE WHEN {r} IS NOT NULL AND {sql_supported(src, dst)} THEN named_struct({fields}) END"
 
 
-def reproject_rect(r: Column, src: Column, dst: Column) -> Column:
-    """Rectangle from ``src`` to ``dst``.
+def reproject_rect(r: str, src: str | int, dst: str | int) -> Column:
+    """Rectangle column from ``src`` to ``dst``.
 
     For the supported pairs the axes transform separately and monotonically,
-    so the two corners carry the exact result.
+    so transforming the two corners gives the exact result.
     """
-    lo = reproject_point(point(r["xmin"], r["ymin"]), src, dst)
-    hi = reproject_point(point(r["xmax"], r["ymax"]), src, dst)
-    return F.when(r.isNotNull() & supported_transform(src, dst), rect(lo["x"], lo["y"], hi["x"], hi["y"]))
+    return F.expr(sql_reproject_rect(_ref(r), _srid_sql(src), _srid_sql(dst)))
 
 
 def is_degenerate(r: Column) -> Column:

@@ -18,7 +18,8 @@ from ..functions import viewport as V
 _PARTS = "__lookout_parts"
 _RAW = "__lookout_raw_parts"
 _EXT = "__lookout_exterior"
-_TYPE = "__lookout_type"
+_STATS = "__lookout_stats"
+_BBOX = "__lookout_bbox_src"
 _TOTAL = "__lookout_total"
 
 
@@ -37,38 +38,26 @@ def with_geometry(
     does not merge a projection into its consumer when that would repeat an
     expensive expression.
     """
-    src = F.col(srid)
-    dst = src if dst_srid is None else F.lit(dst_srid)
-    raw = G.wkt_parts(F.col(geom))
-    supported = G.supported_transform(src, dst) if dst_srid is not None else F.lit(True)
+    dst = srid if dst_srid is None else int(dst_srid)
     stage1 = hits.select(
         "*",
-        G.geometry_type(F.col(geom)).alias(_TYPE),
-        raw.alias(_RAW),
-        G.wkt_exterior_flags(F.col(geom)).alias(_EXT),
-        supported.alias("reprojection_supported"),
-    )
-    parts = G.reproject_parts(F.col(_RAW), src, dst) if dst_srid is not None else F.col(_RAW)
-    has_coords = F.size(F.flatten(F.col(_RAW))) > 0
-    cls = (
-        F.when(F.col(geom).isNull() | ~has_coords, F.lit("unknown"))
-        .when(F.col(_TYPE).isin(*G.POINT_TYPES), F.lit("point"))
-        .when(F.col(_TYPE).isin(*G.LINE_TYPES), F.lit("line"))
-        .when(F.col(_TYPE).isin(*G.POLYGON_TYPES), F.lit("polygon"))
-        .otherwise(F.lit("unknown"))
+        G.wkt_parts(geom).alias(_RAW),
+        G.wkt_exterior_flags(geom).alias(_EXT),
+        (G.supported_transform(srid, dst) if dst_srid is not None else F.lit(True)).alias("reprojection_supported"),
     )
+    parts = G.reproject_parts(_RAW, srid, dst) if dst_srid is not None else F.col(_RAW)
+    cls = F.expr(G.sql_geom_class(G.q(geom), G.q(_RAW)))
     stage2 = stage1.select(*hits.columns, "reprojection_supported", cls.alias("geom_class"), parts.alias(_PARTS), _EXT)
-    stage3 = stage2.select(
-        "*", G.total_stats(G.part_stats(F.col(_PARTS), F.col(_EXT)), F.col(_PARTS)).alias(_TOTAL)
-    )
+    stage3 = stage2.select("*", G.part_stats(_PARTS, _EXT).alias(_STATS))
+    stage3 = stage3.select("*", G.total_stats(_STATS, _PARTS).alias(_TOTAL))
     known = F.col("geom_class") != F.lit("unknown")
     return stage3.select(
         *[F.col(c) for c in hits.columns],
         "geom_class",
         G.display_kind(F.col("geom_class")).alias("display_kind"),
         "reprojection_supported",
-        F.when(known, G.envelope(F.flatten(F.col(_PARTS)))).alias("envelope"),
-        F.when(known, G.centroid_from_stats(F.col("geom_class"), F.col(_TOTAL))).alias("centroid"),
+        F.when(known, F.expr(G.sql_envelope(f"flatten({G.q(_PARTS)})"))).alias("envelope"),
+        F.when(known, G.centroid_from_stats("geom_class", _TOTAL)).alias("centroid"),
     )
 
 
@@ -91,13 +80,13 @@ def with_viewport(
     columns mean "no expression".
     """
     geo = with_geometry(hits, dst_srid, geom=geom, srid=srid)
-    src = F.col(srid)
-    dst = F.lit(dst_srid)
     if bbox_text and bbox_text in hits.columns:
-        bbox = V.reproject_rect(V.bbox_from_text(F.col(bbox_text)), src, dst)
+        geo = geo.select("*", V.bbox_from_text(bbox_text).alias(_BBOX))
+        bbox = V.reproject_rect(_BBOX, srid, int(dst_srid))
+        geo = geo.select(*[c for c in geo.columns if c != _BBOX], bbox.alias("bbox"))
     else:
         bbox = F.lit(None).cast("struct<xmin:double,ymin:double,xmax:double,ymax:double>")
-    geo = geo.select("*", bbox.alias("bbox"))
+        geo = geo.select("*", bbox.alias("bbox"))
     scale: Column | None = F.col(scale_denom) if scale_denom and scale_denom in hits.columns else None
     extent = V.rect(*[F.lit(float(v)) for v in map_extent])
     view = V.viewport(F.col("bbox"), F.col("envelope"), F.col("centroid"), extent, F.lit(float(map_scale)), scale)

@@ -132,7 +132,7 @@ def geom_column(cfg: SearchConfig) -> Column:
 
 def srid_column(cfg: SearchConfig) -> Column:
     if cfg.authid_column:
-        return srid_from_authid(F.col(cfg.authid_column)).alias("epsg")
+        return srid_from_authid(cfg.authid_column).alias("epsg")
     if isinstance(cfg.srid, str):
         return F.col(cfg.srid).cast("int").alias("epsg")
     return F.lit(cfg.srid).cast("int").alias("epsg")

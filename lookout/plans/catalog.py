@@ -638,8 +638,8 @@ _KIND = "place_id % 6"
 )
 def geom_class_q(spark, d):
     p = X.places(spark, d)
-    cls = G.geom_class(F.col("geom"))
-    return p.select("place_id", cls.alias("geom_class"), G.display_kind(cls).alias("display_kind"))
+    cls = p.select("place_id", G.geom_class("geom").alias("geom_class"))
+    return cls.select("place_id", "geom_class", G.display_kind("geom_class").alias("display_kind"))
 
 
 @register(
@@ -656,12 +656,12 @@ def geom_class_q(spark, d):
 )
 def envelope_q(spark, d):
     p = X.places(spark, d)
-    coords = G.wkt_coords(F.col("geom"))
-    env = G.envelope(coords)
-    return p.select(
+    coords = p.select("place_id", G.wkt_coords("geom").alias("coords"))
+    env = coords.select("place_id", "coords", G.envelope("coords").alias("env"))
+    return env.select(
         "place_id",
-        *[env[k].alias(f"env_{k}") for k in ("xmin", "ymin", "xmax", "ymax")],
-        F.size(coords).alias("n_coords"),
+        *[F.col(f"env.{k}").alias(f"env_{k}") for k in ("xmin", "ymin", "xmax", "ymax")],
+        F.size("coords").alias("n_coords"),
     )
 
 
@@ -733,8 +733,8 @@ def _reproject_sql() -> str:
 def reproject_3857_q(spark, d):
     p = X.places(spark, d)
     g = with_geometry(p.select("place_id", "geom", "epsg", "bbox_text"), dst_srid=3857)
-    bbox = V.reproject_rect(V.bbox_from_text(F.col("bbox_text")), F.col("epsg"), F.lit(3857))
-    g = g.select("*", bbox.alias("bbox3857"))
+    g = g.select("*", V.bbox_from_text("bbox_text").alias("bbox4326"))
+    g = g.select("*", V.reproject_rect("bbox4326", "epsg", 3857).alias("bbox3857"))
 
     def r1(c):  # 0.1 m, with -0.0 folded into 0.0
         return F.round(c, 1) + F.lit(0.0)
@@ -778,8 +778,8 @@ register("reproject_3857", _reproject_sql())(reproject_3857_q)
 )
 def bbox_parse_q(spark, d):
     p = X.places(spark, d)
-    r = V.bbox_from_text(F.col("bbox_text"))
-    return p.select("place_id", "bbox_text", *[r[k].alias(f"bbox_{k}") for k in ("xmin", "ymin", "xmax", "ymax")])
+    r = p.select("place_id", "bbox_text", V.bbox_from_text("bbox_text").alias("r"))
+    return r.select("place_id", "bbox_text", *[F.col(f"r.{k}").alias(f"bbox_{k}") for k in ("xmin", "ymin", "xmax", "ymax")])
 
 
 @register(
@@ -790,7 +790,7 @@ def bbox_parse_q(spark, d):
 )
 def srid_from_authid_q(spark, d):
     p = X.places(spark, d)
-    return p.select("place_id", "authid", G.srid_from_authid(F.col("authid")).alias("srid"))
+    return p.select("place_id", "authid", G.srid_from_authid("authid").alias("srid"))
 
 
 # map state for the viewport queries: extent (-10,-10,10,10), scale 1:1 000 000, EPSG:4326

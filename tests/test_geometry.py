@@ -58,10 +58,9 @@ def test_srid_from_authid(spark):
 
 def test_reprojection_round_trip(spark):
     df = spark.createDataFrame([(10.0, 50.0), (-179.0, -80.0), (0.0, 0.0)], "x double, y double")
-    p = G.point(F.col("x"), F.col("y"))
-    merc = G.reproject_point(p, F.lit(4326), F.lit(3857))
-    back = G.reproject_point(merc, F.lit(3857), F.lit(4326))
-    rows = df.select(merc.alias("m"), back.alias("b"), G.reproject_point(p, F.lit(4326), F.lit(27700)).alias("u")).collect()
+    p = df.select(G.point(F.col("x"), F.col("y")).alias("p"))
+    merc = p.select("p", G.reproject_point("p", 4326, 3857).alias("m"), G.reproject_point("p", 4326, 27700).alias("u"))
+    rows = merc.select("m", "u", G.reproject_point("m", 3857, 4326).alias("b")).collect()
     for (x, y), r in zip([(10.0, 50.0), (-179.0, -80.0), (0.0, 0.0)], rows):
         assert r.m.x == pytest.approx(math.radians(x) * 6378137.0)
         assert r.m.y == pytest.approx(math.log(math.tan(math.pi / 4 + math.radians(y) / 2)) * 6378137.0, abs=1e-6)

@@ -17,9 +17,8 @@ def test_bbox_from_text(spark):
 
 
 def test_reproject_rect(spark):
-    df = spark.createDataFrame([(1,)], "x int")
-    r = V.reproject_rect(V.rect(F.lit(0.0), F.lit(0.0), F.lit(10.0), F.lit(10.0)), F.lit(4326), F.lit(3857))
-    got = df.select(r.alias("r")).first().r
+    df = spark.createDataFrame([(1,)], "x int").select(V.rect(F.lit(0.0), F.lit(0.0), F.lit(10.0), F.lit(10.0)).alias("b"))
+    got = df.select(V.reproject_rect("b", 4326, 3857).alias("r")).first().r
     assert got.xmax == pytest.approx(math.radians(10) * 6378137.0)
     assert got.xmin == pytest.approx(0.0)
 
