@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ..config import SearchConfig
 from ..functions.patterns import literal_runs, resolve_limit, wildcard_pattern
 from ..session import ensure_checkpoint_dir
-from .search import hit_columns, match_condition, validate, with_user_expressions
+from .search import hit_columns, validate, with_user_expressions
 
 STRATEGIES = ("auto", "nested_loop", "blocked")
 # Fixed value: longest n-gram used for blocking.
@@ -47,6 +47,8 @@ _S = "__lk_search"
 _T = "__lk_tie"
 _P = "__lk_pattern"
 _K = "__lk_k"
+_PARTS = "__lk_parts"
+_CHAIN = "__lk_chain"
 
 
 def _tie_names(cfg: SearchConfig) -> list[str]:
@@ -123,7 +125,41 @@ def _finish(
 
 
 def _distinct_patterns(prepared: DataFrame, cfg: SearchConfig) -> DataFrame:
-    return prepared.groupBy(_pattern_key(F.col("pattern"), cfg).alias(_P)).agg(F.max("k").alias(_K))
+    """One row per distinct (case-folded) pattern, with its largest k and the
+    pieces of its verification: literal parts and whether they suffice."""
+    pats = prepared.groupBy(_pattern_key(F.col("pattern"), cfg).alias(_P)).agg(F.max("k").alias(_K))
+    tokens = F.regexp_extract_all(F.col(_P), F.lit(r"(?s)(\\.|%|_|[^%_\\]+)"), 1)
+    chain = (
+        ~F.array_contains(tokens, "_")
+        & (F.size(tokens) > 0)
+        & (F.get(tokens, 0) == F.lit("%"))
+        & (F.element_at(tokens, -1) == F.lit("%"))
+    )
+    parts = F.transform(literal_runs(F.col(_P)), lambda r: _fold(r, cfg))
+    return pats.select(_P, _K, parts.alias(_PARTS), chain.alias(_CHAIN))
+
+
+def _q(name: str) -> str:
+    return "`" + name + "`"
+
+
+def verify(cfg: SearchConfig) -> Column:
+    """Exact match of a candidate row against its pattern.
+
+    Patterns made only of ``%``-separated literal parts (the usual case) are
+    checked with an ordered ``locate`` chain over the once-folded text, in
+    linear time; others (``_`` wildcards) use LIKE / ILIKE, which compiles the
+    row's pattern into a backtracking regex.
+    """
+    fold = f"CAST({_q(_S)} AS STRING)" if cfg.case_sensitive else f"lower(CAST({_q(_S)} AS STRING))"
+    chain = (
+        f"transform(array({fold}), vt -> aggregate({_q(_PARTS)}, named_struct('ok', true, 'f', 1, 'l', 0), "
+        "(acc, part) -> named_struct('ok', acc.ok AND acc.f > 0, 'f', locate(part, vt, acc.f + acc.l), "
+        "'l', length(part)), acc -> acc.ok AND acc.f > 0))[0]"
+    )
+    op = "LIKE" if cfg.case_sensitive else "ILIKE"
+    like = f"CAST({_q(_S)} AS STRING) {op} {_q(_P)}"
+    return F.expr(f"{_q(_S)} IS NOT NULL AND CASE WHEN {_q(_CHAIN)} THEN {chain} ELSE {like} END")
 
 
 def nested_loop_search(
@@ -144,7 +180,7 @@ def nested_loop_search(
         )
     target = spread(_target(df, cfg), _tie_names(cfg))
     hit_names = [c for c in target.columns if c != _S and not c.startswith(_T)]
-    cand = target.join(F.broadcast(pats), match_condition(F.col(_S), F.col(_P), cfg.case_sensitive))
+    cand = target.join(F.broadcast(pats), verify(cfg))
     top = _top_k_per_pattern(cand, cfg, k_max)
     return _finish(top, prepared, cfg, hit_names, n * k_max, max_broadcast_hits)
 
@@ -181,15 +217,15 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def pattern_grams(patterns: DataFrame, cfg: SearchConfig) -> DataFrame:
     """Every candidate blocking gram of every pattern: ``(pattern, n, g)``."""
-    runs = F.transform(literal_runs(F.col(_P)), lambda r: _fold(r, cfg))
+    runs = F.col(_PARTS)  # literal stretches, folded like the text
     longest = F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
     n = F.least(longest, F.lit(GRAM))
-    staged = patterns.select(_P, _K, runs.alias("runs"), n.alias("n"))
-    usable = F.filter(F.col("runs"), lambda r: F.length(r) >= F.col("n"))
+    staged = patterns.select(_P, _K, _PARTS, _CHAIN, n.alias("n"))
+    usable = F.filter(F.col(_PARTS), lambda r: F.length(r) >= F.col("n"))
     grams = F.array_distinct(F.flatten(F.transform(usable, lambda r: _grams(r, F.col("n")))))
     # a pattern without any literal character (blank text -> "%") uses the empty gram
     grams = F.when(F.col("n") == 0, F.array(F.lit(""))).otherwise(grams)
-    return staged.select(_P, _K, "n", F.explode(grams).alias("g"))
+    return staged.select(_P, _K, _PARTS, _CHAIN, "n", F.explode(grams).alias("g"))
 
 
 def table_grams(target: DataFrame, sizes: list[int], cfg: SearchConfig, columns: list[str]) -> DataFrame:
@@ -236,16 +272,18 @@ def choose_grams(
     sizes = sorted(summary["sizes"])  # at most GRAM + 1 values
     needed_b = F.broadcast(needed) if summary["count"] <= max_broadcast_grams else needed
     if not sizes:
-        return qg.select(_P, _K, "n", "g", F.lit(0).alias("df"), F.lit(1).alias("nsalt"))
+        return qg.select(_P, _K, _PARTS, _CHAIN, "n", "g", F.lit(0).alias("df"), F.lit(1).alias("nsalt"))
     if gram_stats is None:
         grams = table_grams(target, sizes, cfg, [])
         freq = grams.join(needed_b, ["n", "g"]).groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
     else:
         freq = gram_stats.select("n", "g", "df").join(needed_b, ["n", "g"])
     scored = qg.join(freq, ["n", "g"], "left").withColumn("df", F.coalesce(F.col("df"), F.lit(0)))
-    best = scored.groupBy(_P, _K).agg(F.min_by(F.struct("n", "g", "df"), F.struct("df", "g")).alias("best"))
+    best = scored.groupBy(_P, _K, _PARTS, _CHAIN).agg(
+        F.min_by(F.struct("n", "g", "df"), F.struct("df", "g")).alias("best")
+    )
     nsalt = F.greatest(F.lit(1), F.ceil(F.col("best.df") / F.lit(rows_per_salt)).cast("int"))
-    chosen = best.select(_P, _K, "best.n", "best.g", "best.df", nsalt.alias("nsalt"))
+    chosen = best.select(_P, _K, _PARTS, _CHAIN, "best.n", "best.g", "best.df", nsalt.alias("nsalt"))
     ensure_checkpoint_dir(target.sparkSession)
     return chosen.checkpoint(eager=True)
 
@@ -279,8 +317,10 @@ def blocked_search(
     rows = table_grams(target, sizes, cfg, target.columns).join(gram_salts, ["n", "g"])
     tie = [F.col(n) for n in _tie_names(cfg)]
     rows = rows.withColumn("salt", F.pmod(F.xxhash64(*tie), F.col("nsalt")).cast("int")).drop("nsalt")
-    salted = chosen.select(_P, _K, "n", "g", F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt"))
-    cand = rows.join(salted, ["n", "g", "salt"]).where(match_condition(F.col(_S), F.col(_P), cfg.case_sensitive))
+    salted = chosen.select(
+        _P, _K, _PARTS, _CHAIN, "n", "g", F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt")
+    )
+    cand = rows.join(salted, ["n", "g", "salt"]).where(verify(cfg))
     top = _top_k_per_pattern(cand, cfg, k_max)
     return _finish(top, prepared, cfg, hit_names, summary["count"] * k_max, max_broadcast_hits)
 
