@@ -58,9 +58,9 @@ def q_batch_documents_blocked(spark, d):
     return batch_search(X.load(spark, d, "documents"), queries, DOCS, strategy="blocked")
 
 
-def q_batch_edge_nested(spark, d):
-    """B15 nested loop: the edge-case strings against part."""
-    return C.batch_search_nested(spark, d)
+def q_batch_edge_scan(spark, d):
+    """B15 scan strategy: the edge-case strings against part in one pass."""
+    return C.batch_search_scan(spark, d)
 
 
 def q_debounce(spark, d):

@@ -5,9 +5,9 @@ search strings ``(query_id, text, k)`` is matched against the relation and each
 query keeps its own top ``k`` hits ordered by the search column and the
 tie-break key.  Two physical strategies return the same rows:
 
-``nested_loop``  the distinct patterns are broadcast and every row is tested
-    against every pattern (``BroadcastNestedLoopJoin``).  Only used behind a
-    count of the distinct patterns (``max_broadcast_patterns``).
+``scan``  for a handful of distinct patterns (counted first): one pass over
+    the relation with each pattern as a literal matcher; a row yields only the
+    patterns it matches.  No join.
 
 ``blocked``  (default at scale)  a row can only match a pattern if it contains
     every literal stretch of the pattern, so each pattern is reduced to its
@@ -39,7 +39,7 @@ from ..functions.patterns import literal_runs, resolve_limit, wildcard_pattern
 from ..session import ensure_checkpoint_dir
 from .search import hit_columns, validate, with_user_expressions
 
-STRATEGIES = ("auto", "nested_loop", "blocked")
+STRATEGIES = ("auto", "scan", "blocked")
 # Fixed value: longest n-gram used for blocking.
 GRAM = 3
 
@@ -162,25 +162,40 @@ def verify(cfg: SearchConfig) -> Column:
     return F.expr(f"{_q(_S)} IS NOT NULL AND CASE WHEN {_q(_CHAIN)} THEN {chain} ELSE {like} END")
 
 
-def nested_loop_search(
+def scan_search(
     df: DataFrame,
     prepared: DataFrame,
     cfg: SearchConfig,
     *,
-    max_broadcast_patterns: int = 10_000,
+    max_scan_patterns: int = 64,
     max_broadcast_hits: int = 1_000_000,
 ) -> DataFrame:
-    """Baseline: broadcast the distinct patterns and test every row (checked size)."""
+    """Few distinct patterns: one pass over the relation, no join.
+
+    The distinct patterns (counted first, at most ``max_scan_patterns``) become
+    literals of the plan; every row gets the array of patterns it matches
+    (each literal matcher is a ``Contains`` or an ordered ``locate`` chain, as
+    in single search) and that array is exploded, so only matching
+    (row, pattern) pairs are ever produced.
+    """
+    from .search import match_condition
+
     pats = _distinct_patterns(prepared, cfg).where(F.col(_K) > 0)
     summary = pats.agg(F.count(F.lit(1)).alias("count"), F.max(_K).alias("k_max")).first()
     n, k_max = summary["count"], int(summary["k_max"] or 0)
-    if n > max_broadcast_patterns:
-        raise ValueError(
-            f"{n} distinct patterns exceed max_broadcast_patterns={max_broadcast_patterns}; use strategy='blocked'"
-        )
+    if n > max_scan_patterns:
+        raise ValueError(f"{n} distinct patterns exceed max_scan_patterns={max_scan_patterns}; use strategy='blocked'")
+    listed = [(r[_P], r[_K]) for r in pats.select(_P, _K).collect()]  # bounded by the check above
     target = spread(_target(df, cfg), _tie_names(cfg))
     hit_names = [c for c in target.columns if c != _S and not c.startswith(_T)]
-    cand = target.join(F.broadcast(pats), verify(cfg))
+    matched = F.array(
+        *[
+            F.when(match_condition(F.col(_S), p, cfg.case_sensitive), F.struct(F.lit(p).alias(_P), F.lit(k).alias(_K)))
+            for p, k in listed
+        ]
+    ) if listed else F.array().cast(f"array<struct<{_P}:string,{_K}:int>>")
+    hits = target.select(*target.columns, F.explode(F.filter(matched, lambda m: m.isNotNull())).alias("__lk_m"))
+    cand = hits.select(*target.columns, F.col(f"__lk_m.{_P}").alias(_P), F.col(f"__lk_m.{_K}").alias(_K))
     top = _top_k_per_pattern(cand, cfg, k_max)
     return _finish(top, prepared, cfg, hit_names, n * k_max, max_broadcast_hits)
 
@@ -298,7 +313,7 @@ def blocked_search(
     max_broadcast_hits: int = 1_000_000,
     gram_stats: DataFrame | None = None,
 ) -> DataFrame:
-    """n-gram blocked equi-join, then exact verification (same rows as nested loop)."""
+    """n-gram blocked equi-join, then exact verification (same rows as ``scan``)."""
     pats = _distinct_patterns(prepared, cfg).where(F.col(_K) > 0)
     target = spread(_target(df, cfg), _tie_names(cfg))
     hit_names = [c for c in target.columns if c != _S and not c.startswith(_T)]
@@ -334,8 +349,8 @@ def batch_search(
     id_col: str = "query_id",
     text_col: str = "text",
     k_col: str | None = "k",
-    nested_loop_max_patterns: int = 16,
-    max_broadcast_patterns: int = 10_000,
+    scan_max_patterns: int = 16,
+    max_scan_patterns: int = 64,
     max_broadcast_grams: int = 2_000_000,
     rows_per_salt: int = 1_000_000,
     max_broadcast_hits: int = 1_000_000,
@@ -343,8 +358,8 @@ def batch_search(
 ) -> DataFrame:
     """Top ``k`` hits per query: ``[query_id, rank, geom, epsg, suggestion, extra...]``.
 
-    ``auto`` uses the nested loop for at most ``nested_loop_max_patterns``
-    distinct patterns (one pass, no explode) and blocking otherwise.
+    ``auto`` scans once with literal matchers for at most ``scan_max_patterns``
+    distinct patterns and uses n-gram blocking otherwise.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
@@ -355,10 +370,10 @@ def batch_search(
     prepared = prepare_queries(queries, cfg, id_col=id_col, text_col=text_col, k_col=k_col).checkpoint(eager=True)
     if strategy == "auto":
         n = _distinct_patterns(prepared, cfg).count()
-        strategy = "nested_loop" if n <= nested_loop_max_patterns else "blocked"
-    if strategy == "nested_loop":
-        return nested_loop_search(
-            df, prepared, cfg, max_broadcast_patterns=max_broadcast_patterns, max_broadcast_hits=max_broadcast_hits
+        strategy = "scan" if n <= scan_max_patterns else "blocked"
+    if strategy == "scan":
+        return scan_search(
+            df, prepared, cfg, max_scan_patterns=max_scan_patterns, max_broadcast_hits=max_broadcast_hits
         )
     return blocked_search(
         df,

@@ -412,8 +412,8 @@ FROM hits WHERE rank <= k
 
 
 @register("batch_search", _BATCH_PART_SQL)
-def batch_search_nested(spark, d):
-    return batch_search(_part(spark, d), X.edge_queries(spark), PART, strategy="nested_loop")
+def batch_search_scan(spark, d):
+    return batch_search(_part(spark, d), X.edge_queries(spark), PART, strategy="scan")
 
 
 @register("batch_search_blocked", _BATCH_PART_SQL)

@@ -1,4 +1,4 @@
-"""Batch search; blocked (with and without salting) == nested loop == brute force."""
+"""Batch search; blocked (with and without salting) == scan == brute force."""
 
 import random
 
@@ -67,13 +67,13 @@ def random_case(seed):
 def test_strategies_agree_with_brute_force(spark, seed):
     rows, queries = random_case(seed)
     want = brute_force(rows, queries, CFG)
-    assert run(spark, rows, queries, CFG, strategy="nested_loop") == want
+    assert run(spark, rows, queries, CFG, strategy="scan") == want
     assert run(spark, rows, queries, CFG, strategy="blocked") == want
     # force salting of every gram: many salts per hot gram, same answer
     assert run(spark, rows, queries, CFG, strategy="blocked", rows_per_salt=3) == want
     # force the non-broadcast join paths
     assert run(spark, rows, queries, CFG, strategy="blocked", max_broadcast_grams=0, max_broadcast_hits=0) == want
-    assert run(spark, rows, queries, CFG, strategy="nested_loop", max_broadcast_hits=0) == want
+    assert run(spark, rows, queries, CFG, strategy="scan", max_broadcast_hits=0) == want
 
 
 def test_precomputed_gram_stats(spark):
@@ -91,13 +91,21 @@ def test_case_sensitive_and_escape(spark):
     for cfg in (CFG.replace(case_sensitive=True), CFG.replace(escape_spec_chars=True)):
         want = brute_force(rows, queries, cfg)
         assert run(spark, rows, queries, cfg, strategy="blocked") == want
-        assert run(spark, rows, queries, cfg, strategy="nested_loop") == want
+        assert run(spark, rows, queries, cfg, strategy="scan") == want
 
 
-def test_nested_loop_refuses_too_many_patterns(spark):
+def test_scan_refuses_too_many_patterns(spark):
     rows, queries = random_case(4)
     with pytest.raises(ValueError):
-        run(spark, rows, queries, CFG, strategy="nested_loop", max_broadcast_patterns=2)
+        run(spark, rows, queries, CFG, strategy="scan", max_scan_patterns=2)
+
+
+def test_scan_plan_has_no_join(spark):
+    df = spark.read.parquet(f"{SF_SMALL}/part.parquet")
+    q = spark.createDataFrame([(1, "red w", 3), (2, "ring", 2)], "query_id long, text string, k int")
+    cfg = SearchConfig(search_column="p_name", tie_break=("p_partkey",), extra_columns=("p_partkey",))
+    plan = batch_search(df, q, cfg, strategy="scan")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
 
 def test_hot_gram_is_salted(spark):
