@@ -14,9 +14,10 @@ matter how many rows match.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
@@ -182,12 +183,35 @@ def order_columns(cfg: SearchConfig, prefix: str = "") -> list[Column]:
     return [key.asc_nulls_last(), *[F.col(prefix + t).asc_nulls_last() for t in cfg.tie_break]]
 
 
+def top_k(df: DataFrame, order: list[Column], n: int, *, tree_above: int = 64) -> DataFrame:
+    """The first ``n`` rows in ``order``, merged as a two-level tree on wide inputs.
+
+    ``orderBy().limit(n)`` alone is ``TakeOrderedAndProject``: every map task
+    keeps its best ``n`` rows and ONE task (or the driver, on collect) merges
+    ``n`` x tasks rows, which on a scan of 10^5 tasks is the bottleneck.  Above
+    ``tree_above`` input partitions the map tasks are grouped by
+    ``spark_partition_id() mod ceil(sqrt(P))``; each task still forwards at most
+    ``n`` rows (partial ``WindowGroupLimit``), the groups are merged in
+    parallel, and the final top-n reads ``n`` rows per group at most.
+    """
+    try:
+        partitions = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD access (e.g. Spark Connect)
+        partitions = 1
+    if partitions <= tree_above or n == 0:
+        return df.orderBy(*order).limit(n)
+    groups = math.ceil(math.sqrt(partitions))
+    grouped = df.withColumn("__lk_grp", F.pmod(F.spark_partition_id(), F.lit(groups)))
+    rank = F.row_number().over(Window.partitionBy("__lk_grp").orderBy(*order))
+    merged = grouped.withColumn("__lk_rn", rank).where(F.col("__lk_rn") <= F.lit(n)).drop("__lk_grp", "__lk_rn")
+    return merged.orderBy(*order).limit(n)
+
+
 def apply_limit(df: DataFrame, cfg: SearchConfig, limit=None) -> DataFrame:
     """Order and cut according to the limit mode."""
     n = resolve_limit(cfg.limit if limit is None else limit, cfg.limit_mode)
     if cfg.limit_mode == "top_k":
-        ordered = df.orderBy(*order_columns(cfg))
-        return ordered.limit(n) if n is not None else ordered
+        return top_k(df, order_columns(cfg), n) if n is not None else df.orderBy(*order_columns(cfg))
     if cfg.limit_mode == "any_n":
         capped = df.limit(n) if n is not None else df
         return capped.orderBy(*order_columns(cfg))

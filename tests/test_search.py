@@ -161,3 +161,17 @@ def test_ordered_locate_chain_equals_like(spark, texts, queries, escape, case_se
         got = {r.i for r in df.where(ours).collect()}
         want = {r.i for r in df.where(plain).collect()}
         assert got == want, (pattern, ordered_parts(pattern))
+
+
+def test_tree_top_k_on_wide_input(spark):
+    from lookout.operators.search import top_k
+
+    df = spark.range(0, 20000).select((F.col("id") * 7919 % 20011).alias("v"), F.col("id")).repartition(200)
+    order = [F.col("v").asc(), F.col("id").asc()]
+    tree = top_k(df, order, 50)
+    plan = tree._jdf.queryExecution().executedPlan().toString().lower()
+    assert "windowgrouplimit" in plan and "spark_partition_id" in plan
+    want = [tuple(r) for r in df.orderBy(*order).limit(50).collect()]
+    assert [tuple(r) for r in tree.collect()] == want
+    narrow = top_k(df.coalesce(4), order, 50)
+    assert "spark_partition_id" not in narrow._jdf.queryExecution().executedPlan().toString().lower()
