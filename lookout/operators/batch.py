@@ -48,6 +48,12 @@ _T = "__lk_tie"
 _P = "__lk_pattern"
 _K = "__lk_k"
 _PARTS = "__lk_parts"
+_N = "__lk_n"
+_G = "__lk_g"
+_SALT = "__lk_salt"
+_DF = "__lk_df"
+_NSALT = "__lk_nsalt"
+_BEST = "__lk_best"
 _CHAIN = "__lk_chain"
 
 
@@ -85,6 +91,9 @@ def _fold(text: Column, cfg: SearchConfig) -> Column:
 def _target(df: DataFrame, cfg: SearchConfig) -> DataFrame:
     """Searchable rows with the hit columns already computed (narrow)."""
     validate(df, cfg)
+    clash = [c for c in cfg.extra_columns if c in ("query_id", "rank")]
+    if clash:
+        raise ValueError(f"extra columns clash with batch output columns: {clash}")
     src = with_user_expressions(df, cfg).where(F.col(cfg.search_column).isNotNull())
     keys = [F.col(cfg.search_column).alias(_S)] + [F.col(t).alias(n) for t, n in zip(cfg.tie_break, _tie_names(cfg))]
     return src.select(*keys, *hit_columns(src, cfg))
@@ -235,12 +244,12 @@ def pattern_grams(patterns: DataFrame, cfg: SearchConfig) -> DataFrame:
     runs = F.col(_PARTS)  # literal stretches, folded like the text
     longest = F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
     n = F.least(longest, F.lit(GRAM))
-    staged = patterns.select(_P, _K, _PARTS, _CHAIN, n.alias("n"))
-    usable = F.filter(F.col(_PARTS), lambda r: F.length(r) >= F.col("n"))
-    grams = F.array_distinct(F.flatten(F.transform(usable, lambda r: _grams(r, F.col("n")))))
+    staged = patterns.select(_P, _K, _PARTS, _CHAIN, n.alias(_N))
+    usable = F.filter(F.col(_PARTS), lambda r: F.length(r) >= F.col(_N))
+    grams = F.array_distinct(F.flatten(F.transform(usable, lambda r: _grams(r, F.col(_N)))))
     # a pattern without any literal character (blank text -> "%") uses the empty gram
-    grams = F.when(F.col("n") == 0, F.array(F.lit(""))).otherwise(grams)
-    return staged.select(_P, _K, _PARTS, _CHAIN, "n", F.explode(grams).alias("g"))
+    grams = F.when(F.col(_N) == 0, F.array(F.lit(""))).otherwise(grams)
+    return staged.select(_P, _K, _PARTS, _CHAIN, _N, F.explode(grams).alias(_G))
 
 
 def table_grams(target: DataFrame, sizes: list[int], cfg: SearchConfig, columns: list[str]) -> DataFrame:
@@ -248,7 +257,7 @@ def table_grams(target: DataFrame, sizes: list[int], cfg: SearchConfig, columns:
     folded = target.select(*columns, _fold(F.col(_S).cast("string"), cfg).alias("__lk_fold"))
     frames = []
     for n in sizes:
-        frames.append(folded.select(*columns, F.lit(n).alias("n"), F.explode(_grams(F.col("__lk_fold"), n)).alias("g")))
+        frames.append(folded.select(*columns, F.lit(n).alias(_N), F.explode(_grams(F.col("__lk_fold"), n)).alias(_G)))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -264,7 +273,8 @@ def gram_frequencies(df: DataFrame, cfg: SearchConfig, sizes=(0, 1, 2, GRAM)) ->
     """
     target = spread(_target(df, cfg), _tie_names(cfg))
     grams = table_grams(target, list(sizes), cfg, [])
-    return grams.groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
+    counted = grams.groupBy(_N, _G).agg(F.count(F.lit(1)).alias(_DF))
+    return counted.select(F.col(_N).alias("n"), F.col(_G).alias("g"), F.col(_DF).alias("df"))
 
 
 def choose_grams(
@@ -282,23 +292,24 @@ def choose_grams(
     pass over the relation runs once.
     """
     qg = pattern_grams(pats, cfg)
-    needed = qg.select("n", "g").distinct()
-    summary = needed.agg(F.count(F.lit(1)).alias("count"), F.collect_set("n").alias("sizes")).first()
+    needed = qg.select(_N, _G).distinct()
+    summary = needed.agg(F.count(F.lit(1)).alias("count"), F.collect_set(_N).alias("sizes")).first()
     sizes = sorted(summary["sizes"])  # at most GRAM + 1 values
     needed_b = F.broadcast(needed) if summary["count"] <= max_broadcast_grams else needed
     if not sizes:
-        return qg.select(_P, _K, _PARTS, _CHAIN, "n", "g", F.lit(0).alias("df"), F.lit(1).alias("nsalt"))
+        return qg.select(_P, _K, _PARTS, _CHAIN, _N, _G, F.lit(0).alias(_DF), F.lit(1).alias(_NSALT))
     if gram_stats is None:
         grams = table_grams(target, sizes, cfg, [])
-        freq = grams.join(needed_b, ["n", "g"]).groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
+        freq = grams.join(needed_b, [_N, _G]).groupBy(_N, _G).agg(F.count(F.lit(1)).alias(_DF))
     else:
-        freq = gram_stats.select("n", "g", "df").join(needed_b, ["n", "g"])
-    scored = qg.join(freq, ["n", "g"], "left").withColumn("df", F.coalesce(F.col("df"), F.lit(0)))
+        stats = gram_stats.select(F.col("n").alias(_N), F.col("g").alias(_G), F.col("df").alias(_DF))
+        freq = stats.join(needed_b, [_N, _G])
+    scored = qg.join(freq, [_N, _G], "left").withColumn(_DF, F.coalesce(F.col(_DF), F.lit(0)))
     best = scored.groupBy(_P, _K, _PARTS, _CHAIN).agg(
-        F.min_by(F.struct("n", "g", "df"), F.struct("df", "g")).alias("best")
+        F.min_by(F.struct(_N, _G, _DF), F.struct(_DF, _G)).alias(_BEST)
     )
-    nsalt = F.greatest(F.lit(1), F.ceil(F.col("best.df") / F.lit(rows_per_salt)).cast("int"))
-    chosen = best.select(_P, _K, _PARTS, _CHAIN, "best.n", "best.g", "best.df", nsalt.alias("nsalt"))
+    nsalt = F.greatest(F.lit(1), F.ceil(F.col(f"{_BEST}.{_DF}") / F.lit(rows_per_salt)).cast("int"))
+    chosen = best.select(_P, _K, _PARTS, _CHAIN, f"{_BEST}.{_N}", f"{_BEST}.{_G}", f"{_BEST}.{_DF}", nsalt.alias(_NSALT))
     ensure_checkpoint_dir(target.sparkSession)
     return chosen.checkpoint(eager=True)
 
@@ -321,21 +332,21 @@ def blocked_search(
         target, pats, cfg, max_broadcast_grams=max_broadcast_grams, rows_per_salt=rows_per_salt, gram_stats=gram_stats
     )
     summary = chosen.agg(
-        F.count(F.lit(1)).alias("count"), F.collect_set("n").alias("sizes"), F.max(_K).alias("k_max")
+        F.count(F.lit(1)).alias("count"), F.collect_set(_N).alias("sizes"), F.max(_K).alias("k_max")
     ).first()
     # at most GRAM + 1 sizes; an empty pattern set still needs one branch for the schema
     sizes = sorted(summary["sizes"]) or [GRAM]
     k_max = int(summary["k_max"] or 0)
-    gram_salts = chosen.select("n", "g", "nsalt").distinct()
+    gram_salts = chosen.select(_N, _G, _NSALT).distinct()
     if summary["count"] <= max_broadcast_grams:  # distinct grams <= chosen rows
         gram_salts = F.broadcast(gram_salts)
-    rows = table_grams(target, sizes, cfg, target.columns).join(gram_salts, ["n", "g"])
+    rows = table_grams(target, sizes, cfg, target.columns).join(gram_salts, [_N, _G])
     tie = [F.col(n) for n in _tie_names(cfg)]
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*tie), F.col("nsalt")).cast("int")).drop("nsalt")
+    rows = rows.withColumn(_SALT, F.pmod(F.xxhash64(*tie), F.col(_NSALT)).cast("int")).drop(_NSALT)
     salted = chosen.select(
-        _P, _K, _PARTS, _CHAIN, "n", "g", F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt")
+        _P, _K, _PARTS, _CHAIN, _N, _G, F.explode(F.sequence(F.lit(0), F.col(_NSALT) - 1)).alias(_SALT)
     )
-    cand = rows.join(salted, ["n", "g", "salt"]).where(verify(cfg))
+    cand = rows.join(salted, [_N, _G, _SALT]).where(verify(cfg))
     top = _top_k_per_pattern(cand, cfg, k_max)
     return _finish(top, prepared, cfg, hit_names, summary["count"] * k_max, max_broadcast_hits)
 

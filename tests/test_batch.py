@@ -122,3 +122,14 @@ def test_blocked_plan_is_equi_join(spark):
     plan = batch_search(df, q, cfg, strategy="blocked")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
     assert "WindowGroupLimit" in plan
+
+
+def test_internal_names_do_not_clash(spark):
+    rows = [(i, f"red ring {i}", i % 3, "x") for i in range(30)]
+    df = spark.createDataFrame(rows, "key long, name string, n int, g string")
+    q = spark.createDataFrame([(1, "red 1", 2), (2, "ring", 3)], "query_id long, text string, k int")
+    cfg = SearchConfig(search_column="name", tie_break=("key",), extra_columns=("key", "n", "g"))
+    for strategy in ("scan", "blocked"):
+        out = batch_search(df, q, cfg, strategy=strategy)
+        assert out.columns == ["query_id", "rank", "geom", "epsg", "suggestion", "key", "n", "g"]
+        assert out.count() == 5
