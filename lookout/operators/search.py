@@ -183,6 +183,22 @@ def order_columns(cfg: SearchConfig, prefix: str = "") -> list[Column]:
     return [key.asc_nulls_last(), *[F.col(prefix + t).asc_nulls_last() for t in cfg.tie_break]]
 
 
+def _partitions(df: DataFrame) -> int:
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD access (e.g. Spark Connect)
+        return 1
+
+
+def any_rows(df: DataFrame, n: int, tie: list[Column], *, tree_above: int = 64) -> DataFrame:
+    """Some ``n`` rows (B13b, B13c).  A plain ``limit`` on a narrow input; on a
+    wide one the n smallest tie-break keys through the two-level tree of
+    :func:`top_k`, since ``limit`` would gather ``n`` rows per task into one."""
+    if _partitions(df) <= tree_above:
+        return df.limit(n)
+    return top_k(df, tie, n, tree_above=tree_above)
+
+
 def top_k(df: DataFrame, order: list[Column], n: int, *, tree_above: int = 64) -> DataFrame:
     """The first ``n`` rows in ``order``, merged as a two-level tree on wide inputs.
 
@@ -194,10 +210,7 @@ def top_k(df: DataFrame, order: list[Column], n: int, *, tree_above: int = 64) -
     ``n`` rows (partial ``WindowGroupLimit``), the groups are merged in
     parallel, and the final top-n reads ``n`` rows per group at most.
     """
-    try:
-        partitions = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD access (e.g. Spark Connect)
-        partitions = 1
+    partitions = _partitions(df)
     if partitions <= tree_above or n == 0:
         return df.orderBy(*order).limit(n)
     groups = math.ceil(math.sqrt(partitions))
@@ -212,10 +225,11 @@ def apply_limit(df: DataFrame, cfg: SearchConfig, limit=None) -> DataFrame:
     n = resolve_limit(cfg.limit if limit is None else limit, cfg.limit_mode)
     if cfg.limit_mode == "top_k":
         return top_k(df, order_columns(cfg), n) if n is not None else df.orderBy(*order_columns(cfg))
+    tie = [F.col(t).asc_nulls_last() for t in cfg.tie_break]
     if cfg.limit_mode == "any_n":
-        capped = df.limit(n) if n is not None else df
+        capped = any_rows(df, n, tie) if n is not None else df
         return capped.orderBy(*order_columns(cfg))
-    return df.limit(n) if n is not None else df
+    return any_rows(df, n, tie) if n is not None else df
 
 
 def search(df: DataFrame, text: str, cfg: SearchConfig, *, limit=None, extra_struct: bool = False) -> DataFrame:

@@ -175,3 +175,13 @@ def test_tree_top_k_on_wide_input(spark):
     assert [tuple(r) for r in tree.collect()] == want
     narrow = top_k(df.coalesce(4), order, 50)
     assert "spark_partition_id" not in narrow._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_any_rows_tree_on_wide_input(spark):
+    from lookout.operators.search import any_rows
+
+    df = spark.range(0, 5000).repartition(100)
+    got = any_rows(df, 30, [F.col("id").asc()])
+    assert got.count() == 30
+    assert "spark_partition_id" in got._jdf.queryExecution().executedPlan().toString().lower()
+    assert any_rows(df.coalesce(2), 30, [F.col("id").asc()]).count() == 30
