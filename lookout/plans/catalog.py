@@ -839,6 +839,56 @@ def viewport_q(spark, d):
     return v.select("place_id", *[F.round(f"viewport.{k}", 6).alias(f"view_{k}") for k in ("xmin", "ymin", "xmax", "ymax")])
 
 
+# the same map in web Mercator: extent +-1 000 km, scale 1:1 000 000
+_MAP_3857 = (-1_000_000.0, -1_000_000.0, 1_000_000.0, 1_000_000.0)
+
+
+def _viewport_3857_sql() -> str:
+    f = f"({_SCALE_SQL} / {_MAP_SCALE})"
+    half = f"2000000.0 * {f} / 2.0"
+    cx = f"CASE {_KIND} WHEN 0 THEN {_merc_x('lon')} WHEN 3 THEN {_merc_x('lon + 2.5')} END"
+    cy = _merc_y("lat")
+    ex_max = f"CASE {_KIND} WHEN 1 THEN lon + 3 ELSE lon + 4 END"
+    ey_max = f"CASE {_KIND} WHEN 1 THEN lat + 3 ELSE lat + 2 END"
+    env = {"xmin": _merc_x("lon"), "ymin": _merc_y("lat"), "xmax": _merc_x(ex_max), "ymax": _merc_y(ey_max)}
+
+    def grown(lo: str, hi: str, k: str) -> str:
+        c = f"(({env[lo]}) + ({env[hi]})) / 2.0"
+        h = f"(({env[hi]}) - ({env[lo]})) * 1.2 / 2.0"
+        return f"{c} - {h}" if k.endswith("min") else f"{c} + {h}"
+
+    bbox = {
+        "xmin": _merc_x(_BBOX_SQL["xmin"]),
+        "ymin": _merc_y(_BBOX_SQL["ymin"]),
+        "xmax": _merc_x(_BBOX_SQL["xmax"]),
+        "ymax": _merc_y(_BBOX_SQL["ymax"]),
+    }
+    scaled = {
+        "xmin": f"({cx}) - {half}",
+        "xmax": f"({cx}) + {half}",
+        "ymin": f"({cy}) - {half}",
+        "ymax": f"({cy}) + {half}",
+    }
+    cols = []
+    for k in ("xmin", "ymin", "xmax", "ymax"):
+        lo, hi = ("xmin", "xmax") if k[0] == "x" else ("ymin", "ymax")
+        cols.append(
+            f"round(CASE WHEN {_KIND} >= 4 THEN NULL WHEN {_BBOX_OK} THEN {bbox[k]} "
+            f"WHEN {_KIND} IN (0, 3) THEN {scaled[k]} ELSE {grown(lo, hi, k)} END, 1) + 0.0 AS view_{k}"
+        )
+    return f"SELECT place_id, {', '.join(cols)} FROM {PLACES} p"
+
+
+@register("viewport_3857", _viewport_3857_sql())
+def viewport_3857_q(spark, d):
+    cfg = PLACE.replace(scale_expr=_SCALE_EXPR, bbox_expr="bbox_text", limit=None)
+    hits = search(X.places(spark, d), "   ", cfg)
+    v = with_viewport(hits, _MAP_3857, _MAP_SCALE, 3857)
+    return v.select(
+        "place_id", *[(F.round(f"viewport.{k}", 1) + F.lit(0.0)).alias(f"view_{k}") for k in ("xmin", "ymin", "xmax", "ymax")]
+    )
+
+
 @register(
     "expr_default",
     f"""SELECT place_id,

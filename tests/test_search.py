@@ -91,6 +91,8 @@ def test_extra_struct(table):
 def test_validation(table):
     with pytest.raises(ValueError):
         search(table, "red", CFG.replace(search_column="nope"))
+    with pytest.raises(ValueError, match="geom_missing"):
+        search(table, "red", CFG.replace(geom_column="geom_missing"))
     with pytest.raises(ValueError):
         SearchConfig(search_column="name", tie_break=())
     with pytest.raises(ValueError):
