@@ -20,9 +20,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from lookout import SearchConfig, batch_search, search, with_viewport  # noqa: E402
+from lookout import SearchConfig, batch_search, search  # noqa: E402
 from lookout.plans import catalog as C  # noqa: E402
 from lookout.plans import fixtures as X  # noqa: E402
 from lookout.session import local_session  # noqa: E402

@@ -1,18 +1 @@
 """Column expressions: patterns, suggestion lines, geometry, viewport, user expressions."""
-
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once.
-
-    ``body`` receives a lambda-bound name, so a value it uses many times is not
-    copied into the expression tree (which would multiply both analysis and
-    evaluation cost when such helpers nest).
-    """
-    return F.transform(F.array(value), body)[0]

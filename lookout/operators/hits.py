@@ -92,8 +92,3 @@ def with_viewport(
     view = V.viewport(F.col("bbox"), F.col("envelope"), F.col("centroid"), extent, F.lit(float(map_scale)), scale)
     known = (F.col("geom_class") != F.lit("unknown")) & F.col("reprojection_supported")
     return geo.select("*", F.when(known, view).alias("viewport"))
-
-
-def flatten_rect(column: str, prefix: str) -> list[Column]:
-    """Rectangle struct as four top-level columns ``<prefix>xmin`` ..."""
-    return [F.col(f"{column}.{k}").alias(f"{prefix}{k}") for k in ("xmin", "ymin", "xmax", "ymax")]

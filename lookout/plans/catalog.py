@@ -19,7 +19,7 @@ from ..functions import viewport as V
 from ..functions.expressions import with_expression
 from ..functions.patterns import wildcard_pattern
 from ..operators.batch import batch_search, prepare_queries
-from ..operators.hits import flatten_rect, with_geometry, with_viewport
+from ..operators.hits import with_geometry, with_viewport
 from ..operators.search import multi_search, search
 from ..streaming.debounce import debounce, debounce_search, latest_per_session
 from . import fixtures as X
