@@ -389,6 +389,27 @@ def search_collation(spark, d):
     return search(X.load(spark, d, "documents"), "the and", cfg)
 
 
+DOCS = SearchConfig(
+    name="documents",
+    search_column="text",
+    tie_break=("doc_id",),
+    display_columns=("lang", "source"),
+    echo_search_column=False,
+    extra_columns=("doc_id",),
+)
+_DOC_LINE = "concat_ws(', ', CASE WHEN lang <> '' THEN lang END, CASE WHEN source <> '' THEN source END)"
+
+
+@register(
+    "search_documents",
+    f"""SELECT {_NULL_GEOM}, {_DOC_LINE} AS suggestion, doc_id FROM documents
+        WHERE CAST(text AS STRING) ILIKE '%the%and%of%' ESCAPE '\\'
+        ORDER BY text, doc_id LIMIT 1000""",
+)
+def search_documents(spark, d):
+    return search(X.load(spark, d, "documents"), "the and of", DOCS)
+
+
 # --------------------------------------------------------------------------- B15 batch search
 
 _BATCH_PART_SQL = f"""
@@ -475,6 +496,34 @@ def batch_geocode(spark, d):
     return batch_search(X.places(spark, d), X.customer_queries(spark, d, 3), PLACE, strategy="blocked")
 
 
+_PART_NAME_QUERIES = "(SELECT CAST(p_partkey AS BIGINT) AS query_id, p_name AS text, CAST(3 AS INTEGER) AS k FROM part)"
+
+
+@register(
+    "batch_search_documents",
+    f"""
+WITH q AS (
+  SELECT query_id, k,
+    lower('%' || array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), '%') || '%')
+      AS pattern
+  FROM {_PART_NAME_QUERIES} s
+), pat AS (SELECT DISTINCT pattern FROM q),
+hits AS (
+  SELECT pat.pattern, d.doc_id, d.lang, d.source,
+    row_number() OVER (PARTITION BY pat.pattern ORDER BY d.text, d.doc_id) AS rank
+  FROM pat JOIN documents d ON CAST(d.text AS STRING) ILIKE pat.pattern ESCAPE '\\'
+)
+SELECT q.query_id, CAST(h.rank AS INTEGER) AS rank, {_NULL_GEOM},
+       concat_ws(', ', CASE WHEN h.lang <> '' THEN h.lang END, CASE WHEN h.source <> '' THEN h.source END) AS suggestion,
+       h.doc_id
+FROM q JOIN hits h ON q.pattern = h.pattern WHERE h.rank <= q.k
+""",
+)
+def batch_search_documents(spark, d):
+    queries = _part(spark, d).selectExpr("CAST(p_partkey AS BIGINT) AS query_id", "p_name AS text", "CAST(3 AS INT) AS k")
+    return batch_search(X.load(spark, d, "documents"), queries, DOCS, strategy="blocked")
+
+
 # --------------------------------------------------------------------------- B16 multi-config
 
 
