@@ -89,14 +89,41 @@ def _fold(text: Column, cfg: SearchConfig) -> Column:
 
 
 def _target(df: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """Searchable rows with the hit columns already computed (narrow)."""
+    """Searchable rows reduced to what matching needs: search value and tie key.
+
+    Hit columns (display line, geometry, extras, user expressions) are built
+    later, only for the rows that make some pattern's top k (late
+    materialization), so the n-gram explode and the candidate shuffle carry
+    two narrow columns instead of the whole hit.
+    """
     validate(df, cfg)
     clash = [c for c in cfg.extra_columns if c in ("query_id", "rank")]
     if clash:
         raise ValueError(f"extra columns clash with batch output columns: {clash}")
-    src = with_user_expressions(df, cfg).where(F.col(cfg.search_column).isNotNull())
+    src = df.where(F.col(cfg.search_column).isNotNull())
     keys = [F.col(cfg.search_column).alias(_S)] + [F.col(t).alias(n) for t, n in zip(cfg.tie_break, _tie_names(cfg))]
-    return src.select(*keys, *hit_columns(src, cfg))
+    return src.select(*keys)
+
+
+def _materialize(
+    top: DataFrame, df: DataFrame, cfg: SearchConfig, top_bound: int, max_broadcast_hits: int
+) -> tuple[DataFrame, list[str]]:
+    """Hit columns for the per-pattern top rows only.
+
+    ``top`` has at most ``top_bound`` rows (distinct patterns x largest k);
+    within ``max_broadcast_hits`` it is broadcast and the source is probed
+    map-side by tie key (null-safe), so the source is scanned but not
+    shuffled.  The tie-break key must be unique (DEC-4).
+    """
+    names = _tie_names(cfg)
+    keys = top.select(_P, F.col("rank").alias("__lk_rank"), *[F.col(n).alias(f"{n}_k") for n in names])
+    if top_bound <= max_broadcast_hits:
+        keys = F.broadcast(keys)
+    src = df.select("*", *[F.col(t).alias(n) for t, n in zip(cfg.tie_break, names)])
+    joined = src.join(keys, [src[n].eqNullSafe(keys[f"{n}_k"]) for n in names])
+    joined = with_user_expressions(joined, cfg)
+    out = joined.select(_P, F.col("__lk_rank").alias("rank"), *hit_columns(joined, cfg))
+    return out, out.columns[2:]
 
 
 def _order(cfg: SearchConfig) -> list[Column]:
@@ -196,7 +223,6 @@ def scan_search(
         raise ValueError(f"{n} distinct patterns exceed max_scan_patterns={max_scan_patterns}; use strategy='blocked'")
     listed = [(r[_P], r[_K]) for r in pats.select(_P, _K).collect()]  # bounded by the check above
     target = spread(_target(df, cfg), _tie_names(cfg))
-    hit_names = [c for c in target.columns if c != _S and not c.startswith(_T)]
     matched = F.array(
         *[
             F.when(match_condition(F.col(_S), p, cfg.case_sensitive), F.struct(F.lit(p).alias(_P), F.lit(k).alias(_K)))
@@ -206,7 +232,8 @@ def scan_search(
     hits = target.select(*target.columns, F.explode(F.filter(matched, lambda m: m.isNotNull())).alias("__lk_m"))
     cand = hits.select(*target.columns, F.col(f"__lk_m.{_P}").alias(_P), F.col(f"__lk_m.{_K}").alias(_K))
     top = _top_k_per_pattern(cand, cfg, k_max)
-    return _finish(top, prepared, cfg, hit_names, n * k_max, max_broadcast_hits)
+    hits, hit_names = _materialize(top, df, cfg, n * k_max, max_broadcast_hits)
+    return _finish(hits, prepared, cfg, hit_names, n * k_max, max_broadcast_hits)
 
 
 def _gram_regex(n: Column | int) -> Column:
@@ -327,7 +354,6 @@ def blocked_search(
     """n-gram blocked equi-join, then exact verification (same rows as ``scan``)."""
     pats = _distinct_patterns(prepared, cfg).where(F.col(_K) > 0)
     target = spread(_target(df, cfg), _tie_names(cfg))
-    hit_names = [c for c in target.columns if c != _S and not c.startswith(_T)]
     chosen = choose_grams(
         target, pats, cfg, max_broadcast_grams=max_broadcast_grams, rows_per_salt=rows_per_salt, gram_stats=gram_stats
     )
@@ -348,7 +374,9 @@ def blocked_search(
     )
     cand = rows.join(salted, [_N, _G, _SALT]).where(verify(cfg))
     top = _top_k_per_pattern(cand, cfg, k_max)
-    return _finish(top, prepared, cfg, hit_names, summary["count"] * k_max, max_broadcast_hits)
+    bound = summary["count"] * k_max
+    hits, hit_names = _materialize(top, df, cfg, bound, max_broadcast_hits)
+    return _finish(hits, prepared, cfg, hit_names, bound, max_broadcast_hits)
 
 
 def batch_search(

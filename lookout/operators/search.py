@@ -243,8 +243,8 @@ def search(df: DataFrame, text: str, cfg: SearchConfig, *, limit=None, extra_str
     else:
         pattern = wildcard_pattern_text(text, cfg.escape_spec_chars, cfg.backslash)
         matched = df.where(match_condition(cfg.search_column, pattern, cfg.case_sensitive))
-    matched = with_user_expressions(matched, cfg)
-    limited = apply_limit(matched, cfg, limit)
+    # user expressions after the cut: evaluated for the returned rows only
+    limited = with_user_expressions(apply_limit(matched, cfg, limit), cfg)
     return limited.select(*hit_columns(limited, cfg, extra_struct))
 
 
