@@ -22,11 +22,14 @@ tie-break key.  Two physical strategies return the same rows:
     rows still spreads over many tasks.
 
 Both strategies deduplicate patterns first (case-folded for case-insensitive
-search), keep the per-pattern top ``max(k)`` with a window whose
-``WindowGroupLimit`` runs before the shuffle (each task forwards at most ``k``
-rows per pattern), and join the result back to the query ids.  Nothing is
-collected to the driver; the only actions are counts of query-derived sets and
-one checkpoint of the per-pattern gram choice.
+search), match on the search value and tie key only, keep the per-pattern top
+``max(k)`` with a window whose ``WindowGroupLimit`` runs before the shuffle
+(each task forwards at most ``k`` rows per pattern), build the hit columns for
+those top rows only (late materialization), and join them back to the query
+ids.  The driver sees only bounded, query-derived things: counts and small
+summaries, the pattern literals of ``scan`` (at most ``max_scan_patterns``).
+The query set and the per-pattern gram choice are checkpointed into
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
