@@ -146,21 +146,47 @@ def _top_k_per_pattern(candidates: DataFrame, cfg: SearchConfig, k_max: int) ->
 
 
 def _finish(
-    top: DataFrame, prepared: DataFrame, cfg: SearchConfig, hit_names: list[str], top_bound: int, max_broadcast_hits: int
+    top: DataFrame,
+    prepared: DataFrame,
+    cfg: SearchConfig,
+    hit_names: list[str],
+    top_bound: int,
+    max_broadcast_hits: int,
+    queries_per_salt: int = 1_000_000,
+    max_hot_patterns: int = 100_000,
 ) -> DataFrame:
     """Join per-pattern top rows back to query ids; cut at each query's own k.
 
     ``top_bound`` (distinct patterns x largest k) is a proven upper bound on the
     rows of ``top``.  Within ``max_broadcast_hits`` the top rows are broadcast,
-    so the query side is never shuffled and a pattern typed by a third of all
-    users costs nothing extra; above it the join shuffles on the pattern and
-    AQE's skew-join handling splits a hot pattern's partition.
+    so the query side is never shuffled.  Above it both sides shuffle on
+    (pattern, salt): patterns with more than ``queries_per_salt`` queries (found
+    with a partial-aggregated count; at most ``max_hot_patterns`` of them, so
+    that set is broadcast) split their queries over
+    ``ceil(queries / queries_per_salt)`` salts by query id, and their top rows
+    are replicated to every salt.  A pattern typed by a third of all users thus
+    spreads over many tasks.
     """
     q = prepared.select("query_id", _pattern_key(F.col("pattern"), cfg).alias(_P), F.col("k").alias("__lk_qk"))
     if top_bound <= max_broadcast_hits:
-        top = F.broadcast(top)
-    joined = q.join(top, _P).where(F.col("rank") <= F.col("__lk_qk"))
-    return joined.select("query_id", "rank", *hit_names)
+        joined = q.join(F.broadcast(top), _P)
+    else:
+        total = prepared.count()
+        per_salt = max(queries_per_salt, -(-total // max(max_hot_patterns, 1)))  # bounds the hot set
+        counts = q.groupBy(_P).agg(F.count(F.lit(1)).alias("__lk_qn"))
+        hot = counts.where(F.col("__lk_qn") > per_salt).select(
+            _P, F.ceil(F.col("__lk_qn") / F.lit(per_salt)).cast("int").alias("__lk_qs")
+        )
+        hot = F.broadcast(hot)  # at most total / per_salt <= max_hot_patterns rows
+        salts = F.coalesce(F.col("__lk_qs"), F.lit(1))
+        q_side = q.join(hot, _P, "left").select(
+            "query_id", _P, "__lk_qk", F.pmod(F.xxhash64("query_id"), salts).cast("int").alias("__lk_qsalt")
+        )
+        t_side = top.join(hot, _P, "left").select(
+            "*", F.explode(F.sequence(F.lit(0), salts - 1)).alias("__lk_qsalt")
+        ).drop("__lk_qs")
+        joined = q_side.join(t_side, [_P, "__lk_qsalt"])
+    return joined.where(F.col("rank") <= F.col("__lk_qk")).select("query_id", "rank", *hit_names)
 
 
 def _distinct_patterns(prepared: DataFrame, cfg: SearchConfig) -> DataFrame:
@@ -208,6 +234,7 @@ def scan_search(
     *,
     max_scan_patterns: int = 64,
     max_broadcast_hits: int = 1_000_000,
+    queries_per_salt: int = 1_000_000,
 ) -> DataFrame:
     """Few distinct patterns: one pass over the relation, no join.
 
@@ -236,7 +263,7 @@ def scan_search(
     cand = hits.select(*target.columns, F.col(f"__lk_m.{_P}").alias(_P), F.col(f"__lk_m.{_K}").alias(_K))
     top = _top_k_per_pattern(cand, cfg, k_max)
     hits, hit_names = _materialize(top, df, cfg, n * k_max, max_broadcast_hits)
-    return _finish(hits, prepared, cfg, hit_names, n * k_max, max_broadcast_hits)
+    return _finish(hits, prepared, cfg, hit_names, n * k_max, max_broadcast_hits, queries_per_salt)
 
 
 def _gram_regex(n: Column | int) -> Column:
@@ -353,6 +380,7 @@ def blocked_search(
     rows_per_salt: int = 1_000_000,
     max_broadcast_hits: int = 1_000_000,
     gram_stats: DataFrame | None = None,
+    queries_per_salt: int = 1_000_000,
 ) -> DataFrame:
     """n-gram blocked equi-join, then exact verification (same rows as ``scan``)."""
     pats = _distinct_patterns(prepared, cfg).where(F.col(_K) > 0)
@@ -379,7 +407,7 @@ def blocked_search(
     top = _top_k_per_pattern(cand, cfg, k_max)
     bound = summary["count"] * k_max
     hits, hit_names = _materialize(top, df, cfg, bound, max_broadcast_hits)
-    return _finish(hits, prepared, cfg, hit_names, bound, max_broadcast_hits)
+    return _finish(hits, prepared, cfg, hit_names, bound, max_broadcast_hits, queries_per_salt)
 
 
 def batch_search(
@@ -397,6 +425,7 @@ def batch_search(
     rows_per_salt: int = 1_000_000,
     max_broadcast_hits: int = 1_000_000,
     gram_stats: DataFrame | None = None,
+    queries_per_salt: int = 1_000_000,
 ) -> DataFrame:
     """Top ``k`` hits per query: ``[query_id, rank, geom, epsg, suggestion, extra...]``.
 
@@ -415,7 +444,12 @@ def batch_search(
         strategy = "scan" if n <= scan_max_patterns else "blocked"
     if strategy == "scan":
         return scan_search(
-            df, prepared, cfg, max_scan_patterns=max_scan_patterns, max_broadcast_hits=max_broadcast_hits
+            df,
+            prepared,
+            cfg,
+            max_scan_patterns=max_scan_patterns,
+            max_broadcast_hits=max_broadcast_hits,
+            queries_per_salt=queries_per_salt,
         )
     return blocked_search(
         df,
@@ -425,4 +459,5 @@ def batch_search(
         rows_per_salt=rows_per_salt,
         max_broadcast_hits=max_broadcast_hits,
         gram_stats=gram_stats,
+        queries_per_salt=queries_per_salt,
     )

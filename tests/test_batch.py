@@ -74,6 +74,8 @@ def test_strategies_agree_with_brute_force(spark, seed):
     # force the non-broadcast join paths
     assert run(spark, rows, queries, CFG, strategy="blocked", max_broadcast_grams=0, max_broadcast_hits=0) == want
     assert run(spark, rows, queries, CFG, strategy="scan", max_broadcast_hits=0) == want
+    # salted join back: every pattern with more than one query is "hot"
+    assert run(spark, rows, queries, CFG, strategy="blocked", max_broadcast_hits=0, queries_per_salt=1) == want
 
 
 def test_precomputed_gram_stats(spark):
@@ -133,3 +135,15 @@ def test_internal_names_do_not_clash(spark):
         out = batch_search(df, q, cfg, strategy=strategy)
         assert out.columns == ["query_id", "rank", "geom", "epsg", "suggestion", "key", "n", "g"]
         assert out.count() == 5
+
+
+def test_hot_pattern_join_back_is_salted(spark):
+    rows = [(i, f"ring {i}") for i in range(40)]
+    queries = [(j, "RING", 2) for j in range(60)] + [(100, "ring 1", 3)]
+    df = spark.createDataFrame(rows, "key long, name string")
+    q = spark.createDataFrame(queries, "query_id long, text string, k int")
+    out = batch_search(df, q, CFG, strategy="blocked", max_broadcast_hits=0, queries_per_salt=7)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "__lk_qsalt" in plan
+    got = {(r.query_id, r.rank, r.key) for r in out.collect()}
+    assert got == brute_force(rows, queries, CFG)
