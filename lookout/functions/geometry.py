@@ -246,7 +246,7 @@ def sql_centroid(cls: str, total: str) -> str:
     by_area = f"named_struct('x', {t}.wx / {t}.w, 'y', {t}.wy / {t}.w)"
     line_or_mean = f"CASE WHEN {t}.len > 0 THEN {by_length} ELSE {mean} END"
     return (
-        f"CASE WHEN {t} IS NULL OR {t}.n IS NULL OR {t}.n = 0 THEN NULL "
+        f"CASE WHEN {t} IS NULL OR {t}.n IS NULL OR {t}.n <= 0 THEN NULL "  # size(null) is -1 without ANSI
         f"WHEN {cls} = 'point' THEN {mean} "
         f"WHEN {cls} = 'line' THEN {line_or_mean} "
         f"WHEN {cls} = 'polygon' THEN CASE WHEN {t}.w != 0 THEN {by_area} ELSE {line_or_mean} END END"
