@@ -187,3 +187,10 @@ def test_any_rows_tree_on_wide_input(spark):
     assert got.count() == 30
     assert "spark_partition_id" in got._jdf.queryExecution().executedPlan().toString().lower()
     assert any_rows(df.coalesce(2), 30, [F.col("id").asc()]).count() == 30
+
+
+def test_multi_search_without_extra_columns(spark):
+    a = spark.createDataFrame([(1, "red ring")], "k long, name string")
+    cfg = SearchConfig(name="a", search_column="name", tie_break="k")
+    rows = multi_search([(cfg, a)], "red").collect()
+    assert [(r.config_name, r.suggestion, r.extra) for r in rows] == [("a", "red ring", "{}")]
