@@ -147,3 +147,22 @@ def test_hot_pattern_join_back_is_salted(spark):
     assert "__lk_qsalt" in plan
     got = {(r.query_id, r.rank, r.key) for r in out.collect()}
     assert got == brute_force(rows, queries, CFG)
+
+
+def test_empty_and_short_query_sets(spark):
+    rows = [(i, f"red ring {i}") for i in range(10)]
+    df = spark.createDataFrame(rows, "key long, name string")
+    for queries in ([], [(1, "zz", 3), (2, None, 3)]):
+        q = spark.createDataFrame(queries, "query_id long, text string, k int")
+        for strategy in ("auto", "scan", "blocked"):
+            out = batch_search(df, q, CFG, strategy=strategy)
+            assert out.columns == ["query_id", "rank", "geom", "epsg", "suggestion", "key"]
+            assert out.count() == 0
+
+
+def test_null_and_zero_k(spark):
+    rows = [(i, f"red ring {i}") for i in range(10)]
+    df = spark.createDataFrame(rows, "key long, name string")
+    q = spark.createDataFrame([(1, "ring", None), (2, "ring", 0), (3, "red", 2)], "query_id long, text string, k int")
+    got = {(r.query_id, r["rank"]) for r in batch_search(df, q, CFG.replace(limit=4), strategy="blocked").collect()}
+    assert got == {(1, 1), (1, 2), (1, 3), (1, 4), (3, 1), (3, 2)}
