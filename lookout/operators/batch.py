@@ -120,8 +120,8 @@ def _materialize(
     """
     names = _tie_names(cfg)
     keys = top.select(_P, F.col("rank").alias("__lk_rank"), *[F.col(n).alias(f"{n}_k") for n in names])
-    if top_bound <= max_broadcast_hits:
-        keys = F.broadcast(keys)
+    # only a counted bound may broadcast; otherwise a shuffle join, never a planner guess
+    keys = F.broadcast(keys) if top_bound <= max_broadcast_hits else keys.hint("merge")
     src = df.select("*", *[F.col(t).alias(n) for t, n in zip(cfg.tie_break, names)])
     joined = src.join(keys, [src[n].eqNullSafe(keys[f"{n}_k"]) for n in names])
     joined = with_user_expressions(joined, cfg)
@@ -185,7 +185,7 @@ def _finish(
         t_side = top.join(hot, _P, "left").select(
             "*", F.explode(F.sequence(F.lit(0), salts - 1)).alias("__lk_qsalt")
         ).drop("__lk_qs")
-        joined = q_side.join(t_side, [_P, "__lk_qsalt"])
+        joined = q_side.join(t_side.hint("merge"), [_P, "__lk_qsalt"])
     return joined.where(F.col("rank") <= F.col("__lk_qk")).select("query_id", "rank", *hit_names)
 
 
@@ -352,7 +352,7 @@ def choose_grams(
     needed = qg.select(_N, _G).distinct()
     summary = needed.agg(F.count(F.lit(1)).alias("count"), F.collect_set(_N).alias("sizes")).first()
     sizes = sorted(summary["sizes"])  # at most GRAM + 1 values
-    needed_b = F.broadcast(needed) if summary["count"] <= max_broadcast_grams else needed
+    needed_b = F.broadcast(needed) if summary["count"] <= max_broadcast_grams else needed.hint("merge")
     if not sizes:
         return qg.select(_P, _K, _PARTS, _CHAIN, _N, _G, F.lit(0).alias(_DF), F.lit(1).alias(_NSALT))
     if gram_stats is None:
@@ -395,15 +395,17 @@ def blocked_search(
     sizes = sorted(summary["sizes"]) or [GRAM]
     k_max = int(summary["k_max"] or 0)
     gram_salts = chosen.select(_N, _G, _NSALT).distinct()
-    if summary["count"] <= max_broadcast_grams:  # distinct grams <= chosen rows
-        gram_salts = F.broadcast(gram_salts)
+    # distinct grams <= chosen rows, so the count bounds the broadcast
+    gram_salts = F.broadcast(gram_salts) if summary["count"] <= max_broadcast_grams else gram_salts.hint("merge")
     rows = table_grams(target, sizes, cfg, target.columns).join(gram_salts, [_N, _G])
     tie = [F.col(n) for n in _tie_names(cfg)]
     rows = rows.withColumn(_SALT, F.pmod(F.xxhash64(*tie), F.col(_NSALT)).cast("int")).drop(_NSALT)
     salted = chosen.select(
         _P, _K, _PARTS, _CHAIN, _N, _G, F.explode(F.sequence(F.lit(0), F.col(_NSALT) - 1)).alias(_SALT)
     )
-    cand = rows.join(salted, [_N, _G, _SALT]).where(verify(cfg))
+    # the salted shuffle join is the design: never let a size estimate of the
+    # exploded rows (which undershoots after explode) turn it into a broadcast
+    cand = rows.join(salted.hint("merge"), [_N, _G, _SALT]).where(verify(cfg))
     top = _top_k_per_pattern(cand, cfg, k_max)
     bound = summary["count"] * k_max
     hits, hit_names = _materialize(top, df, cfg, bound, max_broadcast_hits)
