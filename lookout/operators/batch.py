@@ -283,16 +283,20 @@ def _grams(text: Column, n: Column | int) -> Column:
     return F.when(n == 0, F.array(F.lit(""))).otherwise(grams)
 
 
-def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash-spread a relation that arrives in fewer partitions than the cluster has
-    cores (one small file), so per-row work (n-gram explode, verification) is
-    parallel.  A relation read from many files is left as it is: no shuffle."""
+def spread(df: DataFrame, keys: list[str], *, narrow_below: int = 16, at_most: int = 256) -> DataFrame:
+    """Hash-spread a genuinely narrow relation (a few small files) so the
+    per-row work (n-gram explode, verification) runs on more than a handful of
+    cores.  Only inputs with fewer than ``narrow_below`` partitions - a few GB
+    at most - are touched, to at most ``at_most`` partitions; a relation read
+    from many files is left alone, so a large table is never reshuffled."""
     try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= want:
-            return df
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD access (e.g. Spark Connect): leave as is
         return df
+    want = min(cores, at_most)
+    if have >= min(want, narrow_below):
+        return df
     return df.repartition(want, *[F.col(k) for k in keys])
 
 
