@@ -16,6 +16,7 @@ for every row, as the reference does when it rejects an expression.
 from __future__ import annotations
 
 import contextlib
+import threading
 import warnings
 
 from pyspark.errors import AnalysisException, ParseException
@@ -23,14 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+_MODE_LOCK = threading.Lock()
+
+
 @contextlib.contextmanager
 def lenient_mode(spark):
-    previous = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", previous)
+    """ANSI off while a projection is analysed; one caller at a time, since the
+    setting is session-wide."""
+    with _MODE_LOCK:
+        previous = spark.conf.get("spark.sql.ansi.enabled")
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        try:
+            yield
+        finally:
+            spark.conf.set("spark.sql.ansi.enabled", previous)
 
 
 def with_expression(
