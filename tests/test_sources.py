@@ -157,3 +157,12 @@ def test_gpkg_directory_of_files(spark, scratch):
         make_gpkg(os.path.join(scratch, f"f{i}.gpkg"), n=4)
     df = spark.read.format("gpkg").option("layer", "places").load(scratch)
     assert df.count() == 12
+
+
+def test_blob_big_endian_with_envelope_and_empty_point():
+    # flags: little-endian header (bit 0), envelope indicator 1 -> 4 doubles (32 bytes)
+    header = b"GP" + bytes([0, 0b00000011]) + struct.pack("<i", 4326) + struct.pack("<dddd", 0, 2, 0, 3)
+    wkb = struct.pack(">BI", 0, 2) + struct.pack(">I", 2) + struct.pack(">dd", 0, 0) + struct.pack(">dd", 2, 3)
+    assert gpkg_blob_to_wkt(header + wkb) == "LINESTRING (0 0, 2 3)"
+    nan = float("nan")
+    assert gpkg_blob_to_wkt(gp_blob(struct.pack("<BIdd", 1, 1, nan, nan))) == "POINT EMPTY"
