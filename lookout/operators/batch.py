@@ -91,13 +91,15 @@ def _fold(text: Column, cfg: SearchConfig) -> Column:
     return text if cfg.case_sensitive else F.lower(text)
 
 
-def _target(df: DataFrame, cfg: SearchConfig) -> DataFrame:
+def _target(df: DataFrame, cfg: SearchConfig, with_hits: bool = False) -> DataFrame:
     """Searchable rows reduced to what matching needs: search value and tie key.
 
-    Hit columns (display line, geometry, extras, user expressions) are built
-    later, only for the rows that make some pattern's top k (late
-    materialization), so the n-gram explode and the candidate shuffle carry
-    two narrow columns instead of the whole hit.
+    Normally the hit columns (display line, geometry, extras, user
+    expressions) are built later, only for the rows that make some pattern's
+    top k (late materialization, :func:`_materialize`), so the n-gram explode
+    and the candidate shuffle carry two narrow columns.  ``with_hits`` builds
+    them here instead; that is used when the top set is too large to
+    broadcast, because joining it back would reshuffle the whole source.
     """
     validate(df, cfg)
     clash = [c for c in cfg.extra_columns if c in ("query_id", "rank")]
@@ -105,7 +107,14 @@ def _target(df: DataFrame, cfg: SearchConfig) -> DataFrame:
         raise ValueError(f"extra columns clash with batch output columns: {clash}")
     src = df.where(F.col(cfg.search_column).isNotNull())
     keys = [F.col(cfg.search_column).alias(_S)] + [F.col(t).alias(n) for t, n in zip(cfg.tie_break, _tie_names(cfg))]
-    return src.select(*keys)
+    if not with_hits:
+        return src.select(*keys)
+    src = with_user_expressions(src, cfg)
+    return src.select(*keys, *hit_columns(src, cfg))
+
+
+def _hit_names(target: DataFrame) -> list[str]:
+    return [c for c in target.columns if c != _S and not c.startswith(_T)]
 
 
 def _materialize(
@@ -252,7 +261,8 @@ def scan_search(
     if n > max_scan_patterns:
         raise ValueError(f"{n} distinct patterns exceed max_scan_patterns={max_scan_patterns}; use strategy='blocked'")
     listed = [(r[_P], r[_K]) for r in pats.select(_P, _K).collect()]  # bounded by the check above
-    target = spread(_target(df, cfg), _tie_names(cfg))
+    late = n * k_max <= max_broadcast_hits
+    target = spread(_target(df, cfg, with_hits=not late), _tie_names(cfg))
     matched = F.array(
         *[
             F.when(match_condition(F.col(_S), p, cfg.case_sensitive), F.struct(F.lit(p).alias(_P), F.lit(k).alias(_K)))
@@ -262,7 +272,10 @@ def scan_search(
     hits = target.select(*target.columns, F.explode(F.filter(matched, lambda m: m.isNotNull())).alias("__lk_m"))
     cand = hits.select(*target.columns, F.col(f"__lk_m.{_P}").alias(_P), F.col(f"__lk_m.{_K}").alias(_K))
     top = _top_k_per_pattern(cand, cfg, k_max)
-    hits, hit_names = _materialize(top, df, cfg, n * k_max, max_broadcast_hits)
+    if late:
+        hits, hit_names = _materialize(top, df, cfg, n * k_max, max_broadcast_hits)
+    else:
+        hits, hit_names = top, _hit_names(target)
     return _finish(hits, prepared, cfg, hit_names, n * k_max, max_broadcast_hits, queries_per_salt)
 
 
@@ -401,6 +414,10 @@ def blocked_search(
     gram_salts = chosen.select(_N, _G, _NSALT).distinct()
     # distinct grams <= chosen rows, so the count bounds the broadcast
     gram_salts = F.broadcast(gram_salts) if summary["count"] <= max_broadcast_grams else gram_salts.hint("merge")
+    bound = summary["count"] * k_max
+    late = bound <= max_broadcast_hits
+    if not late:
+        target = spread(_target(df, cfg, with_hits=True), _tie_names(cfg))
     rows = table_grams(target, sizes, cfg, target.columns).join(gram_salts, [_N, _G])
     tie = [F.col(n) for n in _tie_names(cfg)]
     rows = rows.withColumn(_SALT, F.pmod(F.xxhash64(*tie), F.col(_NSALT)).cast("int")).drop(_NSALT)
@@ -411,8 +428,10 @@ def blocked_search(
     # exploded rows (which undershoots after explode) turn it into a broadcast
     cand = rows.join(salted.hint("merge"), [_N, _G, _SALT]).where(verify(cfg))
     top = _top_k_per_pattern(cand, cfg, k_max)
-    bound = summary["count"] * k_max
-    hits, hit_names = _materialize(top, df, cfg, bound, max_broadcast_hits)
+    if late:
+        hits, hit_names = _materialize(top, df, cfg, bound, max_broadcast_hits)
+    else:
+        hits, hit_names = top, _hit_names(target)
     return _finish(hits, prepared, cfg, hit_names, bound, max_broadcast_hits, queries_per_salt)
 
 
