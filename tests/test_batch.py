@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from lookout import SearchConfig, batch_search
 from lookout.functions.patterns import wildcard_pattern_text

@@ -1,7 +1,6 @@
 """The three suggestion policies and their null / empty / separator rules."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from lookout.functions.suggest import parse_display_columns, suggestion
 
