@@ -166,3 +166,27 @@ def test_blob_big_endian_with_envelope_and_empty_point():
     assert gpkg_blob_to_wkt(header + wkb) == "LINESTRING (0 0, 2 3)"
     nan = float("nan")
     assert gpkg_blob_to_wkt(gp_blob(struct.pack("<BIdd", 1, 1, nan, nan))) == "POINT EMPTY"
+
+
+def test_settings_row_to_gpkg_search(spark, scratch):
+    path = os.path.join(scratch, "places.gpkg")
+    make_gpkg(path, n=12)
+    cfg = SearchConfig.from_mapping(
+        {
+            "data_type": "gpkg",
+            "file": path,
+            "table": "places",
+            "search_column": "name",
+            "tie_break": "fid",
+            "display_columns": "context1,context2",
+            "geom_column": "geom",
+            "authid_column": "authid",
+            "echo_search_column": True,
+            "limit_results": 0,
+        }
+    )
+    hits = search(read_source(spark, cfg), "place 1", cfg)
+    got = sorted((r.suggestion, r.epsg) for r in hits.collect())
+    # row i: name "Place {i+1}", context1 cycles "", "town", None, context2 = i % 4;
+    # the GeoPackage line drops empty text and zero
+    assert got == [("Place 1", 4326), ("Place 10, 1", 4326), ("Place 11, town, 2", 4326), ("Place 12, 3", 4326)]
