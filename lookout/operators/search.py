@@ -6,10 +6,11 @@ display line -> geometry + SRID -> extra columns -> order -> limit.  The text
 is a bound literal, never spliced into SQL (DEC-8).
 
 Plan shape (``explain``): the parquet scan reads only the referenced columns,
-the match is a filter in the scan's codegen stage, and ``top_k`` becomes
-``TakeOrderedAndProject`` - every task keeps its own best ``n`` rows and only
-those reach the final merge, so the shuffle is bounded by ``n`` x tasks no
-matter how many rows match.
+and the match is a filter in the scan's codegen stage (``Contains`` for one
+literal part, an ordered ``locate`` chain for several, LIKE only with ``_``).
+Every task keeps its own best ``n`` rows; a narrow input merges them with
+``TakeOrderedAndProject``, a wide scan through a two-level tree
+(:func:`top_k`), so no single task receives ``n`` rows from every map task.
 """
 
 from __future__ import annotations
