@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -41,3 +42,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows that one task numbers at most, on average.
+ROWS_PER_CHUNK = 50_000
+#: Offset rows (24 bytes) that are broadcast at most.
+MAX_OFFSETS = 200_000
+
+
+def numbered(df: DataFrame, groups: list[str], order: list[str], name: str, rows: int) -> DataFrame:
+    """``df`` with a gapless number from 0 within each group, however large the group is.
+
+    Rows are dealt into hashed chunks of about ``ROWS_PER_CHUNK`` rows; a row's number is its
+    place in the chunk plus the sizes of the group's chunks before it.  ``rows`` is the row
+    count of ``df``, which should be a written table.  The order is by chunk, then by ``order``.
+    """
+    chunks = max(1, -(-rows // ROWS_PER_CHUNK))
+    df = df.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int"))
+    sizes = written(df.groupBy(*groups, "_chunk").agg(F.count("*").alias("_size")), "sizes")
+    before = Window.partitionBy(*groups).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*groups, "_chunk", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    offsets = F.broadcast(offsets) if sizes.count() <= MAX_OFFSETS else offsets.hint("merge")
+    place = F.row_number().over(Window.partitionBy(*groups, "_chunk").orderBy(*order)) - 1
+    out = df.withColumn("_place", place).join(offsets, [*groups, "_chunk"])
+    return out.withColumn(name, (F.col("_place") + F.col("_offset")).cast("long")).drop("_chunk", "_place", "_offset")
