@@ -11,6 +11,7 @@ from . import oracle
 from .common import table
 from .line_dedup import line_dedup
 from .line_rules import line_rules
+from .lm_scoring import lattice_scores
 from .minhash import near_duplicates
 from .packing import pack
 
@@ -31,6 +32,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_removed", "removed_words", spans.alias("removed_spans"), "clean_text")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_rules(table(spark, sf_dir, "documents"))
     return found.withColumn("removed_lines", F.array_join(F.col("removed_lines").cast("array<string>"), ","))
@@ -43,6 +48,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
 }
