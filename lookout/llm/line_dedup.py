@@ -23,6 +23,7 @@ from .words import U, mix, texts
 MIN_WORDS = 8
 
 _UNITS = "doc_id bigint, version bigint, d1 bigint, d2 bigint, start bigint, end bigint, words bigint"
+_REMOVED = "array<struct<start:bigint,end:bigint,words:bigint,kept_doc_id:bigint,kept_start:bigint>>"
 
 
 def _paragraphs(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +93,8 @@ def line_dedup(
     unit: str = "line",
     min_words: int = MIN_WORDS,
 ) -> DataFrame:
-    """doc_id, clean_text, removed (start, end by start), n_removed, removed_words of every row.
+    """doc_id, clean_text and removed of every row: the removed spans by start, each with its
+    number of words and the place of the occurrence that stays.
 
     ``id_col`` is the rank.  Null text: nothing to remove, clean_text null.  A row with a null
     id is left alone and keeps no unit from others.  Rows that repeat both id and text are one
@@ -109,15 +111,11 @@ def line_dedup(
     groups = units.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     groups = groups.where("first <> last").select("d1", "d2", "first")
     extra = units.join(groups, ["d1", "d2"]).where(place != F.col("first"))
-    extra = extra.select("doc_id", "version", "start", "end", "words").distinct()
-    removed = extra.groupBy("doc_id", "version").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"), F.sum("words").alias("removed_words")
-    )
+    stays = [F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start")]
+    extra = extra.select("doc_id", "version", "start", "end", "words", *stays).distinct()
+    span = F.struct("start", "end", "words", "kept_doc_id", "kept_start")
+    removed = extra.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(span)).alias("removed"))
     out = docs.join(removed, ["doc_id", "version"], "left").select(
-        "doc_id",
-        "text",
-        F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("removed"),
-        F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"),
+        "doc_id", "text", F.coalesce("removed", F.array().cast(_REMOVED)).alias("removed")
     )
-    schema = "doc_id bigint, clean_text string, removed array<struct<start:bigint,end:bigint>>, removed_words bigint"
-    return out.mapInArrow(_cut, schema).withColumn("n_removed", F.size("removed").cast("long"))
+    return out.mapInArrow(_cut, f"doc_id bigint, clean_text string, removed {_REMOVED}")

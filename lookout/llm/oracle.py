@@ -48,25 +48,9 @@ n AS (
          regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
   FROM u),
 r AS (
-  SELECT *, row_number() OVER (PARTITION BY words ORDER BY doc_id, s) > 1 AS gone FROM n WHERE len(words) >= 8),
-x AS (
-  SELECT doc_id, CAST(count(*) AS BIGINT) AS n_removed, CAST(sum(len(words)) AS BIGINT) AS removed_words,
-         string_agg(s || ':' || t, ',' ORDER BY s) AS removed_spans
-  FROM r WHERE gone GROUP BY doc_id),
-kept AS (
-  SELECT n.doc_id, string_agg(n.line, chr(10) ORDER BY n.k) AS clean_text
-  FROM n LEFT JOIN (SELECT doc_id, s FROM r WHERE gone) q ON n.doc_id = q.doc_id AND n.s = q.s
-  WHERE q.doc_id IS NULL GROUP BY n.doc_id),
-tail AS (  -- a removed last line leaves the newline before it
-  SELECT n.doc_id, bool_or(q.doc_id IS NOT NULL) AS last_gone, count(*) > 1 AS more FROM
-    (SELECT doc_id, max(s) AS s, count(*) AS c FROM n GROUP BY doc_id) m JOIN n USING (doc_id)
-    LEFT JOIN (SELECT doc_id, s FROM r WHERE gone) q ON m.doc_id = q.doc_id AND m.s = q.s
-  GROUP BY n.doc_id)
-SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed_words, 0) AS removed_words,
-       coalesce(removed_spans, '') AS removed_spans,
-       CASE WHEN d.text IS NULL THEN NULL
-            ELSE coalesce(clean_text || CASE WHEN last_gone THEN chr(10) ELSE '' END, '') END AS clean_text
-FROM documents d LEFT JOIN x USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN tail USING (doc_id)
+  SELECT *, len(words) AS c, first_value(doc_id) OVER w AS kept_doc_id, first_value(s) OVER w AS kept_start, row_number() OVER w AS place
+  FROM n WHERE len(words) >= 8 WINDOW w AS (PARTITION BY words ORDER BY doc_id, s))
+SELECT doc_id, s AS start, t AS "end", CAST(c AS BIGINT) AS words, kept_doc_id, kept_start FROM r WHERE place > 1
 """
 
 # A line is boilerplate in a host above 10 distinct texts and 5 % of the host's distinct texts.

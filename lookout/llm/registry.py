@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from . import oracle
 from .common import table
+from .decontaminate import leaks
 from .line_dedup import line_dedup
 from .line_rules import line_rules
 from .lm_scoring import lattice_scores
 from .minhash import near_duplicates
 from .packing import pack
+from .pii import personal_data
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,15 +29,20 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every removed line."""
     found = line_dedup(table(spark, sf_dir, "documents"))
-    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
-    return found.select("doc_id", "n_removed", "removed_words", spans.alias("removed_spans"), "clean_text")
+    return found.select("doc_id", F.explode("removed").alias("r")).select("doc_id", "r.*")
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document and benchmark item that it holds."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_rules(table(spark, sf_dir, "documents"))
     return found.withColumn("removed_lines", F.array_join(F.col("removed_lines").cast("array<string>"), ","))
@@ -45,12 +52,18 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_lm_scoring": op5_lm_scoring,
+    "op7_decontamination": op7_decontamination,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
+    "op10_pii": op10_pii,
 }
 
 ORACLE: dict[str, str] = dict(oracle.SQL)
