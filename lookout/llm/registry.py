@@ -16,6 +16,8 @@ from .lm_scoring import lattice_scores
 from .minhash import near_duplicates
 from .packing import pack
 from .pii import personal_data
+from .quality import quality_posteriors
+from .sharding import shard
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,6 +30,14 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for every removed line."""
     found = line_dedup(table(spark, sf_dir, "documents"))
@@ -58,6 +68,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_sharding": op2_sharding,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_lm_scoring": op5_lm_scoring,
     "op7_decontamination": op7_decontamination,
