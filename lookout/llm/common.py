@@ -66,3 +66,17 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], name: str, rows
     place = F.row_number().over(Window.partitionBy(*groups, "_chunk").orderBy(*order)) - 1
     out = df.withColumn("_place", place).join(offsets, [*groups, "_chunk"])
     return out.withColumn(name, (F.col("_place") + F.col("_offset")).cast("long")).drop("_chunk", "_place", "_offset")
+
+
+#: Ids (8 bytes each) that are broadcast at most.
+MAX_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows of the given ids; rows with a null id stay.
+
+    Up to ``MAX_IDS`` ids are broadcast, so texts do not move; more are met in a shuffled join.
+    """
+    ids = written(ids.select(F.col(ids.columns[0]).alias(id_col)).where(F.col(id_col).isNotNull()).distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= MAX_IDS else ids.hint("merge")
+    return docs.join(ids, id_col, "left_anti").select(*docs.columns)

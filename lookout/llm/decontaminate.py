@@ -192,8 +192,3 @@ def leaks(
             parts.append(docs.mapInArrow(_scan(shared), _LEAKS))
     return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], _LEAKS)
 
-
-def drop_contaminated(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents that leak; a null id is never dropped."""
-    bad = found.select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti")

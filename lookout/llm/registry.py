@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import oracle
 from .common import table
 from .decontaminate import leaks
+from .licenses import scan
 from .line_dedup import line_dedup
 from .line_rules import line_rules
 from .lm_scoring import lattice_scores
@@ -48,6 +49,12 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no path of their own: a document is a file named by its id in source/lang."""
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", "doc_id")))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for every document and benchmark item that it holds."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -72,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_license_scans": op6_license_scans,
     "op7_decontamination": op7_decontamination,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
