@@ -25,6 +25,11 @@ from .functions.suggest import POLICIES, parse_display_columns
 DATA_TYPES = ("parquet", "table", "dataframe", "jdbc", "postgres", "mssql", "oracle", "gpkg")
 LIMIT_MODES = ("top_k", "any_n", "unordered")
 
+# Keys of a stored settings row that differ from the field names.
+SETTINGS_KEYS = {"limit_results": "limit", "file": "path"}
+# How a stored settings row spells booleans.
+_TRUE, _FALSE = ("true", "1", "yes", "on"), ("false", "0", "no", "off", "")
+
 _PROFILES: dict[str, dict] = {
     "postgres": dict(policy="coalesce_sep", backslash="escape", limit_mode="top_k"),
     "mssql": dict(policy="concat_all", backslash="literal", limit_mode="top_k"),
@@ -33,6 +38,22 @@ _PROFILES: dict[str, dict] = {
 }
 
 
+def _typed(name: str, kind: object, value: object) -> object:
+    """A stored text as the field's type; other values as they are."""
+    if not isinstance(value, str):
+        return value
+    text = value.strip()
+    if kind in (bool, "bool"):
+        if text.lower() not in (*_TRUE, *_FALSE):
+            raise ValueError(f"setting {name}: {value!r} is not a boolean")
+        return text.lower() in _TRUE
+    if kind in (int, "int"):
+        return int(text)
+    if name == "srid" and text.lstrip("-").isdigit():
+        return int(text)
+    return value
+
+
 def _tuple(value) -> tuple[str, ...]:
     if value is None:
         return ()
@@ -112,19 +133,20 @@ class SearchConfig:
         """Build from a settings-like mapping or a DataFrame ``Row.asDict()``.
 
         Accepts the reference's key names (``echo_search_column``,
-        ``display_columns`` as a comma list, ``limit_results``...).
+        ``display_columns`` as a comma list, ``limit_results``...).  Stored
+        text is read by the field's type: booleans, whole numbers.
         """
-        known = {f.name for f in dataclasses.fields(cls)}
+        known = {f.name: f.type for f in dataclasses.fields(cls)}
         kwargs = {}
         for key, value in dict(row).items():
             if value is None:
                 continue
-            if key == "limit_results":
-                key = "limit"
-            if key == "file":
-                key = "path"
+            key = SETTINGS_KEYS.get(key, key)
             if key in known:
-                kwargs[key] = value
+                kwargs[key] = _typed(key, known[key], value)
+        for key in ("search_column", "tie_break"):
+            if not kwargs.get(key):
+                raise ValueError(f"settings row needs {key}" + (": name a unique key (DEC-4)" if key == "tie_break" else ""))
         profile = kwargs.get("data_type") if kwargs.get("data_type") in _PROFILES else None
         return cls.for_profile(profile, **kwargs)
 

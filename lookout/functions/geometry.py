@@ -30,7 +30,7 @@ NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 COORD = rf"({NUMBER})\s+({NUMBER})(?:\s+{NUMBER})*"
 # An innermost parenthesised coordinate list, with the run of "(" before it:
 # a non-empty group 1 marks the first ring of a polygon.
-PART = r"(\(*)\(([^()]*)\)"
+PART = r"((?:\(\s*)*)\(([^()]*)\)"
 # Geometry type word at the start (optionally after an EWKT "SRID=n;").
 TYPE_WORD = r"^\s*(?:SRID=\d+;)?\s*([A-Za-z]+)"
 POINT_TYPES = ("POINT", "MULTIPOINT")

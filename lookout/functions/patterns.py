@@ -116,28 +116,23 @@ def literal_runs(pattern: Column) -> Column:
 # --------------------------------------------------------------------------- limits
 
 
-def is_number(value) -> bool:
-    try:
-        float(value)
-        return True
-    except (TypeError, ValueError):
-        return False
-
-
 def resolve_limit(limit, mode: str = "top_k") -> int | None:
     """Row limit as the reference applies it (B13, B13b, B13c, DEC-9).
 
-    Database modes fall back to 1000 when the setting is not a number; the
-    unordered (GeoPackage) mode treats a non-number or 0 as "no limit".
+    Database modes fall back to 1000 when the setting is not a (finite) number;
+    the unordered (GeoPackage) mode treats a non-number or 0 as "no limit".
     ``None`` always means no limit in this API.
     """
     if limit is None:
         return None
+    try:
+        n = int(float(limit))
+    except (TypeError, ValueError, OverflowError):  # no number, NaN, infinity
+        n = None
     if mode == "unordered":
-        if not is_number(limit) or int(float(limit)) == 0:
-            return None
-        return int(float(limit))
-    n = int(float(limit)) if is_number(limit) else DEFAULT_LIMIT
+        return n or None
+    if n is None:
+        return DEFAULT_LIMIT
     if n < 0:
         raise ValueError(f"limit must not be negative: {limit!r}")
     return n

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geometry import _ref, _srid_sql, sql_axis_x, sql_axis_y, sql_supported
+from .geometry import NUMBER, _ref, _srid_sql, sql_axis_x, sql_axis_y, sql_supported
 
 # Margin around a non-degenerate extent, default zoom scale.
 EXTENT_MARGIN = 1.2
@@ -42,7 +42,11 @@ def normalised(r: Column) -> Column:
 
 
 def sql_bbox_from_text(text: str) -> str:
-    nums = f"transform(split({text}, ','), bp -> try_cast(trim(bp) AS DOUBLE))"
+    # the pattern first: a cast alone would take Java's suffixes, as in "1d"
+    nums = (
+        f"transform(split({text}, ','), bp -> CASE WHEN trim(bp) RLIKE r'^(?:{NUMBER})$' "
+        "THEN try_cast(trim(bp) AS DOUBLE) END)"
+    )
     rect_sql = (
         "named_struct('xmin', least(n[0], n[2]), 'ymin', least(n[1], n[3]), "
         "'xmax', greatest(n[0], n[2]), 'ymax', greatest(n[1], n[3]))"

@@ -43,8 +43,13 @@ from ..session import ensure_checkpoint_dir
 from .search import hit_columns, validate, with_user_expressions
 
 STRATEGIES = ("auto", "scan", "blocked")
-# Fixed value: longest n-gram used for blocking.
-GRAM = 3
+# n-gram lengths tried in turn: a longer one only for patterns whose rarest gram is still frequent
+GRAM_STEPS = (3, 6, 12)
+GRAM = GRAM_STEPS[0]
+# rows that a pattern's gram may occur in before a longer one is tried
+RARE_ENOUGH = 16
+# k of a query without a limit
+UNLIMITED = 2_147_483_647
 
 _S = "__lk_search"
 _T = "__lk_tie"
@@ -72,8 +77,13 @@ def prepare_queries(
     text_col: str = "text",
     k_col: str | None = "k",
 ) -> DataFrame:
-    """``(query_id, pattern, k)`` for every query long enough to run (B14g)."""
-    default_k = resolve_limit(cfg.limit, "top_k")
+    """``(query_id, pattern, k)`` for every query long enough to run (B14g).
+
+    A null ``k`` takes the config's limit, read as in single search; a config
+    without a limit (DEC-9) gives ``UNLIMITED``.
+    """
+    default_k = resolve_limit(cfg.limit, cfg.limit_mode)
+    default_k = UNLIMITED if default_k is None else default_k
     k = F.col(k_col) if k_col and k_col in queries.columns else F.lit(None)
     text = F.col(text_col)
     return queries.where(text.isNotNull() & (F.length(text) >= cfg.min_length)).select(
@@ -124,14 +134,14 @@ def _materialize(
 
     ``top`` has at most ``top_bound`` rows (distinct patterns x largest k);
     within ``max_broadcast_hits`` it is broadcast and the source is probed
-    map-side by tie key (null-safe), so the source is scanned but not
-    shuffled.  The tie-break key must be unique (DEC-4).
+    map-side by search value and tie key (null-safe), so the source is scanned
+    but not shuffled.  That key is unique: :func:`_top_k_per_pattern` checks it.
     """
-    names = _tie_names(cfg)
+    names = [_S, *_tie_names(cfg)]
     keys = top.select(_P, F.col("rank").alias("__lk_rank"), *[F.col(n).alias(f"{n}_k") for n in names])
     # only a counted bound may broadcast; otherwise a shuffle join, never a planner guess
     keys = F.broadcast(keys) if top_bound <= max_broadcast_hits else keys.hint("merge")
-    src = df.select("*", *[F.col(t).alias(n) for t, n in zip(cfg.tie_break, names)])
+    src = df.select("*", *[F.col(t).alias(n) for t, n in zip((cfg.search_column, *cfg.tie_break), names)])
     joined = src.join(keys, [src[n].eqNullSafe(keys[f"{n}_k"]) for n in names])
     joined = with_user_expressions(joined, cfg)
     out = joined.select(_P, F.col("__lk_rank").alias("rank"), *hit_columns(joined, cfg))
@@ -150,8 +160,20 @@ def _top_k_per_pattern(candidates: DataFrame, cfg: SearchConfig, k_max: int) ->
     partial ``WindowGroupLimit`` before the shuffle, so no task forwards more
     than ``k_max`` rows of one pattern even when a third of all rows match it."""
     w = Window.partitionBy(_P).orderBy(*_order(cfg))
-    ranked = candidates.withColumn("rank", F.row_number().over(w))
-    return ranked.where(F.col("rank") <= F.lit(k_max)).where(F.col("rank") <= F.col(_K))
+    ranked = candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.lit(k_max + 1))
+    # equal keys are neighbours in this order, so the first k + 1 rows show every repeat that matters
+    key = F.struct(_S, *_tie_names(cfg))
+    error = F.raise_error(F.lit(f"tie_break {list(cfg.tie_break)} is not unique among rows of one search value (DEC-4)"))
+    repeated = F.lag(key).over(w).eqNullSafe(key)
+    rank = F.when((F.col("rank") > 1) & repeated, error.cast("int")).otherwise(F.col("rank"))
+    return ranked.withColumn("rank", rank).where((F.col("rank") <= F.lit(k_max)) & (F.col("rank") <= F.col(_K)))
+
+
+def _ranked(candidates: DataFrame, cfg: SearchConfig, k_max: int, limited: bool) -> DataFrame:
+    """Top rows of limited patterns with their rank; all rows of others, rank null."""
+    if limited:
+        return _top_k_per_pattern(candidates, cfg, k_max)
+    return candidates.withColumn("rank", F.lit(None).cast("int"))
 
 
 def _finish(
@@ -163,6 +185,7 @@ def _finish(
     max_broadcast_hits: int,
     queries_per_salt: int = 1_000_000,
     max_hot_patterns: int = 100_000,
+    limited: bool = True,
 ) -> DataFrame:
     """Join per-pattern top rows back to query ids; cut at each query's own k.
 
@@ -195,7 +218,9 @@ def _finish(
             "*", F.explode(F.sequence(F.lit(0), salts - 1)).alias("__lk_qsalt")
         ).drop("__lk_qs")
         joined = q_side.join(t_side.hint("merge"), [_P, "__lk_qsalt"])
-    return joined.where(F.col("rank") <= F.col("__lk_qk")).select("query_id", "rank", *hit_names)
+    if limited:
+        joined = joined.where(F.col("rank") <= F.col("__lk_qk"))
+    return joined.select("query_id", "rank", *hit_names)
 
 
 def _distinct_patterns(prepared: DataFrame, cfg: SearchConfig) -> DataFrame:
@@ -244,6 +269,8 @@ def scan_search(
     max_scan_patterns: int = 64,
     max_broadcast_hits: int = 1_000_000,
     queries_per_salt: int = 1_000_000,
+    spread_to: int | None = None,
+    limited: bool = True,
 ) -> DataFrame:
     """Few distinct patterns: one pass over the relation, no join.
 
@@ -261,8 +288,8 @@ def scan_search(
     if n > max_scan_patterns:
         raise ValueError(f"{n} distinct patterns exceed max_scan_patterns={max_scan_patterns}; use strategy='blocked'")
     listed = [(r[_P], r[_K]) for r in pats.select(_P, _K).collect()]  # bounded by the check above
-    late = n * k_max <= max_broadcast_hits
-    target = spread(_target(df, cfg, with_hits=not late), _tie_names(cfg))
+    late = limited and n * k_max <= max_broadcast_hits
+    target = spread(_target(df, cfg, with_hits=not late), _tie_names(cfg), spread_to)
     matched = F.array(
         *[
             F.when(match_condition(F.col(_S), p, cfg.case_sensitive), F.struct(F.lit(p).alias(_P), F.lit(k).alias(_K)))
@@ -271,12 +298,12 @@ def scan_search(
     ) if listed else F.array().cast(f"array<struct<{_P}:string,{_K}:int>>")
     hits = target.select(*target.columns, F.explode(F.filter(matched, lambda m: m.isNotNull())).alias("__lk_m"))
     cand = hits.select(*target.columns, F.col(f"__lk_m.{_P}").alias(_P), F.col(f"__lk_m.{_K}").alias(_K))
-    top = _top_k_per_pattern(cand, cfg, k_max)
+    top = _ranked(cand, cfg, k_max, limited)
     if late:
         hits, hit_names = _materialize(top, df, cfg, n * k_max, max_broadcast_hits)
     else:
         hits, hit_names = top, _hit_names(target)
-    return _finish(hits, prepared, cfg, hit_names, n * k_max, max_broadcast_hits, queries_per_salt)
+    return _finish(hits, prepared, cfg, hit_names, n * k_max, max_broadcast_hits, queries_per_salt, limited=limited)
 
 
 def _gram_regex(n: Column | int) -> Column:
@@ -296,28 +323,23 @@ def _grams(text: Column, n: Column | int) -> Column:
     return F.when(n == 0, F.array(F.lit(""))).otherwise(grams)
 
 
-def spread(df: DataFrame, keys: list[str], *, narrow_below: int = 16, at_most: int = 256) -> DataFrame:
-    """Hash-spread a genuinely narrow relation (a few small files) so the
-    per-row work (n-gram explode, verification) runs on more than a handful of
-    cores.  Only inputs with fewer than ``narrow_below`` partitions - a few GB
-    at most - are touched, to at most ``at_most`` partitions; a relation read
-    from many files is left alone, so a large table is never reshuffled."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD access (e.g. Spark Connect): leave as is
-        return df
-    want = min(cores, at_most)
-    if have >= min(want, narrow_below):
-        return df
-    return df.repartition(want, *[F.col(k) for k in keys])
-
-
-def pattern_grams(patterns: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """Every candidate blocking gram of every pattern: ``(pattern, n, g)``."""
-    runs = F.col(_PARTS)  # literal stretches, folded like the text
-    longest = F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
-    n = F.least(longest, F.lit(GRAM))
+def spread(df: DataFrame, keys: list[str], to: int | None) -> DataFrame:
+    """``df`` hash-spread to ``to`` partitions, or as it is for None.
+
+    For a relation that is read in a few large tasks (one small file, one
+    database connection) and then exploded.  Only the caller can know that.
+    """
+    return df if to is None else df.repartition(to, *[F.col(k) for k in keys])
+
+
+def _longest_run() -> Column:
+    """Length of a pattern's longest literal stretch."""
+    return F.coalesce(F.array_max(F.transform(F.col(_PARTS), F.length)), F.lit(0))
+
+
+def pattern_grams(patterns: DataFrame, cfg: SearchConfig, size: int = GRAM) -> DataFrame:
+    """Every candidate blocking gram of every pattern, of ``size`` or its longest run: ``(pattern, n, g)``."""
+    n = F.least(_longest_run(), F.lit(size))
     staged = patterns.select(_P, _K, _PARTS, _CHAIN, n.alias(_N))
     usable = F.filter(F.col(_PARTS), lambda r: F.length(r) >= F.col(_N))
     grams = F.array_distinct(F.flatten(F.transform(usable, lambda r: _grams(r, F.col(_N)))))
@@ -345,12 +367,42 @@ def gram_frequencies(df: DataFrame, cfg: SearchConfig, sizes=(0, 1, 2, GRAM)) ->
     as ``gram_stats`` to repeated batch searches to skip their frequency pass;
     it must be built with the same case rule as the search.
     """
-    target = spread(_target(df, cfg), _tie_names(cfg))
-    grams = table_grams(target, list(sizes), cfg, [])
+    grams = table_grams(_target(df, cfg), list(sizes), cfg, [])
     counted = grams.groupBy(_N, _G).agg(F.count(F.lit(1)).alias(_DF))
     return counted.select(F.col(_N).alias("n"), F.col(_G).alias("g"), F.col(_DF).alias("df"))
 
 
+def _rarest(
+    target: DataFrame,
+    pats: DataFrame,
+    cfg: SearchConfig,
+    size: int,
+    max_broadcast_grams: int,
+    gram_stats: DataFrame | None,
+) -> DataFrame:
+    """Per pattern its rarest gram of one size: ``(pattern, k, parts, chain, n, g, df)``, checkpointed."""
+    qg = pattern_grams(pats, cfg, size)
+    needed = qg.select(_N, _G).distinct()
+    summary = needed.agg(F.count(F.lit(1)).alias("count"), F.collect_set(_N).alias("sizes")).first()
+    sizes = sorted(summary["sizes"])  # at most ``size`` + 1 values
+    small = summary["count"] <= max_broadcast_grams
+    needed = F.broadcast(needed) if small else needed.hint("merge")
+    if gram_stats is None:
+        grams = table_grams(target, sizes or [size], cfg, [])
+        if small:
+            freq = grams.join(needed, [_N, _G]).groupBy(_N, _G).agg(F.count(F.lit(1)).alias(_DF))
+        else:  # counted before the join, so a frequent gram costs one row per task
+            freq = grams.groupBy(_N, _G).agg(F.count(F.lit(1)).alias(_DF)).join(needed, [_N, _G])
+    else:
+        stats = gram_stats.select(F.col("n").alias(_N), F.col("g").alias(_G), F.col("df").alias(_DF))
+        freq = stats.join(needed, [_N, _G])
+    # at most one row per needed gram; grams that all patterns share would be a hot key otherwise
+    freq = F.broadcast(freq) if small else freq.hint("merge")
+    scored = qg.join(freq, [_N, _G], "left").withColumn(_DF, F.coalesce(F.col(_DF), F.lit(0)))
+    best = scored.groupBy(_P, _K, _PARTS, _CHAIN).agg(F.min_by(F.struct(_N, _G, _DF), F.struct(_DF, _G)).alias(_BEST))
+    return best.select(_P, _K, _PARTS, _CHAIN, f"{_BEST}.*").checkpoint(eager=True)
+
+
 def choose_grams(
     target: DataFrame,
     pats: DataFrame,
@@ -362,30 +414,26 @@ def choose_grams(
 ) -> DataFrame:
     """Per pattern the gram with the lowest document frequency, plus its salt count.
 
-    Returns ``(pattern, k, n, g, df, nsalt)``, checkpointed so the frequency
-    pass over the relation runs once.
+    Returns ``(pattern, k, parts, chain, n, g, df, nsalt)``.  Patterns whose rarest gram
+    still occurs in more than ``RARE_ENOUGH`` rows are tried with longer grams, as far as
+    their literal stretches reach, so candidates stay near the number of answers as the
+    table grows.  ``gram_stats`` serves the first length.
     """
-    qg = pattern_grams(pats, cfg)
-    needed = qg.select(_N, _G).distinct()
-    summary = needed.agg(F.count(F.lit(1)).alias("count"), F.collect_set(_N).alias("sizes")).first()
-    sizes = sorted(summary["sizes"])  # at most GRAM + 1 values
-    needed_b = F.broadcast(needed) if summary["count"] <= max_broadcast_grams else needed.hint("merge")
-    if not sizes:
-        return qg.select(_P, _K, _PARTS, _CHAIN, _N, _G, F.lit(0).alias(_DF), F.lit(1).alias(_NSALT))
-    if gram_stats is None:
-        grams = table_grams(target, sizes, cfg, [])
-        freq = grams.join(needed_b, [_N, _G]).groupBy(_N, _G).agg(F.count(F.lit(1)).alias(_DF))
-    else:
-        stats = gram_stats.select(F.col("n").alias(_N), F.col("g").alias(_G), F.col("df").alias(_DF))
-        freq = stats.join(needed_b, [_N, _G])
-    scored = qg.join(freq, [_N, _G], "left").withColumn(_DF, F.coalesce(F.col(_DF), F.lit(0)))
-    best = scored.groupBy(_P, _K, _PARTS, _CHAIN).agg(
-        F.min_by(F.struct(_N, _G, _DF), F.struct(_DF, _G)).alias(_BEST)
-    )
-    nsalt = F.greatest(F.lit(1), F.ceil(F.col(f"{_BEST}.{_DF}") / F.lit(rows_per_salt)).cast("int"))
-    chosen = best.select(_P, _K, _PARTS, _CHAIN, f"{_BEST}.{_N}", f"{_BEST}.{_G}", f"{_BEST}.{_DF}", nsalt.alias(_NSALT))
     ensure_checkpoint_dir(target.sparkSession)
-    return chosen.checkpoint(eager=True)
+    chosen, left = None, pats
+    for size in GRAM_STEPS:
+        best = _rarest(target, left, cfg, size, max_broadcast_grams, gram_stats if size == GRAM else None)
+        if chosen is None:
+            chosen = best
+        else:
+            both = chosen.unionByName(best).groupBy(_P, _K, _PARTS, _CHAIN)
+            chosen = both.agg(F.min_by(F.struct(_N, _G, _DF), F.struct(_DF, _N, _G)).alias(_BEST))
+            chosen = chosen.select(_P, _K, _PARTS, _CHAIN, f"{_BEST}.*").checkpoint(eager=True)
+        left = best.where((F.col(_DF) > RARE_ENOUGH) & (_longest_run() > size)).select(_P, _K, _PARTS, _CHAIN)
+        if left.isEmpty():
+            break
+    nsalt = F.greatest(F.lit(1), F.ceil(F.col(_DF) / F.lit(rows_per_salt)).cast("int"))
+    return chosen.withColumn(_NSALT, nsalt)
 
 
 def blocked_search(
@@ -398,27 +446,46 @@ def blocked_search(
     max_broadcast_hits: int = 1_000_000,
     gram_stats: DataFrame | None = None,
     queries_per_salt: int = 1_000_000,
+    max_broadcast_patterns: int = 50_000,
+    spread_to: int | None = None,
+    limited: bool = True,
 ) -> DataFrame:
     """n-gram blocked equi-join, then exact verification (same rows as ``scan``)."""
     pats = _distinct_patterns(prepared, cfg).where(F.col(_K) > 0)
-    target = spread(_target(df, cfg), _tie_names(cfg))
+    target = spread(_target(df, cfg), _tie_names(cfg), spread_to)
     chosen = choose_grams(
         target, pats, cfg, max_broadcast_grams=max_broadcast_grams, rows_per_salt=rows_per_salt, gram_stats=gram_stats
     )
     summary = chosen.agg(
         F.count(F.lit(1)).alias("count"), F.collect_set(_N).alias("sizes"), F.max(_K).alias("k_max")
     ).first()
-    # at most GRAM + 1 sizes; an empty pattern set still needs one branch for the schema
+    # at most the longest step's number of sizes; an empty pattern set still needs one branch for the schema
     sizes = sorted(summary["sizes"]) or [GRAM]
     k_max = int(summary["k_max"] or 0)
     gram_salts = chosen.select(_N, _G, _NSALT).distinct()
     # distinct grams <= chosen rows, so the count bounds the broadcast
     gram_salts = F.broadcast(gram_salts) if summary["count"] <= max_broadcast_grams else gram_salts.hint("merge")
     bound = summary["count"] * k_max
-    late = bound <= max_broadcast_hits
+    late = limited and bound <= max_broadcast_hits
     if not late:
-        target = spread(_target(df, cfg, with_hits=True), _tie_names(cfg))
-    rows = table_grams(target, sizes, cfg, target.columns).join(gram_salts, [_N, _G])
+        target = spread(_target(df, cfg, with_hits=True), _tie_names(cfg), spread_to)
+    rows = table_grams(target, sizes, cfg, target.columns)
+    if summary["count"] <= max_broadcast_patterns:
+        # counted: the patterns go to the rows, and only verified matches are shuffled
+        cand = rows.join(F.broadcast(chosen.drop(_NSALT)), [_N, _G]).where(verify(cfg))
+    else:
+        cand = _salted_candidates(rows, chosen, gram_salts, cfg)
+    top = _ranked(cand, cfg, k_max, limited)
+    if late:
+        hits, hit_names = _materialize(top, df, cfg, bound, max_broadcast_hits)
+    else:
+        hits, hit_names = top, _hit_names(target)
+    return _finish(hits, prepared, cfg, hit_names, bound, max_broadcast_hits, queries_per_salt, limited=limited)
+
+
+def _salted_candidates(rows: DataFrame, chosen: DataFrame, gram_salts: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """Verified matches by a shuffled join; a frequent gram's rows are spread over its salts."""
+    rows = rows.join(gram_salts, [_N, _G])
     tie = [F.col(n) for n in _tie_names(cfg)]
     rows = rows.withColumn(_SALT, F.pmod(F.xxhash64(*tie), F.col(_NSALT)).cast("int")).drop(_NSALT)
     salted = chosen.select(
@@ -426,13 +493,7 @@ def blocked_search(
     )
     # the salted shuffle join is the design: never let a size estimate of the
     # exploded rows (which undershoots after explode) turn it into a broadcast
-    cand = rows.join(salted.hint("merge"), [_N, _G, _SALT]).where(verify(cfg))
-    top = _top_k_per_pattern(cand, cfg, k_max)
-    if late:
-        hits, hit_names = _materialize(top, df, cfg, bound, max_broadcast_hits)
-    else:
-        hits, hit_names = top, _hit_names(target)
-    return _finish(hits, prepared, cfg, hit_names, bound, max_broadcast_hits, queries_per_salt)
+    return rows.join(salted.hint("merge"), [_N, _G, _SALT]).where(verify(cfg))
 
 
 def batch_search(
@@ -451,11 +512,16 @@ def batch_search(
     max_broadcast_hits: int = 1_000_000,
     gram_stats: DataFrame | None = None,
     queries_per_salt: int = 1_000_000,
+    max_broadcast_patterns: int = 50_000,
+    spread_to: int | None = None,
 ) -> DataFrame:
     """Top ``k`` hits per query: ``[query_id, rank, geom, epsg, suggestion, extra...]``.
 
     ``auto`` scans once with literal matchers for at most ``scan_max_patterns``
-    distinct patterns and uses n-gram blocking otherwise.
+    distinct patterns and uses n-gram blocking otherwise; ``scan`` beyond
+    ``max_scan_patterns`` is blocked as well.  A query without a limit (null k and a
+    config without one, DEC-9) keeps all its hits, with a null rank.  ``spread_to``
+    spreads a relation that is read in too few tasks.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
@@ -464,25 +530,24 @@ def batch_search(
     # stream, a join) is not recomputed for each, and lineage stays short.
     ensure_checkpoint_dir(df.sparkSession)
     prepared = prepare_queries(queries, cfg, id_col=id_col, text_col=text_col, k_col=k_col).checkpoint(eager=True)
-    if strategy == "auto":
-        n = _distinct_patterns(prepared, cfg).count()
-        strategy = "scan" if n <= scan_max_patterns else "blocked"
-    if strategy == "scan":
-        return scan_search(
-            df,
-            prepared,
-            cfg,
-            max_scan_patterns=max_scan_patterns,
-            max_broadcast_hits=max_broadcast_hits,
-            queries_per_salt=queries_per_salt,
-        )
-    return blocked_search(
-        df,
-        prepared,
-        cfg,
-        max_broadcast_grams=max_broadcast_grams,
-        rows_per_salt=rows_per_salt,
-        max_broadcast_hits=max_broadcast_hits,
-        gram_stats=gram_stats,
-        queries_per_salt=queries_per_salt,
-    )
+    parts = []
+    for limited in (True, False):
+        own = prepared.where(F.col("k") < UNLIMITED) if limited else prepared.where(F.col("k") == UNLIMITED)
+        n = _distinct_patterns(own, cfg).count()
+        if n == 0 and not (limited and prepared.isEmpty()):
+            continue
+        most = scan_max_patterns if strategy == "auto" else max_scan_patterns
+        if strategy != "blocked" and n <= most:
+            options = dict(max_scan_patterns=max(most, max_scan_patterns))
+            run = scan_search
+        else:
+            options = dict(
+                max_broadcast_grams=max_broadcast_grams,
+                rows_per_salt=rows_per_salt,
+                gram_stats=gram_stats,
+                max_broadcast_patterns=max_broadcast_patterns,
+            )
+            run = blocked_search
+        shared = dict(max_broadcast_hits=max_broadcast_hits, queries_per_salt=queries_per_salt, spread_to=spread_to)
+        parts.append(run(df, own, cfg, limited=limited, **options, **shared))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -8,14 +8,12 @@ is a bound literal, never spliced into SQL (DEC-8).
 Plan shape (``explain``): the parquet scan reads only the referenced columns,
 and the match is a filter in the scan's codegen stage (``Contains`` for one
 literal part, an ordered ``locate`` chain for several, LIKE only with ``_``).
-Every task keeps its own best ``n`` rows; a narrow input merges them with
-``TakeOrderedAndProject``, a wide scan through a two-level tree
-(:func:`top_k`), so no single task receives ``n`` rows from every map task.
+Every task keeps its own best ``n`` rows, which are merged through a two-level
+tree (:func:`top_k`), so no single task receives ``n`` rows from every map task.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -184,59 +182,53 @@ def order_columns(cfg: SearchConfig, prefix: str = "") -> list[Column]:
     return [key.asc_nulls_last(), *[F.col(prefix + t).asc_nulls_last() for t in cfg.tie_break]]
 
 
-def _partitions(df: DataFrame) -> int:
-    try:
-        return df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD access (e.g. Spark Connect)
-        return 1
+# Parallel groups of the first merge of a top-n; the last merge reads n rows of each.
+MERGE_GROUPS = 64
 
 
-def any_rows(df: DataFrame, n: int, tie: list[Column], *, tree_above: int = 64) -> DataFrame:
-    """Some ``n`` rows (B13b, B13c).  A plain ``limit`` on a narrow input; on a
-    wide one the n smallest tie-break keys through the two-level tree of
-    :func:`top_k`, since ``limit`` would gather ``n`` rows per task into one."""
-    if _partitions(df) <= tree_above:
-        return df.limit(n)
-    return top_k(df, tie, n, tree_above=tree_above)
-
-
-def top_k(df: DataFrame, order: list[Column], n: int, *, tree_above: int = 64) -> DataFrame:
-    """The first ``n`` rows in ``order``, merged as a two-level tree on wide inputs.
+def top_k(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows in ``order``, merged as a two-level tree.
 
     ``orderBy().limit(n)`` alone is ``TakeOrderedAndProject``: every map task
     keeps its best ``n`` rows and ONE task (or the driver, on collect) merges
-    ``n`` x tasks rows, which on a scan of 10^5 tasks is the bottleneck.  Above
-    ``tree_above`` input partitions the map tasks are grouped by
-    ``spark_partition_id() mod ceil(sqrt(P))``; each task still forwards at most
-    ``n`` rows (partial ``WindowGroupLimit``), the groups are merged in
-    parallel, and the final top-n reads ``n`` rows per group at most.
+    ``n`` x tasks rows, which on a scan of 10^5 tasks is the bottleneck.  So the
+    map tasks are grouped by ``spark_partition_id() mod MERGE_GROUPS`` first;
+    each forwards at most ``n`` rows (partial ``WindowGroupLimit``), the groups
+    are merged in parallel, and the final top-n reads ``n`` rows per group.
+    The same plan serves every input; planning it runs no job.
     """
-    partitions = _partitions(df)
-    if partitions <= tree_above or n == 0:
-        return df.orderBy(*order).limit(n)
-    groups = math.ceil(math.sqrt(partitions))
-    grouped = df.withColumn("__lk_grp", F.pmod(F.spark_partition_id(), F.lit(groups)))
+    if n == 0:
+        return df.limit(0)
+    grouped = df.withColumn("__lk_grp", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
     rank = F.row_number().over(Window.partitionBy("__lk_grp").orderBy(*order))
     merged = grouped.withColumn("__lk_rn", rank).where(F.col("__lk_rn") <= F.lit(n)).drop("__lk_grp", "__lk_rn")
     return merged.orderBy(*order).limit(n)
 
 
-def apply_limit(df: DataFrame, cfg: SearchConfig, limit=None) -> DataFrame:
-    """Order and cut according to the limit mode."""
-    n = resolve_limit(cfg.limit if limit is None else limit, cfg.limit_mode)
-    if cfg.limit_mode == "top_k":
-        return top_k(df, order_columns(cfg), n) if n is not None else df.orderBy(*order_columns(cfg))
-    tie = [F.col(t).asc_nulls_last() for t in cfg.tie_break]
-    if cfg.limit_mode == "any_n":
-        capped = any_rows(df, n, tie) if n is not None else df
-        return capped.orderBy(*order_columns(cfg))
-    return any_rows(df, n, tie) if n is not None else df
-
+def apply_limit(df: DataFrame, cfg: SearchConfig, limit=None, ordered: bool = True) -> DataFrame:
+    """Order and cut according to the limit mode.
 
-def search(df: DataFrame, text: str, cfg: SearchConfig, *, limit=None, extra_struct: bool = False) -> DataFrame:
+    "Any n" rows are always those of the n smallest tie-break keys, so they do
+    not depend on how the input is partitioned.  ``ordered=False`` spares the
+    global sort where nothing is cut.
+    """
+    n = resolve_limit(cfg.limit if limit is None else limit, cfg.limit_mode)
+    if cfg.limit_mode == "top_k" and n is not None:
+        return top_k(df, order_columns(cfg), n)
+    if n is not None:
+        df = top_k(df, [F.col(t).asc_nulls_last() for t in cfg.tie_break], n)
+    if cfg.limit_mode == "unordered" or (n is None and not ordered):
+        return df
+    return df.orderBy(*order_columns(cfg))
+
+
+def search(
+    df: DataFrame, text: str, cfg: SearchConfig, *, limit=None, extra_struct: bool = False, ordered: bool = True
+) -> DataFrame:
     """All hits of ``text`` in ``df`` as ``[geom, epsg, suggestion, extra...]``.
 
     Text shorter than ``cfg.min_length`` raw characters gives no rows (B14g).
+    ``ordered=False``: a search without a limit is not sorted.
     """
     validate(df, cfg)
     if text is None or len(text) < cfg.min_length:
@@ -245,21 +237,25 @@ def search(df: DataFrame, text: str, cfg: SearchConfig, *, limit=None, extra_str
         pattern = wildcard_pattern_text(text, cfg.escape_spec_chars, cfg.backslash)
         matched = df.where(match_condition(cfg.search_column, pattern, cfg.case_sensitive))
     # user expressions after the cut: evaluated for the returned rows only
-    limited = with_user_expressions(apply_limit(matched, cfg, limit), cfg)
+    limited = with_user_expressions(apply_limit(matched, cfg, limit, ordered), cfg)
     return limited.select(*hit_columns(limited, cfg, extra_struct))
 
 
 def multi_search(sources: Sequence[tuple[SearchConfig, DataFrame]], text: str) -> DataFrame:
     """The same text over several configured relations.
 
-    Each branch keeps its own limit; ``extra`` becomes a JSON string so the
-    branches share one schema.
+    Each branch keeps its own limit and its own scale and box expressions, whose
+    values are the typed columns ``scale_denom`` and ``bbox_text`` (the default scale
+    and null where a config has none).  ``extra`` becomes a JSON string so the branches
+    share one schema.
     """
     if not sources:
         raise ValueError("multi_search needs at least one (config, DataFrame) pair")
     frames = []
     for cfg, df in sources:
-        hits = search(df, text, cfg.replace(scale_expr=None, bbox_expr=None), extra_struct=True)
+        hits = search(df, text, cfg, extra_struct=True)
+        scale = F.col(SCALE_COLUMN) if cfg.scale_expr is not None else F.lit(DEFAULT_SCALE)
+        bbox = F.col(BBOX_COLUMN) if cfg.bbox_expr is not None else F.lit(None)
         extra = F.to_json(F.col("extra")) if cfg.extra_columns else F.lit("{}")
         frames.append(
             hits.select(
@@ -268,6 +264,8 @@ def multi_search(sources: Sequence[tuple[SearchConfig, DataFrame]], text: str) -
                 "epsg",
                 "suggestion",
                 extra.alias("extra"),
+                scale.cast("double").alias(SCALE_COLUMN),
+                bbox.cast("string").alias(BBOX_COLUMN),
             )
         )
     out = frames[0]

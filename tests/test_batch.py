@@ -95,10 +95,54 @@ def test_case_sensitive_and_escape(spark):
         assert run(spark, rows, queries, cfg, strategy="scan") == want
 
 
-def test_scan_refuses_too_many_patterns(spark):
+def test_scan_beyond_its_bound_is_blocked(spark):
     rows, queries = random_case(4)
-    with pytest.raises(ValueError):
-        run(spark, rows, queries, CFG, strategy="scan", max_scan_patterns=2)
+    want = brute_force(rows, queries, CFG)
+    assert run(spark, rows, queries, CFG, strategy="scan", max_scan_patterns=2) == want
+
+
+def test_unlimited_queries(spark):
+    rows = [(i, f"red ring {i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "key long, name string")
+    q = spark.createDataFrame([(1, "ring", None), (2, "red", 2), (3, "ring", 0)], "query_id long, text string, k int")
+    for limit, mode in ((None, "top_k"), (0, "unordered"), ("lots", "unordered")):
+        cfg = CFG.replace(limit=limit, limit_mode=mode)
+        for strategy in ("scan", "blocked"):
+            for bound in (0, 1_000_000):
+                out = batch_search(df, q, cfg, strategy=strategy, max_broadcast_hits=bound)
+                got = sorted((r.query_id, r["rank"], r.key) for r in out.where("query_id = 2").collect())
+                assert got == [(2, 1, 0), (2, 2, 1)]
+                rest = out.where("query_id <> 2").select("query_id", "rank", "key").collect()
+                assert sorted(r.key for r in rest) == list(range(30))
+                assert {(r.query_id, r["rank"]) for r in rest} == {(1, None)}
+
+
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+@pytest.mark.parametrize("strategy", ["scan", "blocked"])
+def test_repeated_tie_key_is_an_error_on_both_sides_of_the_bound(spark, bound, strategy):
+    df = spark.createDataFrame([(7, "ring"), (7, "ring"), (7, "ring")], "key long, name string")
+    q = spark.createDataFrame([(1, "ring", 2)], "query_id long, text string, k int")
+    with pytest.raises(Exception, match="not unique"):
+        batch_search(df, q, CFG, strategy=strategy, max_broadcast_hits=bound).collect()
+
+
+@pytest.mark.parametrize("patterns", [0, 50_000])
+def test_longer_grams_and_both_joins(spark, patterns):
+    rows = [(i, f"customer {i:09d}") for i in range(300)]
+    queries = [(i, f"Customer {i:09d}", 3) for i in range(0, 300, 7)]
+    want = brute_force(rows, queries, CFG)
+    assert run(spark, rows, queries, CFG, strategy="blocked", max_broadcast_patterns=patterns, spread_to=3) == want
+
+
+def test_candidates_stay_near_the_answers(spark):
+    from lookout.operators import batch as B
+
+    for n in (400, 4000):
+        df = spark.range(n).selectExpr("id AS key", "format_string('customer %09d', id) AS name")
+        q = df.selectExpr("key AS query_id", "name AS text", "3 AS k")
+        pats = B._distinct_patterns(B.prepare_queries(q, CFG), CFG)
+        chosen = B.choose_grams(B._target(df, CFG), pats, CFG, max_broadcast_grams=10**6, rows_per_salt=10**6)
+        assert chosen.agg({B._DF: "sum"}).first()[0] <= 4 * B.RARE_ENOUGH * n
 
 
 def test_scan_plan_has_no_join(spark):

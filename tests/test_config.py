@@ -49,3 +49,13 @@ def test_invalid_configs(bad):
 def test_unknown_profile():
     with pytest.raises(ValueError):
         SearchConfig.for_profile("sqlite", **BASE)
+
+
+def test_stored_text_is_typed():
+    row = {"search_column": "name", "tie_break": "id", "echo_search_column": "false", "escape_spec_chars": "True", "srid": "4326", "limit_results": "12"}
+    cfg = SearchConfig.from_mapping(row)
+    assert cfg.echo_search_column is False and cfg.escape_spec_chars is True and cfg.srid == 4326 and cfg.limit == "12"
+    with pytest.raises(ValueError, match="tie_break"):
+        SearchConfig.from_mapping({"search_column": "name"})
+    with pytest.raises(ValueError, match="boolean"):
+        SearchConfig.from_mapping({**row, "echo_search_column": "perhaps"})

@@ -73,3 +73,13 @@ def test_centroid_after_reprojection(spark):
     rows = with_geometry(df, dst_srid=3857).collect()
     assert rows[0].reprojection_supported and rows[0].centroid.x == pytest.approx(math.radians(10) * 6378137.0)
     assert not rows[1].reprojection_supported and rows[1].centroid is None
+
+
+def test_spaced_parentheses_mark_the_exterior_ring(spark):
+    from lookout import with_geometry
+
+    tight = "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (1 1, 3 1, 3 3, 1 3, 1 1))"
+    spaced = "POLYGON ( (0 0, 10 0, 10 10, 0 10, 0 0), (1 1, 3 1, 3 3, 1 3, 1 1) )"
+    df = spark.createDataFrame([(tight, 4326), (spaced, 4326)], "geom string, epsg int")
+    a, b = (r.centroid for r in with_geometry(df).select("centroid").collect())
+    assert a == b and a.x > 5

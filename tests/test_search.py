@@ -175,18 +175,32 @@ def test_tree_top_k_on_wide_input(spark):
     assert "windowgrouplimit" in plan and "spark_partition_id" in plan
     want = [tuple(r) for r in df.orderBy(*order).limit(50).collect()]
     assert [tuple(r) for r in tree.collect()] == want
-    narrow = top_k(df.coalesce(4), order, 50)
-    assert "spark_partition_id" not in narrow._jdf.queryExecution().executedPlan().toString().lower()
+    assert [tuple(r) for r in top_k(df.coalesce(2), order, 50).collect()] == want
 
 
-def test_any_rows_tree_on_wide_input(spark):
-    from lookout.operators.search import any_rows
+def test_any_rows_do_not_depend_on_partitions(spark):
+    df = spark.range(1000).selectExpr("id AS k", "'ring' AS name")
+    for mode in ("any_n", "unordered"):
+        cfg = SearchConfig(search_column="name", tie_break="k", extra_columns="k", limit=3, limit_mode=mode)
+        for parts in (2, 70):
+            assert {r.k for r in search(df.repartition(parts), "ring", cfg).collect()} == {0, 1, 2}
 
-    df = spark.range(0, 5000).repartition(100)
-    got = any_rows(df, 30, [F.col("id").asc()])
-    assert got.count() == 30
-    assert "spark_partition_id" in got._jdf.queryExecution().executedPlan().toString().lower()
-    assert any_rows(df.coalesce(2), 30, [F.col("id").asc()]).count() == 30
+
+def test_planning_a_search_runs_no_job(spark):
+    df = spark.range(100).selectExpr("id % 7 AS k", "'ring' AS name").groupBy("k", "name").count()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan-only", "planning")
+    search(df, "ring", SearchConfig(search_column="name", tie_break="k", limit=3))
+    assert list(tracker.getJobIdsForGroup("plan-only")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_limits_that_are_no_numbers():
+    from lookout.functions.patterns import resolve_limit
+
+    for bad in ("lots", "nan", "inf", float("nan")):
+        assert resolve_limit(bad) == 1000 and resolve_limit(bad, "unordered") is None
+    assert resolve_limit("12.0") == 12 and resolve_limit(0, "unordered") is None and resolve_limit(0) == 0
 
 
 def test_multi_search_without_extra_columns(spark):

@@ -61,3 +61,9 @@ def test_expression_defaults(spark):
     assert [r.bad for r in rows] == [2000.0, 2000.0]
     assert [r.empty for r in rows] == [2000.0, 2000.0]
     assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+
+
+def test_bbox_rejects_suffixed_numbers(spark):
+    df = spark.createDataFrame([("1d,2f,3,4",), ("1e2, -2 ,3.5,+4",), ("NaN,1,2,3",)], "t string")
+    got = [None if r.b is None else tuple(r.b) for r in df.select(V.bbox_from_text("t").alias("b")).collect()]
+    assert got == [None, (3.5, -2.0, 100.0, 4.0), None]
