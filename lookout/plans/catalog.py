@@ -149,17 +149,21 @@ def search_backslash(spark, d):
     return search(_part(spark, d), "ho \\ring", PART)
 
 
+_SLASHED = "replace(p_name, ' ', '\\')"
+
+
 @register(
     "search_backslash_literal",
-    """SELECT CAST(NULL AS STRING) AS geom, CAST(NULL AS INTEGER) AS epsg,
-        concat_ws(', ', CAST(p_name AS STRING), p_brand, p_type) AS suggestion, p_partkey FROM part
-        WHERE CAST(p_name AS STRING) ILIKE '%ho%\\\\ring%' ESCAPE '\\'
-        ORDER BY p_name, p_partkey LIMIT 1000""",
+    f"""SELECT CAST(NULL AS STRING) AS geom, CAST(NULL AS INTEGER) AS epsg,
+        concat_ws(', ', {_SLASHED}, p_brand, p_type) AS suggestion, p_partkey FROM part
+        WHERE position('e\\r' IN lower({_SLASHED})) > 0
+        ORDER BY {_SLASHED}, p_partkey LIMIT 1000""",
 )
 def search_backslash_literal(spark, d):
-    # SQL Server rule: the backslash is an ordinary character (no rows here).
+    # SQL Server rule: the backslash is an ordinary character.
+    part = _part(spark, d).withColumn("p_name", F.translate("p_name", " ", "\\"))
     cfg = SearchConfig.for_profile("mssql", **{**_cfg_kwargs(PART)})
-    return search(_part(spark, d), "ho \\ring", cfg)
+    return search(part, "e\\r", cfg)
 
 
 def _cfg_kwargs(cfg: SearchConfig) -> dict:
@@ -252,7 +256,7 @@ def suggest_oracle_empty_is_null(spark, d):
         "oracle",
         **{**_cfg_kwargs(PLACE), "display_columns": ("context1",)},
         echo_search_column=False,
-        limit=100000,
+        limit=None,
     )
     return search(X.places(spark, d), "cust 3", cfg)
 
@@ -338,13 +342,21 @@ def search_limit_not_number(spark, d):
     return search(_part(spark, d), "e  ", PART.replace(limit="lots"))
 
 
-@register("search_any_n")
+@register(
+    "search_any_n",
+    f"""SELECT {_NULL_GEOM}, p_name || ', ' || p_brand || ', ' || p_type AS suggestion, p_partkey
+        FROM (SELECT * FROM part WHERE p_name ILIKE '%red%' ORDER BY p_partkey LIMIT 25) x""",
+)
 def search_any_n(spark, d):
     cfg = SearchConfig.for_profile("oracle", **_cfg_kwargs(PART), limit=25)
     return search(_part(spark, d), "red", cfg)
 
 
-@register("search_unordered")
+@register(
+    "search_unordered",
+    f"""SELECT {_NULL_GEOM}, {_PART_LINE} AS suggestion, p_partkey
+        FROM (SELECT * FROM part WHERE p_name ILIKE '%ring%' ORDER BY p_partkey LIMIT 25) x""",
+)
 def search_unordered(spark, d):
     cfg = SearchConfig.for_profile("gpkg", **_cfg_kwargs(PART), limit=25)
     return search(_part(spark, d), "ring", cfg)
@@ -476,6 +488,20 @@ def batch_search_escaped(spark, d):
     return batch_search(_part(spark, d), X.edge_queries(spark), PART.replace(escape_spec_chars=True), strategy="blocked")
 
 
+@register(
+    "batch_unlimited",
+    f"""SELECT query_id, CAST(NULL AS INTEGER) AS rank, {_NULL_GEOM}, {_PART_LINE} AS suggestion, p_partkey
+        FROM (SELECT CAST(p_partkey AS BIGINT) AS query_id, p_type AS t FROM part) q
+        JOIN part p ON contains(lower(p.p_type || ' ' || p.p_name), lower(q.t))""",
+)
+def batch_unlimited(spark, d):
+    """No limit anywhere (DEC-9): every hit of every query."""
+    part = _part(spark, d).withColumn("line", F.concat_ws(" ", "p_type", "p_name"))
+    queries = _part(spark, d).selectExpr("CAST(p_partkey AS BIGINT) AS query_id", "p_type AS text")
+    cfg = PART.replace(search_column="line", display_columns=("p_name", "p_brand", "p_type"), echo_search_column=False, limit=None)
+    return batch_search(part, queries, cfg, strategy="blocked", k_col=None)
+
+
 _GEOCODE_SQL = f"""
 WITH q AS (
   SELECT query_id, k,
@@ -547,21 +573,24 @@ def _multi_sources(spark, d):
     ]
 
 
+_NO_VIEW = "CAST(2000 AS DOUBLE) AS scale_denom, CAST(NULL AS STRING) AS bbox_text"
+
+
 @register(
     "multi_config",
     f"""
 (SELECT 'part' AS config_name, {_NULL_GEOM}, {_PART_LINE} AS suggestion,
-        '{{"p_partkey":' || CAST(p_partkey AS STRING) || '}}' AS extra
+        '{{"p_partkey":' || CAST(p_partkey AS STRING) || '}}' AS extra, {_NO_VIEW}
  FROM part WHERE CAST(p_name AS STRING) ILIKE '%r%1%' ESCAPE '\\' ORDER BY p_name, p_partkey LIMIT 5)
 UNION ALL
-(SELECT 'nation', {_NULL_GEOM}, n_name, '{{"n_nationkey":' || CAST(n_nationkey AS STRING) || '}}'
+(SELECT 'nation', {_NULL_GEOM}, n_name, '{{"n_nationkey":' || CAST(n_nationkey AS STRING) || '}}', {_NO_VIEW}
  FROM nation WHERE CAST(n_name AS STRING) ILIKE '%r%1%' ESCAPE '\\' ORDER BY n_name, n_nationkey LIMIT 5)
 UNION ALL
 (SELECT 'supplier', {_NULL_GEOM}, concat_ws(', ', s_name, CAST(s_nationkey AS STRING)),
-        '{{"s_suppkey":' || CAST(s_suppkey AS STRING) || '}}'
+        '{{"s_suppkey":' || CAST(s_suppkey AS STRING) || '}}', {_NO_VIEW}
  FROM supplier WHERE CAST(s_name AS STRING) ILIKE '%r%1%' ESCAPE '\\' ORDER BY s_name, s_suppkey LIMIT 5)
 UNION ALL
-(SELECT 'places', geom, epsg, {_SKIP_FALSY}, '{{"place_id":' || CAST(place_id AS STRING) || '}}'
+(SELECT 'places', geom, epsg, {_SKIP_FALSY}, '{{"place_id":' || CAST(place_id AS STRING) || '}}', {_NO_VIEW}
  FROM {PLACES} p WHERE CAST(name AS STRING) ILIKE '%r%1%' ESCAPE '\\' ORDER BY name, place_id LIMIT 5)
 """,
 )
@@ -590,7 +619,7 @@ _SETTINGS = [
         "tie_break": "p_partkey",
         "display_columns": "p_brand",
         "extra_columns": "p_partkey",
-        "echo_search_column": False,
+        "echo_search_column": "false",
         "limit_results": "not a number",
     },
 ]
@@ -602,10 +631,10 @@ _SETTINGS = [
 (SELECT 'places' AS config_name, geom, epsg,
         name || CASE WHEN context1 IS NOT NULL THEN ', ' || context1 ELSE '' END
              || CASE WHEN context2 IS NOT NULL THEN ', ' || CAST(context2 AS STRING) ELSE '' END AS suggestion,
-        '{{"place_id":' || CAST(place_id AS STRING) || '}}' AS extra
+        '{{"place_id":' || CAST(place_id AS STRING) || '}}' AS extra, {_NO_VIEW}
  FROM {PLACES} p WHERE CAST(name AS STRING) ILIKE '%o%e%' ESCAPE '\\' ORDER BY name, place_id LIMIT 4)
 UNION ALL
-(SELECT 'part', {_NULL_GEOM}, CAST(p_brand AS STRING), '{{"p_partkey":' || CAST(p_partkey AS STRING) || '}}'
+(SELECT 'part', {_NULL_GEOM}, CAST(p_brand AS STRING), '{{"p_partkey":' || CAST(p_partkey AS STRING) || '}}', {_NO_VIEW}
  FROM part WHERE CAST(p_name AS STRING) ILIKE '%o%e%' ESCAPE '\\' ORDER BY p_name, p_partkey LIMIT 1000)
 """,
 )
@@ -618,6 +647,24 @@ def multi_config_settings(spark, d):
     return multi_search(sources, "o e")
 
 
+@register(
+    "multi_config_viewport",
+    f"""SELECT 'places' AS config_name, CAST(place_id AS BIGINT) AS place_id,
+        COALESCE(CAST(context2 * 1000 AS DOUBLE), CAST(2000 AS DOUBLE)) AS scale_denom, bbox_text
+        FROM (SELECT * FROM {PLACES} p WHERE CAST(name AS STRING) ILIKE '%o%e%' ESCAPE '\\' ORDER BY name, place_id LIMIT 50) x
+        UNION ALL
+        SELECT 'plain', CAST(place_id AS BIGINT), CAST(2000 AS DOUBLE), CAST(NULL AS STRING)
+        FROM (SELECT * FROM {PLACES} p WHERE CAST(name AS STRING) ILIKE '%o%e%' ESCAPE '\\' ORDER BY name, place_id LIMIT 7) y""",
+)
+def multi_config_viewport(spark, d):
+    """Every config's own scale and box expressions survive the union."""
+    scaled = PLACE.replace(scale_expr="context2 * 1000", bbox_expr="bbox_text", limit=50)
+    places = X.places(spark, d)
+    hits = multi_search([(scaled, places), (PLACE.replace(name="plain", limit=7), places)], "o e")
+    place_id = F.get_json_object("extra", "$.place_id").cast("long")
+    return hits.select("config_name", place_id.alias("place_id"), "scale_denom", "bbox_text")
+
+
 # --------------------------------------------------------------------------- C debounce
 
 _GAP = "2 hours"
@@ -671,6 +718,70 @@ def debounce_search_q(spark, d):
     return debounce_search(X.name_keystrokes(spark, d), X.places(spark, d), PLACE.replace(limit=3), _GAP)
 
 
+@register(
+    "debounce_search_unlimited",
+    f"""
+WITH deb AS ({_NAME_DEBOUNCE_SQL}),
+pat AS (
+  SELECT DISTINCT lower('%' || array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), '%')
+         || '%') AS pattern FROM deb
+),
+hits AS (
+  SELECT pat.pattern, p.*, row_number() OVER (PARTITION BY pat.pattern ORDER BY p.name, p.place_id) AS rank
+  FROM pat JOIN {PLACES} p ON CAST(p.name AS STRING) ILIKE pat.pattern ESCAPE '\\'
+)
+SELECT deb.session_id, deb.event_id, deb.ts, deb.text, CAST(NULL AS INTEGER) AS rank, h.geom, h.epsg,
+       concat_ws(', ', h.name, CASE WHEN h.context1 <> '' THEN h.context1 END, CAST(h.context2 AS STRING)) AS suggestion,
+       h.place_id
+FROM deb JOIN hits h
+  ON lower('%' || array_to_string(list_filter(regexp_split_to_array(deb.text, '\\s+'), lambda x: x <> ''), '%') || '%')
+     = h.pattern
+""",
+)
+def debounce_search_unlimited_q(spark, d):
+    return debounce_search(X.name_keystrokes(spark, d), X.places(spark, d), PLACE.replace(limit=None), _GAP)
+
+
+_REPEATED_SQL = _NAME_DEBOUNCE_SQL.replace(X.NAME_KEYSTROKES_SQL, X.NAME_KEYSTROKES_SQL.replace(" event_id,", " event_id % 1000 AS event_id,"))
+
+
+@register(
+    "debounce_search_repeated_ids",
+    f"""
+WITH deb AS ({_REPEATED_SQL}),
+pat AS (
+  SELECT DISTINCT lower('%' || array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), '%')
+         || '%') AS pattern FROM deb
+),
+hits AS (
+  SELECT pat.pattern, p.*, row_number() OVER (PARTITION BY pat.pattern ORDER BY p.name, p.place_id) AS rank
+  FROM pat JOIN {PLACES} p ON CAST(p.name AS STRING) ILIKE pat.pattern ESCAPE '\\'
+)
+SELECT deb.session_id, deb.event_id, deb.ts, deb.text, CAST(h.rank AS INTEGER) AS rank, h.geom, h.epsg,
+       concat_ws(', ', h.name, CASE WHEN h.context1 <> '' THEN h.context1 END, CAST(h.context2 AS STRING)) AS suggestion,
+       h.place_id
+FROM deb JOIN hits h
+  ON lower('%' || array_to_string(list_filter(regexp_split_to_array(deb.text, '\\s+'), lambda x: x <> ''), '%') || '%')
+     = h.pattern
+WHERE h.rank <= 3
+""",
+)
+def debounce_search_repeated_ids_q(spark, d):
+    """Event ids that repeat across sessions."""
+    events = X.name_keystrokes(spark, d).withColumn("event_id", F.col("event_id") % 1000)
+    return debounce_search(events, X.places(spark, d), PLACE.replace(limit=3), _GAP)
+
+
+_NULL_SESSIONS = "(SELECT CASE WHEN user_id % 3 <> 0 THEN user_id END AS session_id, ts, event_id, event_type AS text FROM events)"
+
+
+@register("debounce_null_sessions", _DEBOUNCE_SQL.replace(X.KEYSTROKES_SQL, _NULL_SESSIONS).replace(_GAP, "1 minute 30 seconds"))
+def debounce_null_sessions_q(spark, d):
+    """Null sessions are one session, a third of all events."""
+    events = X.keystrokes(spark, d).withColumn("session_id", F.expr("CASE WHEN session_id % 3 <> 0 THEN session_id END"))
+    return debounce(events, "1 minute 30 seconds")
+
+
 # --------------------------------------------------------------------------- D geometry
 
 _KIND = "place_id % 6"
@@ -883,7 +994,7 @@ def _viewport_sql() -> str:
 @register("viewport", _viewport_sql())
 def viewport_q(spark, d):
     cfg = PLACE.replace(scale_expr=_SCALE_EXPR, bbox_expr="bbox_text", limit=None)
-    hits = search(X.places(spark, d), "   ", cfg)
+    hits = search(X.places(spark, d), "   ", cfg, ordered=False)
     v = with_viewport(hits, _MAP, _MAP_SCALE, 4326)
     return v.select("place_id", *[F.round(f"viewport.{k}", 6).alias(f"view_{k}") for k in ("xmin", "ymin", "xmax", "ymax")])
 
@@ -931,7 +1042,7 @@ def _viewport_3857_sql() -> str:
 @register("viewport_3857", _viewport_3857_sql())
 def viewport_3857_q(spark, d):
     cfg = PLACE.replace(scale_expr=_SCALE_EXPR, bbox_expr="bbox_text", limit=None)
-    hits = search(X.places(spark, d), "   ", cfg)
+    hits = search(X.places(spark, d), "   ", cfg, ordered=False)
     v = with_viewport(hits, _MAP_3857, _MAP_SCALE, 3857)
     return v.select(
         "place_id", *[(F.round(f"viewport.{k}", 1) + F.lit(0.0)).alias(f"view_{k}") for k in ("xmin", "ymin", "xmax", "ymax")]

@@ -36,8 +36,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (tests on a laptop) a fresh scratch folder is used.
+    ``spark.checkpoint.dir`` is read from the session.  Only a single-process
+    local session (tests on a laptop) may leave it unset and gets a fresh scratch
+    folder; on a cluster that folder would be each machine's own, so it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -48,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="lookout-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -2,11 +2,14 @@
 
 ``spark.read.format("gpkg").option("layer", name).load(path)`` reads one
 feature layer from one GeoPackage file, a directory of them, or a glob.  The
-scan is split into one partition per file and feature-id range
-(``rowsPerPartition`` ids each, default 200 000), so many files or one large
+scan is split into feature-id ranges of ``rowsPerPartition`` rows of one file
+(default 200 000), however sparse the ids are, so many files or one large
 file are read in parallel; every executor opens its file read-only with the
 standard ``sqlite3`` module (the files must be on storage every executor can
-see).  Planning reads only metadata (layer schema, min/max feature id).
+see).  Planning reads the layer's schema and walks its feature-id index.
+Spark does not prune the columns of such a source: give ``.schema(...)`` with
+the first four columns and the attributes you need, and only these are read.
+A value that does not fit its declared type is null.
 
 Rows: ``fid``, ``geom`` (WKT), ``srs_id``, ``authid`` (for example
 ``EPSG:4326``), then the layer's attribute columns.  A layer that is not
@@ -196,8 +199,24 @@ def _files(path: str) -> list[str]:
 # --------------------------------------------------------------------------- data source
 
 
+def _fitting(value, kind):
+    """A stored value as its declared type, or null: SQLite columns hold any type."""
+    try:
+        if value is None or isinstance(kind, BinaryType):
+            return value if value is None or isinstance(value, bytes) else None
+        if isinstance(kind, BooleanType):
+            return bool(value) if value in (0, 1) else None
+        if isinstance(kind, LongType):
+            return int(value) if float(value).is_integer() and abs(int(value)) < 1 << 63 else None
+        if isinstance(kind, DoubleType):
+            return float(value)
+        return value.decode() if isinstance(value, bytes) else str(value)
+    except (TypeError, ValueError, OverflowError):
+        return None
+
+
 class FidRange(InputPartition):
-    def __init__(self, path: str, lo: int, hi: int):
+    def __init__(self, path: str, lo: int, hi: int | None):
         super().__init__((path, lo, hi))
         self.path, self.lo, self.hi = path, lo, hi
 
@@ -213,32 +232,34 @@ class GeoPackageReader(DataSourceReader):
         parts = []
         for path in _files(self.options["path"]):
             info = layer_info(path, self.layer)
+            pk = _quote(info["pk"])
             with _connect(path) as con:
-                lo, hi = con.execute(
-                    f"SELECT min({_quote(info['pk'])}), max({_quote(info['pk'])}) FROM {_quote(self.layer)}"
-                ).fetchone()
-            if lo is None:
-                continue
-            start = lo
-            while start <= hi:
-                parts.append(FidRange(path, start, min(start + self.rows, hi + 1)))
-                start += self.rows
+                starts = con.execute(
+                    f"SELECT fid FROM (SELECT {pk} AS fid, row_number() OVER (ORDER BY {pk}) - 1 AS n FROM {_quote(self.layer)}) "
+                    "WHERE n % ? = 0 ORDER BY fid",
+                    (self.rows,),
+                ).fetchall()
+            starts = [r[0] for r in starts]
+            parts += [FidRange(path, lo, hi) for lo, hi in zip(starts, [*starts[1:], None], strict=True)]
         return parts or [FidRange("", 0, 0)]
 
     def read(self, partition: FidRange):
         if not partition.path:
             return
         info = layer_info(partition.path, self.layer)
-        names = [info["pk"], info["geom"], *[a for a, _ in info["attrs"]]]
-        sql = (
-            f"SELECT {', '.join(_quote(n) for n in names)} FROM {_quote(self.layer)} "
-            f"WHERE {_quote(info['pk'])} >= ? AND {_quote(info['pk'])} < ?"
-        )
-        wanted = [f.name for f in self.schema.fields][4:]
-        position = {a: i + 2 for i, (a, _) in enumerate(info["attrs"])}
+        present = {a for a, _ in info["attrs"]}
+        wanted = [(f.name, f.dataType) for f in self.schema.fields[4:]]
+        read = [a for a, _ in wanted if a in present]
+        names = [info["pk"], info["geom"], *read]
+        pk = _quote(info["pk"])
+        sql = f"SELECT {', '.join(_quote(n) for n in names)} FROM {_quote(self.layer)} WHERE {pk} >= ?"
+        bounds = [partition.lo]
+        if partition.hi is not None:
+            sql, bounds = f"{sql} AND {pk} < ?", [*bounds, partition.hi]
+        position = {a: i + 2 for i, a in enumerate(read)}
         with _connect(partition.path) as con:
-            for row in con.execute(sql, (partition.lo, partition.hi)):
-                attrs = tuple(row[position[a]] if a in position else None for a in wanted)
+            for row in con.execute(sql, bounds):
+                attrs = (_fitting(row[position[a]], t) if a in position else None for a, t in wanted)
                 yield (row[0], gpkg_blob_to_wkt(row[1]), info["srs_id"], info["authid"], *attrs)
 
 

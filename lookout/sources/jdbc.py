@@ -10,6 +10,12 @@ cluster classpath.  Connection settings follow the reference's rules:
   password means integrated (trusted) authentication.
 * Oracle: ``host[:port][/database]``; the default port 1521 is left out.
 
+With a geometry column the relation is a subquery that projects it to WKT and
+its SRID to the column that ``srid`` names (``epsg`` if it names none), with the
+database's own functions.  All identifiers are quoted; the search text never
+enters it (DEC-8).  Columns that only a scale or box expression uses are named in
+``connection["columns"]``.
+
 For parallel reads of a large table set ``partition_column``,
 ``lower_bound``, ``upper_bound`` and ``num_partitions`` in the connection
 mapping; Spark then issues one range query per partition.
@@ -20,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from ..config import SearchConfig
+from ..functions.suggest import parse_display_columns
 
 JDBC_TYPES = ("jdbc", "postgres", "mssql", "oracle")
 # Driver classes and Oracle's default listener port.
@@ -86,6 +93,35 @@ def quote_table(kind: str, schema: str | None, table: str) -> str:
     return ".".join(parts)
 
 
+def quote_name(kind: str, name: str) -> str:
+    return f"[{name.replace(']', ']]')}]" if kind == "mssql" else '"' + name.replace('"', '""') + '"'
+
+
+def _geometry(kind: str, column: str) -> tuple[str, str]:
+    """SQL of a geometry column's WKT and SRID."""
+    name = quote_name(kind, column)
+    if kind == "postgres":
+        return f"ST_AsText(s.{name})", f"ST_SRID(s.{name})"
+    if kind == "mssql":
+        return f"s.{name}.STAsText()", f"s.{name}.STSrid"
+    return f"SDO_UTIL.TO_WKTGEOMETRY(s.{name})", f"s.{name}.SDO_SRID"
+
+
+def relation(cfg: SearchConfig) -> str:
+    """The ``dbtable`` option: the table, or a subquery that projects its geometry."""
+    kind = cfg.data_type
+    name = quote_table(kind, cfg.schema, cfg.table)
+    if not cfg.geom_column or kind not in DRIVERS:
+        return name
+    srid = cfg.srid if isinstance(cfg.srid, str) else "epsg"
+    more = parse_display_columns(cfg.connection.get("columns") or "")
+    plain = dict.fromkeys([*cfg.required_columns, *cfg.extra_columns, *more])
+    columns = [f"s.{quote_name(kind, c)}" for c in plain if c not in (cfg.geom_column, srid)]
+    wkt, number = _geometry(kind, cfg.geom_column)
+    columns += [f"{wkt} AS {quote_name(kind, cfg.geom_column)}", f"{number} AS {quote_name(kind, srid)}"]
+    return f"(SELECT {', '.join(columns)} FROM {name} s) {quote_name(kind, 'lookout')}"
+
+
 def jdbc_options(cfg: SearchConfig) -> dict[str, str]:
     """``spark.read.format("jdbc").options(**jdbc_options(cfg))``."""
     kind = cfg.data_type
@@ -104,7 +140,7 @@ def jdbc_options(cfg: SearchConfig) -> dict[str, str]:
         raise ValueError(f"{kind!r} is not a JDBC source")
     if not cfg.table:
         raise ValueError("JDBC source needs table")
-    opts = {"url": url, "dbtable": quote_table(kind, cfg.schema, cfg.table)}
+    opts = {"url": url, "dbtable": relation(cfg)}
     if kind in DRIVERS:
         opts["driver"] = _s(conn, "driver") or DRIVERS[kind]
     for key in ("user", "password"):

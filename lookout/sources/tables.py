@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..config import SearchConfig
 from .jdbc import JDBC_TYPES, jdbc_options
@@ -14,8 +15,9 @@ from .jdbc import JDBC_TYPES, jdbc_options
 def read_source(spark: SparkSession, cfg: SearchConfig) -> DataFrame:
     """The searchable relation of ``cfg`` (A1-A3); unknown types are an error (DEC-5).
 
-    Only the columns a search references are read: the search's projection is
-    pushed into the parquet / JDBC / GeoPackage scan by Catalyst.
+    Only the columns a search references are read: Catalyst pushes the search's
+    projection into the parquet or JDBC scan.  The GeoPackage reader gets the
+    attributes that the config names.
     """
     kind = cfg.data_type
     if kind == "parquet":
@@ -35,7 +37,11 @@ def read_source(spark: SparkSession, cfg: SearchConfig) -> DataFrame:
         layer = cfg.layer or cfg.table
         if not cfg.path or not layer:
             raise ValueError("gpkg source needs path and layer")
-        return spark.read.format("gpkg").option("layer", layer).load(cfg.path)
+        full = spark.read.format("gpkg").option("layer", layer).load(cfg.path).schema
+        if cfg.scale_expr is None and cfg.bbox_expr is None:  # an expression may use any attribute
+            named = {*cfg.required_columns, *cfg.extra_columns}
+            full = StructType(full.fields[:4] + [f for f in full.fields[4:] if f.name in named])
+        return spark.read.format("gpkg").option("layer", layer).schema(full).load(cfg.path)
     raise ValueError(f"config {cfg.name!r}: data_type {kind!r} has no reader; pass a DataFrame")
 
 

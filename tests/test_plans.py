@@ -13,6 +13,16 @@ def test_debounce_has_no_window_and_pre_aggregates(spark):
     p = plan(C.QUERIES["debounce_events"](spark, SF_SMALL))
     assert "Window" not in p
     assert "partial_max_by" in p and "partial_min" in p
+    assert p.count("FileScan") == 1 and p.count("Exchange") == 1 and "Join" not in p
+
+
+def test_debounced_search_reads_the_events_once(spark):
+    p = plan(C.QUERIES["debounce_search_repeated_ids"](spark, SF_SMALL))
+    assert "events.parquet" not in p  # they were read for the checkpoint of the queries
+
+
+def test_viewport_without_limit_does_not_sort(spark):
+    assert "Exchange" not in plan(C.QUERIES["viewport"](spark, SF_SMALL))
 
 
 def test_single_search_prunes_and_takes_top_k(spark):

@@ -190,3 +190,38 @@ def test_settings_row_to_gpkg_search(spark, scratch):
     # row i: name "Place {i+1}", context1 cycles "", "town", None, context2 = i % 4;
     # the GeoPackage line drops empty text and zero
     assert got == [("Place 1", 4326), ("Place 10, 1", 4326), ("Place 11, town, 2", 4326), ("Place 12, 3", 4326)]
+
+
+def test_geometry_projection_quotes_every_name():
+    from lookout.sources.jdbc import jdbc_options
+
+    base = dict(search_column='na"me', tie_break="id", geom_column="ge]om", srid="epsg", schema="s", table="t]", extra_columns="id")
+    pg = jdbc_options(SearchConfig(data_type="postgres", connection={"database": "d"}, **base))["dbtable"]
+    assert pg == '(SELECT s."na""me", s."id", ST_AsText(s."ge]om") AS "ge]om", ST_SRID(s."ge]om") AS "epsg" FROM "s"."t]" s) "lookout"'
+    ms = jdbc_options(SearchConfig(data_type="mssql", connection={"host": "h"}, **base))["dbtable"]
+    assert ms == "(SELECT s.[na\"me], s.[id], s.[ge]]om].STAsText() AS [ge]]om], s.[ge]]om].STSrid AS [epsg] FROM [s].[t]]] s) [lookout]"
+    ora = jdbc_options(SearchConfig(data_type="oracle", connection={"host": "h"}, **base))["dbtable"]
+    assert 'SDO_UTIL.TO_WKTGEOMETRY(s."ge]om") AS "ge]om", s."ge]om".SDO_SRID AS "epsg"' in ora
+
+
+def test_gpkg_values_that_do_not_fit_and_sparse_ids(spark, scratch):
+    import sqlite3
+
+    from lookout.sources.gpkg import GeoPackageReader, register
+    from pyspark.sql.types import StructType
+
+    path = os.path.join(scratch, "odd.gpkg")
+    with sqlite3.connect(path) as con:
+        con.execute("CREATE TABLE gpkg_geometry_columns (table_name, column_name, geometry_type_name, srs_id, z, m)")
+        con.execute("CREATE TABLE gpkg_spatial_ref_sys (srs_id, organization, organization_coordsys_id)")
+        con.execute("INSERT INTO gpkg_geometry_columns VALUES ('odd', 'geom', 'POINT', 4326, 0, 0)")
+        con.execute("INSERT INTO gpkg_spatial_ref_sys VALUES (4326, 'epsg', 4326)")
+        con.execute("CREATE TABLE odd (fid INTEGER PRIMARY KEY, geom BLOB, ok BOOLEAN, n INTEGER, x REAL, name TEXT)")
+        con.execute("INSERT INTO odd VALUES (1, NULL, 1, 5, 1.5, 'a'), (20000000000, NULL, 'maybe', 'five', 'x', 7)")
+    register(spark)
+    df = spark.read.format("gpkg").option("layer", "odd").option("rowsPerPartition", 1).load(path)
+    assert {tuple(r)[4:] for r in df.collect()} == {(True, 5, 1.5, "a"), (None, None, None, "7")}
+    reader = GeoPackageReader({"path": path, "layer": "odd", "rowsPerPartition": "1"}, df.schema)
+    assert len(reader.partitions()) == 2
+    narrow = spark.read.format("gpkg").option("layer", "odd").schema(StructType(df.schema.fields[:4] + df.schema.fields[7:])).load(path)
+    assert {r.name for r in narrow.collect()} == {"a", "7"}
