@@ -88,37 +88,46 @@ def features(text: str, known: WordFeatures) -> np.ndarray:
     return np.array(out, np.int32)
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordFeatures()
+def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, documents, of good quality, toxic); feature -1 counts the documents."""
+    known, counts = WordFeatures(), np.zeros((1 + (1 << BITS), 3), np.int64)
     for batch in batches:
-        lists = [features(x.as_py() or "", known) for x in batch.column(2)]
-        limits = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-        values = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(limits), values)], names=["quality", "toxic", "features"]
-        )
+        labels = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+        for (quality, toxic), text in zip(labels, batch.column(2), strict=True):
+            found = np.append(np.unique(features(text.as_py() or "", known)), -1)
+            counts[found] += (1, quality, toxic)
+    some = np.flatnonzero(counts[:, 0])
+    columns = [np.where(some == 1 << BITS, -1, some), *counts[some].T]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["feature", "n", *TARGETS])
+
 
+def _extract(used: np.ndarray):
+    """The features of every document that are used for any target."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordFeatures()
+        for batch in batches:
+            lists = [f[used[f]] for f in (features(x.as_py() or "", known) for x in batch.column(2))]
+            limits = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+            values = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(limits), values)], names=["quality", "toxic", "features"]
+            )
 
-def _sums(weights: np.ndarray, at: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """Sum of the weights of every document; documents have at least one feature."""
-    return np.add.reduceat(weights[at], limits[:-1]) if len(limits) > 1 else np.zeros(0)
+    return run
 
 
-def _telling(at: np.ndarray, limits: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which features are associated with the target beyond chance."""
-    doc = np.repeat(np.arange(len(y), dtype=np.int64), np.diff(limits))
-    pair = np.unique(doc << BITS | at)
-    n = np.bincount(pair & _MASK, minlength=1 << BITS)
-    hits = np.bincount(pair & _MASK, y[pair >> BITS], 1 << BITS)
-    rate = y.mean()
-    chi2 = (hits - n * rate) ** 2 / np.maximum(n * rate * (1 - rate) * (1 - n / len(y)), 1e-9)
-    return (n >= LEAST_DOCUMENTS) & (chi2 >= max(LEAST_CHI2, LEAST_EFFECT * len(y)))
+def _telling(n: np.ndarray, hits: np.ndarray, total: int, positive: int) -> np.ndarray:
+    """Which features are associated with a target beyond chance."""
+    rate = positive / max(total, 1)
+    chi2 = (hits - n * rate) ** 2 / np.maximum(n * rate * (1 - rate) * (1 - n / max(total, 1)), 1e-9)
+    return (n >= LEAST_DOCUMENTS) & (chi2 >= max(LEAST_CHI2, LEAST_EFFECT * total))
 
 
-def _fit(at: np.ndarray, limits: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+def _fit(at: np.ndarray, limits: np.ndarray, y: np.ndarray, telling: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression on the telling features by adaptive mini-batch steps."""
     rng = np.random.default_rng(0)
-    used = np.flatnonzero(_telling(at, limits, y))
+    used = np.flatnonzero(telling)
     place = np.full(1 << BITS, -1)
     place[used] = np.arange(len(used))
     doc, at = np.repeat(np.arange(len(y)), np.diff(limits)), place[at]
@@ -159,7 +168,7 @@ def _calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class Classifier:
     """For each target: weights, and the map of a document's score to calibrated log-odds."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, rows: pa.Table, telling: dict[str, np.ndarray]):
         lists = rows["features"].combine_chunks()
         limits = lists.offsets.to_numpy().astype(np.int64)
         at = lists.values.to_numpy()
@@ -176,8 +185,9 @@ class Classifier:
                 continue
             own = np.concatenate([at[limits[d] : limits[d + 1]] for d in train])
             ends = np.concatenate(([0], np.cumsum(limits[train + 1] - limits[train])))
-            weights, bias = _fit(own, ends, y[train])
-            score = _sums(weights, at, limits) + bias
+            weights, bias = _fit(own, ends, y[train], telling[name])
+            sums = np.concatenate(([0.0], np.cumsum(weights[at])))
+            score = sums[limits[1:]] - sums[limits[:-1]] + bias
             a, b = _calibrate(score[test], y[test])
             self.weights.append(weights.astype(np.float32))
             self.maps.append((a, a * bias + b))
@@ -188,7 +198,11 @@ class Classifier:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int = MAX_LABELLED) -> Classifier:
-    """Fit on a bounded, hashed choice of the labelled documents; their features reach the driver."""
+    """Fit on a bounded, hashed choice of the labelled documents.
+
+    Features are counted over the cluster; of the chosen documents, only the telling ones
+    reach the driver.
+    """
     labels = labels.where("quality is not null and toxic is not null").select(
         F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")
     )
@@ -197,8 +211,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most:
         labels = labels.where(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(1_000_000 * most / total))
     chosen = labels.dropDuplicates(["label_id"])
     rows = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "label_id")
+    rows = written(rows.select("quality", "toxic", "text"), "labelled")
+    counted = rows.mapInArrow(_feature_counts, "feature bigint, n bigint, quality bigint, toxic bigint").groupBy("feature")
+    # at most one row a hashed feature
+    counted = counted.agg(*(F.sum(c).alias(c) for c in ("n", *TARGETS))).where(
+        (F.col("n") >= LEAST_DOCUMENTS) | (F.col("feature") == -1)
+    ).toArrow()
+    place = counted["feature"].to_numpy()
+    dense = {c: np.zeros(1 + (1 << BITS), np.int64) for c in ("n", *TARGETS)}
+    for c, values in dense.items():
+        values[place] = counted[c].to_numpy()
+    total = int(dense["n"][-1])
+    telling = {t: _telling(dense["n"][:-1], dense[t][:-1], total, int(dense[t][-1])) for t in TARGETS}
+    used = telling["quality"] | telling["toxic"]
     schema = "quality int, toxic int, features array<int>"
-    return Classifier(rows.select("quality", "toxic", "text").mapInArrow(_extract, schema).toArrow())
+    return Classifier(rows.mapInArrow(_extract(used), schema).toArrow(), telling)
 
 
 def _evidence(shared):
