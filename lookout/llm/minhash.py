@@ -1,6 +1,6 @@
 """Operator 1: near-duplicates by fast similarity sketching, banding and exact verification.
 
-Sketch: ``BANDS * ROWS`` coordinates.  In round i every shingle is thrown into one
+Sketch: ``DEPTH * BANDS * ROWS`` coordinates.  In round i every shingle is thrown into one
 hashed bin with value (i, hash); a bin keeps its least value.  Rounds go on until no
 bin is empty; after as many rounds as bins, round i fills bin i - t from all
 shingles, so at most 2t rounds are needed and every coordinate fills.  Two sets agree
@@ -11,11 +11,17 @@ Banding: sets that agree on all ROWS coordinates of a band share a bucket.  At t
 threshold of 0.75 a pair misses every one of 60 bands of 6 with probability 8e-6,
 and more similar pairs far less.
 
-Equal sets are one node from the start, so exact copies never meet pairwise.  Links are
-looked for in two passes: (1) every bucket's members against its hub, the member that
-shares most buckets overall; (2) members of one bucket that are still in different
-components, against each other.  Pass 2 is complete for banding, because members of one
-component need no further link.  All candidates are confirmed on the full shingle sets.
+Equal sets are one node from the start, so exact copies never meet pairwise.  Only
+connectivity is asked for, so links are looked for in rounds: in every bucket the members
+outside the largest component meet one hub of that component, first the member that shares
+most buckets overall, later a hashed choice.  Each round is linear in the bucket sizes and a
+group of near-copies melts into one component within a few.  At last the members of one bucket
+that are still in different components meet each other.  That is complete for banding, since
+members of one component need no further link.
+
+Before texts are read, a pair must agree in enough sketch coordinates, compared by their lowest
+``PLANES`` bits: a pair at the threshold is dropped with probability 1e-5, about that of missing
+all bands.  All others are confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -35,11 +41,19 @@ SHINGLE = 5
 PERCENT = 75
 ROWS = 6
 BANDS = 60
+#: Sketches have so many times the coordinates that the bands use; all of them sift pairs.
+DEPTH = 2
+#: Hub rounds at most; what they leave is met pairwise in the last one.
+ROUNDS = 2
+#: Bits of a coordinate that are compared before texts are read.
+PLANES = 4
+#: Standard deviations below the expected agreement at which a pair is dropped.
+SIGMAS = 4.2
 #: Pairs of one hub that one task verifies at most; a hub with more is replicated.
 PAIRS_PER_SALT = 4096
 
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
-_SIGNATURE = "doc_id bigint, n bigint, h1 bigint, h2 bigint, bands array<bigint>"
+_SIGNATURE = "doc_id bigint, n bigint, h1 bigint, h2 bigint, bits array<bigint>, bands array<bigint>"
 
 
 def sketch(shingles: np.ndarray, counts: np.ndarray, t: int) -> np.ndarray:
@@ -80,21 +94,24 @@ def _signatures(shingle: int, rows: int, bands: int):
                 found, counts = part.shingles(shingle)
                 h1, h2 = _digests(found, counts)
                 full = np.flatnonzero(counts)
-                lists = np.zeros(0, np.int64)
+                lists = bits = np.zeros(0, np.int64)
                 if len(full):
-                    cells = sketch(found, counts[full], rows * bands).reshape(len(full), bands, rows)
-                    keys = (cells * mixers).sum(axis=2, dtype=U)
+                    cells = sketch(found, counts[full], DEPTH * rows * bands).reshape(len(full), DEPTH * rows, bands)
+                    planes = (cells[:, :, None, :] >> np.arange(PLANES, dtype=U)[:, None]) & U(1)
+                    bits = (planes << np.arange(bands, dtype=U)).sum(axis=3, dtype=U).view(np.int64).ravel()
+                    keys = (cells[:, :rows] * mixers[:, None]).sum(axis=1, dtype=U)
                     lists = mix(keys ^ marks).view(np.int64).ravel()
-                limits = np.concatenate(([0], np.cumsum((counts > 0) * bands))).astype(np.int32)
+                some = np.concatenate(([0], np.cumsum(counts > 0)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
                         pa.array(counts),
                         pa.array(h1),
                         pa.array(h2),
-                        pa.ListArray.from_arrays(pa.array(limits), pa.array(lists)),
+                        pa.ListArray.from_arrays(pa.array((some * DEPTH * rows * PLANES).astype(np.int32)), pa.array(bits)),
+                        pa.ListArray.from_arrays(pa.array((some * bands).astype(np.int32)), pa.array(lists)),
                     ],
-                    names=["doc_id", "n", "h1", "h2", "bands"],
+                    names=["doc_id", "n", "h1", "h2", "bits", "bands"],
                 )
 
     return run
@@ -137,6 +154,57 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return both.mapInArrow(_verify(shingle, percent), "a bigint, b bigint").distinct()
 
 
+def _may_link(percent: int, rows: int, bands: int):
+    """The condition on two nodes that their sizes and low bits allow the similarity."""
+    chance = 0.5**PLANES
+    agree = percent / 100 * (1 - chance) + chance
+
+    def most(groups: int) -> int:
+        t = groups * bands
+        return int(t * (1 - agree) + SIGMAS * (t * agree * (1 - agree)) ** 0.5)
+
+    def near(x: str, y: str):
+        def differ(low: int, high: int):
+            total = F.lit(0)
+            for k in range(low * PLANES, high * PLANES, PLANES):
+                any_bit = F.lit(0).cast("long")
+                for p in range(k, k + PLANES):
+                    any_bit = any_bit.bitwiseOR(F.col(f"{x}.bits")[p].bitwiseXOR(F.col(f"{y}.bits")[p]))
+                total = total + F.bit_count(any_bit)
+            return total
+
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        fits = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+        groups = DEPTH * rows
+        # the first half alone rules most pairs out
+        return fits & (differ(0, groups // 2) <= most(groups // 2)) & (differ(0, groups) <= most(groups))
+
+    return near
+
+
+def _hub_pairs(placed: DataFrame, turn: int) -> DataFrame:
+    """(a, b): in every bucket, a hub of its largest component and each member of another one."""
+    priority = F.col("popularity") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.max(F.struct(priority.alias("p"), F.col("node").alias("a"))).alias("pick"))
+    hubs = parts.groupBy("bucket").agg(F.max(F.struct("size", "pick", "component")).alias("top"))
+    hubs = hubs.select("bucket", F.col("top.component").alias("c"), F.col("top.pick.a").alias("a"))
+    return placed.join(hubs, "bucket").where("component <> c").select("a", F.col("node").alias("b")).distinct()
+
+
+def _sifted(pairs: DataFrame, nodes: DataFrame, near) -> DataFrame:
+    """The pairs whose sketches allow a link."""
+    nodes = nodes.select("node", "n", "bits")
+    met = pairs.join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node"))
+    return met.where(near("x", "y")).select("a", "b")
+
+
+def _still_mixed(placed: DataFrame, label: DataFrame) -> DataFrame:
+    """Members with their components, of the buckets that hold more than one."""
+    now = placed.drop("component").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = now.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
+    return written(now.join(mixed.select("bucket"), "bucket"), "mixed")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -154,37 +222,43 @@ def near_duplicates(
     copies; rows that repeat an id are judged by their own text.  Other columns of
     ``docs`` are ignored, whatever their names.  Empty input: empty result.
     """
+    if not 0 < bands <= 64:
+        raise ValueError("bands must be 1 to 64")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signatures = written(docs.mapInArrow(_signatures(shingle, rows, bands), _SIGNATURE), "signatures")
-    sets = written(
-        signatures.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "sets"
-    )
-    nodes = signatures.join(sets, ["h1", "h2"]).where("doc_id = node").select("node", "n", "bands").dropDuplicates(["node"])
-    members = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    full = signatures.where("n > 0 and doc_id is not null")
+    sets = written(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "sets")
+    copies = full.select("h1", "h2", "doc_id").join(sets.where("copies > 1"), ["h1", "h2"]).where("doc_id <> node")
+    nodes = written(full.join(copies.select("doc_id"), "doc_id", "left_anti").withColumnRenamed("doc_id", "node"), "nodes")
+
+    members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = written(members.join(shared, "bucket"), "members")
+    popularity = members.groupBy("node").agg(F.sum("size").alias("popularity"))
+    placed = written(members.drop("size").join(popularity, "node").withColumn("component", F.col("node")), "placed")
 
-    popular = members.groupBy("node").agg(F.sum("size").alias("popularity"))
-    ranked = members.join(popular, "node")
-    hub = ranked.groupBy("bucket").agg(F.max(F.struct("popularity", -F.col("node"), "n")).alias("top"))
-    hub = hub.select("bucket", (-F.col("top").getField("col2")).alias("a"), F.col("top.n").alias("na"))
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    pairs = members.join(hub, "bucket").where(F.col("node") != F.col("a")).where(fits(F.col("n"), F.col("na")))
-    pairs = written(pairs.select("a", F.col("node").alias("b")).distinct(), "hub_pairs")
-    first = written(_confirmed(pairs, docs, shingle, percent), "hub_links")
-
-    label = components(first)
-    placed = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
-    placed = written(placed.join(mixed.select("bucket"), "bucket").select("bucket", "node", "n", "component"), "mixed")
+    near = _may_link(percent, rows, bands)
+    tested = links = None
+    for turn in range(ROUNDS):
+        pairs = _hub_pairs(placed, turn)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, "hub_pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        found = written(_confirmed(written(_sifted(pairs, nodes, near), "sifted"), docs, shingle, percent), "hub_links")
+        links = found if links is None else links.union(found)
+        placed = _still_mixed(placed, components(links))
+        if placed.isEmpty():
+            break
+    # a pair meets in the first band that it shares, and there only
+    placed = placed.select("bucket", "band", "node", "component").join(nodes.select("node", "n", "bits", "bands"), "node")
     left, right = placed.alias("l"), placed.alias("r")
-    cross = left.join(right, "bucket").where("l.node < r.node and l.component <> r.component")
-    cross = cross.where(fits(F.col("l.n"), F.col("r.n"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = written(cross.join(tested, ["a", "b"], "left_anti"), "cross_pairs")
-    second = _confirmed(cross, docs, shingle, percent)
-
-    label = components(first.union(second))
+    meet = F.expr("l.bucket = r.bucket and l.node < r.node and l.component <> r.component") & near("l", "r")
+    meet = meet & F.expr("array_position(zip_with(l.bands, r.bands, (p, q) -> p = q), true) = l.band + 1")
+    cross = left.join(right, meet).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+    tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = written(cross.distinct().join(tested, ["a", "b"], "left_anti"), "cross_pairs")
+    label = components(links.union(_confirmed(cross, docs, shingle, percent)))
     sets = sets.join(label, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
     out = signatures.select("doc_id", "n", "h1", "h2").join(sets, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
