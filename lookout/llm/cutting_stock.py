@@ -17,6 +17,8 @@ _EPS = 1e-9
 #: The relaxation stops within this share of its optimum: the objective divided by the value
 #: of the best new pattern is a lower bound.
 _GAP = 1e-3
+#: It also stops when so many rounds gain less than a tenth of that.
+_STALL = 50
 
 
 def _price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -48,11 +50,16 @@ def _relaxation(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: in
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
+    before = np.inf
     for step in range(rounds):
         value, pattern = _price(inverse.sum(axis=0), sizes, capacity)
         if value <= 1 + _GAP:
             break
         count, direction = inverse @ demand, inverse @ pattern
+        if step % _STALL == 0:
+            if before - count.sum() < _GAP / 10 * count.sum():
+                break
+            before = count.sum()
         ratio = np.full(m, np.inf)
         up = direction > _EPS
         ratio[up] = np.maximum(count[up], 0) / direction[up]
