@@ -16,6 +16,7 @@ from .line_rules import line_rules
 from .lm_scoring import lattice_scores
 from .minhash import near_duplicates
 from .packing import pack
+from .passages import passages
 from .pii import personal_data
 from .quality import quality_posteriors
 from .sharding import shard
@@ -45,6 +46,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("removed").alias("r")).select("doc_id", "r.*")
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every removed passage of 50 words or more, wherever lines break."""
+    return passages(table(spark, sf_dir, "documents"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_substring_dedup": op4_substring_dedup,
+    "op4_passages": op4_passages,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_license_scans": op6_license_scans,
     "op7_decontamination": op7_decontamination,
