@@ -2,13 +2,16 @@
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers.  The field adds what
 they miss: parts or other spellings of such data.  Its nodes are a document's tokens that hold a
-digit or an at sign.  Neighbouring tokens are linked in a chain; tokens that repeat, wherever
-they are, or are similar (equal digits, equal last ten digits, equal local part) are linked by
-skip edges, consecutive occurrences only, so the edges stay linear.  Tokens inside base spans
-are observed; loopy sum-product message passing gives the others their labels.
+digit or an at sign, and those without that equal the local part of an address found anywhere in
+the document.  Neighbouring tokens are linked in a chain; tokens that repeat, wherever they are,
+or are similar (equal digits, equal last ten digits, equal local part) are linked by skip edges:
+each to the occurrence before it and to the first observed one, so the edges stay linear and
+evidence reaches every occurrence.  Tokens inside base spans are observed; loopy sum-product
+message passing, until the messages settle, gives the others their labels.
 
 Training is maximum likelihood by counting over all documents, with the base spans as labels:
-label by token shape, label by label of neighbours, and agreement over skip edges.  Shapes are
+label by token shape, label by label of neighbours, and agreement over skip edges of consecutive
+occurrences.  Local parts without digits have no label there and are not counted.  Shapes are
 hashed into ``SHAPES`` classes, so the model has a fixed size.
 """
 
@@ -26,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHAPES = 4096
-STEPS = 12
+#: Messages that change by less have settled.
+SETTLED = 1e-3
 DAMPING = 0.5
 SMOOTHING = 0.5
 #: Pairs that agree, one against one, before any is counted: the belief in consistency.
@@ -45,9 +49,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _RUN = re.compile(r"[0-9]+|[^\W\d_]+")
 _DIGITS = re.compile(r"[^0-9]")
 _TAIL = ".,;:!?\"'"
+_AROUND = _TAIL + "()[]<>"
 
 Span = tuple[int, int, int]  # start, end, kind number
 
@@ -119,14 +125,30 @@ def shape(token: str) -> int:
     return zlib.crc32(form.encode()) % SHAPES
 
 
+def _locals(text: str, spans: list[Span]) -> list[tuple[int, int]]:
+    """Words without digits that equal the local part of an address in ``spans``."""
+    known = {key for a, b, kind in spans if kind == 0 for what, key in _keys(text[a:b]) if what == "local" and not _MARK.search(key)}
+    if not known:
+        return []
+    words = (m for m in _WORD.finditer(text) if not _MARK.search(m.group()))
+    return [m.span() for m in words if m.group().strip(_AROUND).lower() in known]
+
+
 class Graph:
-    """A document's tokens, their shapes and base labels, and the edges between them."""
+    """A document's tokens, their shapes and base labels, and the edges between them.
 
-    def __init__(self, text: str, spans: list[Span]):
+    Without ``whole`` only what is counted: tokens with a digit or an at sign, and skip edges of
+    consecutive occurrences.
+    """
+
+    def __init__(self, text: str, spans: list[Span], whole: bool = True):
         self.places = _tokens(text)
+        if whole:
+            self.places = sorted(self.places + _locals(text, spans))
         n = len(self.places)
         self.shapes = np.fromiter((shape(text[a:b]) for a, b in self.places), np.int64, n)
         self.base = np.zeros(n, np.int64)
+        inside: dict[int, Span] = {}
         k = 0
         ordered = sorted(spans)
         for j, (a, b) in enumerate(self.places):
@@ -134,24 +156,37 @@ class Graph:
                 k += 1
             if k < len(ordered) and ordered[k][0] < b:
                 self.base[j] = ordered[k][2] + 1
+                if ordered[k][2] == 0:
+                    inside[j] = ordered[k]
         starts = np.fromiter((a for a, _ in self.places), np.int64, n)
         ends = np.fromiter((b for _, b in self.places), np.int64, n)
         near = np.flatnonzero(starts[1:] - ends[:-1] == 1)
         self.chain = np.stack((near, near + 1), axis=1)
+        keys = [list(_keys(text[a:b])) for a, b in self.places]
+        seen: dict[tuple, int] = {}
+        if whole:
+            for j, (a, b, _) in inside.items():
+                keys[j] += [key for key in _keys(text[a:b]) if key not in keys[j]]
+            for j in np.flatnonzero(self.base).tolist():
+                for key in keys[j]:
+                    seen.setdefault(key, j)
         last: dict[tuple, int] = {}
         skips: dict[tuple, int] = {}
-        for j, (a, b) in enumerate(self.places):
-            for key in _keys(text[a:b]):
+        for j, own in enumerate(keys):
+            for key in own:
                 if last.get(key, j) != j:
                     skips.setdefault((last[key], j), SIMILAR.index(key[0]))
                 last[key] = j
+                i = seen.get(key, j)
+                if i != j and not self.base[j]:
+                    skips.setdefault((min(i, j), max(i, j)), SIMILAR.index(key[0]))
         self.skips = np.array(list(skips), np.int64).reshape(-1, 2)
         self.why = np.array(list(skips.values()), np.int64)
 
 
 def _keys(token: str) -> Iterator[tuple]:
     """Tokens that share a key are similar."""
-    bare = token.strip(_TAIL + "()[]<>").lower()
+    bare = token.strip(_AROUND).lower()
     digits = _DIGITS.sub("", bare)
     if len(bare) >= 5:
         yield "same", bare
@@ -173,7 +208,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text.as_py()
             if not text or not _MARK.search(text):
                 continue
-            g = Graph(text, base_spans(text))
+            g = Graph(text, base_spans(text), whole=False)
             counts.update(zip([0] * len(g.base), g.shapes.tolist(), g.base.tolist(), strict=True))
             counts.update((1, int(g.base[i]), int(g.base[j])) for i, j in g.chain)
             counts.update((2, int(w), int(g.base[i] == g.base[j])) for (i, j), w in zip(g.skips, g.why, strict=True) if g.base[i] or g.base[j])
@@ -201,7 +236,7 @@ class Model:
         """The most likely label of every token after loopy message passing."""
         unary = self.unary[g.shapes].copy()
         seen = np.flatnonzero(g.base)
-        unary[seen] = -50.0
+        unary[seen] = -1e9  # stays below whatever many neighbours say
         unary[seen, g.base[seen]] = 0.0
         edges = np.concatenate((g.chain, g.skips))
         if not len(edges):
@@ -215,15 +250,25 @@ class Model:
         potential = np.concatenate((potential, potential.transpose(0, 2, 1)))
         back = np.roll(np.arange(len(source)), len(edges))
         message = np.zeros((len(source), _LABELS))
-        for _ in range(STEPS):
-            belief = unary.copy()
-            np.add.at(belief, target, message)
-            out = potential + (belief[source] - message[back])[:, :, None]
+        active = np.arange(len(source))
+        # only messages from nodes whose belief still moves are computed again; a path has at most
+        # as many edges as there are nodes, and damping needs some steps for each
+        for _ in range(64 + 8 * len(unary)):
+            out = potential[active] + (unary[source[active]] - message[back[active]])[:, :, None]
             top = out.max(axis=1)
             new = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
             new -= new.max(axis=1, keepdims=True)
-            message = DAMPING * message + (1 - DAMPING) * new
-        np.add.at(unary, target, message)
+            change = (1 - DAMPING) * (new - message[active])
+            message[active] += change
+            np.add.at(unary, target[active], change)
+            moved = active[np.abs(change).max(axis=1) > SETTLED]
+            if not len(moved):
+                break
+            again = np.zeros(len(unary), bool)
+            again[target[moved]] = True
+            again = again[source]
+            again[moved] = True
+            active = np.flatnonzero(again)
         return unary.argmax(axis=1)
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
