@@ -7,6 +7,8 @@ finds all pieces of all items in one pass) marks a window.  Windows that share t
 substrings with the item for any match are passed over; in the others Myers' bit-parallel
 search gives the least distance of the item to any substring.
 
+Items of fewer than ``MIN_CHARS`` characters must occur unchanged and between word limits.
+
 Items go out in blocks of bounded size, and every block meets every document.
 """
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUDGET = 0.08
-#: Shorter items are not searched for: they occur by chance.
+#: Shorter items are searched for without errors, as whole words: near them is too much by chance.
 MIN_CHARS = 40
 #: Characters of items in one block.
 BLOCK_CHARS = 4_000_000
@@ -41,9 +43,10 @@ def normalised(text: str | None) -> str:
 class Item:
     """A test item with the bit masks of Myers' algorithm."""
 
-    def __init__(self, item_id: int, text: str, budget: float):
+    def __init__(self, item_id: int, text: str, budget: float, min_chars: int = 0):
         self.item_id, self.text, self.size = item_id, text, len(text)
-        self.errors = int(self.size * budget)
+        self.short = self.size < min_chars
+        self.errors = 0 if self.short else int(self.size * budget)
         self.masks: dict[str, int] = {}
         for k, c in enumerate(text):
             self.masks[c] = self.masks.get(c, 0) | 1 << k
@@ -83,6 +86,12 @@ class Item:
         return best, end
 
 
+def _whole_words(text: str, start: int, end: int) -> bool:
+    """No letter or digit goes on beyond either end of the span."""
+    before = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+    return not before and not (end < len(text) and text[end - 1].isalnum() and text[end].isalnum())
+
+
 def _automaton(items: list[Item]):
     import ahocorasick
 
@@ -107,6 +116,10 @@ def _leaks_in(text: str, machine, items: list[Item], backward: list[Item]) -> li
             if k in best and best[k][0] == 0:
                 continue
             first = last + 1 - length - low  # where the item would begin without errors before the piece
+            if item.short:
+                if _whole_words(text, first, last + 1):
+                    best[k] = (0, first, last + 1)
+                continue
             starts = tried.setdefault(k, [])
             if starts and first in starts[-8:]:
                 continue  # the same window
@@ -139,9 +152,9 @@ def _original(text: str, start: int, end: int) -> tuple[int, int]:
 
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, budget = shared.value
-        items = [Item(i, t, budget) for i, t in rows]
-        backward = [Item(i, t[::-1], budget) for i, t in rows]
+        rows, budget, min_chars = shared.value
+        items = [Item(i, t, budget, min_chars) for i, t in rows]
+        backward = [Item(i, t[::-1], budget, min_chars) for i, t in rows]
         machine = _automaton(items)
         for batch in batches:
             out = []
@@ -170,8 +183,8 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, item_id, start, end, distance) for every document and test item found in it.
 
-    The span, in code points of the text, is the nearest passage.  Null or empty texts and items,
-    and items of fewer than ``min_chars`` characters, match nothing.  Repeated items each have
+    The span, in code points of the text, is the nearest passage.  Null or empty texts and items
+    match nothing.  Items of fewer than ``min_chars`` characters match unchanged, as whole words.  Repeated items each have
     their rows, and so have repeated rows and rows with a null id.  Other columns are ignored,
     whatever their names.  No document or no item: empty result.
     """
@@ -186,9 +199,9 @@ def leaks(
         # one block: about block_chars characters
         own = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == k).collect()
         rows = [(r.item_id, normalised(r.text)) for r in own]
-        rows = sorted(((i, t) for i, t in rows if len(t) >= max(1, min_chars)), key=str)
+        rows = sorted(((i, t) for i, t in rows if t), key=str)
         if rows:
-            shared = spark.sparkContext.broadcast((rows, budget))
+            shared = spark.sparkContext.broadcast((rows, budget, min_chars))
             parts.append(docs.mapInArrow(_scan(shared), _LEAKS))
     return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], _LEAKS)
 
