@@ -5,13 +5,15 @@ DataFrame.  All but the last return the columns of ``docs``, with rows dropped o
 ``run`` writes every stage's result into the shared folder and gives the next one the reread
 table, so a lost executor never recomputes an earlier stage.
 
-Rows with a null id pass every stage that drops by id.  A null text counts as empty.  An empty
+Stages that drop rows give each row a written key first and drop exactly the rows that were
+judged, whatever their ids: null ids are judged like any, and rows that share an id one by one.
+A null text counts as empty.  An empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lookout.llm.common import table, without, written
@@ -26,26 +28,34 @@ from lookout.llm.registry import tokenizer_path
 ORACLE_SQL = None
 
 
+def _rows(docs: DataFrame, *order: Column) -> DataFrame:
+    """``docs`` written with a key ``_row`` of its own for every row, ascending in ``order``."""
+    if order:
+        docs = docs.orderBy(*order)
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def _dropped(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    return without(rows, keys, "_row").drop("_row")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    judged = quality_posteriors(docs, table(spark, sf_dir, "labels"))
-    return without(docs, judged.where("not kept").select("doc_id"))
+    rows = _rows(docs)
+    judged = quality_posteriors(rows, table(spark, sf_dir, "labels"), key_col="_row")
+    return _dropped(rows, judged.where("not kept").select("doc_id"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays; of rows that repeat an id, one."""
-    found = written(near_duplicates(docs), "components")
-    out = without(docs, found.where("not kept").select("doc_id"))
-    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    repeated = written(repeated, "repeated")
-    if repeated.isEmpty():
-        return out
-    return without(out, repeated).unionByName(out.join(repeated, "doc_id").dropDuplicates(["doc_id"]))
+    """Of each group of near-duplicates one row stays: that with the least id, null ids last."""
+    rows = _rows(docs, F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    return _dropped(rows, near_duplicates(rows, "_row").where("not kept").select("doc_id"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return without(docs, leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    rows = _rows(docs)
+    return _dropped(rows, leaks(rows, table(spark, sf_dir, "benchmark"), "_row").select("doc_id"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -277,6 +277,7 @@ def quality_posteriors(
     *,
     max_labelled: int = MAX_LABELLED,
     threshold: float = 0.5,
+    key_col: str | None = None,
 ) -> DataFrame:
     """doc_id, p_quality, p_toxic, the rates they start from, and kept, of every row.
 
@@ -284,16 +285,20 @@ def quality_posteriors(
     ids one counts.  Null text counts as empty, null hosts as one host, null paths as one path of
     their host; a null id is judged like any.  Repeated rows are judged one by one.  Without
     labels of both kinds there is no evidence on a target, and nothing is rejected by it.
+    With ``key_col``, a whole number of every row, doc_id in the result is that number.
     Other columns are ignored, whatever their names.  Empty input: empty result.
     """
     spark = docs.sparkSession
+    keys = F.col(key_col or id_col).cast("long").alias("key")
     docs = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
         F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"),
         F.col(text_col).cast("string").alias("text"),
+        keys,
     )
     model = train(docs, labels, "doc_id", "text", max_labelled)
+    docs = docs.select(F.col("key").alias("doc_id"), "host", "path", "text")
     shared = spark.sparkContext.broadcast(model)
     schema = "doc_id bigint, host string, path string, quality double, toxic double"
     rows = written(docs.mapInArrow(_evidence(shared), schema), "evidence")
