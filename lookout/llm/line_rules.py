@@ -4,8 +4,11 @@ Every line is normalised (A-Z lower-cased, white space collapsed) and hashed; pe
 the distinct documents that hold it are counted, where copies of one text count once.
 A line found in more than ``min_documents`` documents and more than ``max_share`` of the
 host's documents is boilerplate there and is removed; a document that keeps less than
-``min_left`` of its words is depleted and rejected.  Both limits are shares, so the verdict
-does not depend on how large the corpus is.
+``min_left`` of its words is depleted and rejected.
+
+The limits differ: ``max_share`` follows the host's size, ``min_documents`` does not.  So a host
+of ``min_documents`` distinct texts or fewer has no boilerplate at all, and in a very large host
+a line stays, in however many documents, up to ``max_share`` of them.
 """
 
 from __future__ import annotations
