@@ -45,6 +45,28 @@ def _price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
     return best[capacity], pattern
 
 
+def _inverted(matrix: np.ndarray) -> np.ndarray:
+    """Inverse by Gauss-Jordan elimination with row exchanges, in element-wise steps alone.
+
+    The driver may have started its JVM by a fork after numpy was loaded, and numpy's threaded
+    linear algebra can stand still after a fork; nothing in this module calls it.
+    """
+    m = len(matrix)
+    work = np.concatenate([matrix, np.eye(m)], axis=1)
+    for k in range(m):
+        p = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, p]] = work[[p, k]]
+        work[k] /= work[k, k]
+        factors = work[:, k].copy()
+        factors[k] = 0
+        work -= factors[:, None] * work[k]
+    return work[:, m:]
+
+
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return (matrix * vector).sum(axis=1)
+
+
 def _relaxation(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Basis patterns (a column each) and their fractional counts."""
     m = len(sizes)
@@ -55,7 +77,7 @@ def _relaxation(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: in
         value, pattern = _price(inverse.sum(axis=0), sizes, capacity)
         if value <= 1 + _GAP:
             break
-        count, direction = inverse @ demand, inverse @ pattern
+        count, direction = _times(inverse, demand), _times(inverse, pattern)
         if step % _STALL == 0:
             if before - count.sum() < _GAP / 10 * count.sum():
                 break
@@ -66,12 +88,12 @@ def _relaxation(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: in
         out = int(ratio.argmin())
         basis[:, out] = pattern
         if step % 100 == 99:
-            inverse = np.linalg.inv(basis)
+            inverse = _inverted(basis)
         else:
             pivot = inverse[out] / direction[out]
-            inverse -= np.outer(direction, pivot)
+            inverse -= direction[:, None] * pivot
             inverse[out] = pivot
-    return basis, np.linalg.solve(basis, demand)
+    return basis, _times(_inverted(basis), demand)
 
 
 def _greedy(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -94,6 +116,8 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 3000) -> list[
     sizes = np.array(sorted(c for c, n in histogram.items() if n > 0), np.int64)
     if not len(sizes):
         return []
+    if sizes[0] < 1 or sizes[-1] > capacity:
+        raise ValueError(f"sizes must lie between 1 and the capacity {capacity}")
     demand = np.array([histogram[int(c)] for c in sizes], np.int64)
     basis, count = _relaxation(sizes, demand.astype(float), capacity, rounds)
     whole = np.floor(np.maximum(count, 0) + 1e-6).astype(np.int64)

@@ -9,10 +9,7 @@ sequences owns the next a * n numbers, so each piece finds its sequence by its n
 
 from __future__ import annotations
 
-import re
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,78 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import numbered, written
 from .cutting_stock import solve
+from .word_ids import word_ids
 
 LENGTH = 2048
 QUANTUM = 8
 END_ID = 1
-#: Words that a Python worker remembers the ids of.
-CACHED_WORDS = 300_000
-CACHED_PARTS = 500_000
-
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-_MARKS = ".,;:!?"
-# byte-level vocabularies show a byte that does not print as the next free character from U+0100 on
-_HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
-_SHOWN = {b: 0x100 + k for k, b in enumerate(_HIDDEN)}
-# str.split() also splits at these four, which the tokenizer does not count as white space
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
-
-
-def _bytes(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
-
-
-class Remembered(dict):
-    """A dictionary that fills itself by ``make`` and forgets all when full."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        ids = self.make(word)
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
-
-
-class WordIds:
-    """Ids of texts as little-endian 32-bit bytes, put together from those of their words.
-
-    The tokenizer never joins characters across white space, so a text's ids are those of its
-    words one after another.  It lower-cases, and keeps letters apart from other characters, so
-    a word of plain letters and one mark after them falls into two parts, which recur more often.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.marks = {mark: self._encode(mark) for mark in _MARKS} | {"": b""}
-        self.letters = Remembered(self._merge, CACHED_PARTS)
-        self.words = Remembered(self._split, CACHED_WORDS)
-
-    def _encode(self, word: str) -> bytes:
-        return _bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
-
-    def _merge(self, letters: str) -> bytes:
-        """Lower-case letters below U+0100: nothing to normalise or to cut, the merges alone."""
-        shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_SHOWN)
-        return _bytes([t.id for t in self.model.tokenize(shown)])
-
-    def _split(self, word: str) -> bytes:
-        head, mark = (word[:-1], word[-1]) if word[-1] in _MARKS else (word, "")
-        if head.isalpha() and max(head) < "\u0100":  # beyond, lower-casing may depend on neighbours
-            return self.letters[head.lower()] + self.marks[mark]
-        return self._encode(word)
-
-    def encode(self, text: str) -> bytes:
-        words = _WHITE.split(text) if _SEPARATORS.search(text) else text.split()
-        return b"".join(map(self.words.__getitem__, filter(None, words)))
 
 
 def _pieces(tokenizer: str, length: int):
@@ -101,16 +32,15 @@ def _pieces(tokenizer: str, length: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of = WordIds(tokenizer)
-        end = np.array([END_ID], "<u4").tobytes()
+        ids_of = word_ids(tokenizer)
+        end = np.array([END_ID], np.uint32)
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = ids_of.encode(text.as_py() or "") + end
-                total = len(ids) // 4
-                for start in range(0, total, length):
-                    own = ids[4 * start : 4 * (start + length)]
-                    rows.append((doc, start, len(own) // 4, zlib.crc32(own), total))
+                ids = np.concatenate([ids_of.encode(text.as_py() or ""), end]).astype("<u4", copy=False)
+                for start in range(0, len(ids), length):
+                    own = ids[start : start + length]
+                    rows.append((doc, start, len(own), zlib.crc32(own), len(ids)))
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
@@ -146,6 +76,8 @@ def pack(
     A piece of a sequence starts where the one before ends.  Other columns are ignored,
     whatever their names.  Empty input: empty result.
     """
+    if length < 1 or quantum < 1 or length % quantum:
+        raise ValueError("length must be a positive multiple of quantum")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = written(docs.mapInArrow(_pieces(tokenizer, length), _PIECES), "pieces")

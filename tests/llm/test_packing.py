@@ -1,11 +1,14 @@
+import time
 import zlib
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from lookout.llm.cutting_stock import solve
-from lookout.llm.packing import WordIds, pack
+from lookout.llm.packing import pack
 from lookout.llm.registry import tokenizer_path
+from lookout.llm.word_ids import WordIds
 
 PATH = tokenizer_path("word_bpe_49k.json")
 ODD = [
@@ -19,8 +22,43 @@ ODD = [
 
 def test_ids_are_the_tokenizers():
     words, tokenizer = WordIds(PATH), Tokenizer.from_file(PATH)
-    for text in ODD:
-        assert words.encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert words.fast is not None
+    rng = np.random.default_rng(5)
+    letters = [*"aAbeEnstTz019'\".,$- \n\t\x1c\x1f\x85\xa0éÉßªµ²½ÿ", "'s", "'LL", "ā", "<|endoftext|>"]
+    mixed = ["".join(rng.choice(letters, 60)) for _ in range(500)]
+    for text in [*ODD, *mixed, "ab" * 50_000, "x" * 3000 + " 'll"]:
+        assert words.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_entries_merge_as_the_tokenizer_does():
+    words, tokenizer = WordIds(PATH), Tokenizer.from_file(PATH)
+    shown = [w[:-4] for w in tokenizer.get_vocab() if w.endswith("</w>")]
+    text = " ".join(a + b for a, b in zip(shown, shown[1000:], strict=False) if (a + b).isascii() and (a + b).isalpha())
+    assert words.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_take_their_own_way():
+    path = tokenizer_path("byte_bpe_50k.json")
+    words, tokenizer = WordIds(path), Tokenizer.from_file(path)
+    assert words.fast is None
+    assert words.encode("Foo  bar\n").tolist() == tokenizer.encode("Foo  bar\n", add_special_tokens=False).ids
+
+
+def test_many_classes_end_in_a_started_session(spark):
+    rng = np.random.default_rng(11)
+    demand = {k: int(rng.integers(1, 4000)) for k in range(1, 257)}
+    begun = time.monotonic()
+    patterns = solve(demand, 256)
+    assert time.monotonic() - begun < 120
+    bins, units = sum(n for _, n in patterns), sum(k * n for k, n in demand.items())
+    assert bins <= 1.01 * units / 256 + 256
+
+
+def test_arguments():
+    with pytest.raises(ValueError, match="multiple"):
+        pack(None, PATH, length=2047, quantum=8)
+    with pytest.raises(ValueError, match="capacity"):
+        solve({9: 1}, 8)
 
 
 def test_patterns_hold_every_item_once():
