@@ -1,7 +1,7 @@
 """Cutting stock by column generation, on a histogram of sizes.
 
 Minimise the number of bins of ``capacity`` units that hold ``demand[c]`` items of every size
-class c.  The linear program over patterns starts from one homogeneous pattern a class; an
+class c.  The linear program over patterns starts from the patterns of first-fit decreasing; an
 unbounded knapsack by dynamic programming prices the best new pattern with the program's dual
 values, and a revised simplex step brings it into the basis until none pays.  The solution is
 rounded down, and the few items left over are packed first-fit decreasing.
@@ -70,8 +70,8 @@ def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
 def _relaxation(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Basis patterns (a column each) and their fractional counts."""
     m = len(sizes)
-    basis = np.diag((capacity // sizes).astype(float))
-    inverse = np.diag(1.0 / np.diag(basis))
+    basis = _start(sizes, demand, capacity)
+    inverse = _inverted(basis)
     before = np.inf
     for step in range(rounds):
         value, pattern = _price(inverse.sum(axis=0), sizes, capacity)
@@ -111,6 +111,28 @@ def _greedy(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np
     return out
 
 
+def _start(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> np.ndarray:
+    """A feasible basis: first-fit decreasing with fractional counts.
+
+    Every pattern is repeated until it uses up a class, which no later pattern holds, so they are
+    independent; a class that is used up beside another one gets a pattern of its own.
+    """
+    basis, left = np.diag((capacity // sizes).astype(float)), demand.copy()
+    while (left > 0).any():
+        pattern, room = np.zeros(len(sizes)), capacity
+        for k in np.flatnonzero(left > 0)[::-1]:
+            pattern[k] = room // sizes[k]
+            room -= pattern[k] * sizes[k]
+        used = np.flatnonzero(pattern)
+        repeats = left[used] / pattern[used]
+        out = used[repeats.argmin()]
+        left[used] -= pattern[used] * repeats.min()
+        left[left < _EPS * demand] = 0
+        left[out] = 0
+        basis[:, out] = pattern
+    return basis
+
+
 def solve(histogram: dict[int, int], capacity: int, rounds: int = 3000) -> list[tuple[dict[int, int], int]]:
     """Patterns {class: items} with the number of bins each fills; together they hold every item once."""
     sizes = np.array(sorted(c for c, n in histogram.items() if n > 0), np.int64)

@@ -94,3 +94,72 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_removed_words, removed_lines
 FROM s
 """
+
+SQL["op11_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM p)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 5
+"""
+
+# Levels by joining neighbours until one node is left, first within each lang, then over the
+# subroots; a proof is the sibling of every level, and folding it goes step by step.  CRC-32 is
+# spelled out: eight shifts after every character.
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+SQL["op13_merkle_manifest"] = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, *,
+         xor(list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                                                lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+                         lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END,
+                         4294967295), 4294967295) AS crc
+  FROM documents),
+h AS (
+  SELECT *, sha256(DOC || SOURCE || LANG || CHARS || TEXT) AS leaf, sha256(DOC || SOURCE || LANG || MORE || TEXT) AS other FROM d),
+l AS (
+  SELECT *, CASE WHEN crc % 7 = 0 THEN other ELSE leaf END AS given, coalesce('1' || lang, '0') AS tree,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n
+  FROM h),
+t AS (
+  SELECT tree, 0 AS level, idx, n, leaf AS digest FROM l
+  UNION ALL
+  SELECT tree, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM t WHERE n > 1 GROUP BY tree, level, idx // 2, n),
+s AS (
+  SELECT tree, level AS height, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n
+  FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS level, idx, n, subroot AS digest FROM s
+  UNION ALL
+  SELECT level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY level, idx // 2, n),
+steps AS (
+  SELECT l.r, t.level AS k, (l.idx // CAST(pow(2, t.level) AS BIGINT)) % 2 AS side, b.digest
+  FROM l JOIN t ON t.tree = l.tree AND t.n > 1 AND t.idx = l.idx // CAST(pow(2, t.level) AS BIGINT)
+  LEFT JOIN t b ON b.tree = t.tree AND b.level = t.level AND b.idx = xor(t.idx, 1)
+  UNION ALL
+  SELECT l.r, s.height + u.level, (s.idx // CAST(pow(2, u.level) AS BIGINT)) % 2, b.digest
+  FROM l JOIN s USING (tree) JOIN u ON u.n > 1 AND u.idx = s.idx // CAST(pow(2, u.level) AS BIGINT)
+  LEFT JOIN u b ON b.level = u.level AND b.idx = xor(u.idx, 1)),
+f AS (
+  SELECT r, 0 AS k, given AS cur FROM l
+  UNION ALL
+  SELECT f.r, f.k + 1, sha256(CASE WHEN side = 1 THEN coalesce(digest, '') || cur ELSE cur || coalesce(digest, '') END)
+  FROM f JOIN steps ON steps.r = f.r AND steps.k = f.k),
+folded AS (SELECT r, arg_max(cur, k) AS cur FROM f GROUP BY r),
+proof AS (SELECT r, string_agg(digest, '' ORDER BY k) AS all_siblings FROM steps GROUP BY r)
+SELECT l.doc_id, leaf, subroot, u.digest AS root, sha256(coalesce(all_siblings, '')) AS proof_sha256,
+       folded.cur AS folded_root, folded.cur = u.digest AS verified
+FROM l JOIN s USING (tree) JOIN u ON u.n = 1 JOIN folded USING (r) LEFT JOIN proof USING (r)
+"""
+for _name, _column in {
+    "DOC": "doc_id", "SOURCE": "source", "LANG": "lang", "CHARS": "n_chars", "MORE": "(n_chars + 1)", "TEXT": "text"
+}.items():
+    SQL["op13_merkle_manifest"] = SQL["op13_merkle_manifest"].replace(
+        f"{_name} ||" if _name != "TEXT" else "TEXT)", _FIELD.format(_column) + (" ||" if _name != "TEXT" else ")")
+    )

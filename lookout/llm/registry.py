@@ -8,18 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
+from .alignment import align_tokens
 from .common import table
 from .decontaminate import leaks
 from .licenses import scan
 from .line_dedup import line_dedup
 from .line_rules import line_rules
 from .lm_scoring import lattice_scores
+from .merkle import leaf, manifest
 from .minhash import near_duplicates
 from .packing import pack
 from .passages import passages
 from .pii import personal_data
 from .quality import quality_posteriors
 from .sharding import shard
+from .threshold import exact_top_k
 
 
 def tokenizer_path(name: str) -> str:
@@ -79,6 +82,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best rows for every row whose id is divisible by 50."""
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents")
+    return align_tokens(docs, tokenizer_path("byte_bpe_50k.json"), ranks, pattern, tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row or so is handed over with another number of characters."""
+    docs = table(spark, sf_dir, "documents")
+    other = leaf([F.col(c) for c in ("doc_id", "source", "lang")] + [F.col("n_chars") + 1, F.col("text")])
+    return manifest(docs, tampered=F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, other))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_sharding": op2_sharding,
@@ -91,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
+    "op11_exact_top_k": op11_exact_top_k,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE: dict[str, str] = dict(oracle.SQL)

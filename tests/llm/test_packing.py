@@ -51,7 +51,8 @@ def test_many_classes_end_in_a_started_session(spark):
     patterns = solve(demand, 256)
     assert time.monotonic() - begun < 120
     bins, units = sum(n for _, n in patterns), sum(k * n for k, n in demand.items())
-    assert bins <= 1.01 * units / 256 + 256
+    large = sum(n for k, n in demand.items() if k > 128)  # no two of these share a sequence
+    assert bins <= 1.002 * max(units / 256, large)
 
 
 def test_arguments():
