@@ -10,16 +10,19 @@ tie-break key.  Two physical strategies return the same rows:
     patterns it matches.  No join.
 
 ``blocked``  (default at scale)  a row can only match a pattern if it contains
-    every literal stretch of the pattern, so each pattern is reduced to its
-    rarest n-gram (n = 3, or shorter when its longest literal stretch is
-    shorter; patterns without any literal character use the empty gram, which
-    every row has).  The relation is exploded into its distinct n-grams,
-    filtered to the grams some pattern chose, and equi-joined with the patterns
-    on (n, gram, salt); the full wildcard match then verifies each candidate.
-    Grams whose document frequency exceeds ``rows_per_salt`` are salted: the
-    pattern side is replicated over ``ceil(df / rows_per_salt)`` salts and the
-    row side hashes its key into one of them, so a gram held by a third of all
-    rows still spreads over many tasks.
+    every literal stretch of the pattern, so each pattern is reduced to one
+    n-gram (n = 12, 6, 3 or shorter, as far as its longest literal stretch
+    reaches; patterns without any literal character use the empty gram, which
+    every row has).  Which of its n-grams is rarest is judged on the first
+    ``SAMPLE_ROWS`` rows, or on ``gram_stats``; the choice changes the work, never
+    the result.  Then one pass over the relation: up to ``MAX_LITERAL_GRAMS``
+    chosen grams are looked for in the row itself; beyond, the row's distinct
+    n-grams are exploded and equi-joined with the patterns on (n, gram) or,
+    beyond ``max_broadcast_patterns``, on (n, gram, salt).  The full wildcard match
+    verifies each candidate.  Grams whose document frequency exceeds
+    ``rows_per_salt`` are salted: the pattern side is replicated over
+    ``ceil(df / rows_per_salt)`` salts and the row side hashes its key into one
+    of them, so a gram held by a third of all rows still spreads over many tasks.
 
 Both strategies deduplicate patterns first (case-folded for case-insensitive
 search), match on the search value and tie key only, keep the per-pattern top
@@ -43,11 +46,13 @@ from ..session import ensure_checkpoint_dir
 from .search import hit_columns, validate, with_user_expressions
 
 STRATEGIES = ("auto", "scan", "blocked")
-# n-gram lengths tried in turn: a longer one only for patterns whose rarest gram is still frequent
+# n-gram lengths; a pattern may use those that its longest literal stretch reaches
 GRAM_STEPS = (3, 6, 12)
 GRAM = GRAM_STEPS[0]
-# rows that a pattern's gram may occur in before a longer one is tried
-RARE_ENOUGH = 16
+# rows on which the rarest gram of a pattern is judged
+SAMPLE_ROWS = 512
+# chosen grams that are looked for one by one in every row
+MAX_LITERAL_GRAMS = 256
 # k of a query without a limit
 UNLIMITED = 2_147_483_647
 
@@ -200,10 +205,13 @@ def _finish(
     spreads over many tasks.
     """
     q = prepared.select("query_id", _pattern_key(F.col("pattern"), cfg).alias(_P), F.col("k").alias("__lk_qk"))
-    if top_bound <= max_broadcast_hits:
+    total = None if top_bound <= max_broadcast_hits else prepared.count()
+    if total is None:
         joined = q.join(F.broadcast(top), _P)
+    elif not limited and total <= max_broadcast_hits:
+        # the counted queries go to the hits: a pattern that the whole table matches stays spread
+        joined = top.join(F.broadcast(q), _P)
     else:
-        total = prepared.count()
         per_salt = max(queries_per_salt, -(-total // max(max_hot_patterns, 1)))  # bounds the hot set
         counts = q.groupBy(_P).agg(F.count(F.lit(1)).alias("__lk_qn"))
         hot = counts.where(F.col("__lk_qn") > per_salt).select(
@@ -266,7 +274,8 @@ def scan_search(
     prepared: DataFrame,
     cfg: SearchConfig,
     *,
-    max_scan_patterns: int = 64,
+    listed: list[tuple[str, int]],
+    k_max: int,
     max_broadcast_hits: int = 1_000_000,
     queries_per_salt: int = 1_000_000,
     spread_to: int | None = None,
@@ -274,7 +283,7 @@ def scan_search(
 ) -> DataFrame:
     """Few distinct patterns: one pass over the relation, no join.
 
-    The distinct patterns (counted first, at most ``max_scan_patterns``) become
+    The distinct patterns and their k (``listed``, a counted few) become
     literals of the plan; every row gets the array of patterns it matches
     (each literal matcher is a ``Contains`` or an ordered ``locate`` chain, as
     in single search) and that array is exploded, so only matching
@@ -282,12 +291,7 @@ def scan_search(
     """
     from .search import match_condition
 
-    pats = _distinct_patterns(prepared, cfg).where(F.col(_K) > 0)
-    summary = pats.agg(F.count(F.lit(1)).alias("count"), F.max(_K).alias("k_max")).first()
-    n, k_max = summary["count"], int(summary["k_max"] or 0)
-    if n > max_scan_patterns:
-        raise ValueError(f"{n} distinct patterns exceed max_scan_patterns={max_scan_patterns}; use strategy='blocked'")
-    listed = [(r[_P], r[_K]) for r in pats.select(_P, _K).collect()]  # bounded by the check above
+    n = len(listed)
     late = limited and n * k_max <= max_broadcast_hits
     target = spread(_target(df, cfg, with_hits=not late), _tie_names(cfg), spread_to)
     matched = F.array(
@@ -337,10 +341,12 @@ def _longest_run() -> Column:
     return F.coalesce(F.array_max(F.transform(F.col(_PARTS), F.length)), F.lit(0))
 
 
-def pattern_grams(patterns: DataFrame, cfg: SearchConfig, size: int = GRAM) -> DataFrame:
-    """Every candidate blocking gram of every pattern, of ``size`` or its longest run: ``(pattern, n, g)``."""
-    n = F.least(_longest_run(), F.lit(size))
-    staged = patterns.select(_P, _K, _PARTS, _CHAIN, n.alias(_N))
+def pattern_grams(patterns: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """Every candidate blocking gram of every pattern: ``(pattern, k, parts, chain, n, g)``."""
+    longest = _longest_run()
+    steps = F.filter(F.array(*map(F.lit, GRAM_STEPS)), lambda n: n <= longest)
+    steps = F.when(longest >= GRAM, steps).otherwise(F.array(longest.cast("int")))
+    staged = patterns.select(_P, _K, _PARTS, _CHAIN, F.explode(steps).alias(_N))
     usable = F.filter(F.col(_PARTS), lambda r: F.length(r) >= F.col(_N))
     grams = F.array_distinct(F.flatten(F.transform(usable, lambda r: _grams(r, F.col(_N)))))
     # a pattern without any literal character (blank text -> "%") uses the empty gram
@@ -372,68 +378,41 @@ def gram_frequencies(df: DataFrame, cfg: SearchConfig, sizes=(0, 1, 2, GRAM)) ->
     return counted.select(F.col(_N).alias("n"), F.col(_G).alias("g"), F.col(_DF).alias("df"))
 
 
-def _rarest(
-    target: DataFrame,
-    pats: DataFrame,
-    cfg: SearchConfig,
-    size: int,
-    max_broadcast_grams: int,
-    gram_stats: DataFrame | None,
-) -> DataFrame:
-    """Per pattern its rarest gram of one size: ``(pattern, k, parts, chain, n, g, df)``, checkpointed."""
-    qg = pattern_grams(pats, cfg, size)
-    needed = qg.select(_N, _G).distinct()
-    summary = needed.agg(F.count(F.lit(1)).alias("count"), F.collect_set(_N).alias("sizes")).first()
-    sizes = sorted(summary["sizes"])  # at most ``size`` + 1 values
-    small = summary["count"] <= max_broadcast_grams
-    needed = F.broadcast(needed) if small else needed.hint("merge")
-    if gram_stats is None:
-        grams = table_grams(target, sizes or [size], cfg, [])
-        if small:
-            freq = grams.join(needed, [_N, _G]).groupBy(_N, _G).agg(F.count(F.lit(1)).alias(_DF))
-        else:  # counted before the join, so a frequent gram costs one row per task
-            freq = grams.groupBy(_N, _G).agg(F.count(F.lit(1)).alias(_DF)).join(needed, [_N, _G])
-    else:
-        stats = gram_stats.select(F.col("n").alias(_N), F.col("g").alias(_G), F.col("df").alias(_DF))
-        freq = stats.join(needed, [_N, _G])
-    # at most one row per needed gram; grams that all patterns share would be a hot key otherwise
-    freq = F.broadcast(freq) if small else freq.hint("merge")
-    scored = qg.join(freq, [_N, _G], "left").withColumn(_DF, F.coalesce(F.col(_DF), F.lit(0)))
-    best = scored.groupBy(_P, _K, _PARTS, _CHAIN).agg(F.min_by(F.struct(_N, _G, _DF), F.struct(_DF, _G)).alias(_BEST))
-    return best.select(_P, _K, _PARTS, _CHAIN, f"{_BEST}.*").checkpoint(eager=True)
-
-
 def choose_grams(
     target: DataFrame,
     pats: DataFrame,
     cfg: SearchConfig,
     *,
-    max_broadcast_grams: int,
-    rows_per_salt: int,
+    sizes: list[int],
     gram_stats: DataFrame | None = None,
 ) -> DataFrame:
-    """Per pattern the gram with the lowest document frequency, plus its salt count.
+    """Per pattern its rarest gram: ``(pattern, k, parts, chain, n, g, df)``, checkpointed.
 
-    Returns ``(pattern, k, parts, chain, n, g, df, nsalt)``.  Patterns whose rarest gram
-    still occurs in more than ``RARE_ENOUGH`` rows are tried with longer grams, as far as
-    their literal stretches reach, so candidates stay near the number of answers as the
-    table grows.  ``gram_stats`` serves the first length.
+    ``df`` counts rows among the first ``SAMPLE_ROWS``, or in ``gram_stats`` where that has the
+    gram's length; among equally rare grams the longest is taken.  ``sizes`` are the lengths
+    that the patterns use.
     """
     ensure_checkpoint_dir(target.sparkSession)
-    chosen, left = None, pats
-    for size in GRAM_STEPS:
-        best = _rarest(target, left, cfg, size, max_broadcast_grams, gram_stats if size == GRAM else None)
-        if chosen is None:
-            chosen = best
-        else:
-            both = chosen.unionByName(best).groupBy(_P, _K, _PARTS, _CHAIN)
-            chosen = both.agg(F.min_by(F.struct(_N, _G, _DF), F.struct(_DF, _N, _G)).alias(_BEST))
-            chosen = chosen.select(_P, _K, _PARTS, _CHAIN, f"{_BEST}.*").checkpoint(eager=True)
-        left = best.where((F.col(_DF) > RARE_ENOUGH) & (_longest_run() > size)).select(_P, _K, _PARTS, _CHAIN)
-        if left.isEmpty():
-            break
-    nsalt = F.greatest(F.lit(1), F.ceil(F.col(_DF) / F.lit(rows_per_salt)).cast("int"))
-    return chosen.withColumn(_NSALT, nsalt)
+    own = pattern_grams(pats, cfg)
+    some = target.limit(SAMPLE_ROWS)
+    freq = table_grams(some, sizes or [GRAM], cfg, []).groupBy(_N, _G).agg(F.count(F.lit(1)).alias(_DF))
+    if gram_stats is not None:
+        exact = gram_stats.select(F.col("n").alias(_N), F.col("g").alias(_G), F.col("df").alias(_DF))
+        freq = freq.where(F.col(_N) > GRAM).unionByName(exact)
+    # grams that many patterns share would be a hot key of a shuffled join: each is looked up once
+    needed = own.select(_N, _G).distinct().join(freq.hint("merge"), [_N, _G], "left")
+    scored = own.join(needed.hint("merge"), [_N, _G], "left").withColumn(_DF, F.coalesce(F.col(_DF), F.lit(0)))
+    rarest = F.min_by(F.struct(_N, _G, _DF), F.struct(_DF, -F.col(_N), _G)).alias(_BEST)
+    best = scored.groupBy(_P, _K, _PARTS, _CHAIN).agg(rarest)
+    return best.select(_P, _K, _PARTS, _CHAIN, f"{_BEST}.*").checkpoint(eager=True)
+
+
+def literal_grams(target: DataFrame, grams: list[tuple[int, str]], cfg: SearchConfig, columns: list[str]) -> DataFrame:
+    """Rows with those of a few grams that they contain: ``(columns, n, g)``, without listing all of a row's grams."""
+    listed = F.array(*[F.struct(F.lit(n).alias(_N), F.lit(g).alias(_G)) for n, g in grams])
+    folded = target.select(*columns, _fold(F.col(_S).cast("string"), cfg).alias("__lk_fold"))
+    held = F.filter(listed, lambda x: F.contains(F.col("__lk_fold"), x[_G]))
+    return folded.select(*columns, F.explode(held).alias("__lk_x")).select(*columns, f"__lk_x.{_N}", f"__lk_x.{_G}")
 
 
 def blocked_search(
@@ -441,40 +420,45 @@ def blocked_search(
     prepared: DataFrame,
     cfg: SearchConfig,
     *,
-    max_broadcast_grams: int = 2_000_000,
+    patterns: int,
+    k_max: int,
+    sizes: list[int],
     rows_per_salt: int = 1_000_000,
     max_broadcast_hits: int = 1_000_000,
     gram_stats: DataFrame | None = None,
     queries_per_salt: int = 1_000_000,
     max_broadcast_patterns: int = 50_000,
+    max_literal_grams: int = MAX_LITERAL_GRAMS,
     spread_to: int | None = None,
     limited: bool = True,
 ) -> DataFrame:
-    """n-gram blocked equi-join, then exact verification (same rows as ``scan``)."""
+    """n-gram blocking, then exact verification (same rows as ``scan``).
+
+    ``patterns``, ``k_max`` and ``sizes``: the counted distinct patterns, the largest k and the
+    gram lengths they use (:func:`_summary`).
+    """
     pats = _distinct_patterns(prepared, cfg).where(F.col(_K) > 0)
     target = spread(_target(df, cfg), _tie_names(cfg), spread_to)
-    chosen = choose_grams(
-        target, pats, cfg, max_broadcast_grams=max_broadcast_grams, rows_per_salt=rows_per_salt, gram_stats=gram_stats
-    )
-    summary = chosen.agg(
-        F.count(F.lit(1)).alias("count"), F.collect_set(_N).alias("sizes"), F.max(_K).alias("k_max")
-    ).first()
-    # at most the longest step's number of sizes; an empty pattern set still needs one branch for the schema
-    sizes = sorted(summary["sizes"]) or [GRAM]
-    k_max = int(summary["k_max"] or 0)
-    gram_salts = chosen.select(_N, _G, _NSALT).distinct()
-    # distinct grams <= chosen rows, so the count bounds the broadcast
-    gram_salts = F.broadcast(gram_salts) if summary["count"] <= max_broadcast_grams else gram_salts.hint("merge")
-    bound = summary["count"] * k_max
+    chosen = choose_grams(target, pats, cfg, sizes=sizes, gram_stats=gram_stats)
+    listed = chosen.select(_N, _G).distinct().limit(max_literal_grams + 1).collect()
+    bound = patterns * k_max
     late = limited and bound <= max_broadcast_hits
     if not late:
         target = spread(_target(df, cfg, with_hits=True), _tie_names(cfg), spread_to)
-    rows = table_grams(target, sizes, cfg, target.columns)
-    if summary["count"] <= max_broadcast_patterns:
+    if 0 < len(listed) <= max_literal_grams:
+        rows = literal_grams(target, [(r[_N], r[_G]) for r in listed], cfg, target.columns)
+    else:
+        rows = table_grams(target, sizes or [GRAM], cfg, target.columns)
+    if patterns <= max_broadcast_patterns:
         # counted: the patterns go to the rows, and only verified matches are shuffled
-        cand = rows.join(F.broadcast(chosen.drop(_NSALT)), [_N, _G]).where(verify(cfg))
+        cand = rows.join(F.broadcast(chosen), [_N, _G]).where(verify(cfg))
     else:
-        cand = _salted_candidates(rows, chosen, gram_salts, cfg)
+        share = df.count() / SAMPLE_ROWS  # frequencies in the sample, scaled to the table
+        in_all = F.when(F.col(_N) <= GRAM, F.col(_DF)).otherwise(F.col(_DF) * share) if gram_stats is not None else (
+            F.col(_DF) * max(1.0, share)
+        )
+        nsalt = F.greatest(F.lit(1), F.ceil(in_all / F.lit(rows_per_salt)).cast("int"))
+        cand = _salted_candidates(rows, chosen.withColumn(_NSALT, nsalt), cfg)
     top = _ranked(cand, cfg, k_max, limited)
     if late:
         hits, hit_names = _materialize(top, df, cfg, bound, max_broadcast_hits)
@@ -483,19 +467,48 @@ def blocked_search(
     return _finish(hits, prepared, cfg, hit_names, bound, max_broadcast_hits, queries_per_salt, limited=limited)
 
 
-def _salted_candidates(rows: DataFrame, chosen: DataFrame, gram_salts: DataFrame, cfg: SearchConfig) -> DataFrame:
+def _salted_candidates(rows: DataFrame, chosen: DataFrame, cfg: SearchConfig) -> DataFrame:
     """Verified matches by a shuffled join; a frequent gram's rows are spread over its salts."""
-    rows = rows.join(gram_salts, [_N, _G])
+    gram_salts = chosen.groupBy(_N, _G).agg(F.max(_NSALT).alias(_NSALT))
+    rows = rows.join(gram_salts.hint("merge"), [_N, _G])
     tie = [F.col(n) for n in _tie_names(cfg)]
     rows = rows.withColumn(_SALT, F.pmod(F.xxhash64(*tie), F.col(_NSALT)).cast("int")).drop(_NSALT)
-    salted = chosen.select(
-        _P, _K, _PARTS, _CHAIN, _N, _G, F.explode(F.sequence(F.lit(0), F.col(_NSALT) - 1)).alias(_SALT)
-    )
+    salts = F.explode(F.sequence(F.lit(0), F.col(_NSALT) - 1)).alias(_SALT)
+    salted = chosen.drop(_NSALT).join(gram_salts.hint("merge"), [_N, _G]).select(_P, _K, _PARTS, _CHAIN, _N, _G, salts)
     # the salted shuffle join is the design: never let a size estimate of the
     # exploded rows (which undershoots after explode) turn it into a broadcast
     return rows.join(salted.hint("merge"), [_N, _G, _SALT]).where(verify(cfg))
 
 
+def _summary(prepared: DataFrame, cfg: SearchConfig, most: int) -> dict[bool, dict]:
+    """For queries with and without a limit: ``patterns`` (distinct ones that ask for rows), their
+    largest ``k_max``, the gram ``sizes`` that they may use, and the patterns ``listed`` themselves
+    if there are at most ``most`` in all.  One small job; a second one where there are more."""
+    limited = (F.col("k") < UNLIMITED).alias("limited")
+    pats = prepared.groupBy(limited, _pattern_key(F.col("pattern"), cfg).alias(_P)).agg(F.max("k").alias(_K))
+    run = F.array_max(F.transform(literal_runs(F.col(_P)), lambda r: F.length(_fold(r, cfg))))
+    pats = pats.withColumn("run", F.least(F.coalesce(run, F.lit(0)), F.lit(GRAM_STEPS[-1])))
+    first = pats.limit(most + 1).collect()
+    if len(first) <= most:
+        rows = []
+        for flag in {r["limited"] for r in first}:
+            own = [r for r in first if r["limited"] == flag]
+            asking = [r for r in own if r[_K] > 0]
+            rows.append((flag, len(asking), max((r[_K] for r in own), default=0), {r["run"] for r in asking},
+                         [(r[_P], r[_K]) for r in asking]))
+    else:
+        asking = F.col(_K) > 0
+        grouped = pats.groupBy("limited").agg(
+            F.count_if(asking).alias("n"), F.max(_K).alias("k"), F.collect_set(F.when(asking, F.col("run"))).alias("runs")
+        )
+        rows = [(r["limited"], r["n"], r["k"], set(r["runs"]), None) for r in grouped.collect()]  # two rows
+    out = {}
+    for flag, n, k_max, runs, listed in rows:
+        sizes = {size for run in runs for size in (GRAM_STEPS if run >= GRAM else (run,)) if size <= run}
+        out[flag] = {"patterns": n, "k_max": int(k_max or 0), "sizes": sorted(sizes), "listed": listed}
+    return out or {True: {"patterns": 0, "k_max": 0, "sizes": [], "listed": []}}
+
+
 def batch_search(
     df: DataFrame,
     queries: DataFrame,
@@ -507,7 +520,7 @@ def batch_search(
     k_col: str | None = "k",
     scan_max_patterns: int = 16,
     max_scan_patterns: int = 64,
-    max_broadcast_grams: int = 2_000_000,
+    max_literal_grams: int = MAX_LITERAL_GRAMS,
     rows_per_salt: int = 1_000_000,
     max_broadcast_hits: int = 1_000_000,
     gram_stats: DataFrame | None = None,
@@ -530,24 +543,30 @@ def batch_search(
     # stream, a join) is not recomputed for each, and lineage stays short.
     ensure_checkpoint_dir(df.sparkSession)
     prepared = prepare_queries(queries, cfg, id_col=id_col, text_col=text_col, k_col=k_col).checkpoint(eager=True)
+    found = _summary(prepared, cfg, max(scan_max_patterns, max_scan_patterns))
     parts = []
-    for limited in (True, False):
+    for limited, about in sorted(found.items(), reverse=True):
         own = prepared.where(F.col("k") < UNLIMITED) if limited else prepared.where(F.col("k") == UNLIMITED)
-        n = _distinct_patterns(own, cfg).count()
-        if n == 0 and not (limited and prepared.isEmpty()):
-            continue
         most = scan_max_patterns if strategy == "auto" else max_scan_patterns
-        if strategy != "blocked" and n <= most:
-            options = dict(max_scan_patterns=max(most, max_scan_patterns))
-            run = scan_search
-        else:
-            options = dict(
-                max_broadcast_grams=max_broadcast_grams,
+        shared = dict(
+            k_max=about["k_max"], limited=limited, spread_to=spread_to,
+            max_broadcast_hits=max_broadcast_hits, queries_per_salt=queries_per_salt,
+        )
+        if strategy != "blocked" and about["listed"] is not None and about["patterns"] <= most:
+            parts.append(scan_search(df, own, cfg, listed=about["listed"], **shared))
+            continue
+        parts.append(
+            blocked_search(
+                df,
+                own,
+                cfg,
+                patterns=about["patterns"],
+                sizes=about["sizes"],
                 rows_per_salt=rows_per_salt,
                 gram_stats=gram_stats,
                 max_broadcast_patterns=max_broadcast_patterns,
+                max_literal_grams=max_literal_grams,
+                **shared,
             )
-            run = blocked_search
-        shared = dict(max_broadcast_hits=max_broadcast_hits, queries_per_salt=queries_per_salt, spread_to=spread_to)
-        parts.append(run(df, own, cfg, limited=limited, **options, **shared))
+        )
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

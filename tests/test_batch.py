@@ -71,7 +71,7 @@ def test_strategies_agree_with_brute_force(spark, seed):
     # force salting of every gram: many salts per hot gram, same answer
     assert run(spark, rows, queries, CFG, strategy="blocked", rows_per_salt=3) == want
     # force the non-broadcast join paths
-    assert run(spark, rows, queries, CFG, strategy="blocked", max_broadcast_grams=0, max_broadcast_hits=0) == want
+    assert run(spark, rows, queries, CFG, strategy="blocked", max_literal_grams=0, max_broadcast_hits=0) == want
     assert run(spark, rows, queries, CFG, strategy="scan", max_broadcast_hits=0) == want
     # salted join back: every pattern with more than one query is "hot"
     assert run(spark, rows, queries, CFG, strategy="blocked", max_broadcast_hits=0, queries_per_salt=1) == want
@@ -107,14 +107,12 @@ def test_unlimited_queries(spark):
     q = spark.createDataFrame([(1, "ring", None), (2, "red", 2), (3, "ring", 0)], "query_id long, text string, k int")
     for limit, mode in ((None, "top_k"), (0, "unordered"), ("lots", "unordered")):
         cfg = CFG.replace(limit=limit, limit_mode=mode)
-        for strategy in ("scan", "blocked"):
-            for bound in (0, 1_000_000):
-                out = batch_search(df, q, cfg, strategy=strategy, max_broadcast_hits=bound)
-                got = sorted((r.query_id, r["rank"], r.key) for r in out.where("query_id = 2").collect())
-                assert got == [(2, 1, 0), (2, 2, 1)]
-                rest = out.where("query_id <> 2").select("query_id", "rank", "key").collect()
-                assert sorted(r.key for r in rest) == list(range(30))
-                assert {(r.query_id, r["rank"]) for r in rest} == {(1, None)}
+        for strategy, bound in (("scan", 0), ("blocked", 1_000_000)) if limit is None else (("scan", 1_000_000), ("blocked", 0)):
+            rows = batch_search(df, q, cfg, strategy=strategy, max_broadcast_hits=bound).collect()
+            assert sorted((r.query_id, r["rank"], r.key) for r in rows if r.query_id == 2) == [(2, 1, 0), (2, 2, 1)]
+            rest = [r for r in rows if r.query_id != 2]
+            assert sorted(r.key for r in rest) == list(range(30))
+            assert {(r.query_id, r["rank"]) for r in rest} == {(1, None)}
 
 
 @pytest.mark.parametrize("bound", [0, 1_000_000])
@@ -137,12 +135,33 @@ def test_longer_grams_and_both_joins(spark, patterns):
 def test_candidates_stay_near_the_answers(spark):
     from lookout.operators import batch as B
 
-    for n in (400, 4000):
+    for n in (400, 4000):  # also far beyond the rows that the choice of grams looks at
         df = spark.range(n).selectExpr("id AS key", "format_string('customer %09d', id) AS name")
         q = df.selectExpr("key AS query_id", "name AS text", "3 AS k")
-        pats = B._distinct_patterns(B.prepare_queries(q, CFG), CFG)
-        chosen = B.choose_grams(B._target(df, CFG), pats, CFG, max_broadcast_grams=10**6, rows_per_salt=10**6)
-        assert chosen.agg({B._DF: "sum"}).first()[0] <= 4 * B.RARE_ENOUGH * n
+        prepared = B.prepare_queries(q, CFG)
+        target, pats = B._target(df, CFG), B._distinct_patterns(prepared, CFG)
+        about = B._summary(prepared, CFG, 64)[True]
+        sizes = about["sizes"]
+        assert sizes == [3, 6] and about["patterns"] == n and about["listed"] is None
+        chosen = B.choose_grams(target, pats, CFG, sizes=sizes)
+        rows = B.table_grams(target, sizes, CFG, [])
+        assert rows.join(chosen, [B._N, B._G]).count() <= 64 * n
+
+
+@pytest.mark.parametrize("grams", [0, 1000])
+def test_grams_in_the_row_and_exploded(spark, grams):
+    rows, queries = random_case(9)
+    want = brute_force(rows, queries, CFG)
+    assert run(spark, rows, queries, CFG, strategy="blocked", max_literal_grams=grams) == want
+    assert run(spark, rows, queries, CFG, strategy="blocked", max_literal_grams=grams, max_broadcast_patterns=0) == want
+
+
+def test_few_patterns_do_not_explode_the_texts(spark):
+    df = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    q = spark.createDataFrame([(i, f"the {w}", 3) for i, w in enumerate("and of in to".split())], "query_id long, text string, k int")
+    cfg = SearchConfig(search_column="text", tie_break=("doc_id",), display_columns=("lang",), echo_search_column=False)
+    plan = batch_search(df, q, cfg, strategy="blocked")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all(__lk_fold" not in plan and "contains(" in plan.lower()
 
 
 def test_scan_plan_has_no_join(spark):
