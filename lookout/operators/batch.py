@@ -543,6 +543,42 @@ def batch_search(
     # stream, a join) is not recomputed for each, and lineage stays short.
     ensure_checkpoint_dir(df.sparkSession)
     prepared = prepare_queries(queries, cfg, id_col=id_col, text_col=text_col, k_col=k_col).checkpoint(eager=True)
+    return search_patterns(
+        df,
+        prepared,
+        cfg,
+        strategy=strategy,
+        scan_max_patterns=scan_max_patterns,
+        max_scan_patterns=max_scan_patterns,
+        max_literal_grams=max_literal_grams,
+        rows_per_salt=rows_per_salt,
+        max_broadcast_hits=max_broadcast_hits,
+        gram_stats=gram_stats,
+        queries_per_salt=queries_per_salt,
+        max_broadcast_patterns=max_broadcast_patterns,
+        spread_to=spread_to,
+    )
+
+
+def search_patterns(
+    df: DataFrame,
+    prepared: DataFrame,
+    cfg: SearchConfig,
+    *,
+    strategy: str = "auto",
+    scan_max_patterns: int = 16,
+    max_scan_patterns: int = 64,
+    max_literal_grams: int = MAX_LITERAL_GRAMS,
+    rows_per_salt: int = 1_000_000,
+    max_broadcast_hits: int = 1_000_000,
+    gram_stats: DataFrame | None = None,
+    queries_per_salt: int = 1_000_000,
+    max_broadcast_patterns: int = 50_000,
+    spread_to: int | None = None,
+) -> DataFrame:
+    """:func:`batch_search` for queries that are patterns already: ``(query_id, pattern, k)``,
+    a null k for no limit.  ``prepared`` is read several times."""
+    prepared = prepared.withColumn("k", F.coalesce("k", F.lit(UNLIMITED)))
     found = _summary(prepared, cfg, max(scan_max_patterns, max_scan_patterns))
     parts = []
     for limited, about in sorted(found.items(), reverse=True):

@@ -8,6 +8,7 @@ column names.  Queries without an oracle are checked on row counts only.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,11 @@ from ..functions import geometry as G
 from ..functions import viewport as V
 from ..functions.expressions import with_expression
 from ..functions.patterns import wildcard_pattern
+from ..operators import postings
 from ..operators.batch import batch_search, prepare_queries
 from ..operators.hits import with_geometry, with_viewport
 from ..operators.search import multi_search, search
+from ..session import ensure_checkpoint_dir
 from ..streaming.debounce import debounce, debounce_search, latest_per_session
 from . import fixtures as X
 
@@ -550,6 +553,30 @@ def batch_search_documents(spark, d):
     return batch_search(X.load(spark, d, "documents"), queries, DOCS, strategy="blocked")
 
 
+# --------------------------------------------------------------------------- searches served by an n-gram index
+
+
+def _document_index(spark, d, rows_per_part=1000):
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lookout-index-{uuid.uuid4().hex}"
+    return postings.build(X.load(spark, d, "documents"), DOCS, path, rows_per_part=rows_per_part)
+
+
+@register(
+    "search_indexed",
+    f"""SELECT {_NULL_GEOM}, {_DOC_LINE} AS suggestion, doc_id FROM documents
+        WHERE CAST(text AS STRING) ILIKE '%quer%ion%' ESCAPE '\\'
+        ORDER BY text, doc_id LIMIT 1000""",
+)
+def search_indexed(spark, d):
+    return postings.search_indexed(_document_index(spark, d), "quer ion", DOCS)
+
+
+@register("batch_search_indexed", ORACLE["batch_search_documents"])
+def batch_search_indexed(spark, d):
+    queries = _part(spark, d).selectExpr("CAST(p_partkey AS BIGINT) AS query_id", "p_name AS text", "CAST(3 AS INT) AS k")
+    return postings.batch_search_indexed(_document_index(spark, d), queries, DOCS)
+
+
 # --------------------------------------------------------------------------- B16 multi-config
 
 
