@@ -80,6 +80,7 @@ class SearchConfig:
     escape_spec_chars: bool = False
     backslash: str = "escape"
     case_sensitive: bool = False
+    accent_sensitive: bool = True
     collation: str | None = None
     policy: str = "skip_falsy"
     drop_zero: bool = False

@@ -23,6 +23,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import transverse as T
+
 # ---------------------------------------------------------------------------
 # Fixed values.
 # A WKT number, and one coordinate group "x y [z [m]]".
@@ -275,15 +277,23 @@ def centroid(cls: str, parts: str, exterior: str) -> Column:
 # --------------------------------------------------------------------------- D7
 
 
+def _sql_known(srid: str) -> str:
+    return f"({srid} IN ({WGS84}, {WEB_MERCATOR}) OR {T.sql_is_utm(srid)})"
+
+
 def sql_supported(src: str, dst: str) -> str:
-    """True when ``src -> dst`` has a closed form here (identity, 4326<->3857)."""
-    lo, hi = min(WGS84, WEB_MERCATOR), max(WGS84, WEB_MERCATOR)
+    """True when ``src -> dst`` has a closed form here (identity; among 4326, 3857 and the UTM zones)."""
     return (
         f"({src} IS NOT NULL AND {dst} IS NOT NULL AND "
-        f"({src} = {dst} OR (least({src}, {dst}) = {lo} AND greatest({src}, {dst}) = {hi})))"
+        f"({src} = {dst} OR ({_sql_known(src)} AND {_sql_known(dst)})))"
     )
 
 
+def sql_separable(src: str, dst: str) -> str:
+    """True when the axes of a supported pair transform one by one."""
+    return f"({src} = {dst} OR NOT ({T.sql_is_utm(src)} OR {T.sql_is_utm(dst)}))"
+
+
 def sql_axis_x(v: str, src: str, dst: str) -> str:
     """x (longitude / easting) from ``src`` to ``dst``; the axes are separable."""
     fwd = f"{v} * {_d(_DEG)} * {_d(EARTH_RADIUS)}"
@@ -298,10 +308,22 @@ def sql_axis_y(v: str, src: str, dst: str) -> str:
     return f"CASE WHEN {src} = {dst} THEN {v} WHEN {src} = {WGS84} THEN {fwd} ELSE {inv} END"
 
 
+def sql_axes(p: str, src: str, dst: str) -> str:
+    return f"named_struct('x', {sql_axis_x(p + '.x', src, dst)}, 'y', {sql_axis_y(p + '.y', src, dst)})"
+
+
+def sql_through_degrees(p: str, src: str, dst: str) -> str:
+    """From or to a UTM zone, by longitude and latitude."""
+    degrees = f"CASE WHEN {T.sql_is_utm(src)} THEN {T.sql_inverse(p, src)} ELSE {sql_axes(p, src, str(WGS84))} END"
+    moved = f"CASE WHEN {T.sql_is_utm(dst)} THEN {T.sql_forward('gd', dst)} ELSE {sql_axes('gd', str(WGS84), dst)} END"
+    return f"transform(array({degrees}), gd -> {moved})[0]"
+
+
 def sql_reproject_point(p: str, src: str, dst: str) -> str:
     return (
-        f"CASE WHEN {sql_supported(src, dst)} THEN named_struct("
-        f"'x', {sql_axis_x(p + '.x', src, dst)}, 'y', {sql_axis_y(p + '.y', src, dst)}) END"
+        f"CASE WHEN NOT coalesce({sql_supported(src, dst)}, false) THEN NULL "
+        f"WHEN {sql_separable(src, dst)} THEN {sql_axes(p, src, dst)} "
+        f"ELSE {sql_through_degrees(p, src, dst)} END"
     )
 
 

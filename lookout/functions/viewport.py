@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geometry import NUMBER, _ref, _srid_sql, sql_axis_x, sql_axis_y, sql_supported
+from . import transverse as T
+from .geometry import NUMBER, WGS84, _ref, _srid_sql, sql_axis_x, sql_axis_y, sql_separable, sql_supported
 
 # Margin around a non-degenerate extent, default zoom scale.
 EXTENT_MARGIN = 1.2
@@ -66,18 +67,31 @@ def bbox_from_text(text: str) -> Column:
 
 
 def sql_reproject_rect(r: str, src: str, dst: str) -> str:
-    fields = ", ".join(
-        f"'{k}', {(sql_axis_x if k[0] == 'x' else sql_axis_y)(f'{r}.{k}', src, dst)}"
-        for k in ("xmin", "ymin", "xmax", "ymax")
+    def axes(box: str, one: str, other: str) -> str:
+        fields = ", ".join(
+            f"'{k}', {(sql_axis_x if k[0] == 'x' else sql_axis_y)(f'{box}.{k}', one, other)}"
+            for k in ("xmin", "ymin", "xmax", "ymax")
+        )
+        return f"named_struct({fields})"
+
+    wgs = str(WGS84)
+    inverse = T.sql_box(r, T.sql_inverse("ip", src), "ip", f"{T.FALSE_EASTING!r}D", T.sql_false_northing(src))
+    forward = T.sql_box("rd", T.sql_forward("fp", dst), "fp", T.sql_meridian(dst), "0D")
+    degrees = f"CASE WHEN {T.sql_is_utm(src)} THEN {inverse} ELSE {axes(r, src, wgs)} END"
+    moved = f"CASE WHEN rd IS NULL THEN NULL WHEN {T.sql_is_utm(dst)} THEN {forward} ELSE {axes('rd', wgs, dst)} END"
+    return (
+        f"CASE WHEN {r} IS NULL OR NOT coalesce({sql_supported(src, dst)}, false) THEN NULL "
+        f"WHEN {sql_separable(src, dst)} THEN {axes(r, src, dst)} "
+        f"ELSE transform(array({degrees}), rd -> {moved})[0] END"
     )
-    return f"CASE WHEN {r} IS NOT NULL AND {sql_supported(src, dst)} THEN named_struct({fields}) END"
 
 
 def reproject_rect(r: str, src: str | int, dst: str | int) -> Column:
-    """Rectangle column from ``src`` to ``dst``.
+    """Rectangle column from ``src`` to ``dst`` (D9): the box of the rectangle's image.
 
-    For the supported pairs the axes transform separately and monotonically,
-    so transforming the two corners gives the exact result.
+    Where the axes transform separately the two corners give it; from and to a UTM zone it is
+    found by the turning points of the edges (``transverse.sql_box``).  Between two zones the box
+    of the box in degrees is returned, which holds the image and may be larger.
     """
     return F.expr(sql_reproject_rect(_ref(r), _srid_sql(src), _srid_sql(dst)))
 

@@ -41,6 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
+from ..functions.collation import accent_table, fold_accents
 from ..functions.patterns import literal_runs, resolve_limit, wildcard_pattern
 from ..session import ensure_checkpoint_dir
 from .search import hit_columns, validate, with_user_expressions
@@ -98,14 +99,17 @@ def prepare_queries(
     )
 
 
-def _pattern_key(pattern: Column, cfg: SearchConfig) -> Column:
-    return pattern if cfg.case_sensitive else F.lower(pattern)
-
-
 def _fold(text: Column, cfg: SearchConfig) -> Column:
+    """``text`` as the config's case and accent rules see it."""
+    if not cfg.accent_sensitive:
+        text = fold_accents(text)
     return text if cfg.case_sensitive else F.lower(text)
 
 
+def _pattern_key(pattern: Column, cfg: SearchConfig) -> Column:
+    return _fold(pattern, cfg)
+
+
 def _target(df: DataFrame, cfg: SearchConfig, with_hits: bool = False) -> DataFrame:
     """Searchable rows reduced to what matching needs: search value and tie key.
 
@@ -258,14 +262,18 @@ def verify(cfg: SearchConfig) -> Column:
     linear time; others (``_`` wildcards) use LIKE / ILIKE, which compiles the
     row's pattern into a backtracking regex.
     """
-    fold = f"CAST({_q(_S)} AS STRING)" if cfg.case_sensitive else f"lower(CAST({_q(_S)} AS STRING))"
+    text = f"CAST({_q(_S)} AS STRING)"
+    if not cfg.accent_sensitive:
+        accented, bases = accent_table()
+        text = f"regexp_replace(translate({text}, '{accented}', '{bases}'), '\\\\p{{M}}+', '')"
+    fold = text if cfg.case_sensitive else f"lower({text})"
     chain = (
         f"transform(array({fold}), vt -> aggregate({_q(_PARTS)}, named_struct('ok', true, 'f', 1, 'l', 0), "
         "(acc, part) -> named_struct('ok', acc.ok AND acc.f > 0, 'f', locate(part, vt, acc.f + acc.l), "
         "'l', length(part)), acc -> acc.ok AND acc.f > 0))[0]"
     )
     op = "LIKE" if cfg.case_sensitive else "ILIKE"
-    like = f"CAST({_q(_S)} AS STRING) {op} {_q(_P)}"
+    like = f"{text} {op} {_q(_P)}"
     return F.expr(f"{_q(_S)} IS NOT NULL AND CASE WHEN {_q(_CHAIN)} THEN {chain} ELSE {like} END")
 
 
@@ -296,7 +304,7 @@ def scan_search(
     target = spread(_target(df, cfg, with_hits=not late), _tie_names(cfg), spread_to)
     matched = F.array(
         *[
-            F.when(match_condition(F.col(_S), p, cfg.case_sensitive), F.struct(F.lit(p).alias(_P), F.lit(k).alias(_K)))
+            F.when(match_condition(F.col(_S), p, cfg.case_sensitive, cfg.accent_sensitive), F.struct(F.lit(p).alias(_P), F.lit(k).alias(_K)))
             for p, k in listed
         ]
     ) if listed else F.array().cast(f"array<struct<{_P}:string,{_K}:int>>")

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
+from ..functions.collation import fold_accents, fold_accents_text
 from ..functions.expressions import with_expression
 from ..functions.geometry import srid_from_authid
 from ..functions.patterns import resolve_limit, wildcard_pattern_text
@@ -85,15 +86,20 @@ def _locate(needle: Column, text: Column, start: Column) -> Column:
     return F.call_function("locate", needle, text, start)
 
 
-def match_condition(column: Column | str, pattern: Column | str, case_sensitive: bool = False) -> Column:
+def match_condition(
+    column: Column | str, pattern: Column | str, case_sensitive: bool = False, accent_sensitive: bool = True
+) -> Column:
     """Wildcard match on the text form of any column.
 
     Null values never match.  A Python-string pattern stays a literal: one
     literal part lets Catalyst turn it into ``Contains``; several parts become
     an ordered ``locate`` chain; anything with ``_`` stays LIKE.  A Column
-    pattern is matched per row.
+    pattern is matched per row.  Without ``accent_sensitive`` both sides lose their accents first.
     """
     text = (F.col(column) if isinstance(column, str) else column).cast("string")
+    if not accent_sensitive:
+        text = fold_accents(text)
+        pattern = fold_accents_text(pattern) if isinstance(pattern, str) else fold_accents(pattern)
     if isinstance(pattern, str):
         parts = ordered_parts(pattern)
         if parts is not None and len(parts) >= 2:
@@ -235,7 +241,7 @@ def search(
         matched = df.where(F.lit(False))
     else:
         pattern = wildcard_pattern_text(text, cfg.escape_spec_chars, cfg.backslash)
-        matched = df.where(match_condition(cfg.search_column, pattern, cfg.case_sensitive))
+        matched = df.where(match_condition(cfg.search_column, pattern, cfg.case_sensitive, cfg.accent_sensitive))
     # user expressions after the cut: evaluated for the returned rows only
     limited = with_user_expressions(apply_limit(matched, cfg, limit, ordered), cfg)
     return limited.select(*hit_columns(limited, cfg, extra_struct))

@@ -8,6 +8,7 @@ column names.  Queries without an oracle are checked on row counts only.
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 from collections.abc import Callable
 
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 from ..config import SearchConfig
 from ..functions import geometry as G
+from ..functions import transverse as T
 from ..functions import viewport as V
+from ..functions.collation import collation_rules
 from ..functions.expressions import with_expression
 from ..functions.patterns import wildcard_pattern
 from ..operators import postings
@@ -553,6 +556,37 @@ def batch_search_documents(spark, d):
     return batch_search(X.load(spark, d, "documents"), queries, DOCS, strategy="blocked")
 
 
+_ACCENT_TEXTS = [(1, "Ésta", 5), (2, "gäte", 4), (3, "cion es", 5), (4, "NÃO", 3), (5, "é_a", 5), (6, "für die", 6)]
+
+
+@register(
+    "search_accent_insensitive",
+    f"""SELECT {_NULL_GEOM}, {_DOC_LINE} AS suggestion, doc_id FROM documents
+        WHERE strip_accents(text) ILIKE '%cion%es%' ESCAPE '\\'
+        ORDER BY text, doc_id LIMIT 1000""",
+)
+def search_accent_insensitive(spark, d):
+    return search(X.load(spark, d, "documents"), "ción És", DOCS.replace(**collation_rules("Latin1_General_CI_AI")))
+
+
+@register(
+    "batch_search_accent_insensitive",
+    f"""
+WITH q AS (
+  SELECT * FROM (VALUES {", ".join(f"({i}, '%{unicodedata.normalize('NFD', t).encode('ascii', 'ignore').decode().replace(' ', '%')}%', {k})" for i, t, k in _ACCENT_TEXTS)}) v(query_id, pattern, k)
+), hits AS (
+  SELECT q.query_id, q.k, d.*, row_number() OVER (PARTITION BY q.query_id ORDER BY d.text, d.doc_id) AS rank
+  FROM q JOIN documents d ON strip_accents(d.text) ILIKE q.pattern ESCAPE '\\'
+)
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS INTEGER) AS rank, {_NULL_GEOM}, {_DOC_LINE} AS suggestion, doc_id
+FROM hits WHERE rank <= k""",
+)
+def batch_search_accent_insensitive(spark, d):
+    queries = spark.createDataFrame(_ACCENT_TEXTS, "query_id long, text string, k int")
+    cfg = DOCS.replace(**collation_rules("Latin1_General_CI_AI"))
+    return batch_search(X.load(spark, d, "documents"), queries, cfg, strategy="blocked")
+
+
 # --------------------------------------------------------------------------- searches served by an n-gram index
 
 
@@ -957,6 +991,55 @@ _BBOX_SQL = {
 register("reproject_3857", _reproject_sql())(reproject_3857_q)
 
 
+def _utm_sql() -> str:
+    """Krüger's series spelled out step by step, there and back."""
+
+    def series(factors, first, x, second, y):
+        return " + ".join(f"{c!r} * {first}({2 * k} * {x}) * {second}({2 * k} * {y})" for k, c in enumerate(factors, 1))
+
+    back = " + ".join(f"{c!r} * sin({2 * k} * chi)" for k, c in enumerate(T._DELTA, 1))
+    return f"""
+WITH a AS (
+  SELECT place_id, CAST(lon AS DOUBLE) AS lon, CAST(lat AS DOUBLE) AS lat, CAST(floor((lon + 180) / 6) AS INTEGER) + 1 AS zone,
+         CASE WHEN lat < 0 THEN 10000000.0 ELSE 0.0 END AS fn FROM {PLACES} p),
+b AS (SELECT *, radians(lon - (zone * 6 - 183)) AS dl, sin(radians(lat)) AS s FROM a),
+c AS (SELECT *, sinh(atanh(s) - {T._E!r} * atanh({T._E!r} * s)) AS t FROM b),
+d AS (SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta FROM c),
+e AS (
+  SELECT *, 500000 + {T._RADIUS!r} * (eta + {series(T._ALPHA, "cos", "xi", "sinh", "eta")}) AS east,
+         fn + {T._RADIUS!r} * (xi + {series(T._ALPHA, "sin", "xi", "cosh", "eta")}) AS north FROM d),
+f AS (SELECT *, (north - fn) / {T._RADIUS!r} AS gx, (east - 500000) / {T._RADIUS!r} AS ge FROM e),
+g AS (
+  SELECT *, gx - ({series(T._BETA, "sin", "gx", "cosh", "ge")}) AS sx, ge - ({series(T._BETA, "cos", "gx", "sinh", "ge")}) AS se FROM f),
+h AS (SELECT *, asin(sin(sx) / cosh(se)) AS chi FROM g)
+SELECT place_id, zone + CASE WHEN lat < 0 THEN 32700 ELSE 32600 END AS utm, round(east, 3) + 0.0 AS east, round(north, 3) + 0.0 AS north,
+       round(zone * 6 - 183 + degrees(atan2(sinh(se), cos(sx))), 7) + 0.0 AS lon_back, round(degrees(chi + {back}), 7) + 0.0 AS lat_back
+FROM h"""
+
+
+@register("reproject_utm", _utm_sql())
+def reproject_utm_q(spark, d):
+    p = X.places(spark, d).selectExpr(
+        "place_id",
+        "named_struct('x', CAST(lon AS DOUBLE), 'y', CAST(lat AS DOUBLE)) AS at",
+        "CAST(floor((lon + 180) / 6) AS INT) + 1 + IF(lat < 0, 32700, 32600) AS utm",
+    )
+    p = p.select("*", G.reproject_point("at", 4326, "utm").alias("grid"))
+    p = p.select("*", G.reproject_point("grid", "utm", 4326).alias("back"))
+
+    def r(c, digits):
+        return F.round(c, digits) + F.lit(0.0)
+
+    return p.select(
+        "place_id",
+        "utm",
+        r(F.col("grid.x"), 3).alias("east"),
+        r(F.col("grid.y"), 3).alias("north"),
+        r(F.col("back.x"), 7).alias("lon_back"),
+        r(F.col("back.y"), 7).alias("lat_back"),
+    )
+
+
 @register(
     "bbox_parse",
     f"""SELECT place_id, bbox_text,
