@@ -1,10 +1,15 @@
-"""Operator 4: substring dedup by line or paragraph hashing.
-
-Units (lines, or paragraphs between blank lines) of at least ``min_words`` words are
-normalised (A-Z lower-cased, white space collapsed) and digested to 128 bits.  Equal digests
-are grouped over the whole corpus; the occurrence in the earliest ranked document, and there
-the first, stays; all others are removed.  Offsets are code points of the original text.
-Shorter units are left alone: short lines repeat by chance.
+"""Operator 4: substring dedup by hashing lines, sentences or paragraphs.
+
+Units are lines, the sentences of lines (a sentence ends with a word that ends in ``.``, ``!`` or
+``?``, or with its line), or paragraphs between blank lines.  They are normalised (A-Z
+lower-cased, white space collapsed) and digested to 128 bits.  Equal digests are grouped over the
+whole corpus; the occurrence in the earliest ranked document, and there the first, stays.  Of the
+others, those go that stand in a run of neighbouring repeated units of at least ``min_words``
+words together; shorter runs repeat by chance and are left alone.  Offsets are code points of the
+original text.
+
+Half of a digest decides first which units occur twice at all, so what is sorted and joined is the
+repeated units only, and one frequent unit costs a row a task.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -22,7 +27,11 @@ from .words import U, mix, texts
 
 MIN_WORDS = 8
 
-_UNITS = "doc_id bigint, version bigint, d1 bigint, d2 bigint, start bigint, end bigint, words bigint"
+#: Digests (8 bytes) and groups (48 bytes) that are broadcast at most.
+MAX_DIGESTS = 2_000_000
+MAX_GROUPS = 300_000
+
+_UNITS = "doc_id bigint, version bigint, d1 bigint, d2 bigint, at bigint, start bigint, end bigint, words bigint"
 _REMOVED = "array<struct<start:bigint,end:bigint,words:bigint,kept_doc_id:bigint,kept_start:bigint>>"
 
 
@@ -37,34 +46,51 @@ def _paragraphs(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
     return worded[heads], worded[np.concatenate((heads[1:], [len(worded)])) - 1]
 
 
-def _units(unit: str, min_words: int):
+def _limits(unit: str, lines: Lines) -> tuple[np.ndarray, ...]:
+    """Document, first word, word after the last, first byte and byte after the last of every unit with words."""
+    if unit == "sentence":
+        part = lines.part
+        closes = np.isin(part.data[part.ends - 1], np.frombuffer(b".!?", np.uint8)) if len(part.ends) else np.zeros(0, bool)
+        worded = np.flatnonzero(lines.words > 0)
+        closes[lines.word_hi[worded] - 1] = True
+        last = np.flatnonzero(closes)
+        first = np.concatenate(([0], last[:-1] + 1))[: len(last)]
+        # sentences tile their line, white space and all
+        line = worded[np.searchsorted(lines.word_lo[worded], first, "right") - 1] if len(first) else worded
+        start = np.where(first == lines.word_lo[line], lines.starts[line], part.starts[first] if len(first) else first)
+        after = np.append(part.starts, 0)[last + 1]
+        end = np.where(last + 1 == lines.word_hi[line], lines.ends[line], after)
+        return lines.doc[line], first, last + 1, start, end
+    if unit == "paragraph":
+        first, last = _paragraphs(lines)
+    else:
+        first = last = np.flatnonzero(lines.words > 0)
+    return lines.doc[first], lines.word_lo[first], lines.word_hi[last], lines.starts[first], lines.ends[last]
+
+
+def _units(unit: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, versions = batch.column(0), batch.column(1)
-            for lo, hi, part in texts(batch.column(2)):
-                lines = Lines(part)
-                first = last = np.arange(len(lines.doc))
-                if unit == "paragraph":
-                    first, last = _paragraphs(lines)
-                words = lines.word_hi[last] - lines.word_lo[first]
-                long = words >= min_words
-                first, last, words = first[long], last[long], words[long]
+            for lo, _, part in texts(batch.column(2)):
+                doc, low, high, start, end = _limits(unit, Lines(part))
                 hashes = part.hashes()
-                keys = [spans_hash(mix(hashes ^ U(s)), lines.word_lo[first], lines.word_hi[last]).view(np.int64) for s in (1, 2)]
+                keys = [spans_hash(mix(hashes ^ U(s)), low, high).view(np.int64) for s in (1, 2)]
                 points = code_points(part)
-                base = points[part.limits[lines.doc[first]]]
-                at = pa.array(lo + lines.doc[first])
+                base = points[part.limits[doc]]
+                at = pa.array(lo + doc)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(at),
                         versions.take(at),
                         pa.array(keys[0]),
                         pa.array(keys[1]),
-                        pa.array(points[lines.starts[first]] - base),
-                        pa.array(points[lines.ends[last]] - base),
-                        pa.array(words.astype(np.int64)),
+                        pa.array(np.arange(len(doc)) - np.searchsorted(doc, doc)),
+                        pa.array(points[start] - base),
+                        pa.array(points[end] - base),
+                        pa.array((high - low).astype(np.int64)),
                     ],
-                    names=["doc_id", "version", "d1", "d2", "start", "end", "words"],
+                    names=["doc_id", "version", "d1", "d2", "at", "start", "end", "words"],
                 )
 
     return run
@@ -77,14 +103,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if spans and text is not None:
                 kept, at = [], 0
                 for span in spans:
-                    kept.append(text[at : span["start"]])
-                    at = span["end"] + (text[span["end"] : span["end"] + 1] == "\n")
+                    if span["start"] > at:
+                        kept.append(text[at : span["start"]])
+                    at = span["end"]
+                    # a line of which nothing is left goes with its end
+                    if text[at : at + 1] == "\n" and (not kept or kept[-1].endswith("\n")):
+                        at += 1
                 text = "".join([*kept, text[at:]])
             out.append(text)
         columns = [batch.column(0), pa.array(out, pa.string()), *batch.columns[2:]]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "clean_text", *batch.schema.names[2:]])
 
 
+def _sized(df: DataFrame, most: int) -> DataFrame:
+    """For a join: a written table, broadcast if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
 def line_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -101,18 +136,25 @@ def line_dedup(
     document and come out alike; other rows of one id are ranked by their text's hash.  Other
     columns are ignored, whatever their names.  Empty input: empty result.
     """
-    if unit not in ("line", "paragraph"):
-        raise ValueError(f"unit must be line or paragraph, not {unit!r}")
+    if unit not in ("line", "sentence", "paragraph"):
+        raise ValueError(f"unit must be line, sentence or paragraph, not {unit!r}")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("version", F.xxhash64("text"))
     named = docs.where("doc_id is not null and text is not null").select("doc_id", "version", "text")
-    units = written(named.mapInArrow(_units(unit, min_words), _UNITS), "units")
+    units = written(named.mapInArrow(_units(unit), _UNITS), "units")
+    twice = written(units.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"), "twice")
+    repeated = written(units.join(_sized(twice, MAX_DIGESTS), "d1"), "repeated")
     place = F.struct("doc_id", "version", "start")
-    groups = units.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    groups = groups.where("first <> last").select("d1", "d2", "first")
-    extra = units.join(groups, ["d1", "d2"]).where(place != F.col("first"))
+    groups = repeated.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    groups = written(groups.where("first <> last").select("d1", "d2", "first"), "groups")
+    extra = repeated.join(_sized(groups, MAX_GROUPS), ["d1", "d2"]).where(place != F.col("first"))
     stays = [F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start")]
-    extra = extra.select("doc_id", "version", "start", "end", "words", *stays).distinct()
+    extra = extra.select("doc_id", "version", "at", "start", "end", "words", *stays).distinct()
+    # neighbours have the same distance to their number within the document
+    document = Window.partitionBy("doc_id", "version")
+    extra = extra.withColumn("run", F.col("at") - F.row_number().over(document.orderBy("at")))
+    extra = extra.withColumn("together", F.sum("words").over(Window.partitionBy("doc_id", "version", "run")))
+    extra = extra.where(F.col("together") >= min_words)
     span = F.struct("start", "end", "words", "kept_doc_id", "kept_start")
     removed = extra.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(span)).alias("removed"))
     out = docs.join(removed, ["doc_id", "version"], "left").select(

@@ -34,23 +34,49 @@ SELECT g.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, g.doc_id =
 FROM g JOIN c USING (doc_id)
 """
 
-# Units are lines of 8 words or more; the earliest (doc_id, start) of equal normalised lines stays.
+# Units are the sentences of lines; of equal ones the earliest (doc_id, start) stays, and runs of
+# neighbouring others of 25 words or more go.  A line of which nothing is left goes with its end,
+# so texts are put together again line by line.
 SQL["op4_substring_dedup"] = r"""
 WITH l AS (
-  SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+  SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 u AS (
   SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS k,
          unnest(list_transform(range(1, len(lines) + 1),
                                lambda i: CAST(coalesce(list_sum(list_transform(lines[1:i - 1], lambda x: length(x) + 1)), 0) AS BIGINT))) AS s
   FROM l),
-n AS (
-  SELECT doc_id, line, k, s, s + length(line) AS t,
-         regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+c AS (
+  SELECT doc_id, k, s, line, regexp_extract_all(line, '[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]*[^\x20\x09-\x0D.!?][\x20\x09-\x0D]+)*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS parts
   FROM u),
+p AS (
+  SELECT doc_id, k, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS j,
+         s + unnest(list_transform(range(1, len(parts) + 1),
+                                   lambda i: CAST(coalesce(list_sum(list_transform(parts[1:i - 1], lambda x: length(x))), 0) AS BIGINT))) AS b
+  FROM c),
+n AS (
+  SELECT doc_id, k, j, part, b, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS pos,
+         regexp_extract_all(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM p),
 r AS (
-  SELECT *, len(words) AS c, first_value(doc_id) OVER w AS kept_doc_id, first_value(s) OVER w AS kept_start, row_number() OVER w AS place
-  FROM n WHERE len(words) >= 8 WINDOW w AS (PARTITION BY words ORDER BY doc_id, s))
-SELECT doc_id, s AS start, t AS "end", CAST(c AS BIGINT) AS words, kept_doc_id, kept_start FROM r WHERE place > 1
+  SELECT *, len(words) AS w, first_value(doc_id) OVER same AS kept_doc_id, first_value(b) OVER same AS kept_start, row_number() OVER same AS place
+  FROM n WINDOW same AS (PARTITION BY words ORDER BY doc_id, b)),
+x AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM r WHERE place > 1),
+g AS (SELECT * FROM (SELECT *, sum(w) OVER (PARTITION BY doc_id, run) AS together FROM x) WHERE together >= 25),
+removed AS (
+  SELECT doc_id, string_agg(concat_ws(':', b, b + length(part), w, kept_doc_id, kept_start), ',' ORDER BY b) AS removed FROM g GROUP BY doc_id),
+stay AS (
+  SELECT n.doc_id, n.k, count(g.pos) AS gone, string_agg(n.part, '' ORDER BY n.j) FILTER (WHERE g.pos IS NULL) AS rest
+  FROM n LEFT JOIN g ON g.doc_id = n.doc_id AND g.pos = n.pos GROUP BY n.doc_id, n.k),
+clean AS (
+  SELECT c.doc_id, string_agg(CASE WHEN coalesce(gone, 0) = 0 THEN line ELSE rest END, chr(10) ORDER BY c.k)
+           FILTER (WHERE coalesce(gone, 0) = 0 OR rest IS NOT NULL) AS left_text,
+         last(coalesce(gone, 0) > 0 AND rest IS NULL ORDER BY c.k) AS last_gone, count(*) FILTER (WHERE coalesce(gone, 0) = 0 OR rest IS NOT NULL) AS n_left
+  FROM c LEFT JOIN stay USING (doc_id, k) GROUP BY c.doc_id),
+t AS (
+  SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(left_text, '') || CASE WHEN last_gone AND n_left > 0 THEN chr(10) ELSE '' END END AS clean_text,
+         coalesce(removed, '') AS removed
+  FROM documents d LEFT JOIN clean USING (doc_id) LEFT JOIN removed USING (doc_id))
+SELECT doc_id, clean_text, removed = '' OR coalesce(regexp_matches(clean_text, '[^\x20\x09-\x0D]'), false) AS kept, removed FROM t
 """
 
 # A line is boilerplate in a host above 10 distinct texts and 5 % of the host's distinct texts.

@@ -44,9 +44,21 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for every removed line."""
-    found = line_dedup(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.explode("removed").alias("r")).select("doc_id", "r.*")
+    """A row a document: what is left, and the removed sentences with their places and those that stay.
+
+    Not kept: a document that had words and has none left.
+    """
+    found = line_dedup(table(spark, sf_dir, "documents"), unit="sentence", min_words=25)
+    removed = F.transform(
+        "removed", lambda r: F.concat_ws(":", r["start"], r["end"], r["words"], r["kept_doc_id"], r["kept_start"])
+    )
+    left = F.coalesce(F.col("clean_text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return found.select(
+        "doc_id",
+        "clean_text",
+        (left | (F.size("removed") == 0)).alias("kept"),
+        F.array_join(removed, ",").alias("removed"),
+    )
 
 
 def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,30 @@ def test_removed_units_and_offsets(spark):
     assert got[3].removed == [] and got[3].clean_text == "short line" and got[4].clean_text is None
 
 
+def test_sentences_and_runs(spark):
+    """Repeats that begin and end within lines; short sentences go in long enough runs only."""
+    run = "One two. Three four five! Six seven eight nine. Ten eleven?"
+    rows = [
+        (1, f"Own words here. {run} More own words"),
+        (2, f"é Other line. {run} And an end.\nOne two. Alone here."),
+        (3, "Three four five!\n\n  Six seven eight nine. Ten eleven?\nrest"),
+        (4, run),
+        (5, ""),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup(df, unit="sentence", min_words=9).collect()}
+    assert got[1].removed == [] and got[1].clean_text == rows[0][1]
+    spans = got[2].removed
+    assert [rows[1][1][s.start : s["end"]] for s in spans] == ["One two. ", "Three four five! ", "Six seven eight nine. ", "Ten eleven? "]
+    assert got[2].clean_text == "é Other line. And an end.\nOne two. Alone here."
+    assert {s.kept_doc_id for s in spans} == {1} and [s.kept_start for s in spans][0] == 16
+    assert got[3].clean_text == "\nrest" and [s.words for s in got[3].removed] == [3, 4, 2]
+    assert got[4].clean_text == "" and got[5].clean_text == ""
+    assert all(r.removed == [] for r in line_dedup(df, unit="sentence", min_words=12).collect())
+    with pytest.raises(ValueError, match="unit must be"):
+        line_dedup(df, unit="word")
+
+
 def test_paragraphs(spark):
     block = "alpha beta gamma delta\nepsilon zeta eta theta"
     df = spark.createDataFrame([(1, f"x\n\n{block}\n\ny"), (2, f"{block}\n \nz")], "doc_id long, text string")
