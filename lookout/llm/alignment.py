@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .word_ids import shown_bytes
+from .words import released
 
 #: Pairs that are broadcast at most (16 bytes each).
 HEAD = 1 << 18
@@ -307,7 +308,7 @@ def align_tokens(
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    aligned = docs.mapInArrow(_align((path_a, ranks_a, pattern_a, path_b)), _ALIGNED)
+    aligned = docs.mapInArrow(released(_align((path_a, ranks_a, pattern_a, path_b))), _ALIGNED)
     aligned = written(aligned.withColumn("key", F.monotonically_increasing_id()), "aligned")
     counts = pair_counts(aligned, len(Pieces(path_b).bytes))
     scored = written(_scored(spark, aligned, counts, head), "scored")

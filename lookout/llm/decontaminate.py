@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import released
+
 BUDGET = 0.08
 #: Shorter items are searched for without errors, as whole words: near them is too much by chance.
 MIN_CHARS = 40
@@ -202,6 +204,6 @@ def leaks(
         rows = sorted(((i, t) for i, t in rows if t), key=str)
         if rows:
             shared = spark.sparkContext.broadcast((rows, budget, min_chars))
-            parts.append(docs.mapInArrow(_scan(shared), _LEAKS))
+            parts.append(docs.mapInArrow(released(_scan(shared)), _LEAKS))
     return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], _LEAKS)
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .components import components
-from .words import U, Texts, constants, mix, texts
+from .words import U, Texts, constants, mix, released, texts
 
 SHINGLE = 5
 PERCENT = 75
@@ -151,7 +151,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     sides = sides.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PAIRS_PER_SALT)).cast("int").alias("salts")), "a")
     sides = sides.withColumn("salt", F.pmod(F.hash("b"), F.col("salts"))).drop("salts")
     both = sides.join(hubs, ["a", "salt"]).select("a", "b", "ta", "tb")
-    return both.mapInArrow(_verify(shingle, percent), "a bigint, b bigint").distinct()
+    return both.mapInArrow(released(_verify(shingle, percent)), "a bigint, b bigint").distinct()
 
 
 def _may_link(percent: int, rows: int, bands: int):
@@ -225,7 +225,7 @@ def near_duplicates(
     if not 0 < bands <= 64:
         raise ValueError("bands must be 1 to 64")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signatures = written(docs.mapInArrow(_signatures(shingle, rows, bands), _SIGNATURE), "signatures")
+    signatures = written(docs.mapInArrow(released(_signatures(shingle, rows, bands)), _SIGNATURE), "signatures")
     full = signatures.where("n > 0 and doc_id is not null")
     sets = written(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "sets")
     copies = full.select("h1", "h2", "doc_id").join(sets.where("copies > 1"), ["h1", "h2"]).where("doc_id <> node")

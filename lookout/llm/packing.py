@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import numbered, written
 from .cutting_stock import solve
 from .word_ids import word_ids
+from .words import released
 
 LENGTH = 2048
 QUANTUM = 8
@@ -80,7 +81,7 @@ def pack(
         raise ValueError("length must be a positive multiple of quantum")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = written(docs.mapInArrow(_pieces(tokenizer, length), _PIECES), "pieces")
+    pieces = written(docs.mapInArrow(released(_pieces(tokenizer, length)), _PIECES), "pieces")
     pieces = pieces.withColumn("units", F.ceil(F.col("length") / F.lit(quantum)).cast("int"))
     # at most length / quantum rows reach the driver
     histogram = {r["units"]: r["n"] for r in pieces.groupBy("units").agg(F.count("*").alias("n")).collect()}

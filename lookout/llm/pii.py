@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import released
+
 SHAPES = 4096
 #: Messages that change by less have settled.
 SETTLED = 1e-3
@@ -318,7 +320,7 @@ def _find(model: Model):
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Counts over all documents; at most 5 * SHAPES + 33 rows reach the driver."""
-    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(_count, "what bigint, a bigint, b bigint, n bigint")
+    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(released(_count), "what bigint, a bigint, b bigint, n bigint")
     return Model([tuple(r) for r in counts.groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()])
 
 
@@ -332,7 +334,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     model = model or train(docs, text_col)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
-    return docs.mapInArrow(_find(model), schema)
+    return docs.mapInArrow(released(_find(model)), schema)
 
 
 def redacted(text: str, model: Model) -> str:
@@ -361,4 +363,4 @@ def redact(docs: DataFrame, text_col: str = "text", *, model: Model | None = Non
             columns = [*batch.columns[:k], pa.array(new, pa.string()), *batch.columns[k + 1 :]]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

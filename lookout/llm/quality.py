@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .words import released
 
 #: Labelled documents that the classifier is fitted on at most (expected number of a hashed choice).
 MAX_LABELLED = 16_000
@@ -36,7 +37,7 @@ RATE = 0.2
 DECAY = 1e-5
 #: Groups (a few dozen bytes each) that are broadcast at most; beyond, a shuffled join.
 MAX_BROADCAST = 200_000
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 
 TARGETS = ("quality", "toxic")
 _MASK = (1 << BITS) - 1
@@ -212,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most:
     chosen = labels.dropDuplicates(["label_id"])
     rows = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "label_id")
     rows = written(rows.select("quality", "toxic", "text"), "labelled")
-    counted = rows.mapInArrow(_feature_counts, "feature bigint, n bigint, quality bigint, toxic bigint").groupBy("feature")
+    counted = rows.mapInArrow(released(_feature_counts), "feature bigint, n bigint, quality bigint, toxic bigint").groupBy("feature")
     # at most one row a hashed feature
     counted = counted.agg(*(F.sum(c).alias(c) for c in ("n", *TARGETS))).where(
         (F.col("n") >= LEAST_DOCUMENTS) | (F.col("feature") == -1)
@@ -225,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most:
     telling = {t: _telling(dense["n"][:-1], dense[t][:-1], total, int(dense[t][-1])) for t in TARGETS}
     used = telling["quality"] | telling["toxic"]
     schema = "quality int, toxic int, features array<int>"
-    return Classifier(rows.mapInArrow(_extract(used), schema).toArrow(), telling)
+    return Classifier(rows.mapInArrow(released(_extract(used)), schema).toArrow(), telling)
 
 
 def _evidence(shared):
@@ -301,7 +302,7 @@ def quality_posteriors(
     docs = docs.select(F.col("key").alias("doc_id"), "host", "path", "text")
     shared = spark.sparkContext.broadcast(model)
     schema = "doc_id bigint, host string, path string, quality double, toxic double"
-    rows = written(docs.mapInArrow(_evidence(shared), schema), "evidence")
+    rows = written(docs.mapInArrow(released(_evidence(shared)), schema), "evidence")
 
     soft = [F.sum(_sigmoid(F.col(t))).alias(t) for t in TARGETS]
     paths = written(rows.groupBy("host", "path").agg(F.count("*").alias("n"), *soft), "paths")

@@ -20,6 +20,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .words import release
+
 # The rules of the tokenizer file that the tables below follow.
 _NORMALIZERS = [
     {"type": "NFC"},
@@ -125,4 +127,6 @@ class WordIds:
 @lru_cache(1)
 def word_ids(path: str) -> WordIds:
     """One for each Python worker."""
-    return WordIds(path)
+    made = WordIds(path)
+    release()  # the file's rules and the tables' checks
+    return made
