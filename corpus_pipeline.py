@@ -28,38 +28,52 @@ from lookout.llm.registry import tokenizer_path
 ORACLE_SQL = None
 
 
-def _rows(docs: DataFrame, *order: Column) -> DataFrame:
-    """``docs`` written with a key ``_row`` of its own for every row, ascending in ``order``."""
+def _rows(docs: DataFrame, *order: Column) -> tuple[DataFrame, str]:
+    """``docs`` written with a key of its own for every row, ascending in ``order``; and that key's
+    name, which no column of ``docs`` has."""
+    key = "_row"
+    while key.lower() in {c.lower() for c in docs.columns}:
+        key += "_"
     if order:
         docs = docs.orderBy(*order)
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
-def _dropped(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    return without(rows, keys, "_row").drop("_row")
+def _dropped(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    return without(rows, keys, key).drop(key)
+
+
+def _columns(docs: DataFrame, stage: str, *needed: str) -> None:
+    missing = [c for c in needed if c not in docs.columns]
+    if missing:
+        raise ValueError(f"the {stage} stage needs the columns {missing}")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    rows = _rows(docs)
-    judged = quality_posteriors(rows, table(spark, sf_dir, "labels"), key_col="_row")
-    return _dropped(rows, judged.where("not kept").select("doc_id"))
+    _columns(docs, "quality", "doc_id", "text", "source", "lang")
+    rows, key = _rows(docs)
+    judged = quality_posteriors(rows, table(spark, sf_dir, "labels"), key_col=key)
+    return _dropped(rows, judged.where("not kept").select("doc_id"), key)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row stays: that with the least id, null ids last."""
-    rows = _rows(docs, F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    return _dropped(rows, near_duplicates(rows, "_row").where("not kept").select("doc_id"))
+    _columns(docs, "near-dedup", "doc_id", "text")
+    rows, key = _rows(docs, F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    return _dropped(rows, near_duplicates(rows, key).where("not kept").select("doc_id"), key)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    rows = _rows(docs)
-    return _dropped(rows, leaks(rows, table(spark, sf_dir, "benchmark"), "_row").select("doc_id"))
+    _columns(docs, "decontamination", "doc_id", "text")
+    rows, key = _rows(docs)
+    return _dropped(rows, leaks(rows, table(spark, sf_dir, "benchmark"), key).select("doc_id"), key)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts gives way to its kind in brackets."""
+    _columns(docs, "personal data", "text", "n_chars")
     return redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
