@@ -72,11 +72,20 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], name: str, rows
 MAX_IDS = 1_000_000
 
 
+def _ids(ids: DataFrame, id_col: str) -> DataFrame:
+    """Distinct ids for a join: broadcast up to ``MAX_IDS``."""
+    ids = written(ids.select(F.col(ids.columns[0]).alias(id_col)).where(F.col(id_col).isNotNull()).distinct(), "ids")
+    return F.broadcast(ids) if ids.count() <= MAX_IDS else ids.hint("merge")
+
+
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the rows of the given ids; rows with a null id stay.
 
     Up to ``MAX_IDS`` ids are broadcast, so texts do not move; more are met in a shuffled join.
     """
-    ids = written(ids.select(F.col(ids.columns[0]).alias(id_col)).where(F.col(id_col).isNotNull()).distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= MAX_IDS else ids.hint("merge")
-    return docs.join(ids, id_col, "left_anti").select(*docs.columns)
+    return docs.join(_ids(ids, id_col), id_col, "left_anti").select(*docs.columns)
+
+
+def within(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` with one of the given ids, met as in ``without``."""
+    return docs.join(_ids(ids, id_col), id_col, "left_semi").select(*docs.columns)

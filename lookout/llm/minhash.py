@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import within, without, written
 from .components import components
 from .words import U, Texts, constants, mix, released, texts
 
@@ -144,6 +144,8 @@ def _all(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar; a is the side that may repeat often."""
+    # only texts of some pair move
+    docs = within(docs, pairs.select("a").union(pairs.select("b")))
     hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PAIRS_PER_SALT)).cast("int").alias("salts"))
     hubs = hubs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     hubs = hubs.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)")))
@@ -229,9 +231,11 @@ def near_duplicates(
     full = signatures.where("n > 0 and doc_id is not null")
     sets = written(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "sets")
     copies = full.select("h1", "h2", "doc_id").join(sets.where("copies > 1"), ["h1", "h2"]).where("doc_id <> node")
-    nodes = written(full.join(copies.select("doc_id"), "doc_id", "left_anti").withColumnRenamed("doc_id", "node"), "nodes")
+    # an id that is no copy keeps all its rows, so later joins by node read the signatures themselves
+    nodes = full.withColumnRenamed("doc_id", "node")
 
-    members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    members = without(nodes.select("node", "bands"), copies.select("doc_id"), "node")
+    members = members.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = written(members.join(shared, "bucket"), "members")
     popularity = members.groupBy("node").agg(F.sum("size").alias("popularity"))
@@ -251,10 +255,10 @@ def near_duplicates(
         if placed.isEmpty():
             break
     # a pair meets in the first band that it shares, and there only
-    placed = placed.select("bucket", "band", "node", "component").join(nodes.select("node", "n", "bits", "bands"), "node")
+    placed = placed.select("bucket", "node", "component").join(nodes.select("node", "n", "bits", "bands"), "node")
     left, right = placed.alias("l"), placed.alias("r")
     meet = F.expr("l.bucket = r.bucket and l.node < r.node and l.component <> r.component") & near("l", "r")
-    meet = meet & F.expr("array_position(zip_with(l.bands, r.bands, (p, q) -> p = q), true) = l.band + 1")
+    meet = meet & F.expr("array_position(zip_with(l.bands, r.bands, (p, q) -> p = q), true) = array_position(l.bands, l.bucket)")
     cross = left.join(right, meet).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
     tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = written(cross.distinct().join(tested, ["a", "b"], "left_anti"), "cross_pairs")
