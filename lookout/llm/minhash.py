@@ -46,7 +46,7 @@ DEPTH = 2
 #: Hub rounds at most; what they leave is met pairwise in the last one.
 ROUNDS = 2
 #: Bits of a coordinate that are compared before texts are read.
-PLANES = 4
+PLANES = 2
 #: Standard deviations below the expected agreement at which a pair is dropped.
 SIGMAS = 4.2
 #: Pairs of one hub that one task verifies at most; a hub with more is replicated.
@@ -254,11 +254,10 @@ def near_duplicates(
         placed = _still_mixed(placed, components(links))
         if placed.isEmpty():
             break
-    # a pair meets in the first band that it shares, and there only
-    placed = placed.select("bucket", "node", "component").join(nodes.select("node", "n", "bits", "bands"), "node")
+    # only sizes and compared bits move with the members
+    placed = placed.select("bucket", "node", "component").join(nodes.select("node", "n", "bits"), "node")
     left, right = placed.alias("l"), placed.alias("r")
     meet = F.expr("l.bucket = r.bucket and l.node < r.node and l.component <> r.component") & near("l", "r")
-    meet = meet & F.expr("array_position(zip_with(l.bands, r.bands, (p, q) -> p = q), true) = array_position(l.bands, l.bucket)")
     cross = left.join(right, meet).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
     tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = written(cross.distinct().join(tested, ["a", "b"], "left_anti"), "cross_pairs")
