@@ -13,7 +13,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lookout.llm.common import table, without, written
@@ -28,14 +28,12 @@ from lookout.llm.registry import tokenizer_path
 ORACLE_SQL = None
 
 
-def _rows(docs: DataFrame, *order: Column) -> tuple[DataFrame, str]:
-    """``docs`` written with a key of its own for every row, ascending in ``order``; and that key's
-    name, which no column of ``docs`` has."""
+def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written with a key of its own for every row; and that key's name, which no column
+    of ``docs`` has."""
     key = "_row"
     while key.lower() in {c.lower() for c in docs.columns}:
         key += "_"
-    if order:
-        docs = docs.orderBy(*order)
     return written(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
@@ -60,8 +58,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row stays: that with the least id, null ids last."""
     _columns(docs, "near-dedup", "doc_id", "text")
-    rows, key = _rows(docs, F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    return _dropped(rows, near_duplicates(rows, key).where("not kept").select("doc_id"), key)
+    rows, key = _rows(docs)
+    groups = written(near_duplicates(rows, key).select(F.col("doc_id").alias("row"), "component_id"), "groups")
+    # texts stay where they are: ranks and keys alone are grouped
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col(key).alias("row"))
+    ranked = rows.select(F.col(key).alias("row"), rank.alias("rank")).join(groups, "row")
+    stays = ranked.groupBy("component_id").agg(F.min("rank").alias("least")).select(F.col("least.row").alias("row"))
+    return _dropped(rows, groups.select("row").join(stays, "row", "left_anti"), key)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
