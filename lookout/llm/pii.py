@@ -116,14 +116,15 @@ def _tokens(text: str) -> list[tuple[int, int]]:
 
 def shape(token: str) -> int:
     """The token's form: digit runs by length, letter runs, other characters, and checks."""
-    token = token[:80].rstrip(_TAIL)
+    token = token.rstrip(_TAIL)
     form = _RUN.sub(lambda m: f"9{min(m.end() - m.start(), 20)}" if m.group()[0].isdecimal() else "a", token)
     digits = _DIGITS.sub("", token)
     if 14 <= len(digits) <= 19 and not token.strip("0123456789-"):
         form += "/ok" if luhn(digits) else "/bad"
     parts = token.split(".")
     if len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts):
-        form += "/ok" if all(int(p) <= 255 for p in parts) else "/bad"
+        values = [p.lstrip("0") for p in parts]
+        form += "/ok" if all(len(v) <= 3 and int(v or 0) <= 255 for v in values) else "/bad"
     return zlib.crc32(form.encode()) % SHAPES
 
 

@@ -37,3 +37,12 @@ def test_messages_settle_along_chains(model):
     flat.unary[:], flat.skip[:] = 0, 8.0
     flat.unary[:, 0] = 0.001
     assert (flat.labels(g)[1:] == 3).all()
+
+
+def test_shape_reads_whole_tokens():
+    from lookout.llm.pii import shape
+
+    long = "x1-" * 40
+    assert shape(long + "a") != shape(long + "12345@")
+    assert shape("010.0.0.1") == shape("010.0.0.2") != shape("999.0.0.1")
+    assert isinstance(shape("9" * 10_000 + ".1.1.1"), int)
