@@ -27,7 +27,9 @@ from ..operators.batch import batch_search, prepare_queries
 from ..operators.hits import with_geometry, with_viewport
 from ..operators.search import multi_search, search
 from ..session import ensure_checkpoint_dir
-from ..streaming.debounce import debounce, debounce_search, latest_per_session
+from ..sources.keyed import read_keyed, upsert
+from ..streaming.debounce import accepted, debounce, debounce_search, latest_per_session, search_debounced
+from ..streaming.stateful import debounce_batch, read_debounced, read_late
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -843,6 +845,82 @@ def debounce_null_sessions_q(spark, d):
     return debounce(events, "1 minute 30 seconds")
 
 
+# Three deliveries: a fifth of the sessions comes last, whatever its time, the others by time.
+_DELIVERY = """CASE WHEN user_id % 5 = 0 THEN 2 WHEN ts < TIMESTAMP '2024-01-12 00:00:00' THEN 0
+    WHEN ts < TIMESTAMP '2024-01-22 00:00:00' THEN 1 ELSE 2 END"""
+_DELAY = "12 days"
+_DELIVERED_SQL = f"""
+events_in AS (SELECT user_id AS session_id, ts, event_id, event_type AS text, {_DELIVERY} AS batch_id FROM events
+              WHERE length(event_type) >= 3 AND ts IS NOT NULL),
+marks AS (SELECT max(CASE WHEN batch_id < 1 THEN ts END) - INTERVAL '{_DELAY}' AS w1,
+                 max(CASE WHEN batch_id < 2 THEN ts END) - INTERVAL '{_DELAY}' AS w2 FROM events_in),
+marked AS (SELECT e.*, coalesce(CASE batch_id WHEN 1 THEN ts < w1 WHEN 2 THEN ts < w2 END, FALSE) AS late
+           FROM events_in e, marks)
+"""
+
+
+def _deliveries(spark, d):
+    events = X.load(spark, d, "events").withColumn("batch_id", F.expr(_DELIVERY))
+    rows = events.selectExpr("user_id AS session_id", "ts", "event_id", "event_type AS text", "batch_id")
+    return [rows.where(F.col("batch_id") == k).drop("batch_id") for k in range(3)]
+
+
+def _scratch_table(spark, what):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/lookout-{what}-{uuid.uuid4().hex}"
+
+
+def _debounced_in_batches(spark, d):
+    path = _scratch_table(spark, "debounce")
+    for k, events in enumerate(batches := _deliveries(spark, d)):
+        debounce_batch(events, path, k, _GAP, delay=_DELAY, last=k == len(batches) - 1)
+    return path, batches[0].schema
+
+
+@register(
+    "debounce_stateful",
+    f"""WITH {_DELIVERED_SQL}
+SELECT session_id, ts, event_id, text FROM (
+  SELECT *, lead(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS next_ts FROM marked WHERE NOT late
+) s WHERE next_ts IS NULL OR next_ts > ts + INTERVAL '{_GAP}'""",
+)
+def debounce_stateful_q(spark, d):
+    """All events in three deliveries, each a micro-batch over the state of those before."""
+    return read_debounced(spark, *_debounced_in_batches(spark, d))
+
+
+@register(
+    "debounce_late_rows",
+    f"WITH {_DELIVERED_SQL} SELECT session_id, ts, event_id, text, CAST(batch_id AS BIGINT) AS batch_id FROM marked WHERE late",
+)
+def debounce_late_rows_q(spark, d):
+    """What came behind the watermark."""
+    return read_late(spark, *_debounced_in_batches(spark, d))
+
+
+@register(
+    "latest_snapshot",
+    """SELECT user_id AS session_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id,
+              arg_max(event_type, (ts, event_id)) AS text
+       FROM events WHERE length(event_type) >= 3 AND ts IS NOT NULL GROUP BY user_id""",
+)
+def latest_snapshot_q(spark, d):
+    """One row a session, upserted delivery by delivery, the newest first."""
+    path = _scratch_table(spark, "latest")
+    for events in reversed(_deliveries(spark, d)):
+        upsert(accepted(events).where("ts IS NOT NULL"), path, ["session_id"], ["ts", "event_id"], buckets=8)
+    return read_keyed(spark, path)
+
+
+@register("debounce_search_indexed", ORACLE["debounce_search"])
+def debounce_search_indexed_q(spark, d):
+    """The hits of ``debounce_search`` from an index that was built in two versions (C4)."""
+    cfg = PLACE.replace(limit=3)
+    path, rows = _scratch_table(spark, "places"), X.places(spark, d)
+    postings.build(rows.where("place_id % 3 > 0"), cfg, path, rows_per_part=4096)
+    index = postings.append(rows.where("place_id % 3 = 0"), cfg, path, rows_per_part=4096)
+    return search_debounced(debounce(X.name_keystrokes(spark, d), _GAP), index, cfg)
+
+
 # --------------------------------------------------------------------------- D geometry
 
 _KIND = "place_id % 6"
