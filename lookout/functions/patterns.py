@@ -75,6 +75,11 @@ def wildcard_pattern_text(text: str, escape: bool = False, backslash: str = "esc
     return normalise_backslashes("".join("%" + p for p in parts) + "%", backslash)
 
 
+def literal_runs_text(pattern: str) -> list[str]:
+    """Literal stretches of a LIKE pattern, unescaped, for one Python string."""
+    return [re.sub(r"(?s)\\(.)", r"\1", run) for run in re.findall(r"(?s)(?:\\.|[^%_\\])+", pattern)]
+
+
 # --------------------------------------------------------------------------- column form
 
 

@@ -5,16 +5,22 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from ..config import SearchConfig
+from ..functions.patterns import literal_runs_text, wildcard_pattern_text
 from .jdbc import JDBC_TYPES, jdbc_options
 
 
-def read_source(spark: SparkSession, cfg: SearchConfig) -> DataFrame:
+def read_source(spark: SparkSession, cfg: SearchConfig, text: str | None = None) -> DataFrame:
     """The searchable relation of ``cfg`` (A1-A3); unknown types are an error (DEC-5).
 
+    With the ``text`` of one search, the source may leave out rows that cannot match it; the
+    GeoPackage reader does so in the file, by bound parameters.
+
     Only the columns a search references are read: Catalyst pushes the search's
     projection into the parquet or JDBC scan.  The GeoPackage reader gets the
     attributes that the config names.
@@ -41,7 +47,11 @@ def read_source(spark: SparkSession, cfg: SearchConfig) -> DataFrame:
         if cfg.scale_expr is None and cfg.bbox_expr is None:  # an expression may use any attribute
             named = {*cfg.required_columns, *cfg.extra_columns}
             full = StructType(full.fields[:4] + [f for f in full.fields[4:] if f.name in named])
-        return spark.read.format("gpkg").option("layer", layer).schema(full).load(cfg.path)
+        reader = spark.read.format("gpkg").option("layer", layer).schema(full)
+        if text is not None:
+            runs = literal_runs_text(wildcard_pattern_text(text, cfg.escape_spec_chars, cfg.backslash))
+            reader = reader.option("matchColumn", cfg.search_column).option("matchParts", json.dumps(runs))
+        return reader.load(cfg.path)
     raise ValueError(f"config {cfg.name!r}: data_type {kind!r} has no reader; pass a DataFrame")
 
 
