@@ -19,8 +19,10 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BLOOM = 22
 #: Words of one length that are handled at once, as bytes of text.
 _BLOCK = 1 << 16
-#: A longer word's expected counts are gathered stretch by stretch.
-STRETCH = 40
+#: Expected counts of words up to this many bytes are summed without logarithms.
+SHORT = 40
+#: Positions of a long word whose edges are held at once.
+STRIP = 4096
 
 
 class Vocabulary:
@@ -132,12 +134,10 @@ def log_probabilities(vocabulary: Vocabulary, p: np.ndarray, words: list[bytes])
 def expected_counts(vocabulary: Vocabulary, p: np.ndarray, words: list[bytes], times: np.ndarray) -> np.ndarray:
     """Expected uses of every piece over all segmentations of the words, each word ``times`` times."""
     total = np.zeros(len(p))
-    long = [k for k, w in enumerate(words) if len(w) > STRETCH]
-    if long:
-        times = np.concatenate((times, [times[k] for k in long for _ in range(STRETCH, len(words[k]), STRETCH)]))
-        rest = [words[k][lo : lo + STRETCH] for k in long for lo in range(STRETCH, len(words[k]), STRETCH)]
-        words = [w[:STRETCH] for w in words] + rest
     for own, block in _blocks(words):
+        if block.shape[1] > SHORT + 1:
+            total += _long_counts(vocabulary, p, block, times[own])
+            continue
         rows, length = block.shape
         dense, (row, start, stop, piece) = _weights(vocabulary, block, p)
         reach = len(dense)
@@ -149,6 +149,52 @@ def expected_counts(vocabulary: Vocabulary, p: np.ndarray, words: list[bytes], t
         for i in range(length - 1, -1, -1):
             n = min(reach, length - i)
             backward[i] = (dense[:n, i] * backward[i + 1 : i + n + 1]).sum(axis=0)
-        use = forward[start, row] * p[piece] * backward[stop, row] * (times[own] / forward[length])[row]
+        # many rare bytes together: too small for plain sums
+        thin = forward[length] < 1e-200
+        if thin.any():
+            total += _long_counts(vocabulary, p, block[thin], times[own][thin])
+        share = np.divide(times[own], forward[length], out=np.zeros(rows), where=~thin)
+        use = forward[start, row] * p[piece] * backward[stop, row] * share[row]
         total += np.bincount(piece, use, len(p))
     return total
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(axis=0)
+    return top + np.log(np.exp(x - top).sum(axis=0))
+
+
+def _long_counts(vocabulary: Vocabulary, p: np.ndarray, block: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """``expected_counts`` of whole words of any length, in logarithms.
+
+    The sums of all positions are kept, the edges of one strip of positions at a time.
+    """
+    rows, length = block.shape
+    reach = min(length, vocabulary.longest)
+    forward, backward = np.empty((length + 1, rows)), np.empty((length + 1, rows))
+    forward[0] = backward[length] = 0
+    total, log_p = np.zeros(len(p)), np.log(p)
+
+    def logs(lo: int, hi: int):
+        row, start, stop, piece = vocabulary.edges(block[:, lo:hi])
+        dense = np.full((reach, hi - lo, rows), -np.inf)
+        dense[stop - start - 1, start, row] = log_p[piece]
+        return dense, row, start, stop, piece
+
+    for lo in range(0, length, STRIP):
+        hi, first = min(lo + STRIP, length), max(0, lo - reach)
+        dense = logs(first, hi)[0]
+        for at in range(lo + 1, hi + 1):
+            back = np.arange(min(reach, at))
+            forward[at] = _log_sum(forward[at - 1 - back] + dense[back, at - 1 - back - first])
+    for lo in reversed(range(0, length, STRIP)):
+        hi = min(lo + STRIP, length)
+        dense, row, start, stop, piece = logs(lo, min(hi + reach, length))
+        for at in range(hi - 1, lo - 1, -1):
+            n = min(reach, length - at)
+            backward[at] = _log_sum(dense[:n, at - lo] + backward[at + 1 : at + n + 1])
+        own = start < hi - lo
+        row, start, stop, piece = row[own], start[own] + lo, stop[own] + lo, piece[own]
+        use = np.exp(forward[start, row] + log_p[piece] + backward[stop, row] - forward[length, row])
+        total += np.bincount(piece, use * times[row], len(p))
+    return total

@@ -1,9 +1,12 @@
 import math
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
+import pytest
 
+from lookout.llm import lattice
 from lookout.llm.lattice import Vocabulary, expected_counts, log_probabilities
 from lookout.llm.lm_scoring import lattice_scores
 from lookout.llm.registry import tokenizer_path
@@ -42,6 +45,47 @@ def test_forward_sum_and_counts_are_over_all_segmentations():
     assert np.isfinite(long).all() and abs(long[0] / long[1] - 2) < 0.01
 
 
+def _exact_counts(word, p, pid):
+    """Expected uses of every piece in one word, by exact fractions."""
+    data, longest = b" " + word, max(map(len, pid))
+    forward, backward = [Fraction(1)] + [Fraction(0)] * len(data), [Fraction(0)] * len(data) + [Fraction(1)]
+    edges = [(i, j, pid[data[i:j]]) for i in range(len(data)) for j in range(i + 1, min(len(data), i + longest) + 1) if data[i:j] in pid]
+    for i, j, k in edges:
+        forward[j] += forward[i] * Fraction(p[k])
+    for i, j, k in reversed(edges):
+        backward[i] += Fraction(p[k]) * backward[j]
+    out = np.zeros(len(p))
+    for i, j, k in edges:
+        out[k] += float(forward[i] * Fraction(p[k]) * backward[j] / forward[-1])
+    return out
+
+
+@pytest.mark.parametrize("strip", [7, 64, 4096])
+def test_counts_of_long_and_of_improbable_words_are_whole(monkeypatch, strip):
+    monkeypatch.setattr(lattice, "STRIP", strip)
+    vocabulary = Vocabulary([b" ", b" a", b" ab", b"a", b"b", b"ab", b"ba", b"bab", b"abababababab"])
+    rng = np.random.default_rng(2)
+    p = rng.random(len(vocabulary.pieces) + 1)
+    pid = {x: k for k, x in enumerate(vocabulary.pieces)}
+    p[[pid[bytes([c])] for c in range(128, 256)]] = 1e-9
+    p /= p.sum()
+    words = [b"ab" * 21, b"a" * 40, b"ba" * 70 + b"x", bytes(range(128, 168)), bytes(range(160, 250)) * 2, b"ab", b"abb"]
+    times = np.arange(1.0, len(words) + 1)
+    want = sum(n * _exact_counts(w, p, pid) for w, n in zip(words, times, strict=True))
+    got = expected_counts(vocabulary, p, words, times)
+    assert np.isfinite(got).all() and np.allclose(got, want, rtol=1e-9)
+    # every byte of every word is in exactly one piece
+    spelled = sum(k * len(x) for k, x in zip(got, vocabulary.pieces))
+    assert math.isclose(spelled, sum(n * (len(w) + 1) for w, n in zip(words, times)), rel_tol=1e-9)
+
+
+def test_counts_of_a_very_long_word():
+    vocabulary = Vocabulary([b" x", b"x", b"xx", b"xxxxxxx"])
+    p = np.full(len(vocabulary.pieces) + 1, 1e-3)
+    got = expected_counts(vocabulary, p, [b"x" * 30_000], np.ones(1))
+    assert math.isclose(sum(k * len(x) for k, x in zip(got, vocabulary.pieces)), 30_001, rel_tol=1e-6)
+
+
 def test_base_columns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(10**6)
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [(-1, None), (-2, " ")]
