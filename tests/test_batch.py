@@ -115,6 +115,17 @@ def test_unlimited_queries(spark):
             assert {(r.query_id, r["rank"]) for r in rest} == {(1, None)}
 
 
+@pytest.mark.parametrize("strategy", ["scan", "blocked"])
+def test_unlimited_hits_of_a_relation_in_one_task_are_joined_in_many(spark, monkeypatch, strategy):
+    monkeypatch.setattr("lookout.operators.batch.ROWS_PER_TASK", 500, raising=False)
+    df = spark.range(60).selectExpr("id AS key", "concat('red ring ', id) AS name").coalesce(1)
+    q = spark.range(40).selectExpr("id AS query_id", "IF(id % 2 = 0, 'ring', 'red 1') AS text")
+    hits = batch_search(df, q, CFG.replace(limit=None), strategy=strategy, k_col=None)
+    ones = sum("1" in str(k) for k in range(60))
+    assert hits.count() == hits.select("query_id", "key").distinct().count() == 20 * 60 + 20 * ones
+    assert hits.rdd.getNumPartitions() == -(-(20 * 60 + 20 * ones) // 500)
+
+
 @pytest.mark.parametrize("bound", [0, 1_000_000])
 @pytest.mark.parametrize("strategy", ["scan", "blocked"])
 def test_repeated_tie_key_is_an_error_on_both_sides_of_the_bound(spark, bound, strategy):
