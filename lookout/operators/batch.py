@@ -58,6 +58,10 @@ MAX_LITERAL_GRAMS = 256
 UNLIMITED = 2_147_483_647
 # rows that a task writes where queries have no limit
 ROWS_PER_TASK = 4_000_000
+# candidate pairs of row and pattern that a task verifies and sorts, where a row meets many patterns
+PAIRS_PER_TASK = 2_000_000
+# patterns that a row meets on average from which rows are dealt by pairs
+PAIRS_PER_ROW = 32
 
 _S = "__lk_search"
 _T = "__lk_tie"
@@ -367,6 +371,14 @@ def _longest_run() -> Column:
     return F.coalesce(F.array_max(F.transform(F.col(_PARTS), F.length)), F.lit(0))
 
 
+def pair_tasks(pairs: float, rows: float) -> int | None:
+    """Tasks that ``rows`` are to be spread to before they meet their patterns: each match is sorted
+    where its row is read, so where a row meets many patterns tasks are cut by pairs, not by bytes."""
+    if pairs < PAIRS_PER_ROW * rows or pairs <= PAIRS_PER_TASK:
+        return None
+    return int(-(-pairs // PAIRS_PER_TASK))
+
+
 def pattern_grams(patterns: DataFrame, cfg: SearchConfig) -> DataFrame:
     """Every candidate blocking gram of every pattern: ``(pattern, k, parts, chain, n, g)``."""
     longest = _longest_run()
@@ -469,6 +481,17 @@ def blocked_search(
     listed = chosen.select(_N, _G).distinct().limit(max_literal_grams + 1).collect()
     bound = patterns * k_max
     late = limited and bound <= max_broadcast_hits
+    in_all = None
+    if patterns > max_broadcast_patterns or (spread_to is None and patterns >= PAIRS_PER_ROW):
+        total = df.count()
+        share = total / SAMPLE_ROWS  # frequencies in the sample, scaled to the table
+        in_all = F.when(F.col(_N) <= GRAM, F.col(_DF)).otherwise(F.col(_DF) * share) if gram_stats is not None else (
+            F.col(_DF) * max(1.0, share)
+        )
+        if spread_to is None and patterns <= max_broadcast_patterns:
+            spread_to = pair_tasks(chosen.agg(F.sum(in_all).alias("n")).first()["n"] or 0, total)
+            if late:
+                target = spread(target, _tie_names(cfg), spread_to)
     if not late:
         target = spread(_target(df, cfg, with_hits=True), _tie_names(cfg), spread_to)
     if 0 < len(listed) <= max_literal_grams:
@@ -479,10 +502,6 @@ def blocked_search(
         # counted: the patterns go to the rows, and only verified matches are shuffled
         cand = rows.join(F.broadcast(chosen), [_N, _G]).where(verify(cfg))
     else:
-        share = df.count() / SAMPLE_ROWS  # frequencies in the sample, scaled to the table
-        in_all = F.when(F.col(_N) <= GRAM, F.col(_DF)).otherwise(F.col(_DF) * share) if gram_stats is not None else (
-            F.col(_DF) * max(1.0, share)
-        )
         nsalt = F.greatest(F.lit(1), F.ceil(in_all / F.lit(rows_per_salt)).cast("int"))
         cand = _salted_candidates(rows, chosen.withColumn(_NSALT, nsalt), cfg)
     top = _ranked(cand, cfg, k_max, limited)

@@ -126,6 +126,16 @@ def test_unlimited_hits_of_a_relation_in_one_task_are_joined_in_many(spark, monk
     assert hits.rdd.getNumPartitions() == -(-(20 * 60 + 20 * ones) // 500)
 
 
+def test_rows_that_meet_many_patterns_are_dealt_by_pairs(spark, monkeypatch):
+    monkeypatch.setattr("lookout.operators.batch.PAIRS_PER_TASK", 1000, raising=False)
+    rows = [(i, f"customer {i:09d}") for i in range(100)]
+    queries = [(i, f"cust {i}", 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "key long, name string").coalesce(1)
+    hits = batch_search(df, spark.createDataFrame(queries, "query_id long, text string, k int"), CFG, strategy="blocked")
+    assert {(r.query_id, r["rank"], r.key) for r in hits.collect()} == brute_force(rows, queries, CFG)
+    assert "hashpartitioning(__lk_tie0" in hits._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("bound", [0, 1_000_000])
 @pytest.mark.parametrize("strategy", ["scan", "blocked"])
 def test_repeated_tie_key_is_an_error_on_both_sides_of_the_bound(spark, bound, strategy):
