@@ -13,9 +13,9 @@ tie-break key.  Two physical strategies return the same rows:
     every literal stretch of the pattern, so each pattern is reduced to one
     n-gram (n = 12, 6, 3 or shorter, as far as its longest literal stretch
     reaches; patterns without any literal character use the empty gram, which
-    every row has).  Which of its n-grams is rarest is judged on the first
-    ``SAMPLE_ROWS`` rows, or on ``gram_stats``; the choice changes the work, never
-    the result.  Then one pass over the relation: up to ``MAX_LITERAL_GRAMS``
+    every row has).  Which of its n-grams is rarest is judged on a sample drawn by
+    hash from the whole table (``SAMPLE_CHARS`` characters, ``SAMPLE_ROWS`` rows at
+    least), or on ``gram_stats``; the choice changes the work, never the result.  Then one pass over the relation: up to ``MAX_LITERAL_GRAMS``
     chosen grams are looked for in the row itself; beyond, the row's distinct
     n-grams are exploded and equi-joined with the patterns on (n, gram) or,
     beyond ``max_broadcast_patterns``, on (n, gram, salt).  The full wildcard match
@@ -50,8 +50,9 @@ STRATEGIES = ("auto", "scan", "blocked")
 # n-gram lengths; a pattern may use those that its longest literal stretch reaches
 GRAM_STEPS = (3, 6, 12)
 GRAM = GRAM_STEPS[0]
-# rows on which the rarest gram of a pattern is judged
+# rows on which the rarest gram of a pattern is judged, at least; more while texts are short
 SAMPLE_ROWS = 512
+SAMPLE_CHARS = 1_000_000
 # chosen grams that are looked for one by one in every row
 MAX_LITERAL_GRAMS = 256
 # k of a query without a limit
@@ -416,6 +417,21 @@ def gram_frequencies(df: DataFrame, cfg: SearchConfig, sizes=(0, 1, 2, GRAM)) ->
     return counted.select(F.col(_N).alias("n"), F.col(_G).alias("g"), F.col(_DF).alias("df"))
 
 
+def sampled(target: DataFrame, total: int, cfg: SearchConfig) -> tuple[DataFrame, int]:
+    """About one row in ``every``, and ``every``: drawn by hash from all ``total`` rows, because the first
+    rows of a sorted table hold other n-grams than the rest."""
+    names = [_S, *_tie_names(cfg)]
+    length = F.avg(F.length(F.col(_S).cast("string"))).alias("n")
+    mean = target.select(_S).limit(SAMPLE_ROWS).agg(length).first()["n"] or 0
+    wanted = max(SAMPLE_ROWS, int(SAMPLE_CHARS / max(mean, 1)))
+    every = max(1, total // wanted)
+    if every == 1:
+        return target.select(*names), 1
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), *[F.col(n) for n in names]), F.lit(every)) == 0
+    # keys that repeat may be drawn together: the sample is bounded all the same
+    return target.select(*names).where(drawn).limit(4 * wanted), every
+
+
 def choose_grams(
     target: DataFrame,
     pats: DataFrame,
@@ -426,21 +442,21 @@ def choose_grams(
 ) -> DataFrame:
     """Per pattern its rarest gram: ``(pattern, k, parts, chain, n, g, df)``, checkpointed.
 
-    ``df`` counts rows among the first ``SAMPLE_ROWS``, or in ``gram_stats`` where that has the
-    gram's length; among equally rare grams the longest is taken.  ``sizes`` are the lengths
-    that the patterns use.
+    ``df`` counts the rows of ``target``, a sample (:func:`sampled`), or those of ``gram_stats`` where
+    that has the gram's length; among equally rare grams the longest is taken.  ``sizes`` are the
+    lengths that the patterns use.
     """
     ensure_checkpoint_dir(target.sparkSession)
     own = pattern_grams(pats, cfg)
-    some = target.limit(SAMPLE_ROWS)
-    freq = table_grams(some, sizes or [GRAM], cfg, []).groupBy(_N, _G).agg(F.count(F.lit(1)).alias(_DF))
+    freq = table_grams(target, sizes or [GRAM], cfg, []).groupBy(_N, _G).agg(F.count(F.lit(1)).alias(_DF))
     if gram_stats is not None:
         exact = gram_stats.select(F.col("n").alias(_N), F.col("g").alias(_G), F.col("df").alias(_DF))
         freq = freq.where(F.col(_N) > GRAM).unionByName(exact)
     # grams that many patterns share would be a hot key of a shuffled join: each is looked up once
     needed = own.select(_N, _G).distinct().join(freq.hint("merge"), [_N, _G], "left")
     scored = own.join(needed.hint("merge"), [_N, _G], "left").withColumn(_DF, F.coalesce(F.col(_DF), F.lit(0)))
-    rarest = F.min_by(F.struct(_N, _G, _DF), F.struct(_DF, -F.col(_N), _G)).alias(_BEST)
+    # by hash among equals: the least in order would be the one with leading zeros, which many rows hold
+    rarest = F.min_by(F.struct(_N, _G, _DF), F.struct(_DF, -F.col(_N), F.xxhash64(_G), _G)).alias(_BEST)
     best = scored.groupBy(_P, _K, _PARTS, _CHAIN).agg(rarest)
     return best.select(_P, _K, _PARTS, _CHAIN, f"{_BEST}.*").checkpoint(eager=True)
 
@@ -476,17 +492,19 @@ def blocked_search(
     gram lengths they use (:func:`_summary`).
     """
     pats = _distinct_patterns(prepared, cfg).where(F.col(_K) > 0)
-    target = spread(_target(df, cfg), _tie_names(cfg), spread_to)
-    chosen = choose_grams(target, pats, cfg, sizes=sizes, gram_stats=gram_stats)
+    target = _target(df, cfg)
+    total = target.count()
+    some, every = sampled(target, total, cfg)
+    chosen = choose_grams(some, pats, cfg, sizes=sizes, gram_stats=gram_stats)
+    target = spread(target, _tie_names(cfg), spread_to)
     listed = chosen.select(_N, _G).distinct().limit(max_literal_grams + 1).collect()
     bound = patterns * k_max
     late = limited and bound <= max_broadcast_hits
     in_all = None
     if patterns > max_broadcast_patterns or (spread_to is None and patterns >= PAIRS_PER_ROW):
-        total = df.count()
-        share = total / SAMPLE_ROWS  # frequencies in the sample, scaled to the table
+        share = float(every)  # frequencies in the sample, scaled to the table
         in_all = F.when(F.col(_N) <= GRAM, F.col(_DF)).otherwise(F.col(_DF) * share) if gram_stats is not None else (
-            F.col(_DF) * max(1.0, share)
+            F.col(_DF) * share
         )
         if spread_to is None and patterns <= max_broadcast_patterns:
             spread_to = pair_tasks(chosen.agg(F.sum(in_all).alias("n")).first()["n"] or 0, total)

@@ -249,3 +249,19 @@ def test_null_and_zero_k(spark):
     q = spark.createDataFrame([(1, "ring", None), (2, "ring", 0), (3, "red", 2)], "query_id long, text string, k int")
     got = {(r.query_id, r["rank"]) for r in batch_search(df, q, CFG.replace(limit=4), strategy="blocked").collect()}
     assert got == {(1, 1), (1, 2), (1, 3), (1, 4), (3, 1), (3, 2)}
+
+
+def test_rare_grams_are_judged_on_the_whole_table(spark):
+    """The first rows of a sorted table hold neither gram; of all rows, ten hold one and one the other."""
+    from lookout.operators import batch as B
+
+    cfg = SearchConfig(search_column="name", tie_break=("key",), extra_columns=("key",))
+    rows = spark.range(20_000).selectExpr("id AS key", "concat('Customer#', lpad(id, 9, '0')) AS name")
+    queries = spark.createDataFrame([(1, "customer 000012345", 3)], "query_id int, text string, k int")
+    pats = B._distinct_patterns(B.prepare_queries(queries, cfg), cfg)
+    some, every = B.sampled(B._target(rows, cfg), 20_000, cfg)
+    assert every == 1
+    best = B.choose_grams(some, pats, cfg, sizes=[3, 6]).collect()
+    assert [(r["__lk_g"], r["__lk_df"]) for r in best] == [("012345", 1)]
+    drawn, every = B.sampled(B._target(rows, cfg), 20_000 * B.SAMPLE_CHARS, cfg)
+    assert every > 1 and drawn.count() <= 4 * B.SAMPLE_CHARS
