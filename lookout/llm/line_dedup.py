@@ -149,7 +149,8 @@ def line_dedup(
     groups = written(groups.where("first <> last").select("d1", "d2", "first"), "groups")
     extra = repeated.join(_sized(groups, MAX_GROUPS), ["d1", "d2"]).where(place != F.col("first"))
     stays = [F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start")]
-    extra = extra.select("doc_id", "version", "at", "start", "end", "words", *stays).distinct()
+    # dealt by document once: the distinct rows, the windows and the join below need no other deal
+    extra = extra.select("doc_id", "version", "at", "start", "end", "words", *stays).repartition("doc_id", "version").distinct()
     # neighbours have the same distance to their number within the document
     document = Window.partitionBy("doc_id", "version")
     extra = extra.withColumn("run", F.col("at") - F.row_number().over(document.orderBy("at")))

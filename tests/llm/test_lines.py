@@ -1,5 +1,7 @@
 """Operators 4 and 8 against SQL on whole small tables, and by hand."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -78,3 +80,12 @@ def test_depleted_documents_go_and_copies_do_not_count(spark):
     assert got[101].removed_lines == [] and got[200].removed_lines == []
     joined = df.join(found, "doc_id").where("doc_id = 3").select(clean_text(df.text, found.removed_lines).alias("t")).first()
     assert joined.t == rows[3][2].split("\n")[1]
+
+
+def test_repeated_units_are_dealt_by_document_once(spark):
+    docs = spark.createDataFrame([(k, "one two three four\nfive six") for k in range(4)], "doc_id long, text string")
+    found = line_dedup(docs, min_words=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert not [x for x in re.findall(r"hashpartitioning\(([^)]*)\)", plan) if x.startswith("doc_id#") and "at#" in x]
+    assert [r["clean_text"] for r in found.orderBy("doc_id").collect()] == ["one two three four\nfive six", "", "", ""]
