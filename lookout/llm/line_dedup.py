@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import MAX_IDS, written
 from .lines import Lines, code_points, spans_hash
 from .words import U, mix, texts
 
@@ -29,7 +29,7 @@ MIN_WORDS = 8
 
 #: Digests (8 bytes) and groups (48 bytes) that are broadcast at most.
 MAX_DIGESTS = 2_000_000
-MAX_GROUPS = 300_000
+MAX_GROUPS = 50_000
 
 _UNITS = "doc_id bigint, version bigint, d1 bigint, d2 bigint, at bigint, start bigint, end bigint, words bigint"
 _REMOVED = "array<struct<start:bigint,end:bigint,words:bigint,kept_doc_id:bigint,kept_start:bigint>>"
@@ -120,6 +120,34 @@ def _sized(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df.hint("merge")
 
 
+def _versions(docs: DataFrame) -> DataFrame:
+    """``docs`` with a version that tells rows of one id apart: the text's hash where the id repeats.
+
+    Elsewhere it is 0: a hash in every unit's row would be a third of what is shuffled.
+    """
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    ids = written(ids.select("doc_id", F.lit(True).alias("again")), "repeated_ids")
+    found = ids.count()
+    if found > MAX_IDS:
+        return docs.withColumn("version", F.xxhash64("text"))
+    version = F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return docs.join(F.broadcast(ids), "doc_id", "left").withColumn("version", version).drop("again")
+
+
+def _with_removed(docs: DataFrame, removed: DataFrame) -> DataFrame:
+    """``docs`` with their removed spans, null where there are none.
+
+    Up to ``MAX_IDS`` ids of documents that lose something are broadcast, so that no other text moves.
+    """
+    ids = written(removed.select("doc_id").distinct(), "removed_ids")
+    key = ["doc_id", "version"]
+    if ids.count() > MAX_IDS:
+        return docs.join(removed.hint("merge"), key, "left")
+    cut = docs.join(F.broadcast(ids), "doc_id", "left_semi").join(removed.hint("merge"), key, "left")
+    whole = docs.join(F.broadcast(ids), "doc_id", "left_anti").withColumn("removed", F.lit(None).cast(_REMOVED))
+    return cut.unionByName(whole)
+
+
 def line_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -139,7 +167,7 @@ def line_dedup(
     if unit not in ("line", "sentence", "paragraph"):
         raise ValueError(f"unit must be line, sentence or paragraph, not {unit!r}")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    docs = docs.withColumn("version", F.xxhash64("text"))
+    docs = _versions(docs)
     named = docs.where("doc_id is not null and text is not null").select("doc_id", "version", "text")
     units = written(named.mapInArrow(_units(unit), _UNITS), "units")
     twice = written(units.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"), "twice")
@@ -158,7 +186,7 @@ def line_dedup(
     extra = extra.where(F.col("together") >= min_words)
     span = F.struct("start", "end", "words", "kept_doc_id", "kept_start")
     removed = extra.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(span)).alias("removed"))
-    out = docs.join(removed, ["doc_id", "version"], "left").select(
+    out = _with_removed(docs, written(removed, "removed")).select(
         "doc_id", "text", F.coalesce("removed", F.array().cast(_REMOVED)).alias("removed")
     )
     return out.mapInArrow(_cut, f"doc_id bigint, clean_text string, removed {_REMOVED}")

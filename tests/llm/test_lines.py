@@ -89,3 +89,29 @@ def test_repeated_units_are_dealt_by_document_once(spark):
     assert re.findall(r"hashpartitioning\(([^)]*)\)", plan)
     assert not [x for x in re.findall(r"hashpartitioning\(([^)]*)\)", plan) if x.startswith("doc_id#") and "at#" in x]
     assert [r["clean_text"] for r in found.orderBy("doc_id").collect()] == ["one two three four\nfive six", "", "", ""]
+
+
+def test_texts_that_lose_nothing_stay_where_they_are(spark, monkeypatch):
+    rows = [(1, "one two three four"), (2, "five six\none two three four"), (3, "seven"), (4, None), (None, "one two three four")]
+    # rows of one id are told apart by their texts
+    rows += [(7, "eight nine ten"), (7, "own words\neight nine ten"), (8, "eight nine ten")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = line_dedup(docs, min_words=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan
+    got = sorted(map(repr, found.collect()))
+    clean = sorted((r.doc_id or 0, r.clean_text or "") for r in found.collect())
+    kept = ("eight nine ten", "own words\n")
+    assert clean[:5] == [(0, "one two three four"), (1, "one two three four"), (2, "five six\n"), (3, "seven"), (4, "")]
+    assert clean[5:] in ([(7, kept[0]), (7, kept[1]), (8, "")], [(7, ""), (7, "own words\neight nine ten"), (8, "")])
+    # above the bounds: joined by shuffles, the same rows
+    for name in ("MAX_IDS", "MAX_DIGESTS", "MAX_GROUPS"):
+        monkeypatch.setitem(line_dedup.__globals__, name, 0)
+    assert sorted(map(repr, line_dedup(docs, min_words=3).collect())) == got
+
+
+def test_versions_of_ids_that_repeat_only(spark):
+    versions = line_dedup.__globals__["_versions"]
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d"), (None, "e")], "doc_id long, text string")
+    got = {(r.doc_id, r.text): r.version for r in versions(docs).collect()}
+    assert len(got) == 5 and got[1, "a"] == 0 and len({0, got[2, "b"], got[2, "c"]}) == 3
