@@ -207,6 +207,22 @@ def _still_mixed(placed: DataFrame, label: DataFrame) -> DataFrame:
     return written(now.join(mixed.select("bucket"), "bucket"), "mixed")
 
 
+def _cross_pairs(placed: DataFrame, nodes: DataFrame, near) -> DataFrame:
+    """(a, b): members of one bucket in different components whose sketches allow a link.
+
+    Every bucket that such two members share holds two components, so all of them are in ``placed``:
+    a pair meets in the least of them, and there only.  Of the sketches only the members' move, and
+    their bands stay behind.
+    """
+    own = placed.groupBy("node").agg(F.first("component").alias("component"), F.collect_set("bucket").alias("buckets"))
+    own = within(nodes.select("node", "n", "bits"), placed.select("node"), "node").join(own, "node")
+    own = written(own, "cross_nodes").withColumn("bucket", F.explode("buckets"))
+    left, right = own.alias("l"), own.alias("r")
+    meet = F.expr("l.bucket = r.bucket and l.node < r.node and l.component <> r.component") & near("l", "r")
+    meet = meet & F.expr("array_min(array_intersect(l.buckets, r.buckets)) = l.bucket")
+    return left.join(right, meet).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -254,12 +270,7 @@ def near_duplicates(
         placed = _still_mixed(placed, components(links))
         if placed.isEmpty():
             break
-    # a pair meets in the first band that it shares, and there only
-    placed = placed.select("bucket", "node", "component").join(nodes.select("node", "n", "bits", "bands"), "node")
-    left, right = placed.alias("l"), placed.alias("r")
-    meet = F.expr("l.bucket = r.bucket and l.node < r.node and l.component <> r.component") & near("l", "r")
-    meet = meet & F.expr("array_position(zip_with(l.bands, r.bands, (p, q) -> p = q), true) = array_position(l.bands, l.bucket)")
-    cross = left.join(right, meet).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+    cross = _cross_pairs(placed.select("bucket", "node", "component"), nodes, near)
     tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = written(cross.distinct().join(tested, ["a", "b"], "left_anti"), "cross_pairs")
     label = components(links.union(_confirmed(cross, docs, shingle, percent)))

@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from lookout.llm import minhash
 from lookout.llm.components import components
 from lookout.llm.minhash import near_duplicates
 
@@ -59,3 +61,12 @@ def test_edges(spark):
 def test_components_of_a_chain(spark, n):
     links = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")
     assert {tuple(r) for r in components(links).collect()} == {(i, 0) for i in range(n + 1)}
+
+
+def test_last_meeting_carries_no_bands_and_meets_a_pair_once(spark):
+    placed = [(10, 1, 1), (10, 2, 2), (10, 3, 1), (20, 1, 1), (20, 2, 2), (30, 2, 2), (30, 3, 1), (40, 4, 4), (40, 5, 4)]
+    placed = spark.createDataFrame(placed, "bucket long, node long, component long")
+    nodes = spark.createDataFrame([(k, 9, [k], [k] * 60) for k in range(1, 9)], "node long, n long, bits array<long>, bands array<long>")
+    found = minhash._cross_pairs(placed, nodes, lambda x, y: F.expr(f"{x}.n = {y}.n"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 2), (2, 3)]
+    assert "bands" not in found._jdf.queryExecution().executedPlan().toString()
