@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import released
+from .words import released, runs
 
 SHAPES = 4096
 #: Messages that change by less have settled.
@@ -360,8 +360,9 @@ def redact(docs: DataFrame, text_col: str = "text", *, model: Model | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index(text_col)
-            new = [t if t is None else redacted(t, model) for t in (x.as_py() for x in batch.column(k))]
-            columns = [*batch.columns[:k], pa.array(new, pa.string()), *batch.columns[k + 1 :]]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            for part in runs(batch, k):
+                new = [t if t is None else redacted(t, model) for t in (x.as_py() for x in part.column(k))]
+                columns = [*part.columns[:k], pa.array(new, pa.string()), *part.columns[k + 1 :]]
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
     return docs.mapInArrow(released(run), docs.schema)

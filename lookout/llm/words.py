@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _SEP = np.zeros(256, bool)
@@ -141,6 +142,17 @@ def texts(column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, int, Text
         lo = hi
 
 
+def runs(batch: pa.RecordBatch, k: int, chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` with at most ``chunk`` bytes of text (or one row) in column ``k`` each, so
+    that what is made of them is handed on bit by bit."""
+    ends = np.cumsum(pc.binary_length(batch.column(k)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = done = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, done + chunk, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo, done = hi, int(ends[hi - 1])
+
+
 def release() -> None:
     """Give back what this worker has freed.  Workers outlive their tasks, and what allocators keep
     for later would count against the executor in the next stage."""

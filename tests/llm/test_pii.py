@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+
 from lookout.llm import pii
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -56,3 +58,23 @@ def test_query_columns_on_a_table(spark):
         named = [f"{pii.KINDS[k]}:{a}:{b}" for a, b, k in base]
         assert row.base_sha256 == hashlib.sha256(",".join(named).encode()).hexdigest()
         assert set(named) <= set(row.spans.split(",")) | {""} and len(list(filter(None, row.spans.split(",")))) == len(named) + row.n_added
+
+
+class _Docs:
+    """Stands for a table: hands out the function that tasks run."""
+
+    schema = "doc_id bigint, text string"
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_redacted_texts_are_handed_on_bit_by_bit():
+    rows = ["write to ann@example.org " + "word " * 400, None, ""] * 1000
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(rows))), "text": rows})
+    model = pii.Model([])
+    out = list(pii.redact(_Docs(), model=model)(iter([batch, batch.slice(0, 0), batch.slice(1, 2)])))
+    assert max(part.nbytes for part in out) < 1.1 * 2**20
+    got = pa.Table.from_batches(out)
+    assert got["doc_id"].to_pylist() == [*range(len(rows)), 1, 2]
+    assert got["text"].to_pylist() == [t and pii.redacted(t, model) for t in rows] + [None, ""]
