@@ -16,6 +16,12 @@ def test_debounce_has_no_window_and_pre_aggregates(spark):
     assert p.count("FileScan") == 1 and p.count("Exchange") == 1 and "Join" not in p
 
 
+def test_debounce_sorts_what_a_shuffle_dealt_not_a_whole_split(spark):
+    for name in ("debounce_events", "debounce_null_sessions"):
+        above, below = plan(C.QUERIES[name](spark, SF_SMALL)).split("Exchange")
+        assert "SortAggregate" in above and "Sort" not in below and "Aggregate" not in below, name
+
+
 def test_debounced_search_reads_the_events_once(spark):
     p = plan(C.QUERIES["debounce_search_repeated_ids"](spark, SF_SMALL))
     assert "events.parquet" not in p  # they were read for the checkpoint of the queries
