@@ -1,6 +1,7 @@
 """Batch search; blocked (with and without salting) == scan == brute force."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -126,6 +127,37 @@ def test_unlimited_hits_of_a_relation_in_one_task_are_joined_in_many(spark, monk
     assert hits.rdd.getNumPartitions() == -(-(20 * 60 + 20 * ones) // 500)
 
 
+def per_task(hits, *columns):
+    """Rows and distinct values of ``columns`` in each task of ``hits``."""
+    return hits.rdd.mapPartitions(lambda rows: [(len(r := [tuple(x[c] for c in columns) for x in rows]), len({*r}))]).collect()
+
+
+@pytest.mark.parametrize("bound", [10, 1_000_000])
+def test_tasks_of_unlimited_queries_write_few_distinct_queries_and_hits(spark, monkeypatch, bound):
+    monkeypatch.setattr("lookout.operators.batch.ROWS_PER_TASK", 20_000, raising=False)
+    monkeypatch.setattr("lookout.operators.batch.RUN", 30, raising=False)
+    monkeypatch.setattr("lookout.operators.batch.COPIES_PER_TASK", 400, raising=False)
+    df = spark.range(400).selectExpr("id AS key", "concat('red ring ', id) AS name").coalesce(1)
+    q = spark.range(500).selectExpr("id AS query_id", "IF(id < 400, 'ring', 'RED ring') AS text")
+    hits = batch_search(df, q, CFG.replace(limit=None), strategy="blocked", k_col=None, max_broadcast_hits=bound)
+    assert hits.count() == hits.select("query_id", "key").distinct().count() == 400 * 500
+    sizes, queries, keys = per_task(hits, "query_id", "key"), per_task(hits, "query_id"), per_task(hits, "key")
+    assert len(sizes) == 10 and max(n for n, _ in sizes) < 2 * 20_000
+    assert max(n for _, n in queries) < 400 and sum(n for _, n in queries + keys) < 0.05 * 400 * 500
+
+
+def test_unlimited_queries_with_repeated_or_null_ids_keep_all_rows_in_the_tasks_there_may_be(spark, monkeypatch):
+    monkeypatch.setattr("lookout.operators.batch.ROWS_PER_TASK", 50, raising=False)
+    monkeypatch.setattr("lookout.operators.batch.MOST_TASKS", 7, raising=False)
+    df = spark.range(60).selectExpr("IF(id < 20, 0, id) AS key", "IF(id < 20, 'ring', concat('ring ', id)) AS name")
+    q = spark.range(45).selectExpr("IF(id % 3 = 0, NULL, id % 5) AS query_id", "'ring' AS text")
+    hits = batch_search(df, q, CFG.replace(limit=None), strategy="scan", k_col=None)
+    want = Counter((None if i % 3 == 0 else i % 5, 0 if k < 20 else k) for i in range(45) for k in range(60))
+    assert Counter((r.query_id, r.key) for r in hits.collect()) == want
+    sizes = per_task(hits, "query_id")
+    assert len(sizes) == 7 and max(n for n, _ in sizes) < 2 * 45 * 60 / 7
+
+
 def test_rows_that_meet_many_patterns_are_dealt_by_pairs(spark, monkeypatch):
     monkeypatch.setattr("lookout.operators.batch.PAIRS_PER_TASK", 1000, raising=False)
     rows = [(i, f"customer {i:09d}") for i in range(100)]
